@@ -12,7 +12,7 @@ there, so it stays a bare comparison that Spark can push into the Parquet scan.
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,16 +114,29 @@ def ordering(df: DataFrame, field: str) -> Column:
     return F.col(field)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition that also matches a null key with a null key.
+def key_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    take: Sequence[str] = (),
+    hint: Callable[[DataFrame], DataFrame] = lambda table: table,
+) -> DataFrame:
+    """Equi-join that also matches a null key with a null key, keeping ``left`` columns
+    and the ``take`` columns of the right side.
 
     Spark turns ``<=>`` into an ordinary equi-join key, so hash and sort-merge joins
-    and adaptive skew splitting all stay available.
+    and adaptive skew splitting all stay available. Right keys get names of their own,
+    so a frame can be joined with an aggregate of itself.
     """
+    table = hint(right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *take))
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        condition = condition & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
+    joined = left.join(table, condition, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select(*left.columns, *take)
 
 
 def require(frame: DataFrame, ok: Column, message: str) -> DataFrame:
@@ -138,5 +151,5 @@ def require(frame: DataFrame, ok: Column, message: str) -> DataFrame:
 def divide(top: Column, bottom: Column) -> Column:
     """Division that yields a signed infinity over zero and null for 0/0."""
     return F.when(bottom != 0, F.try_divide(top, bottom)).when(
-        top != 0, F.signum(top) * F.lit(float("inf"))
+        (bottom == 0) & (top != 0), F.signum(top) * F.lit(float("inf"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.dates import as_date, compact, period_end
-from panelspark.functions.semantics import missing, number, ordering, require, same_keys
+from panelspark.functions.semantics import key_join, missing, number, ordering, require
 from panelspark.operators.layout import fits_one_task
 from panelspark.operators.quantiles import exact_quantiles
 
@@ -104,15 +104,10 @@ def aggregate(
             max_group_rows=max_group_rows,
             block_rows=block_rows,
         )
-        joined = (
-            result.join(part, same_keys(result, part, keys), "left")
-            if keys
-            else result.select("*", *[part.select(n).scalar().alias(n) for n in levels])
-        )
-        result = joined.select(
-            *[result[c] for c in result.columns],
-            *([part[n] for n in levels] if keys else list(levels)),
-        )
+        if keys:
+            result = key_join(result, part, keys, "left", list(levels))
+        else:
+            result = result.withColumns({n: part.select(n).scalar() for n in levels})
     return result.select(*keys, *[a.output for a in aggs])
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.semantics import dtype, same_keys
+from panelspark.functions.semantics import dtype, key_join
 
 CARDINALITIES = ("one_to_one", "many_to_one", "many_to_many")
 
@@ -30,9 +30,10 @@ def match_source(
     if output in df.columns:
         raise ValueError(f"output field already exists: {output}")
     members = _distinct_keys(right, keys).withColumn("__hit", F.lit(True))
-    joined = df.join(members, same_keys(df, members, keys), "left")
-    return joined.select(
-        *[df[c] for c in df.columns], F.coalesce("__hit", F.lit(False)).alias(output)
+    return (
+        key_join(df, members, keys, "left", ["__hit"])
+        .withColumn(output, F.coalesce("__hit", F.lit(False)))
+        .drop("__hit")
     )
 
 
@@ -40,13 +41,11 @@ exists_in_source = match_source
 
 
 def semi_join(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    members = _distinct_keys(right, keys)
-    return df.join(members, same_keys(df, members, keys), "left_semi")
+    return key_join(df, _distinct_keys(right, keys), keys, "left_semi")
 
 
 def anti_join(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    members = _distinct_keys(right, keys)
-    return df.join(members, same_keys(df, members, keys), "left_anti")
+    return key_join(df, _distinct_keys(right, keys), keys, "left_anti")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,8 +97,7 @@ def _joined(
         left = require_unique(
             left, right, keys, f"duplicate keys on the right of a {cardinality} join"
         )
-    joined = left.join(lookup, same_keys(left, lookup, keys), how)
-    return joined.select(*[left[c] for c in df.columns], *[lookup[o] for o in fields.values()])
+    return key_join(left, lookup, keys, how, list(fields.values()))
 
 
 def inner_join(

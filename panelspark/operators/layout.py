@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelspark.functions.semantics import same_keys
+from panelspark.functions.semantics import key_join
 from panelspark.session import checkpoint
 
 POSITION, BLOCK = "__position", "__block"
@@ -193,10 +193,7 @@ class Layout:
     ) -> DataFrame:
         """Fold each group's earlier blocks; one small row per block of each group."""
         if blocks is not None:
-            keys = [*self.group_by, BLOCK]
-            per_block = blocks.alias("b").join(
-                per_block, same_keys(blocks, per_block, keys), "left"
-            ).select(*[blocks[k] for k in keys], *combine)
+            per_block = key_join(blocks, per_block, [*self.group_by, BLOCK], "left", list(combine))
         earlier = (
             Window.partitionBy(*self.group_by)
             .orderBy(BLOCK)
@@ -210,11 +207,7 @@ class Layout:
 
     def _with_carry(self, frame: DataFrame, carry: DataFrame) -> DataFrame:
         keys = [*self.group_by, BLOCK]
-        joined = frame.join(carry, same_keys(frame, carry, keys), "left")
-        return joined.select(
-            *[frame[c] for c in frame.columns],
-            *[carry[c] for c in carry.columns if c not in keys],
-        )
+        return key_join(frame, carry, keys, "left", [c for c in carry.columns if c not in keys])
 
 
 def lay_out(
@@ -255,13 +248,9 @@ def lay_out(
     )
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order, F.col(_SALT))
     numbered = ranged.withColumn(POSITION, F.row_number().over(inside).cast("long"))
-    placed = numbered.join(
-        F.broadcast(starts), same_keys(numbered, starts, [*keys, _CHUNK]), "left"
-    )
-    position = F.col(POSITION) + F.coalesce(starts[_START], F.lit(0))
-    frame = placed.select(
-        *[numbered[c] for c in df.columns],
-        position.alias(POSITION),
-        F.floor((position - 1) / block_rows).cast("long").alias(BLOCK),
+    placed = key_join(numbered, starts, [*keys, _CHUNK], "left", [_START], F.broadcast)
+    position = F.col(POSITION) + F.coalesce(_START, F.lit(0))
+    frame = placed.withColumn(POSITION, position).withColumn(
+        BLOCK, F.floor((F.col(POSITION) - 1) / block_rows).cast("long")
     )
-    return Layout(frame, keys, order, block_rows)
+    return Layout(frame.select(*df.columns, POSITION, BLOCK), keys, order, block_rows)

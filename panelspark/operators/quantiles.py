@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.semantics import same_keys
+from panelspark.functions.semantics import key_join
 from panelspark.operators.layout import fits_one_task, lay_out
 
 
@@ -42,9 +42,10 @@ def exact_quantiles(
         max_group_rows=max_group_rows,
         block_rows=block_rows,
     ).numbered("__at")
-    sized = ranked.join(sizes, same_keys(ranked, sizes, keys)).select(
-        *[ranked[k] for k in keys], "__q", "__at", "__n"
-    )
+    if keys:
+        sized = key_join(ranked, sizes, keys, "inner", ["__n"])
+    else:
+        sized = ranked.withColumn("__n", sizes.scalar())
     last = F.col("__n") - 1
     low = {n: F.floor(last * F.lit(float(q))) + 1 for n, q in outputs.items()}
     high = {n: F.ceil(last * F.lit(float(q))) + 1 for n, q in outputs.items()}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.semantics import number, ordering, same_keys
+from panelspark.functions.semantics import key_join, number, ordering
 from panelspark.operators.layout import fits_one_task, lay_out
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.operators.windows import ordered
@@ -18,8 +18,7 @@ _X = "__x"
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join of per-key values. The table has one row per key, so a hot key on the
     big side only needs Spark's adaptive skew split, or a broadcast if the table is small."""
-    joined = df.join(table, same_keys(df, table, keys), "left")
-    return joined.select(*[df[c] for c in df.columns], *[table[c] for c in columns])
+    return key_join(df, table, keys, "left", columns)
 
 
 def rank(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.dates import as_date, compact, date_offset
-from panelspark.functions.semantics import divide, number, ordering
+from panelspark.functions.semantics import divide, key_join, number, ordering
 from panelspark.operators.layout import Layout, lay_out
 from panelspark.operators.sessions import with_session_number
 
@@ -266,15 +266,12 @@ def match_at_offset(
     pick = F.max_by(field, F.struct(*tie_break)) if tie_break else F.any_value(field)
     lookup = (
         dated.where(F.col("__day").isNotNull())
-        .groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_by)], "__day")
-        .agg(pick.alias("__found"))
+        .groupBy(*group_by, F.col("__day").alias("__target"))
+        .agg(pick.alias(output))
+        .withColumn(matched_date, compact(F.col("__target")))
     )
-    condition = placed["__target"] == lookup["__day"]
-    for i, g in enumerate(group_by):
-        condition = condition & placed[g].eqNullSafe(lookup[f"__g{i}"])
-    return placed.join(lookup, condition, "left").select(
-        *[placed[c] for c in df.columns],
-        F.col("__found").alias(output),
-        compact(lookup["__day"]).alias(matched_date),
+    rest = [c for c in df.columns if c not in (output, matched_date)]
+    placed = placed.select(*rest, "__target")
+    return key_join(placed, lookup, [*group_by, "__target"], "left", [output, matched_date]).drop(
+        "__target"
     )
-
