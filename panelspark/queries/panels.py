@@ -207,7 +207,7 @@ def holders(t: Tables) -> DataFrame:
             # Parts of one brand report no ratio, which leaves a natural gap.
             F.when(
                 F.col("p_brand") != "Brand#1",
-                F.round(F.col("hold_amount") / F.col("total") * 100, 6),
+                F.col("hold_amount") / F.col("total") * 100,
             ).alias("hold_ratio"),
             F.col("total").alias("free_share"),
         )
@@ -224,6 +224,6 @@ ranked AS (
 holders AS (
   SELECT entity, make_date(year, 12, 31) AS end_date, make_date(year + 1, 3, 31) AS ann_date,
     p_name || ' ' || CAST(holder AS VARCHAR) AS holder_name, hold_amount,
-    CASE WHEN p_brand <> 'Brand#1' THEN round(hold_amount / total * 100, 6) END AS hold_ratio,
+    CASE WHEN p_brand <> 'Brand#1' THEN hold_amount / total * 100 END AS hold_ratio,
     total AS free_share
   FROM ranked JOIN part ON holder = p_partkey WHERE rn <= 10 AND parts >= 10)"""

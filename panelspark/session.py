@@ -23,19 +23,27 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The result has no lineage, so a lost executor cannot re-run a sampled range
-    partitioning and move rows. The folder is the cluster's ``spark.checkpoint.dir``;
-    only a local session without one gets a temporary folder.
+    Only a local session without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="panelspark-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from there.
+
+    The result has no lineage, so a lost executor cannot re-run a sampled range
+    partitioning and move rows.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
