@@ -8,7 +8,7 @@ when one group may hold a third of the table. ``lay_out`` picks between
 * **plain** - one window per group, when the caller proves a bound on group size, when
   Catalyst's size estimate says the whole input fits one task, or when one
   map-side-combined count shows that the largest group does;
-* **split** - range-partition on (group, order), checkpoint, and give every row its
+* **split** - range-partition on (group, order), store, and give every row its
   exact position in its group as "rows of the group in earlier partitions" plus "row
   number inside this partition". Positions cut a group into blocks of ``block_rows``.
   Row frames read a copied edge of the neighbouring block; running totals add a
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import key_join
-from panelspark.session import checkpoint
+from panelspark.session import stored
 
 POSITION, BLOCK = "__position", "__block"
 _CHUNK, _SALT, _HOME, _START = "__chunk", "__salt", "__home", "__start"
@@ -229,7 +229,7 @@ def lay_out(
         block_rows = BLOCK_ROWS
     partitions = max(2, math.ceil(df.count() / block_rows))
     # The salt spreads rows that are equal on every ordering column, copies included.
-    ranged = checkpoint(
+    ranged = stored(
         df.withColumn(_SALT, F.rand(seed=7))
         .repartitionByRange(partitions, *[F.col(k) for k in keys], *order, F.col(_SALT))
         .withColumn(_CHUNK, F.spark_partition_id())

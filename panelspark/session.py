@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there.
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and continue from there.
 
     The result has no lineage, so a lost executor cannot re-run a sampled range
-    partitioning and move rows.
+    partitioning and move rows, and later passes read only the columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
