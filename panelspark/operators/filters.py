@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.semantics import (
     COMPARISONS,
+    dtype,
     is_number,
     keep,
     member,
@@ -92,7 +95,11 @@ def read_filters(
     membership compares the column as text.
     """
     for field, comparison, value in conditions:
-        if comparison in ("in", "not_in"):
+        dated = isinstance(dtype(df, field), T.DateType)
+        if dated and isinstance(value, str) and comparison in COMPARISONS:
+            day = dt.date.fromisoformat(value)  # YYYYMMDD or YYYY-MM-DD
+            df = df.where(COMPARISONS[comparison](F.col(field), F.lit(day)))
+        elif comparison in ("in", "not_in"):
             inside = F.col(field).cast("string").isin([str(v) for v in value])
             df = df.where(
                 inside if comparison == "in" else ~F.coalesce(inside, F.lit(False))
