@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.semantics import dtype, key_join, number, require
+from panelspark.functions.semantics import dtype, key_join, number
 from panelspark.operators.filters import valid_entity_code
 from panelspark.operators.joins import duplicate_keys, require_unique
 from panelspark.sources.reads import parse_day
@@ -57,7 +57,11 @@ def assemble(
     prices = require_unique(prices, prices, KEYS, "duplicate price rows")
     prices = require_unique(prices, adjustments, KEYS, "duplicate adjustment rows")
     panel = key_join(prices, adjustments, KEYS, "left", ["adj_factor"])
-    panel = require(panel, F.col("adj_factor").isNotNull(), "missing adjustment factor")
+    # Checked in the value itself: a later filter on the factor could otherwise turn the
+    # outer join into an inner one and hide the gap.
+    absent = F.raise_error(F.lit("missing adjustment factor"))
+    kind = dtype(adjustments, "adj_factor")
+    panel = panel.withColumn("adj_factor", F.coalesce("adj_factor", absent.cast(kind)))
     if valuations is not None:
         valuations = _listed(valuations)
         extra = [c for c in valuations.columns if c not in panel.columns]
@@ -66,8 +70,9 @@ def assemble(
     close, factor = number(panel, "close"), number(panel, "adj_factor")
     limit = F.lit(float("inf"))
     valid = (close > 0) & (close < limit) & (factor > 0) & (factor < limit)
-    return require(panel, valid, "invalid close or adjustment factor").withColumn(
-        "adjusted_close", close * factor
+    invalid = F.raise_error(F.lit("invalid close or adjustment factor")).cast("double")
+    return panel.withColumn(
+        "adjusted_close", F.when(F.coalesce(valid, F.lit(False)), close * factor).otherwise(invalid)
     )
 
 
@@ -129,20 +134,25 @@ def research_window(
     signal = F.col(SESSION).between(F.lit(first), F.lit(last))
     everything = Window.partitionBy()
     ranked = numbered_calendar(near).withColumn("is_signal", signal)
+    def stop(message: str) -> Column:
+        return F.raise_error(F.lit(message)).cast("int")
+
+    # The checks sit in the values the filter needs, so no rewrite can drop them.
+    end_rank = F.max(RANK).over(everything)
+    first_rank = F.min(F.when(F.col("is_signal"), F.col(RANK))).over(everything)
+    last_rank = F.max(F.when(F.col("is_signal"), F.col(RANK))).over(everything)
     edges = ranked.withColumns(
-        {
-            "__first": F.min(F.when(F.col("is_signal"), F.col(RANK))).over(everything),
-            "__last": F.max(F.when(F.col("is_signal"), F.col(RANK))).over(everything),
-            "__end": F.max(RANK).over(everything),
-        }
-    )
-    checked = require(edges, F.col("__first").isNotNull(), "the window has no trading session")
-    checked = require(
-        checked,
-        F.col("__last") + horizon <= F.col("__end"),
-        "the forward window extends beyond the calendar",
+        {"__first": first_rank, "__last": last_rank, "__end": end_rank}
+    ).select(
+        SESSION,
+        RANK,
+        "is_signal",
+        F.coalesce("__first", stop("the window has no trading session")).alias("__first"),
+        F.when(F.col("__last") + horizon <= F.col("__end"), F.col("__last"))
+        .when(F.col("__last").isNotNull(), stop("the forward window extends beyond the calendar"))
+        .alias("__last"),
     )
-    return checked.where(
+    return edges.where(
         F.col(RANK).between(F.col("__first") - lookback, F.col("__last") + horizon)
     ).select(SESSION, RANK, "is_signal")
 
