@@ -121,18 +121,22 @@ def key_join(
     how: str = "left",
     take: Sequence[str] = (),
     hint: Callable[[DataFrame], DataFrame] = lambda table: table,
+    null_keys: bool = True,
 ) -> DataFrame:
-    """Equi-join that also matches a null key with a null key, keeping ``left`` columns
-    and the ``take`` columns of the right side.
-
-    Spark turns ``<=>`` into an ordinary equi-join key, so hash and sort-merge joins
-    and adaptive skew splitting all stay available. Right keys get names of their own,
-    so a frame can be joined with an aggregate of itself.
+    """Equi-join keeping ``left`` columns and the ``take`` columns of the right side.
+
+    With ``null_keys`` a null key matches a null key. Spark turns ``<=>`` into
+    ordinary equi-join keys (a default value plus a null flag), so hash and sort-merge
+    joins and adaptive skew splitting stay available, but a partitioning of the bare
+    columns is not reused. Callers whose keys are never null pass False and save that
+    shuffle. Right keys get names of their own, so a frame can be joined with an
+    aggregate of itself.
     """
     table = hint(right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *take))
     condition = F.lit(True)
     for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
+        mine, other = F.col(key), F.col(f"__k_{key}")
+        condition = condition & (mine.eqNullSafe(other) if null_keys else mine == other)
     joined = left.join(table, condition, how)
     if how in ("left_semi", "left_anti"):
         return joined

@@ -1,5 +1,6 @@
 """Membership and lookup joins with checked cardinality.
 
+A null key matches a null key unless ``null_keys=False`` says there are none.
 No side is broadcast by hint: Spark broadcasts by measured size, and otherwise splits
 skewed partitions of the sort-merge join at run time.
 """
@@ -24,14 +25,19 @@ def _distinct_keys(right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def match_source(
-    df: DataFrame, right: DataFrame, keys: Sequence[str], output: str
+    df: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    output: str,
+    *,
+    null_keys: bool = True,
 ) -> DataFrame:
-    """Add a boolean: does the key tuple occur in ``right`` (null matches null)?"""
+    """Add a boolean: does the key tuple occur in ``right``?"""
     if output in df.columns:
         raise ValueError(f"output field already exists: {output}")
     members = _distinct_keys(right, keys).withColumn("__hit", F.lit(True))
     return (
-        key_join(df, members, keys, "left", ["__hit"])
+        key_join(df, members, keys, "left", ["__hit"], null_keys=null_keys)
         .withColumn(output, F.coalesce("__hit", F.lit(False)))
         .drop("__hit")
     )
@@ -40,12 +46,16 @@ def match_source(
 exists_in_source = match_source
 
 
-def semi_join(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return key_join(df, _distinct_keys(right, keys), keys, "left_semi")
+def semi_join(
+    df: DataFrame, right: DataFrame, keys: Sequence[str], *, null_keys: bool = True
+) -> DataFrame:
+    return key_join(df, _distinct_keys(right, keys), keys, "left_semi", null_keys=null_keys)
 
 
-def anti_join(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return key_join(df, _distinct_keys(right, keys), keys, "left_anti")
+def anti_join(
+    df: DataFrame, right: DataFrame, keys: Sequence[str], *, null_keys: bool = True
+) -> DataFrame:
+    return key_join(df, _distinct_keys(right, keys), keys, "left_anti", null_keys=null_keys)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,6 +96,7 @@ def _joined(
     fields: Mapping[str, str],
     cardinality: str,
     how: str,
+    null_keys: bool,
 ) -> DataFrame:
     if cardinality not in CARDINALITIES:
         raise ValueError(f"unknown cardinality: {cardinality}")
@@ -97,7 +108,7 @@ def _joined(
         left = require_unique(
             left, right, keys, f"duplicate keys on the right of a {cardinality} join"
         )
-    return key_join(left, lookup, keys, how, list(fields.values()))
+    return key_join(left, lookup, keys, how, list(fields.values()), null_keys=null_keys)
 
 
 def inner_join(
@@ -107,9 +118,10 @@ def inner_join(
     fields: Mapping[str, str],
     *,
     cardinality: str = "many_to_one",
+    null_keys: bool = True,
 ) -> DataFrame:
     """Inner equi-join that copies ``{right field: output}`` and checks cardinality."""
-    return _joined(df, right, keys, fields, cardinality, "inner")
+    return _joined(df, right, keys, fields, cardinality, "inner", null_keys)
 
 
 def join_fields(
@@ -119,7 +131,8 @@ def join_fields(
     fields: Mapping[str, str],
     *,
     cardinality: str = "many_to_one",
+    null_keys: bool = True,
 ) -> DataFrame:
     """Left lookup join; a field the frame already has under the same name is skipped."""
     wanted = {f: o for f, o in fields.items() if not (f == o and o in df.columns)}
-    return _joined(df, right, keys, wanted, cardinality, "left")
+    return _joined(df, right, keys, wanted, cardinality, "left", null_keys)

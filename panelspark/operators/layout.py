@@ -38,32 +38,44 @@ BLOCK_ROWS = 1_000_000
 
 
 def size_bound(df: DataFrame) -> int | None:
-    """Catalyst's upper estimate of the input in bytes, where the session exposes it."""
+    """Catalyst's estimate of the input in bytes, where it is an upper bound.
+
+    Without column statistics Catalyst multiplies the sizes of joined tables and lets
+    filters and aggregates keep their input's size. It does not count the rows that an
+    explode or unpivot adds, so such plans have no bound here.
+    """
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes())
+        plan = df._jdf.queryExecution().optimizedPlan()
     except AttributeError:  # a Spark Connect session has no local plan
         return None
+    if any(node in plan.toString() for node in ("Generate ", "Expand ")):
+        return None
+    return int(plan.stats().sizeInBytes())
 
 
-def largest_group(df: DataFrame, group_by: Sequence[str]) -> int:
-    """Rows in the largest group: one scan, counted before the shuffle."""
+def group_sizes(df: DataFrame, group_by: Sequence[str]) -> tuple[int, int]:
+    """Rows in the largest group and in all: one scan, counted before the shuffle."""
     if not group_by:
-        return df.count()
-    top = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(top or 0)
+        total = df.count()
+        return total, total
+    sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    return int(largest or 0), int(total or 0)
+
+
+def proven_small(df: DataFrame, max_group_rows: int | None) -> bool:
+    """Whether a bound shows, without a job, that every group fits one task."""
+    if max_group_rows is not None and max_group_rows <= ONE_TASK_ROWS:
+        return True
+    bound = size_bound(df)
+    return bound is not None and bound <= ONE_TASK_BYTES
 
 
 def fits_one_task(
     df: DataFrame, group_by: Sequence[str], max_group_rows: int | None = None
 ) -> bool:
-    """Whether every group is proven small enough for a single task."""
-    if max_group_rows is not None:
-        return max_group_rows <= ONE_TASK_ROWS
-    bound = size_bound(df)
-    if bound is not None and bound <= ONE_TASK_BYTES:
-        return True
-    return largest_group(df, group_by) <= ONE_TASK_ROWS
+    """The same, measuring the largest group where no bound settles it."""
+    return proven_small(df, max_group_rows) or group_sizes(df, group_by)[0] <= ONE_TASK_ROWS
 
 
 @dataclass(frozen=True)
@@ -223,11 +235,15 @@ def lay_out(
     ``max_group_rows`` is a bound the caller can prove, such as the number of sessions.
     """
     keys, order = tuple(group_by), tuple(order)
+    total = None
     if block_rows is None:
-        if fits_one_task(df, keys, max_group_rows):
+        if proven_small(df, max_group_rows):
+            return Layout(df, keys, order)
+        largest, total = group_sizes(df, keys)
+        if largest <= ONE_TASK_ROWS:
             return Layout(df, keys, order)
         block_rows = BLOCK_ROWS
-    partitions = max(2, math.ceil(df.count() / block_rows))
+    partitions = max(2, math.ceil((df.count() if total is None else total) / block_rows))
     # The salt spreads rows that are equal on every ordering column, copies included.
     ranged = stored(
         df.withColumn(_SALT, F.rand(seed=7))

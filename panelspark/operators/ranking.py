@@ -52,7 +52,10 @@ def rank(
         part = Window.partitionBy(*keys, F.col(_X).isNull())
         order = part.orderBy(by(F.col(_X)), *[F.col(c) for c in tie_break])
         value_order = part.orderBy(by(F.col(_X)))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, _X))
+        # Peers of the current row, in the same window: no second shuffle.
+        ties = F.count(F.lit(1)).over(
+            value_order.rangeBetween(Window.currentRow, Window.currentRow)
+        )
         low = F.rank().over(value_order)
         ranked = {
             "min": lambda: low,

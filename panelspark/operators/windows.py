@@ -251,6 +251,7 @@ def match_at_offset(
     unit: str,
     *,
     tie_break: Sequence[str] = (),
+    null_keys: bool = True,
 ) -> DataFrame:
     """The same group's value at a later session, and the date it was found on.
 
@@ -272,6 +273,8 @@ def match_at_offset(
     )
     rest = [c for c in df.columns if c not in (output, matched_date)]
     placed = placed.select(*rest, "__target")
-    return key_join(placed, lookup, [*group_by, "__target"], "left", [output, matched_date]).drop(
-        "__target"
+    keys = [*group_by, "__target"]
+    found = key_join(
+        placed, lookup, keys, "left", [output, matched_date], null_keys=null_keys
     )
+    return found.drop("__target")

@@ -75,7 +75,7 @@ def rank_metric(
     """Rank a snapshot metric, optionally only for members of a universe."""
     rows = read_filters(df, filters)
     if universe is not None:
-        rows = semi_join(rows, universe, [entity])
+        rows = semi_join(rows, universe, [entity], null_keys=False)
     return top_rows(rows, metric, count, direction=direction, tie_break=[entity])
 
 
@@ -99,7 +99,7 @@ def _streaks(
 ) -> DataFrame:
     """Prices with ``is_event`` and the number of events in the last ``length`` sessions
     in a row."""
-    flagged = match_source(prices, events, [entity, day], "is_event")
+    flagged = match_source(prices, events, [entity, day], "is_event", null_keys=False)
     if length == 1:
         return flagged.withColumn("streak_count", F.col("is_event").cast("double"))
     return rolling(
@@ -143,7 +143,7 @@ def _outcomes(
     """Completed runs with their later return and its sign."""
     runs = _streaks(prices, events, entity, day, length, max_group_rows)
     later = match_at_offset(
-        runs, "future_close", "future_date", close, [entity], day, offset, unit
+        runs, "future_close", "future_date", close, [entity], day, offset, unit, null_keys=False
     )
     kept = drop_missing(filter_rows(later, "streak_count", "eq", length), ["future_close"])
     ratio = derive(kept, "outcome_ratio", "future_close", "divide", right_field=close)
@@ -297,7 +297,7 @@ def composite_screen(
         rows = sort_rows(rows, sort, direction=direction, tie_break=[entity])
     if master is None:
         return rows
-    return join_fields(rows, master, [entity], {"name": "name"})
+    return join_fields(rows, master, [entity], {"name": "name"}, null_keys=False)
 
 
 def dividend_ranking(
@@ -314,7 +314,7 @@ def dividend_ranking(
     """Each entity's best cash dividend, ranked, with names."""
     paid = filter_rows(drop_missing(df, [cash]), cash, "gt", 0)
     key = F.col(cash).desc() if direction == "desc" else F.col(cash).asc()
-    named = inner_join(paid, master, [entity], {"name": "name"}).withColumn(
+    named = inner_join(paid, master, [entity], {"name": "name"}, null_keys=False).withColumn(
         "__key", -F.col(cash) if direction == "desc" else F.col(cash)
     )
     best = distinct_by(named, [entity], ["__key", *tie_break])
@@ -336,14 +336,14 @@ def industry_value(
 ) -> DataFrame:
     """Latest dividend with valuation and name for the members of an industry."""
     latest = latest_by_group(
-        semi_join(dividends, universe, [entity]),
+        semi_join(dividends, universe, [entity], null_keys=False),
         [entity],
         day,
         direction="desc",
         tie_break=tie_break,
     )
-    valued = join_fields(latest, valuations, [entity], {pe: pe})
-    named = join_fields(valued, universe, [entity], {"name": "name"})
+    valued = join_fields(latest, valuations, [entity], {pe: pe}, null_keys=False)
+    named = join_fields(valued, universe, [entity], {"name": "name"}, null_keys=False)
     ranked = sort_rows(
         drop_missing(named, [pe, cash]), pe, direction=direction, tie_break=[entity]
     )
@@ -368,10 +368,15 @@ def cohort_return(
         best = top_rows(
             returns, "period_return_pct", count, direction=direction, tie_break=[entity]
         )
-        return join_fields(best, valuations, [entity], {metric: metric})
+        return join_fields(best, valuations, [entity], {metric: metric}, null_keys=False)
     cohort = top_rows(valuations, metric, count, direction=direction, tie_break=[entity])
     return join_fields(
-        cohort, returns, [entity], {"period_return_pct": "period_return_pct"}, cardinality=UNIQUE
+        cohort,
+        returns,
+        [entity],
+        {"period_return_pct": "period_return_pct"},
+        cardinality=UNIQUE,
+        null_keys=False,
     )
 
 
@@ -381,7 +386,7 @@ def volume_turnover(
     """Highest volumes with the turnover rate of the same entity and day."""
     top = top_rows(prices, "vol", count, tie_break=keys)
     return join_fields(
-        top, basics, keys, {"turnover_rate": "turnover_rate"}, cardinality=UNIQUE
+        top, basics, keys, {"turnover_rate": "turnover_rate"}, cardinality=UNIQUE, null_keys=False
     )
 
 
@@ -404,7 +409,7 @@ def holder_concentration(
     percent = derive(changed, "holder_change_pct", "holder_change_ratio", "multiply", value=100)
     latest = latest_by_group(percent, [entity], announced, tie_break=[period])
     top = top_rows(latest, "holder_change_pct", count, direction="asc", tie_break=[entity])
-    return join_fields(top, master, [entity], {"name": "name"})
+    return join_fields(top, master, [entity], {"name": "name"}, null_keys=False)
 
 
 def direction_counts(df: DataFrame, field: str, codes: Mapping[str, str]) -> DataFrame:
@@ -429,7 +434,7 @@ def event_count_return(
     top = top_rows(counted, "event_count", count, tie_break=[entity])
     returns = period_return(prices, entity, day, close)
     fields = {c: c for c in ("start_date", "end_date", "period_return_pct")}
-    return join_fields(top, returns, [entity], fields, cardinality=UNIQUE)
+    return join_fields(top, returns, [entity], fields, cardinality=UNIQUE, null_keys=False)
 
 
 def statement_compare(
@@ -453,7 +458,12 @@ def statement_compare(
         return result
 
     return inner_join(
-        latest(left_years), latest(right_years), keys, fields, cardinality="one_to_one"
+        latest(left_years),
+        latest(right_years),
+        keys,
+        fields,
+        cardinality="one_to_one",
+        null_keys=False,
     )
 
 
@@ -468,7 +478,7 @@ def company_list(
 ) -> DataFrame:
     """Each entity's latest row with its name, by date."""
     latest = latest_by_group(df, [entity], day, direction="desc", tie_break=tie_break)
-    named = join_fields(latest, master, [entity], {"name": "name"})
+    named = join_fields(latest, master, [entity], {"name": "name"}, null_keys=False)
     return sort_rows(named, day, direction=direction, tie_break=[entity]).select(
         entity, "name", day
     )

@@ -56,7 +56,7 @@ def assemble(
     prices, adjustments = _listed(prices), _listed(adjustments)
     prices = require_unique(prices, prices, KEYS, "duplicate price rows")
     prices = require_unique(prices, adjustments, KEYS, "duplicate adjustment rows")
-    panel = key_join(prices, adjustments, KEYS, "left", ["adj_factor"])
+    panel = key_join(prices, adjustments, KEYS, "left", ["adj_factor"], null_keys=False)
     # Checked in the value itself: a later filter on the factor could otherwise turn the
     # outer join into an inner one and hide the gap.
     absent = F.raise_error(F.lit("missing adjustment factor"))
@@ -66,7 +66,7 @@ def assemble(
         valuations = _listed(valuations)
         extra = [c for c in valuations.columns if c not in panel.columns]
         panel = require_unique(panel, valuations, KEYS, "duplicate valuation rows")
-        panel = key_join(panel, valuations, KEYS, "left", extra)
+        panel = key_join(panel, valuations, KEYS, "left", extra, null_keys=False)
     close, factor = number(panel, "close"), number(panel, "adj_factor")
     limit = F.lit(float("inf"))
     valid = (close > 0) & (close < limit) & (factor > 0) & (factor < limit)
@@ -89,7 +89,8 @@ def panel_checks(prices: DataFrame, adjustments: DataFrame, sessions: DataFrame)
             F.lit(name).alias("problem"), SESSION, "n"
         )
 
-    unadjusted = key_join(prices, adjustments.select(*KEYS).distinct(), KEYS, "left_anti")
+    adjusted = adjustments.select(*KEYS).distinct()
+    unadjusted = key_join(prices, adjusted, KEYS, "left_anti", null_keys=False)
     value = number(prices, "close")
     bad_close = prices.where(~F.coalesce((value > 0) & (value < float("inf")), F.lit(False)))
     factor = number(adjustments, "adj_factor")

@@ -357,6 +357,8 @@ def evidence_from_tags(
         _rate_errors(by_session, by_entity, _totals(by_session, by_entity), lag, sessions)
     )
     lift = _lift_errors(rules, by_session, by_entity, totals, lag, sessions)
+    if max_rule_rows is None:  # the cell tables already know the size of each rule
+        max_rule_rows = int(totals.where("tag >= 0").agg(F.max("n")).first()[0] or 0)
     spread = exact_quantiles(
         tagged.where(F.col("ret").isNotNull()),
         ["tag"],

@@ -104,9 +104,9 @@ def share_snapshot(
     counts = shares.select(
         entity, day, F.coalesce(positive("free_share"), positive("float_share")).alias("__shares")
     )
-    return key_join(counts, chosen, [day], "inner", [period]).groupBy(entity, period).agg(
-        F.max("__shares").alias("__shares")
-    )
+    # One row per period: a calendar-sized table.
+    near_end = key_join(counts, chosen, [day], "inner", [period], F.broadcast, null_keys=False)
+    return near_end.groupBy(entity, period).agg(F.max("__shares").alias("__shares"))
 
 
 def concentration(
@@ -128,17 +128,20 @@ def concentration(
     all amounts and a share count (``shares``: entity, period, ``__shares``) are there,
     in which case ratios follow from the amounts.
     """
-    rows = df.dropDuplicates()
-    if latest_only:
-        newest = rows.groupBy(entity).agg(F.max(period).alias(period))
-        rows = key_join(rows, newest, [entity, period], "left_semi")
-    latest = rows.groupBy(entity, period).agg(F.max(announced).alias(announced))
-    rows = key_join(rows, latest, [entity, period, announced], "left_semi")
+    # Latest announcement (of the latest period): cut per task before the one shuffle,
+    # whose partitioning every step below reuses. Eleven rows are enough to see that a
+    # group is not ten, so a malformed group never reaches the aggregate whole.
+    scope = [entity] if latest_only else [entity, period]
+    newest = Window.partitionBy(*scope).orderBy(F.desc(period), F.desc(announced))
+    rows = df.withColumn("__rank", F.rank().over(newest)).where("__rank = 1").drop("__rank")
+    rows = rows.dropDuplicates()
+    eleven = Window.partitionBy(*scope).orderBy(holder)
+    rows = rows.withColumn("__at", F.row_number().over(eleven)).where("__at <= 11").drop("__at")
     rows = rows.withColumn("__r", number(rows, ratio)).withColumn(
         "__a", number(rows, amount) if amount else F.lit(None).cast("double")
     )
     if shares is not None:
-        rows = key_join(rows, shares, [entity, period], "left", ["__shares"])
+        rows = key_join(rows, shares, [entity, period], "left", ["__shares"], null_keys=False)
     else:
         rows = rows.withColumn("__shares", F.lit(None).cast("double"))
     pooled = F.coalesce(F.col(holder).rlike(OMNIBUS), F.lit(False))
@@ -152,7 +155,6 @@ def concentration(
         F.max("__shares").alias("__shares"),
         F.coalesce(F.sum(F.when(pooled, F.col("__r"))), F.lit(0.0)).alias("__pooled_r"),
         F.coalesce(F.sum(F.when(pooled, F.col("__a"))), F.lit(0.0)).alias("__pooled_a"),
-        # Ten rows at most pass the check below.
         F.sort_array(F.collect_list(F.when(F.col("__r").isNull(), F.col(holder)))).alias("__gaps"),
     )
     checked = require(

@@ -9,7 +9,7 @@ from panelspark.plans import rules as R
 from panelspark.plans import search as S
 from panelspark.queries.base import register
 from panelspark.queries.panels import NATION_WEEK
-from panelspark.queries.study import _FEATURES, PANEL, assembled, weeks
+from panelspark.queries.study import _FEATURES, PANEL, assembled, sessions_of, weekly
 from panelspark.session import stored
 
 HORIZON, LAG, TARGET = 4, 3, 0.0
@@ -31,8 +31,9 @@ RULES = {
 
 def dataset(t, window=TRAIN):
     """Signal weeks of a window with factors and the four-week forward return."""
+    rows = weekly(t)
     return E.research_dataset(
-        assembled(t), weeks(t), *window, horizon=HORIZON, factors=FACTORS
+        assembled(rows), sessions_of(rows), *window, horizon=HORIZON, factors=FACTORS
     )
 
 
@@ -419,9 +420,10 @@ register(
 
 
 def _board(t):
+    rows = weekly(t)
     board, _ = S.discovery_study(
-        assembled(t),
-        weeks(t),
+        assembled(rows),
+        sessions_of(rows),
         S.Study(
             *TRAIN,
             *VALIDATION,

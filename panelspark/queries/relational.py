@@ -368,6 +368,7 @@ register(
         ["o_custkey"],
         {"c_mktsegment": "segment"},
         cardinality="many_to_one",
+        null_keys=False,
     ),
     """SELECT o_orderkey, o_custkey, c_mktsegment AS segment
        FROM orders JOIN customer ON o_custkey = c_custkey""",
@@ -381,6 +382,7 @@ register(
         ["l_orderkey"],
         {"o_orderpriority": "priority"},
         cardinality="many_to_many",
+        null_keys=False,
     ),
     """SELECT l_orderkey, l_linenumber, o_orderpriority AS priority
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",

@@ -8,39 +8,44 @@ from pyspark.sql import functions as F
 from panelspark.plans import panel as E
 from panelspark.queries.base import register
 from panelspark.queries.panels import NATION_WEEK, nation_week
-from panelspark.sources.calendar import trading_sessions
+from panelspark.session import stored
 
 HORIZON = 4
 
 
-def weeks(t):
-    """The calendar: distinct ship weeks."""
-    return trading_sessions(
-        t.lineitem.select(F.date_trunc("week", "l_shipdate").cast("date").alias("d")), "d"
-    )
+def weekly(t):
+    """The weekly table, written once: the study reads it several times."""
+    return stored(nation_week(t))
+
 
+def sessions_of(rows):
+    """The calendar: distinct sessions of the weekly table."""
+    return rows.select("session").distinct()
 
-def parts(t):
-    """The weekly panel as three inputs: prices, adjustment factors, valuations."""
-    rows = nation_week(t)
-    # The panel is unique per (entity, session): one row per week in a window.
+
+def assembled(rows):
+    """The weekly table as the three inputs of a panel: prices, factors, valuations."""
+    # The table is unique per (entity, session): one row per week in a window.
     before = F.lag("close").over(Window.partitionBy("entity").orderBy("session"))
     prices = rows.withColumn("pre_close", before).select(
         "entity", "session", "open", "high", "low", "close", "pre_close", "vol", "amount"
     )
-    return (
+    return E.assemble(
         prices,
         rows.select("entity", "session", "adj_factor"),
         rows.select("entity", "session", "turnover_rate", "close"),
     )
 
 
-def assembled(t):
-    return E.assemble(*parts(t))
+def ranked(t):
+    rows = weekly(t)
+    return E.with_rank(assembled(rows), E.numbered_calendar(sessions_of(rows)))
 
 
-def ranked(t):
-    return E.with_rank(assembled(t), E.numbered_calendar(weeks(t)))
+def labelled(t):
+    rows = weekly(t)
+    calendar = E.numbered_calendar(sessions_of(rows))
+    return E.forward_label(E.with_rank(assembled(rows), calendar), calendar, HORIZON)
 
 
 PANEL = """cal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS n
@@ -53,7 +58,7 @@ CTES = (NATION_WEEK, PANEL)
 register(
     "panel_assemble",
     "entity:i session:d close:f pre_close:f adj_factor:f adjusted_close:f turnover_rate:f",
-    assembled,
+    lambda t: assembled(weekly(t)),
     """SELECT entity, session, close, pre_close, adj_factor, adj AS adjusted_close, turnover_rate
        FROM panel""",
     CTES,
@@ -61,7 +66,7 @@ register(
 register(
     "adjusted_close",
     "entity:i session:d adjusted_close:f",
-    assembled,
+    lambda t: assembled(weekly(t)),
     "SELECT entity, session, adj AS adjusted_close FROM panel",
     CTES,
 )
@@ -105,7 +110,7 @@ register(
 register(
     "forward_return",
     "entity:i session:d future_session:d forward_return:f",
-    lambda t: E.forward_label(ranked(t), E.numbered_calendar(weeks(t)), HORIZON),
+    labelled,
     """SELECT p.entity, p.session, c.session AS future_session, f.adj / p.adj - 1 AS forward_return
        FROM panel p LEFT JOIN cal c ON c.n = p.n + 4
        LEFT JOIN panel f ON f.entity = p.entity AND f.n = p.n + 4""",
@@ -114,7 +119,7 @@ register(
 register(
     "research_window",
     "session:d is_signal:b",
-    lambda t: E.research_window(weeks(t), "19960401", "19981231", horizon=4, lookback=3),
+    lambda t: E.research_window(sessions_of(nation_week(t)), "19960401", "19981231", horizon=4, lookback=3),
     """SELECT session, n BETWEEN a AND b AS is_signal FROM cal, (
        SELECT min(n) AS a, max(n) AS b FROM cal
        WHERE session BETWEEN DATE '1996-04-01' AND DATE '1998-12-31')
@@ -124,9 +129,7 @@ register(
 register(
     "purge_overlap",
     "entity:i session:d future_session:d",
-    lambda t: E.purge_overlap(
-        E.forward_label(ranked(t), E.numbered_calendar(weeks(t)), HORIZON), "19980101"
-    ),
+    lambda t: E.purge_overlap(labelled(t), "19980101"),
     """SELECT p.entity, p.session, c.session AS future_session FROM panel p
        JOIN cal c ON c.n = p.n + 4 WHERE c.session < DATE '1998-01-01'""",
     CTES,

@@ -47,7 +47,8 @@ def enrich_master(
     Columns the frame already has are kept.
     """
     wanted = [f for f in fields if f in master.columns and f not in df.columns]
-    joined = key_join(df, distinct_by(master, [key], order_by), [key], "left", wanted)
+    first = distinct_by(master, [key], order_by)
+    joined = key_join(df, first, [key], "left", wanted, null_keys=False)
     at = df.columns.index(key) + 1
     return joined.select(*df.columns[:at], *wanted, *df.columns[at:])
 

@@ -80,14 +80,14 @@ def read_disclosures(
 def read_candidates(df: DataFrame, key: str, source: DataFrame, source_key: str) -> DataFrame:
     """Rows whose key occurs in a column of another result."""
     keys = source.select(F.col(source_key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return key_join(df, keys, [key], "left_semi")
+    return key_join(df, keys, [key], "left_semi", null_keys=False)
 
 
 def universe_coverage(df: DataFrame, universe: DataFrame, key: str) -> DataFrame:
     """One row: universe size, members with data, members without."""
     members = universe.select(key).where(F.col(key).isNotNull()).distinct()
     found = df.select(key).distinct().withColumn("__found", F.lit(1))
-    return key_join(members, found, [key], "left", ["__found"]).agg(
+    return key_join(members, found, [key], "left", ["__found"], null_keys=False).agg(
         F.count(F.lit(1)).alias("universe_count"),
         F.count("__found").alias("successful_count"),
         (F.count(F.lit(1)) - F.count("__found")).alias("missing_count"),

@@ -76,10 +76,13 @@ def test_asof_across_blocks(skewed):
 
 def test_layout_choice(skewed, monkeypatch):
     assert L.fits_one_task(skewed, ["g"], 1000)
-    assert not L.fits_one_task(skewed, ["g"], L.ONE_TASK_ROWS + 1)
     monkeypatch.setattr(L, "ONE_TASK_BYTES", 0)
+    assert L.fits_one_task(skewed, ["g"], 1400)
     monkeypatch.setattr(L, "ONE_TASK_ROWS", 1400)
     assert L.fits_one_task(skewed, ["g"])
     monkeypatch.setattr(L, "ONE_TASK_ROWS", 1399)
     assert not L.fits_one_task(skewed, ["g"])
-    assert L.largest_group(skewed, []) == 2000
+    assert L.group_sizes(skewed, []) == (2000, 2000)
+    assert L.group_sizes(skewed, ["g"]) == (1400, 2000)
+    exploded = skewed.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    assert L.size_bound(exploded) is None
