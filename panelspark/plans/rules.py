@@ -154,7 +154,7 @@ def baseline_cells(
     )
 
 
-def _totals(by_session: DataFrame, by_entity: DataFrame) -> DataFrame:
+def rule_totals(by_session: DataFrame, by_entity: DataFrame) -> DataFrame:
     """One row per tag from the two cell tables."""
     n = F.col("n").cast("double")
     seen = F.col("n") > 0
@@ -179,7 +179,7 @@ def _totals(by_session: DataFrame, by_entity: DataFrame) -> DataFrame:
     return sessions.join(entities, "tag", "left").withColumn("rate", rate)
 
 
-def _hac(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
+def hac_long_run(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
     """Bartlett-weighted long-run sum per ``tag`` from ``(tag, session_rank, x)``.
 
     Sessions without a row have zero influence and drop out of every product. The
@@ -200,7 +200,7 @@ def _hac(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
     return crossed.groupBy("tag").agg((squares + 2 * F.sum("cross")).alias("long_run"))
 
 
-def _error(long_run: Column, clusters: Column) -> Column:
+def cluster_error(long_run: Column, clusters: Column) -> Column:
     return F.sqrt(cluster_variance(long_run, clusters))
 
 
@@ -214,10 +214,10 @@ def _rate_errors(
     entity = by_entity.join(small, "tag").groupBy("tag").agg(
         F.sum(residual * residual).alias("ent_long_run")
     )
-    wide = totals.join(_hac(dated, lag, sessions), "tag").join(entity, "tag", "left")
+    wide = totals.join(hac_long_run(dated, lag, sessions), "tag").join(entity, "tag", "left")
     error = F.greatest(
-        _error(F.col("long_run"), F.col("days")),
-        _error(F.coalesce("ent_long_run", F.lit(0.0)), F.col("entities")),
+        cluster_error(F.col("long_run"), F.col("days")),
+        cluster_error(F.coalesce("ent_long_run", F.lit(0.0)), F.col("entities")),
     )
     margin = Z_95_TWO_SIDED * F.col("error")
     day_low, day_high = wilson_bounds(F.col("rate"), F.col("eff_days"))
@@ -289,7 +289,7 @@ def _lift_errors(
         .join(selected, ["rule", RANK], "left")
         .select(F.col("rule").alias("tag"), RANK, (own - other).alias("x"))
     )
-    date_part = _hac(dated, lag, sessions).withColumnRenamed("tag", "rule")
+    date_part = hac_long_run(dated, lag, sessions).withColumnRenamed("tag", "rule")
     # Entities: Σ(a-b)² = Σb² + Σ(a²-2ab), where a is zero outside the selected
     # entities, so the baseline's entities are summed once per factor set.
     selected, whole = sides(by_entity, ENTITY)
@@ -311,8 +311,8 @@ def _lift_errors(
         .withColumn("ent_run", F.col("base_sq") + F.coalesce("mixed", F.lit(0.0)))
     )
     error = F.greatest(
-        _error(F.col("long_run"), F.col("base_days")),
-        _error(F.col("ent_run"), F.col("base_entities")),
+        cluster_error(F.col("long_run"), F.col("base_days")),
+        cluster_error(F.col("ent_run"), F.col("base_entities")),
     )
     usable = (F.col("total") > 0) & (F.col("base_days") > 1)
     return wide.select("rule", F.when(usable, error).otherwise(F.lit(0.0)).alias("lift_error"))
@@ -354,7 +354,7 @@ def evidence_from_tags(
         )
     )
     totals = stored(
-        _rate_errors(by_session, by_entity, _totals(by_session, by_entity), lag, sessions)
+        _rate_errors(by_session, by_entity, rule_totals(by_session, by_entity), lag, sessions)
     )
     lift = _lift_errors(rules, by_session, by_entity, totals, lag, sessions)
     if max_rule_rows is None:  # the cell tables already know the size of each rule

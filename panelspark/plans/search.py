@@ -179,7 +179,7 @@ def raw_conditions(thresholds: DataFrame) -> list[Condition]:
     ]
 
 
-def _evidence(
+def single_evidence(
     clean: DataFrame, conditions: Sequence[Condition], lag: int, target: float
 ) -> DataFrame:
     """Evidence of single conditions; ``rule`` is the index of the condition."""
@@ -488,7 +488,7 @@ def search_training(
     conditions = raw_conditions(search_thresholds(clean, factors))
     if not conditions:
         raise ValueError("no factor has two distinct values in the training window")
-    tried = stored(distinct_conditions(_evidence(clean, conditions, lag, target), conditions))
+    tried = stored(distinct_conditions(single_evidence(clean, conditions, lag, target), conditions))
     evaluated = tried.count()
     # Coverage does not gate the pairing pool: a weak single may still combine well.
     pairable = tried.where(gates.enough())

@@ -53,33 +53,35 @@ def _day(text: str) -> str:
     return f"DATE '{text[:4]}-{text[4:6]}-{text[6:]}'"
 
 
-def _research_sql(window: tuple[str, str]) -> tuple[str, ...]:
+def _research_sql(
+    window: tuple[str, str], p: str = "", purge: str | None = None
+) -> tuple[str, ...]:
+    """CTEs up to ``{p}research``; ``purge`` drops outcomes from that day on."""
     start, end = (_day(d) for d in window)
+    kept = f"JOIN cal c ON c.n = f.n + {HORIZON} AND c.session < {_day(purge)}" if purge else ""
     lookback = E.lookback_for(FACTORS)
     expressions = {c: sql for group in _FEATURES.values() for c, sql in group.items()}
     chosen = ", ".join(f"{expressions[f]} AS {f}" for f in FACTORS)
     return (
-        NATION_WEEK,
-        PANEL,
-        f"""edges AS (SELECT min(n) - {lookback} AS a, max(n) + {HORIZON} AS b FROM cal
+        f"""{p}edges AS (SELECT min(n) - {lookback} AS a, max(n) + {HORIZON} AS b FROM cal
           WHERE session BETWEEN {start} AND {end})""",
-        f"""cut AS (SELECT p.* FROM panel p, edges WHERE n BETWEEN a AND b
+        f"""{p}cut AS (SELECT p.* FROM panel p, {p}edges WHERE n BETWEEN a AND b
           AND session BETWEEN {start} - {max(31, 3 * lookback)}
             AND {end} + {max(31, 3 * HORIZON)})""",
-        """cut_steps AS (SELECT *, adj / lag(adj) OVER (PARTITION BY entity ORDER BY n) - 1 AS step
-          FROM cut)""",
-        f"""featured AS (SELECT *, {chosen} FROM cut_steps)""",
-        f"""research AS (SELECT f.entity, f.session, f.n, g.adj / f.adj - 1 AS ret,
+        f"""{p}cut_steps AS (SELECT *, adj / lag(adj) OVER (PARTITION BY entity ORDER BY n) - 1 AS step
+          FROM {p}cut)""",
+        f"""{p}featured AS (SELECT *, {chosen} FROM {p}cut_steps)""",
+        f"""{p}research AS (SELECT f.entity, f.session, f.n, g.adj / f.adj - 1 AS ret,
+          CASE WHEN g.adj / f.adj - 1 > {TARGET} THEN 1 WHEN g.adj IS NOT NULL THEN 0 END AS hit,
           {', '.join('f.' + c for c in FACTORS)}
-          FROM featured f LEFT JOIN cut g ON g.entity = f.entity AND g.n = f.n + {HORIZON}
-          WHERE f.session BETWEEN {start} AND {end})""",
+          FROM {p}featured f LEFT JOIN {p}cut g ON g.entity = f.entity AND g.n = f.n + {HORIZON}
+          {kept} WHERE f.session BETWEEN {start} AND {end})""",
     )
 
 
-RESEARCH = _research_sql(TRAIN)
+RESEARCH = (NATION_WEEK, PANEL, *_research_sql(TRAIN))
 _OBS = " UNION ALL ".join(
-    f"""SELECT '{text}' AS formula, entity, n AS day, ret,
-        CASE WHEN ret > {TARGET} THEN 1 WHEN ret IS NOT NULL THEN 0 END AS hit,
+    f"""SELECT '{text}' AS formula, entity, n AS day, ret, hit,
         coalesce({text}, FALSE) AS sel FROM research
         WHERE {' AND '.join(f + ' IS NOT NULL' for f in factors)}"""
     for text, factors in RULES.items()
@@ -87,15 +89,16 @@ _OBS = " UNION ALL ".join(
 _Z = "1.959963984540054"
 
 
-def _hac_sql(source: str, clusters: str) -> str:
+def _hac_sql(source: str, tot: str, clusters: str) -> str:
     """Error from ``(formula, day, x)`` with Bartlett weights up to LAG sessions."""
-    return f"""SELECT a.formula, sqrt(greatest(0, max({clusters}) / (max({clusters}) - 1.0) *
+    return f"""SELECT a.formula, CASE WHEN max({clusters}) > 1 THEN
+      sqrt(greatest(0, max({clusters}) / nullif(max({clusters}) - 1.0, 0) *
       (sum(CASE WHEN a.day = b.day THEN a.x * b.x ELSE 0 END)
        + 2 * sum(CASE WHEN b.day < a.day THEN (1 - (a.day - b.day) / {LAG + 1}.0) * a.x * b.x
-                 ELSE 0 END)))) AS e
+                 ELSE 0 END)))) ELSE 0 END AS e
       FROM {source} a JOIN {source} b ON a.formula = b.formula
         AND b.day BETWEEN a.day - {LAG} AND a.day
-      JOIN tot t ON t.formula = a.formula GROUP BY 1"""
+      JOIN {tot} t ON t.formula = a.formula GROUP BY 1"""
 
 
 def _wilson_sql(p: str, n: str, sign: str) -> str:
@@ -107,35 +110,42 @@ def _wilson_sql(p: str, n: str, sign: str) -> str:
     return clip.format(body)
 
 
-def _side_sql(side: str, condition: str) -> tuple[str, ...]:
+def _cluster_sql(source: str) -> str:
+    return f"""SELECT formula, sum(c) * sum(c) / sum(c * c) AS k, max(c) / sum(c) AS m,
+      CASE WHEN count(*) > 1 THEN sqrt(count(*) / nullif(count(*) - 1.0, 0) * sum(x * x))
+      ELSE 0 END AS err FROM {source} GROUP BY 1"""
+
+
+def _side_sql(p: str, side: str, condition: str) -> tuple[str, ...]:
     """CTEs for one side (selected ``s`` or baseline ``b``): errors and interval."""
+    q = p + side
+    cells = ", ".join((f"sum(o.hit - t.p{side}) / max(t.n{side}) AS x", "count(*) AS c"))
+    source = f"FROM {p}obs o JOIN {p}tot t USING (formula) WHERE ret IS NOT NULL AND {condition}"
+    margin = f"{_Z} * greatest(h.e, e.err)"
     return (
-        f"""{side}day AS (SELECT o.formula, o.day,
-          sum(o.hit - t.p{side}) / max(t.n{side}) AS x, count(*) AS c
-          FROM obs o JOIN tot t USING (formula) WHERE ret IS NOT NULL AND {condition} GROUP BY 1, 2)""",
-        f"""{side}ent AS (SELECT o.formula, o.entity,
-          sum(o.hit - t.p{side}) / max(t.n{side}) AS x, count(*) AS c
-          FROM obs o JOIN tot t USING (formula) WHERE ret IS NOT NULL AND {condition} GROUP BY 1, 2)""",
-        f"""{side}hac AS ({_hac_sql(side + 'day', 't.d' + side)})""",
-        f"""{side}kish AS (SELECT d.formula, d.k AS kd, e.k AS ke, d.m AS md, e.m AS me, e.err
-          FROM (SELECT formula, sum(c) * sum(c) / sum(c * c) AS k, max(c) / sum(c) AS m
-                FROM {side}day GROUP BY 1) d
-          JOIN (SELECT formula, sum(c) * sum(c) / sum(c * c) AS k, max(c) / sum(c) AS m,
-                sqrt(count(*) / (count(*) - 1.0) * sum(x * x)) AS err
-                FROM {side}ent GROUP BY 1) e USING (formula))""",
-        f"""{side}int AS (SELECT t.formula, greatest(h.e, k.err) AS error, k.kd, k.ke, k.md, k.me,
-          least(greatest(0, p{side} - {_Z} * greatest(h.e, k.err)),
-            {_wilson_sql('p' + side, 'k.kd', '-')}, {_wilson_sql('p' + side, 'k.ke', '-')}) AS lo,
-          greatest(least(1, p{side} + {_Z} * greatest(h.e, k.err)),
-            {_wilson_sql('p' + side, 'k.kd', '+')}, {_wilson_sql('p' + side, 'k.ke', '+')}) AS hi
-          FROM tot t JOIN {side}hac h USING (formula) JOIN {side}kish k USING (formula))""",
+        f"{q}day AS (SELECT o.formula, o.day, {cells} {source} GROUP BY 1, 2)",
+        f"{q}ent AS (SELECT o.formula, o.entity, {cells} {source} GROUP BY 1, 2)",
+        f"{q}hac AS ({_hac_sql(q + 'day', p + 'tot', 't.d' + side)})",
+        f"{q}days AS ({_cluster_sql(q + 'day')})",
+        f"{q}ents AS ({_cluster_sql(q + 'ent')})",
+        f"""{q}int AS (SELECT t.formula, d.k AS kd, e.k AS ke, d.m AS md, e.m AS me,
+          CASE WHEN t.d{side} > 1 THEN greatest(h.e, e.err) ELSE 0 END AS error,
+          CASE WHEN t.d{side} > 1 THEN least(greatest(0, p{side} - {margin}),
+            {_wilson_sql('p' + side, 'd.k', '-')}, {_wilson_sql('p' + side, 'e.k', '-')})
+          ELSE 0 END AS lo,
+          CASE WHEN t.d{side} > 1 THEN greatest(least(1, p{side} + {margin}),
+            {_wilson_sql('p' + side, 'd.k', '+')}, {_wilson_sql('p' + side, 'e.k', '+')})
+          ELSE 1 END AS hi
+          FROM {p}tot t JOIN {q}hac h USING (formula) JOIN {q}days d USING (formula)
+          JOIN {q}ents e USING (formula))""",
     )
 
 
-EVIDENCE = (
-    *RESEARCH,
-    f"obs AS ({_OBS})",
-    """tot AS (SELECT formula, count(*) AS eligible, count(*) FILTER (WHERE sel) AS matched,
+def _evidence_sql(obs: str, p: str = "") -> tuple[str, ...]:
+    """CTEs from ``{p}obs`` (formula, entity, day, ret, hit, sel) to ``{p}ev``."""
+    return (
+        f"{p}obs AS ({obs})",
+        f"""{p}tot AS (SELECT formula, count(*) AS eligible, count(*) FILTER (WHERE sel) AS matched,
       count(ret) AS nb, count(ret) FILTER (WHERE sel) AS ns,
       sum(hit) AS hb, sum(hit) FILTER (WHERE sel) AS hs,
       avg(hit) AS pb, avg(hit) FILTER (WHERE sel) AS ps,
@@ -144,25 +154,29 @@ EVIDENCE = (
       count(DISTINCT CASE WHEN ret IS NOT NULL AND sel THEN entity END) AS es,
       avg(ret) FILTER (WHERE sel) AS mean_return, median(ret) FILTER (WHERE sel) AS median_return,
       quantile_cont(ret, 0.05) FILTER (WHERE sel) AS return_p05,
-      stddev_pop(ret) FILTER (WHERE sel) AS return_std FROM obs GROUP BY 1)""",
-    *_side_sql("s", "sel"),
-    *_side_sql("b", "TRUE"),
-    """lx AS (SELECT o.formula, o.day, o.entity,
+      stddev_pop(ret) FILTER (WHERE sel) AS return_std,
+      bit_xor(hash(entity, day)) FILTER (WHERE sel) AS cohort FROM {p}obs GROUP BY 1)""",
+        *_side_sql(p, "s", "sel"),
+        *_side_sql(p, "b", "TRUE"),
+        f"""{p}lx AS (SELECT o.formula, o.day, o.entity, 1 AS c,
       CASE WHEN o.sel THEN (o.hit - t.ps) / t.ns ELSE 0 END - (o.hit - t.pb) / t.nb AS x
-      FROM obs o JOIN tot t USING (formula) WHERE ret IS NOT NULL)""",
-    "lday AS (SELECT formula, day, sum(x) AS x FROM lx GROUP BY 1, 2)",
-    f"lhac AS ({_hac_sql('lday', 't.db')})",
-    """lent AS (SELECT formula, sqrt(count(*) / (count(*) - 1.0) * sum(x * x)) AS e
-      FROM (SELECT formula, entity, sum(x) AS x FROM lx GROUP BY 1, 2) GROUP BY 1)""",
-    f"""ev AS (SELECT t.*, s.error AS se, s.kd, s.ke, s.md, s.me,
+      FROM {p}obs o JOIN {p}tot t USING (formula) WHERE ret IS NOT NULL)""",
+        f"{p}lday AS (SELECT formula, day, sum(x) AS x FROM {p}lx GROUP BY 1, 2)",
+        f"{p}lhac AS ({_hac_sql(p + 'lday', p + 'tot', 't.db')})",
+        f"""{p}lent AS ({_cluster_sql(
+            f'(SELECT formula, entity, sum(x) AS x, sum(c) AS c FROM {p}lx GROUP BY 1, 2)')})""",
+        f"""{p}ev AS (SELECT t.*, s.error AS se, s.kd, s.ke, s.md, s.me,
       least(s.lo, t.hs / t.matched) AS lo, greatest(s.hi, (t.hs + t.matched - t.ns) / t.matched) AS hi,
       least(b.lo, t.hb / t.eligible) AS blo,
       greatest(b.hi, (t.hb + t.eligible - t.nb) / t.eligible) AS bhi,
       t.hs / t.matched AS out_lo, (t.hs + t.matched - t.ns) / t.matched AS out_hi,
-      greatest(lhac.e, lent.e) AS lse
-      FROM tot t JOIN sint s USING (formula) JOIN bint b USING (formula)
-      JOIN lhac USING (formula) JOIN lent USING (formula))""",
-)
+      greatest(h.e, l.err) AS lse
+      FROM {p}tot t JOIN {p}sint s USING (formula) JOIN {p}bint b USING (formula)
+      JOIN {p}lhac h USING (formula) JOIN {p}lent l USING (formula))""",
+    )
+
+
+EVIDENCE = (*RESEARCH, *_evidence_sql(_OBS))
 
 # Output column -> its SQL over ``ev``.
 _SQL = {
@@ -250,19 +264,19 @@ def _cells(t):
 
 def _error_parts(t):
     days, entities, sessions, names = _cells(t)
-    totals = R._totals(days, entities)
+    totals = R.rule_totals(days, entities)
     small = totals.select("tag", "rate", F.col("n").alias("total"))
     residual = (F.col("hits") - F.col("rate") * F.col("n")) / F.col("total")
     dated = days.join(small, "tag").select("tag", "session_rank", residual.alias("x"))
     by_entity = entities.join(small, "tag").groupBy("tag").agg(
         F.sum(residual * residual).alias("ent_run")
     )
-    wide = totals.join(R._hac(dated, LAG, sessions), "tag").join(by_entity, "tag")
+    wide = totals.join(R.hac_long_run(dated, LAG, sessions), "tag").join(by_entity, "tag")
     low, high = R.wilson_bounds(F.col("rate"), F.col("n").cast("double"))
     return wide.join(names, "tag").select(
         "formula",
-        R._error(F.col("long_run"), F.col("days")).alias("date_error"),
-        R._error(F.col("ent_run"), F.col("entities")).alias("entity_error"),
+        R.cluster_error(F.col("long_run"), F.col("days")).alias("date_error"),
+        R.cluster_error(F.col("ent_run"), F.col("entities")).alias("entity_error"),
         low.alias("wilson_low"),
         high.alias("wilson_high"),
         (F.col("hits") / F.col("matched")).alias("outcome_low"),
@@ -281,7 +295,7 @@ register(
     "entity_cluster_se",
     "formula:s entity_error:f",
     _error_parts,
-    "SELECT formula, err AS entity_error FROM skish",
+    "SELECT formula, err AS entity_error FROM sents",
     EVIDENCE,
 )
 register(
@@ -328,57 +342,189 @@ register(
 )
 
 # --- search ----------------------------------------------------------------------
+# The same search in SQL: conditions from the thresholds, evidence of single conditions,
+# the pairing pool, evidence of pairs, ranking, and the shortlist on the second window.
+
+
+def training(t):
+    """The training window without outcomes that reach the validation window."""
+    return E.purge_overlap(dataset(t), VALIDATION[0])
+
+
+def _long_sql(p: str) -> str:
+    parts = [
+        f"SELECT '{f}' AS factor, entity, n, ret, hit, {f} AS v FROM {p}research" for f in FACTORS
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_MEETS = "CASE {op} WHEN '<=' THEN {v} <= {thr} ELSE {v} >= {thr} END"
+
 
-_THRESHOLDS = (
-    *RESEARCH,
-    "long AS ("
-    + " UNION ALL ".join(f"SELECT '{f}' AS factor, {f} AS v FROM research" for f in FACTORS)
-    + ")",
-    """kinds AS (SELECT factor, count(DISTINCT v) AS k FROM long GROUP BY 1)""",
+def _meets(alias: str, value: str) -> str:
+    return _MEETS.format(op=f"{alias}.operator", v=value, thr=f"{alias}.thr")
+
+
+_TRAINING = (
+    NATION_WEEK,
+    PANEL,
+    *_research_sql(TRAIN, purge=VALIDATION[0]),
+    f"long AS ({_long_sql('')})",
+    "kinds AS (SELECT factor, count(DISTINCT v) AS k FROM long GROUP BY 1)",
     """cuts AS (SELECT DISTINCT factor, v AS threshold, 'observed_value' AS source
       FROM long JOIN kinds USING (factor) WHERE k BETWEEN 2 AND 10 AND v IS NOT NULL
       UNION ALL SELECT factor, unnest(quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9])), 'quantile'
       FROM long JOIN kinds USING (factor) WHERE k > 10 GROUP BY factor)""",
+    """raw AS (SELECT factor, operator, source, CAST(printf('%.10g', threshold) AS DOUBLE) AS thr,
+      factor || ' ' || operator || ' ' || printf('%.10g', threshold) AS formula
+      FROM cuts, (VALUES ('<='), ('>=')) o(operator))""",
+)
+_ENOUGH = f"""ns >= {GATES.samples} AND ds >= {GATES.days} AND kd >= {GATES.days}
+  AND es >= {GATES.entities} AND ke >= {GATES.entities}"""
+_COVERED = f"ns / matched >= {GATES.coverage} AND nb / eligible >= {GATES.coverage}"
+_LOWER = f"greatest(-1, least(ps - pb - {_Z} * lse, lo - bhi))"
+_ORDER = f"{_LOWER} DESC, return_p05 DESC, median_return DESC, id"
+_SINGLES = (
+    *_TRAINING,
+    *_evidence_sql(
+        f"""SELECT formula, entity, n AS day, ret, hit, {_meets('r', 'l.v')} AS sel
+        FROM long l JOIN raw r USING (factor) WHERE v IS NOT NULL"""
+    ),
+    """tried AS (SELECT *, row_number() OVER (ORDER BY factor, operator, thr) AS id FROM (
+      SELECT r.factor, r.operator, r.thr, r.source, e.* FROM ev e JOIN raw r USING (formula)
+      WHERE matched > 0 AND matched < eligible
+      QUALIFY row_number() OVER (PARTITION BY r.factor, r.operator, matched ORDER BY thr) = 1))""",
+)
+_POOL = (
+    *_SINGLES,
+    f"""pool AS (SELECT *, row_number() OVER (ORDER BY wave, {_ORDER}) AS place FROM (
+      SELECT *, CASE WHEN row_number() OVER (PARTITION BY factor ORDER BY {_ORDER}) = 1 THEN 1
+        WHEN row_number() OVER (PARTITION BY factor, operator ORDER BY {_ORDER}) = 1 THEN 2
+        WHEN row_number() OVER (PARTITION BY factor, operator ORDER BY {_ORDER}) <= 2 THEN 3
+        END AS wave FROM tried WHERE {_ENOUGH}) WHERE wave IS NOT NULL
+      QUALIFY place <= {S.POOL_LIMIT})""",
+)
+_PAIRS = (
+    *_POOL,
+    """pairs AS (SELECT '(' || a.formula || ') and (' || b.formula || ')' AS formula,
+      100000 + a.place * 1000 + b.place AS id, a.factor AS f1, b.factor AS f2,
+      a.operator AS o1, b.operator AS o2, a.thr AS t1, b.thr AS t2,
+      CASE WHEN a.source = b.source THEN a.source ELSE 'mixed' END AS source
+      FROM pool a JOIN pool b ON a.place < b.place AND (a.factor <> b.factor OR
+        (a.operator <> b.operator AND
+         CASE WHEN a.operator = '>=' THEN a.thr <= b.thr ELSE b.thr <= a.thr END)))""",
+    *_evidence_sql(
+        f"""SELECT formula, l.entity, l.n AS day, l.ret, l.hit,
+        ({_MEETS.format(op='o1', v='l.v', thr='t1')}) AND ({_MEETS.format(op='o2', v='m.v', thr='t2')}) AS sel
+        FROM pairs JOIN long l ON l.factor = f1 AND l.v IS NOT NULL
+        JOIN long m ON m.factor = f2 AND m.v IS NOT NULL AND m.entity = l.entity AND m.n = l.n""",
+        "p",
+    ),
 )
+_RANKED = (
+    *_PAIRS,
+    f"""strong AS (SELECT * FROM (
+      SELECT id, source, factor AS f1, operator AS o1, thr AS t1, NULL AS f2, NULL AS o2,
+        NULL AS t2, e.* FROM tried JOIN ev e USING (formula)
+      UNION ALL
+      SELECT id, source, f1, o1, t1, f2, o2, t2, e.* FROM pairs JOIN pev e USING (formula))
+      WHERE {_ENOUGH} AND {_COVERED} AND ps - pb > 0 AND {_SQL['outcome_robust_lift_lower']} > 0
+      QUALIFY row_number() OVER (PARTITION BY matched, cohort ORDER BY {_ORDER}) = 1)""",
+    f"""short AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS place FROM strong
+      QUALIFY place <= {S.SHORTLIST})""",
+)
+_JUDGED = (
+    *_RANKED,
+    *_research_sql(VALIDATION, "v"),
+    f"vlong AS ({_long_sql('v')})",
+    *_evidence_sql(
+        f"""SELECT formula, l.entity, l.n AS day, l.ret, l.hit,
+        ({_MEETS.format(op='o1', v='l.v', thr='t1')}) AND coalesce(
+          ({_MEETS.format(op='o2', v='m.v', thr='t2')}), TRUE) AS sel
+        FROM short JOIN vlong l ON l.factor = f1 AND l.v IS NOT NULL
+        JOIN vlong m ON m.factor = coalesce(f2, f1) AND m.v IS NOT NULL
+          AND m.entity = l.entity AND m.n = l.n""",
+        "w",
+    ),
+    f"""tested AS (SELECT s.place, s.formula, s.source, s.ps - s.pb AS train_win_rate_lift,
+      s.matched / s.eligible AS train_support, w.ps - w.pb AS win_rate_lift,
+      w.matched / w.eligible AS support, w.lse, w.kd,
+      floor(w.kd) - 1 AS nu, (w.ps - w.pb) / nullif(w.lse, 0) AS t,
+      w.ns, w.ds, w.es, w.ke, w.ns / w.matched AS cover, w.nb / w.eligible AS base_cover,
+      {_SQL['outcome_robust_lift_lower'].replace('hs', 'w.hs').replace('matched', 'w.matched')
+        .replace('hb', 'w.hb').replace('eligible', 'w.eligible').replace('nb)', 'w.nb)')
+        .replace('- ns', '- w.ns')} AS robust
+      FROM short s JOIN wev w USING (formula))""",
+    # Upper tail by Simpson's rule on the Student-t density.
+    f"""tails AS (SELECT formula, 0.5 - exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0))
+        / sqrt(nu * pi()) * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+          * pow(1 + pow(t * k / 4000, 2) / nu, -(nu + 1) / 2.0)) * t / 12000 AS tail
+      FROM tested, range(0, 4001) r(k) WHERE t > 0 GROUP BY formula, nu, t)""",
+    f"""judged AS (SELECT x.*, abs(train_win_rate_lift - win_rate_lift) AS generalization_gap,
+      CASE WHEN ns >= {GATES.samples} AND ds >= {GATES.days} AND kd >= {GATES.days}
+        AND es >= {GATES.entities} AND ke >= {GATES.entities} AND cover >= {GATES.coverage}
+        AND base_cover >= {GATES.coverage} AND win_rate_lift > 0 AND lse > 0
+        THEN greatest(tail, 0) ELSE 1 END AS p_value
+      FROM tested x LEFT JOIN tails USING (formula))""",
+    """valued AS (SELECT *, least(1, min(p_value * m * h / r) OVER (ORDER BY p_value
+        RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM (
+      SELECT *, count(*) OVER () AS m,
+        (SELECT sum(1.0 / k) FROM range(1, 1 + (SELECT count(*) FROM judged)) g(k)) AS h,
+        count(*) OVER (ORDER BY p_value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+      FROM judged))""",
+    f"""verdict AS (SELECT *, CASE
+      WHEN cover < {GATES.coverage} THEN 'insufficient_validation_coverage'
+      WHEN base_cover < {GATES.coverage} THEN 'insufficient_validation_baseline_coverage'
+      WHEN ns < {GATES.samples} THEN 'insufficient_validation_samples'
+      WHEN ds < {GATES.days} THEN 'insufficient_validation_days'
+      WHEN kd < {GATES.days} THEN 'insufficient_validation_effective_days'
+      WHEN es < {GATES.entities} THEN 'insufficient_validation_securities'
+      WHEN ke < {GATES.entities} THEN 'insufficient_validation_effective_securities'
+      WHEN win_rate_lift <= 0 THEN 'validation_lift_not_positive'
+      WHEN robust <= 0 THEN 'validation_outcome_attrition_not_robust'
+      WHEN kd < {S.MIN_SIGNIFICANCE_DAYS} THEN 'insufficient_significance_days'
+      WHEN q_value > {S.MAX_Q_VALUE} THEN 'fdr_not_passed' ELSE 'passed' END AS validation_reason
+      FROM valued WHERE place <= {S.LEADERBOARD})""",
+)
+
 register(
     "search_thresholds",
     "factor:s threshold:f source:s",
-    lambda t: S.search_thresholds(R.clean_panel(stored(dataset(t)), FACTORS, TARGET), FACTORS),
+    lambda t: S.search_thresholds(R.clean_panel(stored(training(t)), FACTORS, TARGET), FACTORS),
     "SELECT * FROM cuts",
-    _THRESHOLDS,
+    _TRAINING,
 )
 
 
 def _training(t):
-    """Cleaned training rows and the evidence of every raw condition."""
-    clean = stored(R.clean_panel(dataset(t), sorted(FACTORS), TARGET))
+    """Cleaned training rows and the evidence of every condition worth trying."""
+    clean = stored(R.clean_panel(training(t), sorted(FACTORS), TARGET))
     conditions = S.raw_conditions(S.search_thresholds(clean, FACTORS))
-    raw = S._evidence(clean, conditions, LAG, TARGET)
+    raw = S.single_evidence(clean, conditions, LAG, TARGET)
     return clean, conditions, stored(S.distinct_conditions(raw, conditions))
 
 
 register(
     "search_conditions",
-    "factor:s operator:s matched:i",
+    "formula:s factor:s operator:s matched:i",
     lambda t: _training(t)[2].withColumnRenamed("matched_sample_count", "matched"),
-    """SELECT DISTINCT factor, operator, matched FROM (
-       SELECT c.factor, o.operator, count(*) FILTER (WHERE CASE o.operator WHEN '<='
-           THEN l.v <= CAST(printf('%.10g', c.threshold) AS DOUBLE)
-           ELSE l.v >= CAST(printf('%.10g', c.threshold) AS DOUBLE) END) AS matched,
-         count(l.v) AS known
-       FROM cuts c JOIN long l USING (factor), (VALUES ('<='), ('>=')) o(operator)
-       GROUP BY c.factor, c.threshold, o.operator) WHERE matched > 0 AND matched < known""",
-    _THRESHOLDS,
+    "SELECT formula, factor, operator, matched FROM tried",
+    _SINGLES,
 )
 register(
     "search_singles",
     "formula:s sample_count:i win_rate:f win_rate_lift:f lift_confidence_lower:f",
     lambda t: _training(t)[2].where(GATES.enough() & GATES.covered()),
+    f"""SELECT formula, ns AS sample_count, ps AS win_rate, ps - pb AS win_rate_lift,
+        {_LOWER} AS lift_confidence_lower FROM tried WHERE {_ENOUGH} AND {_COVERED}""",
+    _SINGLES,
 )
 register(
     "search_pairing_pool",
     "wave:i formula:s",
     lambda t: S.pairing_pool(_training(t)[2].where(GATES.enough())),
+    "SELECT wave, formula FROM pool",
+    _POOL,
 )
 
 
@@ -395,27 +541,39 @@ register(
     "search_pairs",
     "formula:s source:s sample_count:i win_rate_lift:f lift_confidence_lower:f",
     _pairs,
+    f"""SELECT formula, source, coalesce(ns, 0) AS sample_count,
+        coalesce(ps - pb, 0) AS win_rate_lift,
+        CASE WHEN ns > 0 THEN {_LOWER} ELSE -1 END AS lift_confidence_lower
+        FROM pairs LEFT JOIN pev USING (formula)""",
+    _PAIRS,
 )
 
 
 def _found(t):
-    return S.search_training(dataset(t), FACTORS, GATES, lag=LAG, target=TARGET)
+    return S.search_training(training(t), FACTORS, GATES, lag=LAG, target=TARGET)
 
 
 register(
     "search_dedupe",
     "formula:s matched_sample_count:i win_rate_lift:f",
     lambda t: S.training_rank(_found(t).candidates),
+    "SELECT formula, matched AS matched_sample_count, ps - pb AS win_rate_lift FROM strong",
+    _RANKED,
 )
 register(
     "search_rank",
     "formula:s lift_confidence_lower:f return_p05:f median_return:f",
     lambda t: S.training_rank(_found(t).candidates).orderBy(*S.rank_keys()),
+    f"""SELECT formula, {_LOWER} AS lift_confidence_lower, return_p05, median_return
+        FROM strong ORDER BY {_ORDER}""",
+    _RANKED,
 )
 register(
     "search_shortlist",
     "place:i formula:s source:s win_rate_lift:f",
     lambda t: _found(t).shortlist,
+    "SELECT place, formula, source, ps - pb AS win_rate_lift FROM short",
+    _RANKED,
 )
 
 
@@ -429,25 +587,41 @@ def _board(t):
             *VALIDATION,
             tuple(FACTORS),
             horizon=HORIZON,
-            minimum_entities=5,
-            minimum_coverage_pct=80,
+            minimum_entities=GATES.entities,
+            minimum_coverage_pct=GATES.coverage * 100,
         ),
     )
     return board
 
 
 _BOARD = "place:i formula:s train_win_rate_lift:f win_rate_lift:f "
+_HEAD = "SELECT place, formula, train_win_rate_lift, win_rate_lift, "
 register(
     "validate_rules",
     _BOARD + "generalization_gap:f support_rate_gap:f support_retention_ratio:f validation_score:f",
     _board,
+    _HEAD
+    + f"""generalization_gap, abs(train_support - support) AS support_rate_gap,
+    support / train_support AS support_retention_ratio,
+    win_rate_lift - {S.Z_95_ONE_SIDED} * lse - generalization_gap AS validation_score FROM verdict""",
+    _JUDGED,
+)
+register("rule_p_value", _BOARD + "p_value:f", _board, _HEAD + "p_value FROM verdict", _JUDGED)
+register(
+    "validation_reason",
+    _BOARD + "q_value:f validation_reason:s validation_passed:b",
+    _board,
+    _HEAD
+    + """q_value, validation_reason, validation_reason = 'passed' AS validation_passed
+    FROM verdict""",
+    _JUDGED,
 )
-register("rule_p_value", _BOARD + "p_value:f", _board)
-register("validation_reason", _BOARD + "q_value:f validation_reason:s validation_passed:b", _board)
 register(
     "discovery_study",
     _BOARD + "p_value:f q_value:f validation_reason:s source:s",
     _board,
+    _HEAD + "p_value, q_value, validation_reason, source FROM verdict",
+    _JUDGED,
 )
 
 
