@@ -7,6 +7,7 @@ one window order: one shuffle by entity, one sort, no self-join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -222,52 +223,59 @@ def lookback_for(factors: Sequence[str]) -> int:
 
 def _consecutive(sessions: int) -> Column:
     """The row ``sessions`` back exists and no session between was skipped."""
-    return F.col(RANK) - F.lag(RANK, sessions).over(_by_entity()) == sessions
+    return F.col(f"__run{sessions}")
 
 
-def _full(column: Column, sessions: int, pick) -> Column:
-    """A statistic over the last rows, only if every one of them has a value."""
-    frame = _by_entity().rowsBetween(-(sessions - 1), 0)
-    return F.when(F.count(column).over(frame) == sessions, pick(column).over(frame))
+def _over_last(rows: int, statistic: Column) -> Column:
+    return statistic.over(_by_entity().rowsBetween(-(rows - 1), 0))
 
 
-def _feature(name: str, have: Mapping[str, Column]) -> Column:
-    adjusted, step = F.col("adjusted_close"), F.col("__step")
-    parts = name.split("_")
+def _percent(ratio: Column) -> Column:
+    return (ratio - 1) * 100
+
+
+def _window_size(name: str) -> int:
+    """The number in a factor's name, e.g. 20 in ``return_20d_pct``."""
+    return int(re.search(r"_(\d+)", name).group(1))
 
-    def days(text: str) -> int:
-        return int(text.rstrip("d"))
 
-    def percent(ratio: Column) -> Column:
-        return (ratio - 1) * 100
+def _average(source: str, rows: int) -> Column:
+    return F.col(f"__avg_{source}_{rows}")
 
+
+def _feature(name: str, have: Mapping[str, Column]) -> Column:
+    """One factor, given the shared columns ``__step``, ``__run*`` and ``__avg_*``."""
+    adjusted, step = F.col("adjusted_close"), F.col("__step")
     if name == "intraday_range_pct":
         before = have["pre_close"]
         return F.when(before > 0, (have["high"] - have["low"]) / before * 100)
     if name == "open_gap_pct":
         before, opened = have["pre_close"], have["open"]
-        return F.when((before > 0) & (opened > 0), percent(opened / before))
+        return F.when((before > 0) & (opened > 0), _percent(opened / before))
     if name == "intraday_return_pct":
-        return F.when(have["open"] > 0, percent(have["close"] / have["open"]))
+        return F.when(have["open"] > 0, _percent(have["close"] / have["open"]))
     if name == "close_location_pct":
         span = have["high"] - have["low"]
         return F.when(have["high"] > have["low"], (have["close"] - have["low"]) / span * 100)
-    if parts[0] == "return":
-        w = days(parts[1])
+    if name in _ACTIVITY:
+        source, window = _ACTIVITY[name]
+        base = _average(source, window or 20)
+        top = have[source] if window else _average(source, 5)
+        return F.when(base > 0, top / base)
+    w = _window_size(name)
+    if name.startswith("turnover_"):
+        return _average("turnover_rate", w)
+    if name.startswith("return_"):
         earlier = F.lag("adjusted_close", w).over(_by_entity())
-        return F.when(_consecutive(w), percent(adjusted / earlier))
-    if parts[0] == "volatility":
-        w = days(parts[1])
-        return F.when(_consecutive(w), _full(step, w, F.stddev_pop) * 100)
-    if parts[0] == "downside":
-        w = days(parts[2])
+        return F.when(_consecutive(w), _percent(adjusted / earlier))
+    if name.startswith("volatility_"):
+        return F.when(_consecutive(w), _over_last(w, F.stddev_pop(step)) * 100)
+    if name.startswith("downside_"):
         squared = F.pow(F.least(step, F.lit(0.0)), 2)
-        squared = F.when(step.isNotNull(), squared)
-        return F.when(_consecutive(w), F.sqrt(_full(squared, w, F.avg)) * 100)
-    if name.startswith("positive_days"):
-        w = days(parts[2])
+        return F.when(_consecutive(w), F.sqrt(_over_last(w, F.avg(squared))) * 100)
+    if name.startswith("positive_days_"):
         ups = F.sum(F.when(step > 0, 1.0).otherwise(0.0))
-        return F.when(_consecutive(w), ups.over(_by_entity().rowsBetween(-(w - 1), 0)))
+        return F.when(_consecutive(w), _over_last(w, ups))
     if name == "max_drawdown_5d_pct":
         path = [F.lag("adjusted_close", k).over(_by_entity()) for k in range(5, 0, -1)]
         path.append(adjusted)
@@ -275,42 +283,59 @@ def _feature(name: str, have: Mapping[str, Column]) -> Column:
         for price in path[1:]:
             peaks.append(F.greatest(peaks[-1], price))
         worst = F.least(*[price / peak for price, peak in zip(path, peaks)])
-        return F.when(_consecutive(5), percent(worst))
+        return F.when(_consecutive(5), _percent(worst))
     if name.endswith("peak_pct"):
-        w = days(parts[2])
-        peak = F.max("adjusted_close").over(_by_entity().rowsBetween(-w, 0))
-        return F.when(_consecutive(w), percent(adjusted / peak))
+        peak = _over_last(w + 1, F.max("adjusted_close"))
+        return F.when(_consecutive(w), _percent(adjusted / peak))
     if name.endswith("ma_pct"):
-        w = days(parts[2])
-        mean = _full(adjusted, w, F.avg)
-        return F.when(_consecutive(w - 1) & (mean > 0), percent(adjusted / mean))
-    if name in _ACTIVITY:
-        source, window = _ACTIVITY[name]
-        long = F.when(_consecutive((window or 20) - 1), _full(have[source], window or 20, F.avg))
-        if window:
-            return F.when(long > 0, have[source] / long)
-        short = F.when(_consecutive(4), _full(have[source], 5, F.avg))
-        return F.when(long > 0, short / long)
-    if parts[0] == "turnover":
-        w = days(parts[1])
-        return F.when(_consecutive(w - 1), _full(have["turnover_rate"], w, F.avg))
+        mean = _over_last(w, F.avg("adjusted_close"))
+        return F.when(_consecutive(w - 1), _percent(adjusted / mean))
     raise ValueError(f"unknown factor: {name}")
 
 
+def _averages_for(factors: Sequence[str]) -> set[tuple[str, int]]:
+    """The activity averages some factors are built from."""
+    needed = set()
+    for name in factors:
+        if name in _ACTIVITY:
+            source, window = _ACTIVITY[name]
+            needed |= {(source, window)} if window else {(source, 5), (source, 20)}
+        elif name.startswith("turnover_"):
+            needed.add(("turnover_rate", _window_size(name)))
+    return needed
+
+
 def add_features(panel: DataFrame, factors: Sequence[str] | None = None) -> DataFrame:
     """Add derived factors. ``panel`` has ``adjusted_close`` and ``session_rank``.
 
     Only sessions up to the current one are used, and a feature is missing if its
-    window skips a session. Inputs the panel lacks count as missing.
+    window skips a session. Inputs the panel lacks count as missing. Columns several
+    factors share are windows of their own, so Spark computes each once; all windows
+    have the same order and cost one shuffle and one sort.
     """
     wanted = DERIVED_FACTORS if factors is None else [f for f in factors if f in LOOKBACKS]
     inputs = {*PRICE_FIELDS, "turnover_rate"}
     have = {
         f: number(panel, f) if f in panel.columns else F.lit(None).cast("double") for f in inputs
     }
-    before = F.lag("adjusted_close", 1).over(_by_entity())
-    stepped = panel.withColumn("__step", F.col("adjusted_close") / before - 1)
-    return stepped.withColumns({f: _feature(f, have) for f in wanted}).drop("__step")
+    order = _by_entity()
+    averages = sorted(_averages_for(wanted))
+    spans = {LOOKBACKS[f] for f in wanted} | {rows - 1 for _, rows in averages}
+    shared = {"__step": F.col("adjusted_close") / F.lag("adjusted_close", 1).over(order) - 1}
+    for span in sorted(spans - {0}):
+        shared[f"__run{span}"] = F.col(RANK) - F.lag(RANK, span).over(order) == span
+    for source, rows in averages:
+        x = have[source]
+        shared[f"__avg_{source}_{rows}"] = F.when(
+            (F.col(RANK) - F.lag(RANK, rows - 1).over(order) == rows - 1)
+            & (_over_last(rows, F.count(x)) == rows),
+            _over_last(rows, F.avg(x)),
+        )
+    return (
+        panel.withColumns(shared)
+        .withColumns({f: _feature(f, have) for f in wanted})
+        .drop(*shared)
+    )
 
 
 def purge_overlap(train: DataFrame, validation_start: str) -> DataFrame:
