@@ -1,15 +1,17 @@
-"""Exact quantiles with linear interpolation, whole or split across tasks."""
+"""Exact quantiles with linear interpolation, whole or narrowed down across tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import key_join
 from panelspark.operators.layout import fits_one_task, lay_out
 
+BUCKETS = 4096
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -22,10 +24,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with the requested quantiles of the non-missing values.
 
-    ``percentile`` holds every distinct value of a group in one buffer. A group beyond
-    one task's budget is instead sorted across tasks, and only the two rows around
-    each wanted position are read. Groups without a value have no output row, except
-    that an ungrouped call always returns one.
+    ``percentile`` holds every distinct value of a group in one buffer. Groups beyond
+    one task's budget go through ``_narrowed`` instead. There, groups without a value
+    have no output row, except that an ungrouped call always returns one.
     """
     keys = list(group_by)
     values = df.select(*keys, value.alias("__q"))
@@ -33,42 +34,102 @@ def exact_quantiles(
         return values.groupBy(*keys).agg(
             *[F.percentile("__q", q).alias(name) for name, q in outputs.items()]
         )
-    present = values.where(F.col("__q").isNotNull())
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = lay_out(
-        present,
-        keys,
-        [F.col("__q").asc()],
-        max_group_rows=max_group_rows,
-        block_rows=block_rows,
-    ).numbered("__at")
-    if keys:
-        sized = key_join(ranked, sizes, keys, "inner", ["__n"])
-    else:
-        sized = ranked.withColumn("__n", sizes.scalar())
+    return _narrowed(values.where(F.col("__q").isNotNull()), keys, outputs, block_rows)
+
+
+def _squeezed(value: Column, scale: Column) -> Column:
+    """A non-decreasing map that keeps a few outliers from emptying the buckets."""
+    return F.signum(value) * F.log1p(F.abs(value) / scale)
+
+
+def _narrowed(
+    present: DataFrame, keys: list[str], outputs: Mapping[str, float], block_rows: int | None
+) -> DataFrame:
+    """Quantiles by position, without sorting more than the buckets that hold them.
+
+    Counts per (group, bucket) combine before the shuffle and tell which buckets hold
+    the wanted positions. Only the values of those buckets are counted and ordered, so
+    the result is exact for any choice of buckets; a bad choice only costs time.
+    """
+    absolute = F.avg(F.abs("__q"))
+    bounds = present.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min("__q").alias("__min"),
+        F.max("__q").alias("__max"),
+        F.when(absolute > 0, absolute).otherwise(1.0).alias("__scale"),
+    )
+    scale = F.col("__scale")
+    bucket = F.width_bucket(
+        _squeezed(F.col("__q"), scale),
+        _squeezed(F.col("__min"), scale),
+        _squeezed(F.col("__max"), scale),
+        F.lit(BUCKETS),
+    )
+    # Equal or infinite bounds give no bucket; such a group keeps a single one.
+    placed = _with_bounds(present, bounds, keys, ["__min", "__max", "__scale"]).select(
+        *keys, "__q", F.coalesce(F.least(bucket, F.lit(BUCKETS)), F.lit(0)).alias("__b")
+    )
+    counts = placed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    # At most BUCKETS + 1 rows per group.
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
     last = F.col("__n") - 1
-    low = {n: F.floor(last * F.lit(float(q))) + 1 for n, q in outputs.items()}
-    high = {n: F.ceil(last * F.lit(float(q))) + 1 for n, q in outputs.items()}
-    wanted = F.lit(False)
-    for n in outputs:
-        wanted = wanted | (F.col("__at") == low[n]) | (F.col("__at") == high[n])
-    near = sized.where(wanted)
-    return (
-        near.groupBy(*keys)
-        .agg(
-            F.max("__n").alias("__n"),
-            *[F.max(F.when(F.col("__at") == low[n], F.col("__q"))).alias(f"__lo_{n}") for n in outputs],
-            *[F.max(F.when(F.col("__at") == high[n], F.col("__q"))).alias(f"__hi_{n}") for n in outputs],
-        )
-        .select(
-            *keys,
-            *[
-                (
-                    F.col(f"__lo_{n}")
-                    + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))
-                    * (last * F.lit(float(q)) - F.floor(last * F.lit(float(q))))
-                ).alias(n)
-                for n, q in outputs.items()
-            ],
+    wanted = F.array(
+        *[
+            edge(last * F.lit(float(q))).cast("long")
+            for q in outputs.values()
+            for edge in (F.floor, F.ceil)
+        ]
+    )
+    targets = (
+        _with_bounds(cells, bounds, keys, ["__n"])
+        .withColumn("__at", F.explode(F.array_distinct(wanted)))
+        .where(
+            (F.col("__at") >= F.col("__before"))
+            & (F.col("__at") < F.col("__before") + F.col("__c"))
         )
     )
+    buckets = targets.select(*keys, "__b").distinct()
+    near = key_join(placed, buckets, [*keys, "__b"], "left_semi")
+    ordered = lay_out(
+        near.groupBy(*keys, "__b", "__q").agg(F.count(F.lit(1)).alias("__c")),
+        [*keys, "__b"],
+        [F.col("__q").asc()],
+        block_rows=block_rows,
+    ).running({"__upto": F.col("__c")})
+    found = key_join(
+        ordered,
+        targets.select(*keys, "__b", "__at", "__before", "__n"),
+        [*keys, "__b"],
+        "inner",
+        ["__at", "__before", "__n"],
+    ).where(
+        (F.col("__at") < F.col("__before") + F.col("__upto"))
+        & (F.col("__at") >= F.col("__before") + F.col("__upto") - F.col("__c"))
+    )
+
+    def at(position: Column) -> Column:
+        return F.max(F.when(F.col("__at") == position.cast("long"), F.col("__q")))
+
+    picked = found.groupBy(*keys).agg(
+        F.max("__n").alias("__n"),
+        *[at(F.floor(last * F.lit(float(q)))).alias(f"__lo_{n}") for n, q in outputs.items()],
+        *[at(F.ceil(last * F.lit(float(q)))).alias(f"__hi_{n}") for n, q in outputs.items()],
+    )
+
+    def between(name: str, q: float) -> Column:
+        position = last * F.lit(float(q))
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        step = F.when(high == low, F.lit(0.0)).otherwise((high - low) * (position - F.floor(position)))
+        return (low + step).alias(name)
+
+    return picked.select(*keys, *[between(n, q) for n, q in outputs.items()])
+
+
+def _with_bounds(
+    df: DataFrame, bounds: DataFrame, keys: list[str], columns: list[str]
+) -> DataFrame:
+    """Attach per-group values: a join, or scalar subqueries for the only group."""
+    if keys:
+        return key_join(df, bounds, keys, "left", columns)
+    return df.withColumns({c: bounds.select(c).scalar() for c in columns})
