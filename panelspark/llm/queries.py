@@ -6,16 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import bpe
+from panelspark.llm import bpe, html, knn, langid, media, packing, pii, simhash, warc
 from panelspark.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), bpe.word_bpe_path())
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.word_bpe_path())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_bpe_codec": op5_bpe_codec,
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_packing,
+        op3_top_k,
+        op4_language,
+        op5_bpe_codec,
+        op6_warc,
+        op7_simhash,
+        op9_main_text,
+        op10_media,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_top_k": knn.ORACLE, "op6_warc": warc.ORACLE}
