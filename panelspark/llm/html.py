@@ -221,12 +221,13 @@ def label(found: list[_Block]) -> None:
             block.label = "good"
         else:
             block.label = "bad" if stops < SOME_STOPS and size >= LONG else ""
-    decided = [i for i, b in enumerate(found) if b.label]
+    # Inside an article only its own text decides, not an advert between two paragraphs.
+    decided = [i for i, b in enumerate(found) if b.label and not (marked and (b.boiler or not b.main))]
     known = {i: found[i].label for i in decided}
     before, after = -1, 0
     for i, block in enumerate(found):
         if block.label:
-            before = i
+            before = i if i in known else before
             continue
         while after < len(decided) and decided[after] < i:
             after += 1

@@ -204,10 +204,10 @@ def top(
 #: The same rows by comparing every query with every row.
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE)))) AS v
+  SELECT vec_id, min([floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding]) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
   GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score

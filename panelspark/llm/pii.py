@@ -91,17 +91,18 @@ def _sound(kind: str, value: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """All base spans as ``array<struct<start, kind, end, value>>`` in order; ``kind`` is the
     place in ``NAMES``, places are code points, and ends are exclusive."""
-    found = []
-    for number, (kind, pattern, sign) in enumerate(KINDS):
+
+    def of_kind(number: int, kind: str, pattern: str, sign: str) -> Column:
         spans = F.transform(
-            F.filter(_placed(text, pattern), lambda s, kind=kind: _sound(kind, s["value"])),
-            lambda s, number=number: F.struct(
+            F.filter(_placed(text, pattern), lambda s: _sound(kind, s["value"])),
+            lambda s: F.struct(
                 s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["value"].alias("value")
             ),
         )
         possible = F.contains(text, F.lit(sign)) if sign == "@" else text.rlike(sign)
-        found.append(F.when(possible, spans).otherwise(_none("start int, kind int, end int, value string")))
-    return F.sort_array(F.concat(*found))
+        return F.when(possible, spans).otherwise(_none("start int, kind int, end int, value string"))
+
+    return F.sort_array(F.concat(*(of_kind(number, *kind) for number, kind in enumerate(KINDS))))
 
 
 def _entity(span: Column) -> Column:
@@ -112,33 +113,29 @@ def _window_words(text: Column, spans: Column) -> Column:
     """For every span its entity, a hash of its window, and the window's words with places.
     A window ends at the spans beside it, and a word cut by its edge is none of its words."""
 
+    def words_of(passage: Column, start: Column, size: Column, cut_left: Column, cut_right: Column) -> Column:
+        def whole(word: Column) -> Column:
+            cut = cut_left & (word["start"] == 0) | cut_right & (word["end"] == size)
+            return (word["end"] - word["start"] >= TERM_LETTERS) & ~cut
+
+        return F.transform(
+            F.filter(_placed(passage, WORD), whole),
+            lambda w: F.struct(
+                F.lower(w["value"]).alias("term"), (w["start"] + start).alias("start"), (w["end"] + start).alias("end")
+            ),
+        )
+
     def one(span: Column, at: Column) -> Column:
         before = F.when(at > 0, F.get(spans, at - 1)["end"]).otherwise(0)
         after = F.coalesce(F.get(spans, at + 1)["start"], F.length(text))
         left = F.greatest(before, span["start"] - WINDOW)
         right = F.least(after, span["end"] + WINDOW)
-        sides = [
-            (left, F.greatest(left, span["start"]), left > before, F.lit(False)),
-            (span["end"], F.greatest(right, span["end"]), F.lit(False), right < after),
-        ]
-        words, passages = [], []
-        for start, end, cut_left, cut_right in sides:
-            passage = F.substring(text, start + 1, end - start)
-            passages.append(passage)
-            inside = F.filter(
-                _placed(passage, WORD),
-                lambda w, cl=cut_left, cr=cut_right, n=end - start: (
-                    (w["end"] - w["start"] >= TERM_LETTERS) & ~(cl & (w["start"] == 0)) & ~(cr & (w["end"] == n))
-                ),
-            )
-            words.append(
-                F.transform(
-                    inside,
-                    lambda w, s=start: F.struct(
-                        F.lower(w["value"]).alias("term"), (w["start"] + s).alias("start"), (w["end"] + s).alias("end")
-                    ),
-                )
-            )
+        sizes = F.greatest(F.lit(0), span["start"] - left), F.greatest(F.lit(0), right - span["end"])
+        passages = F.substring(text, left + 1, sizes[0]), F.substring(text, span["end"] + 1, sizes[1])
+        words = (
+            words_of(passages[0], left, sizes[0], left > before, F.lit(False)),
+            words_of(passages[1], span["end"], sizes[1], F.lit(False), right < after),
+        )
         return F.struct(
             _entity(span).alias("entity"), F.xxhash64(*passages).alias("window"), F.concat(*words).alias("words")
         )
