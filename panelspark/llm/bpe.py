@@ -158,6 +158,7 @@ class Encoder:
         self.byte = byte_characters()
         self.entries = entries
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         # A direct-mapped table of compatibility answers: bounded, and exact as keys are kept.
         self.asked = np.full(PAIR_SLOTS, -1, np.int64)
         self.answer = np.zeros(PAIR_SLOTS, bool)
@@ -266,22 +267,28 @@ class Encoder:
         return words
 
     def _learn(self, chunks: list[str]) -> None:
-        """Add chunks to the memo. Frequent chunks come early, so the late half goes if full."""
-        if len(self.chunks) + len(chunks) > self.entries:
-            for chunk in list(self.chunks)[self.entries // 2 :]:
-                del self.chunks[chunk]
+        """Add chunks to the memo, by way of their words."""
+        self._trim(self.chunks, len(chunks))
         parts = [self._words(c) for c in chunks]
-        once = dict.fromkeys(w for p in parts for w in p)
-        usual = [w for w in once if len(w) <= LONG_WORD]
+        known = self.words.get
+        once = {w: known(w) for p in parts for w in p}
+        new = [w for w, ids in once.items() if ids is None]
+        usual = [w for w in new if len(w) <= LONG_WORD]
         for low in range(0, len(usual), WORDS_AT_ONCE):
             some = usual[low : low + WORDS_AT_ONCE]
             once.update(zip(some, self.encode_words(some)))
-        for word, ids in once.items():
-            if ids is None:
-                once[word] = self.encode_long(word)
+        once.update((w, self.encode_long(w)) for w in new if len(w) > LONG_WORD)
+        self._trim(self.words, len(usual))
+        self.words.update((w, once[w]) for w in usual)
         for chunk, words in zip(chunks, parts):
             self.chunks[chunk] = once[words[0]] if len(words) == 1 else b"".join([once[w] for w in words])
 
+    def _trim(self, memo: dict[str, bytes], more: int) -> None:
+        """Frequent entries come early, so the late half goes when the memo is full."""
+        if len(memo) + more > self.entries:
+            for key in list(memo)[self.entries // 2 :]:
+                del memo[key]
+
     def _pieces(self, text: str) -> list[str]:
         return [p for p in BLANK.split(text) if p] if ODD.search(text) else text.split()
 
