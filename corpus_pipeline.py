@@ -6,9 +6,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.llm import bpe, langid, packing, pii, simhash
+from panelspark.llm.common import ship
 from panelspark.session import shared_folder
 
-STAGES: list = []
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; a null language is filled with the one told."""
+    ship(spark)
+    return langid.identified(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id."""
+    ship(spark)
+    return simhash.one_of_each(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked, and what discloses it removed or generalised."""
+    ship(spark)
+    return pii.sanitised(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in windows: a row per piece, its ids as 32-bit numbers."""
+    ship(spark)
+    return packing.pack(docs, bpe.word_bpe_path())
+
+
+STAGES = [
+    ("language", identify),
+    ("near_duplicates", deduplicate),
+    ("personal_data", sanitise),
+    ("packing", pack),
+]
 
 #: No stage can be said in SQL; the tests compare with brute force.
 ORACLE_SQL = None
