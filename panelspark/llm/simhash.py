@@ -3,10 +3,10 @@
 Fingerprints that differ in at most ``BITS`` bits are linked. The trie is shared out by
 agreement: four equal parts of the 64 bits cannot all hold one of three differences, so
 linked fingerprints agree on at least one part, and each fingerprint joins one group for each
-part. A group with more than ``GROUP`` members is split in the same way by four parts of its
-remaining bits, until groups are small; as members are distinct, a group that has used up all
-but ten bits has at most 1,024. No group, however many near copies it gathers, lands in one
-task, and nothing is capped.
+part. A group with more than ``GROUP`` members is split in the same way by four parts of the
+bits in which its members differ, until groups are small: as members are distinct, a group of
+more than ``GROUP`` differs in at least eleven bits. No group, however many near copies it
+gathers, lands in one task, and nothing is capped.
 
 Inside a task the sorted members of many groups are tries whose nodes are index ranges. Pairs
 of nodes are walked together, bit by bit, with the bits in which they differ counted; a pair
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import batched, text_column, to_arrow
@@ -34,7 +34,7 @@ SHINGLE = 3
 SEED = 42
 BITS = 3
 #: Members of a group that one task compares.
-GROUP = 1024
+GROUP = 2048
 #: Members that a task holds at once, whole groups of them.
 HELD = 50_000
 #: Node pairs with at most so many member pairs are compared directly.
@@ -156,27 +156,26 @@ def _compare(members: np.ndarray, pairs: np.ndarray, label: np.ndarray, bits: in
     return label
 
 
-def _parts(mask: int) -> list[int]:
-    """The bits outside ``mask`` in four parts, as masks."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    cut = [len(free) * i // 4 for i in range(5)]
-    return [sum(1 << b for b in free[a:z]) for a, z in zip(cut, cut[1:])]
+#: The bits in four parts, as masks.
+QUARTERS = tuple(0xFFFF << 16 * i for i in range(4))
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _grouped(frame: DataFrame, masks: list[int]) -> DataFrame:
-    """``mask, value, fp``: each fingerprint of each group once for every part of the bits
-    that its mask leaves."""
-    split = F.lit(None).cast("array<long>")
-    for mask in masks:
-        further = [_signed(mask | part) for part in _parts(mask)]
-        split = F.when(F.col("mask") == _signed(mask), F.array(*map(F.lit, further))).otherwise(split)
-    return frame.select(F.explode(split).alias("mask"), "fp").select(
-        "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp"
-    )
+def _further(either: str, both: str) -> Column:
+    """Four masks for a group from the or and the and of its members: the bits in which they
+    agree, and a quarter of those in which they differ."""
+    bits = F.expr(f"filter(sequence(0, 63), b -> (shiftrightunsigned({either} & ~{both}, b) & 1L) = 1L)")
+
+    def mask(quarter: int) -> Column:
+        low = F.floor(F.size(bits) * quarter / 4).cast("int")
+        some = F.slice(bits, low + 1, F.floor(F.size(bits) * (quarter + 1) / 4).cast("int") - low)
+        own = F.aggregate(some, F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+        return own.bitwiseOR(F.expr(f"~({either} & ~{both})"))
+
+    return F.array(*map(mask, range(4)))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -216,20 +215,25 @@ def links(distinct: DataFrame) -> DataFrame:
         rest = whole.slice(done).to_batches()
         return out, rest[0] if rest else held[0].slice(0, 0)
 
-    frame, masks = distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), [0]
+    quarters = F.array(*(F.lit(_signed(q)).cast("long") for q in QUARTERS))
+    frame = distinct.select(quarters.alias("further"), "fp")
     found = None
     while True:
-        frame = _grouped(frame, masks)
-        masks = sorted({mask | part for mask in masks for part in _parts(mask)})
-        sizes = frame.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Groups that hold the same members by different ways become one.
+        frame = frame.select(F.explode("further").alias("mask"), "fp").distinct()
+        frame = frame.withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
+        sizes = (
+            frame.groupBy("mask", "value")
+            .agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").alias("either"), F.bit_and("fp").alias("both"))
+            .where("n > 1")
+        )
+        sizes = sizes.select("mask", "value", F.when(F.col("n") > GROUP, _further("either", "both")).alias("further"))
         # Groups of one have no links. One key's rows are split by adaptive execution.
         frame = stored(frame.join(sizes, ["mask", "value"]))
-        small = frame.where(F.col("n") <= GROUP).select("mask", "value", "fp")
-        part = (
-            small.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, schema)
-        )
+        small = frame.where("further IS NULL").select("mask", "value", "fp")
+        part = small.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-        frame = frame.where(F.col("n") > GROUP)
+        frame = frame.where("further IS NOT NULL")
         if frame.isEmpty():
             return found
 

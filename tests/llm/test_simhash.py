@@ -67,7 +67,7 @@ def test_trie_finds_all_components():
         assert len(a) <= len(members) - len(set(label))
 
 
-@pytest.mark.parametrize("group", [4, 1024])
+@pytest.mark.parametrize("group", [16, 2048])
 def test_groups_of_any_size_give_the_same_components(spark, monkeypatch, group):
     monkeypatch.setattr(simhash, "GROUP", group)
     prints = clouds(11)
