@@ -247,17 +247,18 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with base spans masked and disclosing terms removed or generalised. Texts
     without base spans, and all other columns, are as they were (``n_chars`` follows)."""
     found = found_in(docs)
-    terms = disclosing_terms(docs, found)
+    # The documents may have columns of any name.
+    terms = disclosing_terms(docs, found).select(F.col("key").alias("__of"), F.col("terms").alias("__terms"))
     names = docs.columns
     text = text_column()
     marked = docs.withColumn("__base", base_spans(text))
     marked = marked.withColumn("__key", F.when(F.size("__base") > 0, F.sha2(text, 256)))
     clean = marked.where("__key IS NULL").select(names)
     base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = F.sort_array(F.concat(base, F.coalesce("terms", _none("start int, kind int, end int"))))
+    spans = F.sort_array(F.concat(base, F.coalesce("__terms", _none("start int, kind int, end int"))))
     changed = (
         marked.where("__key IS NOT NULL")
-        .join(terms, F.col("__key") == F.col("key"), "left")
+        .join(terms, F.col("__key") == F.col("__of"), "left")
         .withColumn("__spans", spans)
         .withColumn("text", _masked(F.col("text"), F.col("__spans")))
     )

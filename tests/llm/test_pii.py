@@ -105,7 +105,7 @@ TELLING = [
         [("Please note.", "as always", "Monday"), ("It is said that", "of course", "Tuesday"), ("Now", "for advice", "Friday")]
     )
 ]
-PLAIN = [(100 + i, "Doctor Who can be reached on Monday, as always, of course, for advice. Quimby sleeps.") for i in range(12)]
+PLAIN = [(100 + i, "Doctor Who can be reached on Monday, as always, of course, for advice. Quimby sleeps.") for i in range(40)]
 
 
 def test_terms_that_disclose(spark):
@@ -142,9 +142,14 @@ def test_hard_places(spark):
 def test_odd_rows_and_long_ones(spark):
     assert got(odd(spark)) == expected([r[:2] for r in ODD])
     assert pii.report(empty(spark)).count() == 0
-    long = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "a." * 100_000), (4, "1 " * 100_000), (5, "+1" * 100_000), (6, "x@y.z " * 2000), (7, "1.2.3.4 " * 2000)]
-    frame = spark.createDataFrame(long, "doc_id long, text string")
-    assert [r[:6] for r in got(frame)] == [r[:6] for r in expected(long)]
+    def long(n):
+        return [(1, "a" * n), (2, "1" * n), (3, "a." * n), (4, "1 " * n), (5, "+1" * n), (6, "x@y.z " * (n // 100)), (7, "1.2.3.4 " * (n // 100))]
+
+    # The plain patterns take quadratic time on such texts, so they only see shorter ones.
+    short = spark.createDataFrame(long(2000), "doc_id long, text string")
+    assert got(short) == expected(long(2000))
+    counts = [r[1:5] for r in got(spark.createDataFrame(long(100_000), "doc_id long, text string"))]
+    assert counts == [(0, 0, 0, 0)] * 5 + [(1000, 0, 0, 0), (0, 1000, 0, 0)]
 
 
 def test_masks(spark):
