@@ -21,8 +21,11 @@ Without training documents the base score is 0 a token, and so is the score.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,10 @@ SHARE = 1e-4
 #: Pairs seen less often are no arcs, and each arc's count is discounted by so much.
 PAIR_COUNT, DISCOUNT = 2, 0.75
 #: Characters of a block, and its documents.
-BLOCK_CHARS, BLOCK_DOCS = 8_000_000, 20_000
+BLOCK_CHARS, BLOCK_DOCS = 10_000_000, 20_000
+#: A word's place in all blocks is its block's number times this, plus its place in the block,
+#: and a block's number its partition's times ``BLOCKS``, plus a running number.
+WORDS, BLOCKS = 1 << 25, 1 << 10
 #: Stands for the end token in word lists; no word holds a space.
 END = " "
 
@@ -56,8 +62,8 @@ class _Numbers(dict):
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Stored rows ``block, doc_ids, held, sizes, tokens, words, counts``: the token numbers of
-    some documents one after the other (32 bits each), and how often each of their words
-    stands in training documents."""
+    some documents one after the other (32 bits each, deflated), and how often each of their
+    words stands in training documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, "
@@ -66,15 +72,17 @@ def blocks(docs: DataFrame) -> DataFrame:
     arrow = to_arrow(docs.sparkSession, schema)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() * BLOCKS
         ids, held, tokens, size, words = [], [], [], 0, _Numbers()
 
         def closed():
+            if len(words) >= WORDS or number % BLOCKS == BLOCKS - 1:
+                raise ValueError("a partition or a text too large for the numbering of words")
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             flat = np.concatenate(tokens)
             learnt = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(flat[learnt], minlength=len(words))
-            row = [number, ids, held, sizes, flat.tobytes(), [w.decode() for w in words], counts]
+            row = [number, ids, held, sizes, zlib.compress(flat.tobytes(), 1), [w.decode() for w in words], counts]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
@@ -96,38 +104,51 @@ def blocks(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, schema))
 
 
-def pairs(some: DataFrame, frequent: dict[str, int]) -> DataFrame:
+def pairs(some: DataFrame, frequent: list[str]) -> DataFrame:
     """``block, pair, n``: the pairs of frequent words of each block, with their number in its
     training documents. A pair is ``first * len(frequent) + second`` of their places."""
     schema = "block long, pair long, n long"
     arrow = to_arrow(some.sparkSession, schema)
 
+    names = pa.array(list(frequent), pa.string())
+
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                pair, _, document = _pairs(row, frequent)
+            for row in range(batch.num_rows):
+                block = batch.slice(row, 1)
+                place = pc.fill_null(pc.index_in(_cell(block, "words"), value_set=names), -1).to_numpy()
+                pair, _, document = _pairs(block, place, len(names))
                 kept = pair >= 0
-                learnt = ~np.array(row["held"], bool)[document[kept]]
+                learnt = ~_cell(block, "held").to_numpy(zero_copy_only=False).astype(bool)[document[kept]]
                 once, back = np.unique(pair[kept], return_inverse=True)
                 n = np.bincount(back[learnt], minlength=len(once))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(once), row["block"])), pa.array(once), pa.array(n)], schema=arrow
-                )
+                number = np.full(len(once), block.column("block")[0].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(once), pa.array(n)], schema=arrow)
 
     return some.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, schema)
 
 
-def _pairs(row: dict, frequent: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cell(block, name: str) -> pa.Array:
+    """The list in a column of a single row."""
+    column = block.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten()
+
+
+def _tokens(block) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(block.column("tokens")[0].as_py()), np.int32)
+
+
+def _pairs(block, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every token: the pair it makes with the token before it (-1 if none, or if one is
     not frequent), the state before it (the place of a frequent word, or -1 for the root), and
-    its document's place in the block."""
-    tokens = np.frombuffer(row["tokens"], np.int32)
-    sizes = np.array(row["sizes"], np.int64)
+    its document's place in the block. ``place`` has the places of the block's words."""
+    sizes = _cell(block, "sizes").to_numpy().astype(np.int64)
     document = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.fromiter((frequent.get(w, -1) for w in row["words"]), np.int64, len(row["words"]))[tokens]
+    place = place.astype(np.int64)[_tokens(block)]
     state = np.r_[-1, place[:-1]]
     state[np.cumsum(sizes) - sizes] = -1  # a document begins at the root
-    return np.where((state >= 0) & (place >= 0), state * len(frequent) + place, -1), state, document
+    return np.where((state >= 0) & (place >= 0), state * width + place, -1), state, document
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -136,7 +157,9 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     some = blocks(docs)
     listed = some.select("block", F.posexplode(F.arrays_zip("words", "counts"))).select(
-        "block", F.col("pos").cast("long").alias("key"), F.col("col.words").alias("word"), F.col("col.counts").alias("n")
+        (F.col("block") * WORDS + F.col("pos")).alias("place"),
+        F.col("col.words").alias("word"),
+        F.col("col.counts").alias("n"),
     )
     # Counts have been combined in each block, and combine again before the shuffle.
     counts = stored(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("total")))
@@ -144,7 +167,7 @@ def scored(docs: DataFrame) -> DataFrame:
     n_train, n_words = sums["n"], sums["v"]
     # At most 1 / SHARE words. The end token goes nowhere, so it is no state, but may be reached.
     chosen = counts.where(F.col("total") >= F.lit(max(PAIR_COUNT, SHARE * n_train))).orderBy("word").collect()
-    frequent = {row["word"]: place for place, row in enumerate(chosen)}
+    frequent = [row["word"] for row in chosen]
     word_count = np.array([row["total"] for row in chosen], np.float64)
     width = max(1, len(frequent))
 
@@ -158,9 +181,16 @@ def scored(docs: DataFrame) -> DataFrame:
     for row in kept.collect():
         rest[row["state"]] = 1 - row["mass"] / word_count[row["state"]]
 
-    known = listed.join(counts, "word").select("block", F.lit(0).alias("kind"), "key", "total")
+    # A block knows the count of a word that no other block has: only the rest goes back.
+    known = listed.join(counts, "word").where("n <> total").select("place", "total")
+    places = F.floor(F.col("place") / WORDS).alias("block"), (F.col("place") % WORDS).alias("key")
+    known = known.select(*places, "total", F.lit("count").alias("kind"))
+    known = known.unionByName(
+        seen.join(arcs, "pair").select("block", F.col("pair").alias("key"), "total", F.lit("arc").alias("kind"))
+    )
+    numbered = spark.createDataFrame(list(enumerate(frequent)), "total long, word string")
     known = known.unionByName(
-        seen.join(arcs, "pair").select("block", F.lit(1).alias("kind"), F.col("pair").alias("key"), "total")
+        listed.join(F.broadcast(numbered), "word").select(*places, "total", F.lit("frequent").alias("kind"))
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
@@ -170,43 +200,44 @@ def scored(docs: DataFrame) -> DataFrame:
     arrow = to_arrow(spark, schema)
 
     def one_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [_score(row, right, frequent, word_count, rest, n_train, n_words) for row in left.to_pylist()]
-        columns = [sum((list(part[i]) for part in out), []) for i in range(len(arrow))]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        if not left.num_rows:
+            return arrow.empty_table()
+        return pa.table(_score(left, right, word_count, rest, n_train, n_words), schema=arrow)
 
     return (
-        some.select("block", "doc_ids", "held", "sizes", "tokens", "words")
+        some.select("block", "doc_ids", "held", "sizes", "tokens", "counts")
         .groupBy("block")
         .cogroup(known.toDF(*known.columns).groupBy("block"))
         .applyInArrow(one_block, schema)
     )
 
 
-def _score(row, counts: pa.Table, frequent, word_count, rest, n_train: int, n_words: int) -> list:
-    """The result columns of one block."""
-    kind, key, total = (counts.column(c).to_numpy() for c in ("kind", "key", "total"))
-    count = np.zeros(len(row["words"]))
-    count[key[kind == 0]] = total[kind == 0]
-    tokens = np.frombuffer(row["tokens"], np.int32)
-    sizes = np.array(row["sizes"], np.int64)
+def _score(block: pa.Table, known: pa.Table, word_count, rest, n_train: int, n_words: int) -> list[pa.Array]:
+    """The result columns of one block. ``known`` has the training counts of words that other
+    blocks have too, the arcs that its pairs follow, and the places of its frequent words."""
+    key, total = (known.column(c).to_numpy() for c in ("key", "total"))
+    of_kind = {kind: pc.equal(known.column("kind"), kind).to_numpy() for kind in ("count", "arc", "frequent")}
+    count = _cell(block, "counts").to_numpy().astype(np.float64)
+    count[key[of_kind["count"]]] = total[of_kind["count"]]
+    place = np.full(len(count), -1, np.int32)
+    place[key[of_kind["frequent"]]] = total[of_kind["frequent"]]
+    sizes = _cell(block, "sizes").to_numpy().astype(np.int64)
     start = np.cumsum(sizes) - sizes
+    tokens = _tokens(block)
     single = ((count + ADD) / (n_train + ADD * (n_words + 1)))[tokens]
-    pair, state, _ = _pairs(row, frequent)
+    n_known = np.add.reduceat(count[tokens] > 0, start, dtype=np.int64)
+    base = np.add.reduceat(np.log10(single), start)
+    pair, state, _ = _pairs(block, place, max(1, len(word_count)))
     # Arcs of the states: the pair's place in the sorted list, if it is there.
-    arc, weight = key[kind == 1], total[kind == 1]
+    arc, weight = key[of_kind["arc"]], total[of_kind["arc"]]
     order = np.argsort(arc)
-    arc, weight = np.r_[arc[order], np.iinfo(np.int64).max], np.r_[weight[order], 0.0]
+    arc, weight = np.r_[arc[order], np.iinfo(np.int64).max], np.r_[weight[order], 0]
     at = np.searchsorted(arc, pair)
     follows = arc[at] == pair
     # A token at the root, or past a failure arc of weight ``rest``, has its own probability.
     chance = np.where(state >= 0, rest[state], 1.0) * single
     chance[follows] += (weight[at[follows]] - DISCOUNT) / word_count[state[follows]]
-    return [
-        row["doc_ids"],
-        row["held"],
-        sizes.tolist(),
-        np.add.reduceat(count[tokens] > 0, start, dtype=np.int64).tolist(),
-        [n_train] * len(sizes),
-        np.add.reduceat(np.log10(single), start).tolist(),
-        np.add.reduceat(np.log10(chance), start).tolist(),
-    ]
+    score = np.add.reduceat(np.log10(chance), start)
+    out = _cell(block, "doc_ids"), _cell(block, "held")
+    train = np.full(len(sizes), n_train, np.int64)
+    return [*out, *map(pa.array, (sizes, n_known, train, base, score))]
