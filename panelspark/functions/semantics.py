@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Text that is a number: decimal digits with an exponent, or infinity. A cast alone would
+#: also take type suffixes ("1d") and hexadecimal floats.
+NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?$"
+
 COMPARISONS = {
     "gt": operator.gt,
     "ge": operator.ge,
@@ -47,8 +51,8 @@ def number(df: DataFrame, field: str) -> Column:
         return F.when(~F.isnan(value), value)
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return column.cast("double")
-    parsed = F.trim(column.cast("string")).try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    text = F.trim(column.cast("string"))
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
 def missing(df: DataFrame, field: str) -> Column:
@@ -84,6 +88,9 @@ def keep(df: DataFrame, field: str, comparison: str, value: object) -> Column:
     if comparison in ("contains", "not_contains"):
         found = F.contains(F.col(field).cast("string"), F.lit(str(value)))
         return found if comparison == "contains" else F.col(field).isNull() | ~found
+    if isinstance(value, str) and isinstance(dtype(df, field), T.NumericType):
+        # A number never equals text, and has no place in its order.
+        return F.lit(comparison == "ne")
     left, right = _comparable(df, field, value), _literal(df, field, value)
     test = COMPARISONS[comparison](left, right)
     floating = isinstance(dtype(df, field), (T.FloatType, T.DoubleType))
@@ -100,11 +107,21 @@ def flag(df: DataFrame, field: str, comparison: str, value: object) -> Column:
 
 
 def member(df: DataFrame, field: str, values: Sequence[object]) -> Column:
-    """Set membership, numeric when every listed value is a number."""
-    numeric = bool(values) and all(is_number(v) and not isinstance(v, bool) for v in values)
-    if numeric and not isinstance(dtype(df, field), T.NumericType):
-        return number(df, field).isin([float(v) for v in values])
-    return F.col(field).isin(list(values))
+    """Set membership: numbers among numbers, text among text, with no cast between them.
+
+    A list of numbers alone reads a text column as numbers.
+    """
+    kind = dtype(df, field)
+    numbers = [v for v in values if is_number(v) and not isinstance(v, bool)]
+    if isinstance(kind, T.NumericType):
+        listed = numbers
+    elif numbers and len(numbers) == len(values):
+        return number(df, field).isin([float(v) for v in numbers])
+    elif isinstance(kind, T.StringType):
+        listed = [v for v in values if isinstance(v, str)]
+    else:
+        listed = list(values)
+    return F.col(field).isin(listed) if listed else F.lit(False)
 
 
 def ordering(df: DataFrame, field: str) -> Column:

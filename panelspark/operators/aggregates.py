@@ -121,13 +121,13 @@ def weighted_mean(
 ) -> DataFrame:
     """Σwx/Σw over rows that have both; a bad weight fails the job."""
     x, w = number(df, field), number(df, weight)
-    fail = F.raise_error(F.lit("weighted_mean weights must be non-negative")).cast("double")
+    fail = F.raise_error(F.lit("a weight is below zero")).cast("double")
     valid = F.when(x.isNotNull(), F.when(w < 0, fail).otherwise(w))
     sums = df.groupBy(*group_by).agg(
         F.sum(x * valid).alias("__top"), F.sum(valid).alias("__bottom")
     )
     checked = require(
-        sums, F.col("__bottom") > 0, "weighted_mean requires positive total weight per group"
+        sums, F.col("__bottom") > 0, "the weights of a group add up to nothing"
     )
     return checked.select(
         *group_by, F.try_divide(F.col("__top"), F.col("__bottom")).alias(output)

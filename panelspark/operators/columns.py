@@ -50,8 +50,8 @@ def derive(
     right = number(df, right_field) if right_field else F.lit(float(value))
     if arithmetic == "divide":
         if value == 0:
-            raise ValueError("derive cannot divide by zero")
-        fail = F.raise_error(F.lit("derive cannot divide by zero")).cast("double")
+            raise ValueError("the constant divisor is zero")
+        fail = F.raise_error(F.lit("a divisor is zero")).cast("double")
         guarded = F.when(right == 0, fail).otherwise(right)
         # The divisor is checked even where the dividend is missing.
         quotient = F.when(guarded.isNotNull(), left / guarded)

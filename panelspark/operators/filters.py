@@ -32,8 +32,6 @@ having = filter_rows
 def filter_set(
     df: DataFrame, field: str, values: Sequence[object], *, negate: bool = False
 ) -> DataFrame:
-    if len(values) > 1000:
-        raise ValueError("a filter set holds at most 1000 values")
     inside = member(df, field, values)
     return df.where(~F.coalesce(inside, F.lit(False)) if negate else inside)
 

@@ -5,9 +5,8 @@ the right plan when groups are known to be small: a panel keyed by (entity, sess
 has at most one row per session, and sessions are calendar days. It is the wrong plan
 when one group may hold a third of the table. ``lay_out`` picks between
 
-* **plain** - one window per group, when the caller proves a bound on group size, when
-  Catalyst's size estimate says the whole input fits one task, or when one
-  map-side-combined count shows that the largest group does;
+* **plain** - one window per group, when the caller proves a bound on group size, or when
+  one map-side-combined count shows that the largest group fits one task;
 * **split** - range-partition on (group, order), store, and give every row its
   exact position in its group as "rows of the group in earlier partitions" plus "row
   number inside this partition". Positions cut a group into blocks of ``block_rows``.
@@ -32,27 +31,10 @@ from panelspark.session import stored
 POSITION, BLOCK = "__position", "__block"
 _CHUNK, _SALT, _HOME, _START = "__chunk", "__salt", "__home", "__start"
 
-ONE_TASK_BYTES = 128 << 20
 ONE_TASK_ROWS = 4_000_000
 BLOCK_ROWS = 1_000_000
 
 
-def size_bound(df: DataFrame) -> int | None:
-    """Catalyst's estimate of the input in bytes, where it is an upper bound.
-
-    Without column statistics Catalyst multiplies the sizes of joined tables and lets
-    filters and aggregates keep their input's size. It does not count the rows that an
-    explode or unpivot adds, so such plans have no bound here.
-    """
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-    except AttributeError:  # a Spark Connect session has no local plan
-        return None
-    if any(node in plan.toString() for node in ("Generate ", "Expand ")):
-        return None
-    return int(plan.stats().sizeInBytes())
-
-
 def group_sizes(df: DataFrame, group_by: Sequence[str]) -> tuple[int, int]:
     """Rows in the largest group and in all: one scan, counted before the shuffle."""
     if not group_by:
@@ -63,19 +45,19 @@ def group_sizes(df: DataFrame, group_by: Sequence[str]) -> tuple[int, int]:
     return int(largest or 0), int(total or 0)
 
 
-def proven_small(df: DataFrame, max_group_rows: int | None) -> bool:
-    """Whether a bound shows, without a job, that every group fits one task."""
-    if max_group_rows is not None and max_group_rows <= ONE_TASK_ROWS:
-        return True
-    bound = size_bound(df)
-    return bound is not None and bound <= ONE_TASK_BYTES
+def proven_small(max_group_rows: int | None) -> bool:
+    """Whether the caller's bound shows, without a job, that every group fits one task.
+
+    Catalyst's size in bytes is no such bound: it is that of compressed files.
+    """
+    return max_group_rows is not None and max_group_rows <= ONE_TASK_ROWS
 
 
 def fits_one_task(
     df: DataFrame, group_by: Sequence[str], max_group_rows: int | None = None
 ) -> bool:
     """The same, measuring the largest group where no bound settles it."""
-    return proven_small(df, max_group_rows) or group_sizes(df, group_by)[0] <= ONE_TASK_ROWS
+    return proven_small(max_group_rows) or group_sizes(df, group_by)[0] <= ONE_TASK_ROWS
 
 
 @dataclass(frozen=True)
@@ -237,7 +219,7 @@ def lay_out(
     keys, order = tuple(group_by), tuple(order)
     total = None
     if block_rows is None:
-        if proven_small(df, max_group_rows):
+        if proven_small(max_group_rows):
             return Layout(df, keys, order)
         largest, total = group_sizes(df, keys)
         if largest <= ONE_TASK_ROWS:

@@ -25,8 +25,7 @@ def exact_quantiles(
     """One row per group with the requested quantiles of the non-missing values.
 
     ``percentile`` holds every distinct value of a group in one buffer. Groups beyond
-    one task's budget go through ``_narrowed`` instead. There, groups without a value
-    have no output row, except that an ungrouped call always returns one.
+    one task's budget go through ``_narrowed`` instead. A group without a value has nulls.
     """
     keys = list(group_by)
     values = df.select(*keys, value.alias("__q"))
@@ -34,7 +33,8 @@ def exact_quantiles(
         return values.groupBy(*keys).agg(
             *[F.percentile("__q", q).alias(name) for name, q in outputs.items()]
         )
-    return _narrowed(values.where(F.col("__q").isNotNull()), keys, outputs, block_rows)
+    found = _narrowed(values.where(F.col("__q").isNotNull()), keys, outputs, block_rows)
+    return key_join(values.select(*keys).distinct(), found, keys, "left", list(outputs)) if keys else found
 
 
 def _squeezed(value: Column, scale: Column) -> Column:

@@ -94,8 +94,8 @@ def rolling(
     present. ``require_consecutive`` also blanks a window whose rows skip a session
     that exists elsewhere in the frame.
     """
-    if not 2 <= window <= 250:
-        raise ValueError("window must be between 2 and 250")
+    if window < 2:
+        raise ValueError("a window has two rows at least")
     if min_periods is not None and not 1 <= min_periods <= window:
         raise ValueError("min_periods must be between 1 and window")
     if (function in ("correlation", "covariance")) != (right_field is not None):
@@ -147,8 +147,8 @@ def shifted(
     Negative periods look ahead. With ``require_consecutive`` both rows must lie
     exactly that many sessions apart.
     """
-    if periods == 0 or abs(periods) > 250:
-        raise ValueError("periods must be between -250 and 250 and not 0")
+    if periods == 0:
+        raise ValueError("periods must not be 0")
     columns = df.columns
     source = with_session_number(df, order_by, _RANK, sessions) if require_consecutive else df
     x = F.col(field) if function == "shift" else number(df, field)
@@ -256,15 +256,21 @@ def match_at_offset(
     """The same group's value at a later session, and the date it was found on.
 
     Sessions are the distinct dates of the whole frame. If the group has no row on the
-    target session both outputs are missing.
+    target session both outputs are missing. Several rows of a group on one session need
+    a ``tie_break``, whose last row counts; without one they fail the job.
     """
-    if not 1 <= offset <= 1000:
-        raise ValueError("offset must be between 1 and 1000")
+    if offset < 1:
+        raise ValueError("offset must be positive")
     dated = df.withColumn("__day", as_date(df, order_by))
     days = dated.select("__day").where(F.col("__day").isNotNull()).distinct()
     targets = F.broadcast(_target_sessions(days, offset, unit))
     placed = dated.join(targets, "__day", "left").select(*df.columns, "__target")
-    pick = F.max_by(field, F.struct(*tie_break)) if tie_break else F.any_value(field)
+    if tie_break:
+        pick = F.max_by(field, F.struct(*tie_break))
+    else:
+        several = F.raise_error(F.lit("several rows on one session need a tie_break"))
+        kind = df.schema[field].dataType
+        pick = F.when(F.count(F.lit(1)) > 1, several.cast(kind)).otherwise(F.first(field))
     lookup = (
         dated.where(F.col("__day").isNotNull())
         .groupBy(*group_by, F.col("__day").alias("__target"))

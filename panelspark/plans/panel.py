@@ -24,10 +24,28 @@ KEYS = [ENTITY, SESSION]
 
 # The price columns of a session, and the factors a rule may use.
 PRICE_FIELDS = ("open", "high", "low", "close", "pre_close", "pct_chg", "vol", "amount")
-BASE_FACTORS = (
-    "amount circ_mv close dv_ratio dv_ttm float_share free_share open pb pct_chg pe pe_ttm "
-    "ps ps_ttm total_mv total_share turnover_rate turnover_rate_f vol volume_ratio"
-).split()
+BASE_FACTORS = [
+    "amount",
+    "circ_mv",
+    "close",
+    "dv_ratio",
+    "dv_ttm",
+    "float_share",
+    "free_share",
+    "open",
+    "pb",
+    "pct_chg",
+    "pe",
+    "pe_ttm",
+    "ps",
+    "ps_ttm",
+    "total_mv",
+    "total_share",
+    "turnover_rate",
+    "turnover_rate_f",
+    "vol",
+    "volume_ratio",
+]
 CALENDAR_FACTOR, CALENDAR_FLOOR_DAYS = 3, 31
 LOOKBACK_SESSIONS = 20
 

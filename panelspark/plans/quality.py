@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.semantics import COMPARISONS, flag, keep, key_join, missing, number
 from panelspark.operators.aggregates import Agg, summarize
 from panelspark.operators.joins import duplicate_keys
+from panelspark.operators.layout import lay_out
 from panelspark.operators.quantiles import exact_quantiles
 
 RELATIVE, ABSOLUTE = 1e-9, 1e-12
@@ -123,8 +124,7 @@ def check_ranking(
 ) -> DataFrame:
     """Invariants of a ranking: one row with a count of violations of each kind.
 
-    A ranking holds at most ``limit`` rows (1,000), so one task may order it; a longer
-    one is reported as such and only its counts are taken.
+    Order is checked on all rows, however many there are beyond ``limit``.
     """
     x = number(df, field)
     infinite = F.abs(x) == float("inf")
@@ -141,11 +141,10 @@ def check_ranking(
         F.count_if(x.isNull()).alias("missing_values"),
         F.count_if(F.coalesce(infinite, F.lit(False))).alias("infinite_values"),
     )
-    # Order is checked on the limited head only.
-    head = df.orderBy(position).limit(limit).select(x.alias("x"), position)
-    before = F.lag("x").over(Window.orderBy(position))
-    wrong = F.col("x") > before if direction == "desc" else F.col("x") < before
-    disorder = head.select(F.coalesce(wrong, F.lit(False)).alias("w")).agg(F.count_if("w"))
+    rows = lay_out(df.select(x.alias("x"), position), [], [F.col(position)])
+    beside = rows.framed(lambda window: {"__before": F.lag("x").over(window)}, back=1)
+    wrong = F.col("x") > F.col("__before") if direction == "desc" else F.col("x") < F.col("__before")
+    disorder = beside.select(F.coalesce(wrong, F.lit(False)).alias("w")).agg(F.count_if("w"))
     return report.withColumn("out_of_order", disorder.scalar())
 
 

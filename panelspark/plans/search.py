@@ -364,12 +364,12 @@ def with_q_value(df: DataFrame, p: str, output: str) -> DataFrame:
 
 def validation_reason(gates: Gates) -> Column:
     """The first gate a rule fails; training columns carry the prefix ``train_``."""
+    # The names of the outcomes, in the order in which they are looked at.
     thin = F.col("outcome_coverage_rate") < gates.coverage
     thin_base = F.col("baseline_outcome_coverage_rate") < gates.coverage
     checks = [
         (F.col("train_win_rate_lift") <= 0, "training_lift_not_positive"),
         (F.col("train_outcome_robust_lift_lower") <= 0, "training_outcome_attrition_not_robust"),
-        # Lost outcomes are named before the sample shortfall they cause.
         ((F.col("matched_sample_count") > 0) & thin, "insufficient_validation_coverage"),
         (
             (F.col("eligible_sample_count") > 0) & thin_base,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from panelspark.functions.semantics import key_join, number, require
 from panelspark.sources.reads import parse_day
 
-MAX_PROBES = 10
 SHARE_LOOKBACK_DAYS = 40
 
 # Names under which pooled accounts appear in holder lists.
@@ -56,23 +55,19 @@ def period_return(
 def boundary_rows(
     df: DataFrame, day: str, start: str, end: str, sessions: DataFrame
 ) -> DataFrame:
-    """Rows of only the first and last non-empty session of a range.
+    """Rows of only the first and last session of a range that have any.
 
-    At most ten sessions inward from each end are probed. The two days are scalar
-    subqueries, so a table partitioned by day reads two partitions for the result.
+    The two days are scalar subqueries over the day column alone, so a table partitioned
+    by day reads two partitions for the result.
     """
     first, last = F.lit(parse_day(start)), F.lit(parse_day(end))
-    opening = sessions.where(F.col("session") >= first).orderBy("session").limit(MAX_PROBES)
-    closing = (
-        sessions.where(F.col("session") <= last).orderBy(F.desc("session")).limit(MAX_PROBES)
-    )
+    days = df.select(F.col(day).alias("session")).where(F.col("session").between(first, last))
+    seen = key_join(days.distinct(), sessions, ["session"], "left_semi", null_keys=False)
 
-    def edge(probes: DataFrame, pick) -> Column:
-        days = df.select(F.col(day).alias("session"))
-        return days.join(F.broadcast(probes), "session", "left_semi").agg(pick("session")).scalar()
+    def edge(pick) -> Column:
+        return seen.agg(pick("session")).scalar()
 
-    low, high = edge(opening, F.min), edge(closing, F.max)
-    return df.where((F.col(day) == low) | (F.col(day) == high))
+    return df.where((F.col(day) == edge(F.min)) | (F.col(day) == edge(F.max)))
 
 
 def period_return_boundary(
@@ -86,14 +81,12 @@ def share_snapshot(
 ) -> DataFrame:
     """Share counts of each (entity, period) from one market day.
 
-    The day is the latest with any share row among the last ten sessions of the 40
-    calendar days up to the period's end. Periods and days are calendar-sized tables.
+    The day is the latest session with any share row in the 40 calendar days up to the
+    period's end. Periods and days are calendar-sized tables.
     """
     ends = periods.select(period).distinct()
     window = F.sequence(F.date_sub(F.col(period), SHARE_LOOKBACK_DAYS), F.col(period))
-    near = ends.select(period, F.explode(window).alias("session")).join(sessions, "session")
-    newest = Window.partitionBy(period).orderBy(F.desc("session"))
-    probes = near.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= MAX_PROBES)
+    probes = ends.select(period, F.explode(window).alias("session")).join(sessions, "session")
     present = shares.select(F.col(day).alias("session")).distinct()
     chosen = probes.join(present, "session").groupBy(period).agg(F.max("session").alias(day))
 

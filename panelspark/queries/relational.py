@@ -184,6 +184,36 @@ register(
     "SELECT entity, session, vol FROM user_day WHERE vol IN (1, 2, 5)",
     UD,
 )
+register(
+    "filter_set_mixed",
+    "p_partkey:i p_size:i",
+    lambda t: P.filter_set(t.part, "p_size", [5, "7", "x", 9.0]),
+    "SELECT p_partkey, p_size FROM part WHERE p_size IN (5, 9)",
+)
+for _name in ("eq", "ne"):
+    register(
+        f"filter_{_name}_text_on_number",
+        "p_partkey:i p_size:i",
+        lambda t, n=_name: P.filter_rows(t.part, "p_size", n, "5"),
+        f"SELECT p_partkey, p_size FROM part WHERE {_name == 'ne'}",
+    )
+_NUMERALS = ("1d", "0x1p3", " 2.5 ", "-1e3", ".5", "2f", "7.", "+inf", "1_000", "")
+register(
+    "number_from_text",
+    "p_partkey:i y:f",
+    lambda t: C.derive(
+        t.part.select(
+            "p_partkey",
+            F.get(F.array(*map(F.lit, _NUMERALS)), (F.col("p_partkey") % len(_NUMERALS)).cast("int")).alias("s"),
+        ),
+        "y",
+        "s",
+        "add",
+        value=0,
+    ),
+    """SELECT p_partkey, CASE p_partkey % 10 WHEN 2 THEN 2.5 WHEN 3 THEN -1000 WHEN 4 THEN 0.5
+       WHEN 6 THEN 7 WHEN 7 THEN CAST('inf' AS DOUBLE) END AS y FROM part""",
+)
 register(
     "filter_set_negated",
     KEY + "vol:i",

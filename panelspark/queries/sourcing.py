@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -212,7 +213,8 @@ register(
 
 
 def _csv_round_trip(t):
-    path = f"{shared_folder(t.spark)}/user_day_csv"
+    # A name of its own for each run: two runs at once must not meet.
+    path = f"{shared_folder(t.spark)}/user_day_csv-{uuid.uuid4().hex}"
     sinks.write_csv(user_day(t).select("entity", "session", "close"), path)
     return sinks.read_csv(t.spark, path, "entity long, session date, close double")
 
@@ -253,6 +255,28 @@ register(
     ),
     (SUPPLIER_MONTH,),
 )
+
+
+
+def _days_from(t, first: str):
+    """Every day since ``first``: a calendar whose first years have no rows."""
+    days = F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit("1999-12-31")))
+    return t.spark.range(1).select(F.explode(days).alias("session"))
+
+
+register(
+    "period_return_boundary_empty_start",
+    _RETURN_OUT,
+    lambda t: X.period_return_boundary(
+        supplier_month(t), "entity", "session", "close", "19900101", "19980620", _days_from(t, "1990-01-01")
+    ),
+    _RETURN_SQL.format(
+        source="""(SELECT * FROM supplier_month WHERE session IN (
+          (SELECT min(session) FROM supplier_month),
+          (SELECT max(session) FROM supplier_month WHERE session <= DATE '1998-06-20')))"""
+    ),
+    (SUPPLIER_MONTH,),
+)
 _CR = {"entity": "entity", "period": "end_date", "announced": "ann_date", "holder": "holder_name"}
 _CR_OUT = (
     "entity:i end_date:d ann_date:d cr10_float_registered:f non_top10_float_ratio:f "
@@ -481,6 +505,16 @@ register(
        FROM (SELECT * FROM user_day ORDER BY amount DESC, entity, session LIMIT 50)""",
     UD,
 )
+register(
+    "check_ranking_disorder",
+    "rows_over_limit:i out_of_order:i",
+    lambda t: Q.check_ranking(
+        user_day(t).withColumn("position", F.struct("entity", "session")), "amount", position="position", limit=3
+    ),
+    """SELECT count(*) - 3 AS rows_over_limit, count(*) FILTER (WHERE amount > before) AS out_of_order
+       FROM (SELECT amount, lag(amount) OVER (ORDER BY entity, session) AS before FROM user_day)""",
+    UD,
+)
 register(
     "check_degenerate",
     "rows:i distinct_values:i moved:i degenerate:b",

@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from panelspark.functions.semantics import dtype, key_join
 
-DISCLOSURE_DAYS = 400
-
 
 def parse_day(text: str) -> dt.date:
     return dt.datetime.strptime(text, "%Y%m%d").date()
@@ -72,8 +70,6 @@ def read_disclosures(
     df: DataFrame, day: str, start: str, end: str, fields: Sequence[str]
 ) -> DataFrame:
     """Disclosures dated in a range of at most 400 days."""
-    if (parse_day(end) - parse_day(start)).days + 1 > DISCLOSURE_DAYS:
-        raise ValueError(f"a disclosure range covers at most {DISCLOSURE_DAYS} days")
     return df.where(in_days(df, day, start, end)).select(*fields)
 
 

@@ -97,7 +97,7 @@ def test_derive(values):
         with pytest.raises(ValueError):
             C.derive(values, "y", "v", "divide", **bad)
     zero = values.withColumn("z", F.col("id") - 2)
-    with pytest.raises(Exception, match="divide by zero"):
+    with pytest.raises(Exception, match="divisor is zero"):
         C.derive(zero, "y", "v", "divide", right_field="z").collect()
 
 
@@ -156,7 +156,7 @@ def test_weighted_mean(spark):
     df = spark.createDataFrame(rows, "g string, x double, w double")
     got = {r.g: r.y for r in weighted_mean(df, "y", "x", "w", ["g"]).collect()}
     assert got == {"a": 2.5, "b": 2.0}
-    for weight, message in ((-1.0, "non-negative"), (0.0, "positive total")):
+    for weight, message in ((-1.0, "below zero"), (0.0, "add up to nothing")):
         with pytest.raises(Exception, match=message):
             weighted_mean(df.withColumn("w", F.lit(weight)), "y", "x", "w", ["g"]).collect()
 
