@@ -91,6 +91,19 @@ register(
     """SELECT o_orderkey, o_custkey FROM orders
        WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)""",
 )
+register(
+    "scan_by_universe_rows",
+    "entity:i o_orderkey:i o_totalprice:f",
+    lambda t: reads.read_universe(
+        t.orders.withColumn("entity", F.col("o_custkey")),
+        security_master(t),
+        "entity",
+        ["entity", "o_orderkey", "o_totalprice"],
+    ),
+    """SELECT o_custkey AS entity, o_orderkey, o_totalprice FROM orders
+       WHERE o_custkey IN (SELECT entity FROM master)""",
+    (MASTER,),
+)
 register(
     "scan_by_universe",
     "universe_count:i successful_count:i missing_count:i",

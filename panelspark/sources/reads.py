@@ -69,7 +69,7 @@ def read_sessions(
 def read_disclosures(
     df: DataFrame, day: str, start: str, end: str, fields: Sequence[str]
 ) -> DataFrame:
-    """Disclosures dated in a range of at most 400 days."""
+    """Disclosures dated in a range."""
     return df.where(in_days(df, day, start, end)).select(*fields)
 
 
@@ -79,6 +79,13 @@ def read_candidates(df: DataFrame, key: str, source: DataFrame, source_key: str)
     return key_join(df, keys, [key], "left_semi", null_keys=False)
 
 
+def read_universe(
+    df: DataFrame, universe: DataFrame, key: str, fields: Sequence[str]
+) -> DataFrame:
+    """Rows of the universe's members; ``universe_coverage`` counts who has none."""
+    return read_candidates(df, key, universe, key).select(*fields)
+
+
 def universe_coverage(df: DataFrame, universe: DataFrame, key: str) -> DataFrame:
     """One row: universe size, members with data, members without."""
     members = universe.select(key).where(F.col(key).isNotNull()).distinct()
