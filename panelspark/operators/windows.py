@@ -11,9 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.dates import as_date, compact, date_offset
-from panelspark.functions.semantics import divide, key_join, number, ordering
+from panelspark.functions.semantics import divide, dtype, key_join, number, ordering
 from panelspark.operators.layout import Layout, lay_out
 from panelspark.operators.sessions import with_session_number
 
@@ -252,17 +253,26 @@ def match_at_offset(
     *,
     tie_break: Sequence[str] = (),
     null_keys: bool = True,
+    sessions: DataFrame | None = None,
 ) -> DataFrame:
     """The same group's value at a later session, and the date it was found on.
 
-    Sessions are the distinct dates of the whole frame. If the group has no row on the
+    Sessions are those of the DATE column ``session`` of ``sessions``, or else the distinct
+    dates of the whole frame, which costs one more pass over it. If the group has no row on the
     target session both outputs are missing. Several rows of a group on one session need
     a ``tie_break``, whose last row counts; without one they fail the job.
     """
     if offset < 1:
         raise ValueError("offset must be positive")
     dated = df.withColumn("__day", as_date(df, order_by))
-    days = dated.select("__day").where(F.col("__day").isNotNull()).distinct()
+    if sessions is None:
+        days = dated.select("__day")
+    elif isinstance(dtype(sessions, "session"), T.DateType):
+        days = sessions.select(F.col("session").alias("__day"))
+    else:
+        # Only dates bound what is broadcast.
+        raise ValueError("a calendar's sessions are dates")
+    days = days.where(F.col("__day").isNotNull()).distinct()
     targets = F.broadcast(_target_sessions(days, offset, unit))
     placed = dated.join(targets, "__day", "left").select(*df.columns, "__target")
     if tie_break:

@@ -167,9 +167,30 @@ def check_completeness(
     """One row: are all expected partitions present? complete, partial or unknown."""
     seen = observed.select(*keys).distinct().withColumn("__seen", F.lit(1))
     joined = key_join(expected.select(*keys).distinct(), seen, keys, "left", ["__seen"])
-    counted = joined.agg(
-        F.count(F.lit(1)).alias("expected"), F.count("__seen").alias("present")
+    return _completeness(
+        joined.agg(F.count(F.lit(1)).alias("expected"), F.count("__seen").alias("present"))
     )
+
+
+def check_panel_completeness(
+    entities: DataFrame, sessions: DataFrame, observed: DataFrame, entity: str, session: str
+) -> DataFrame:
+    """The same for every entity on every session, by counts: the pairs that are expected are
+    never made."""
+    entities, sessions = entities.select(entity).distinct(), sessions.select(session).distinct()
+    expected = entities.agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("n").alias("__entities")
+    ).withColumn("__sessions", sessions.agg(F.count(F.lit(1))).scalar())
+    seen = key_join(observed.select(entity, session).distinct(), entities, [entity], "left_semi")
+    present = key_join(seen, sessions, [session], "left_semi").agg(F.count(F.lit(1))).scalar()
+    return _completeness(
+        expected.select(
+            (F.col("__entities") * F.col("__sessions")).alias("expected"), present.alias("present")
+        )
+    )
+
+
+def _completeness(counted: DataFrame) -> DataFrame:
     return counted.withColumn("missing", F.col("expected") - F.col("present")).withColumn(
         "status",
         F.when(F.col("expected") == 0, "unknown")

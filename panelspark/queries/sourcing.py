@@ -544,20 +544,19 @@ register(
 )
 
 
-def _grid(t):
-    """Every user on every day: what a full panel would hold."""
+def _full_panel(t):
+    """Is every user there on every day between the first and the last?"""
     days = t.events.agg(
         F.min(F.col("ts").cast("date")).alias("a"), F.max(F.col("ts").cast("date")).alias("b")
-    )
-    users = t.events.select(F.col("user_id").alias("entity")).distinct()
-    span = F.sequence(days.select("a").scalar(), days.select("b").scalar())
-    return users.select("entity", F.explode(span).alias("session"))
+    ).select(F.explode(F.sequence("a", "b")).alias("session"))
+    users = t.events.select(F.col("user_id").alias("entity"))
+    return Q.check_panel_completeness(users, days, user_day(t), "entity", "session")
 
 
 register(
     "check_completeness",
     "expected:i present:i missing:i status:s",
-    lambda t: Q.check_completeness(_grid(t), user_day(t), ["entity", "session"]),
+    _full_panel,
     """SELECT expected, present, expected - present AS missing,
        CASE WHEN expected = present THEN 'complete' ELSE 'partial' END AS status FROM (
        SELECT count(DISTINCT entity) * count(DISTINCT session) AS expected, count(*) AS present
@@ -570,7 +569,7 @@ register(
     lambda t: Q.worst_status(
         [
             Q.check_completeness(event_days(t), user_day(t), ["session"]),
-            Q.check_completeness(_grid(t), user_day(t), ["entity", "session"]),
+            _full_panel(t),
         ]
     ),
     """SELECT CASE WHEN count(DISTINCT entity) * count(DISTINCT session) = count(*)

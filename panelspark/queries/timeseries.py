@@ -9,6 +9,7 @@ from panelspark.operators import windows as W
 from panelspark.operators.asof import asof_join
 from panelspark.queries.base import register
 from panelspark.queries.panels import NATION_WEEK, SESSION_BOUND, USER_DAY, nation_week, user_day
+from panelspark.sources.calendar import trading_sessions
 
 KEY = "entity:i session:d "
 UD = (USER_DAY,)
@@ -169,7 +170,8 @@ register(
     "offset_session",
     KEY + "later:f later_date:s",
     lambda t: W.match_at_offset(
-        nation_week(t), "later", "later_date", "close", ["entity"], "session", 4, "trading_session"
+        nation_week(t), "later", "later_date", "close", ["entity"], "session", 4, "trading_session",
+        sessions=trading_sessions(nation_week(t), "session"),
     ),
     _OFFSET_SQL,
     (
