@@ -48,12 +48,17 @@ def test_long_words_take_the_other_path(coder):
         assert coder.encode(text) == expected(text)
 
 
-def test_a_full_memo_changes_nothing():
-    small = bpe.Encoder(PATH, entries=50)
-    texts = [t for (t,) in rows_of("documents", "text")][:40]
-    for _ in range(2):
-        assert [np.frombuffer(g, "<u4").tolist() for g in small.encode_many(texts)] == [expected(t) for t in texts]
-    assert len(small.chunks) < 10_000
+@pytest.mark.parametrize("entries", [1, 50, 3000])
+def test_a_full_memo_changes_nothing(entries):
+    small = bpe.Encoder(PATH, entries=entries)
+    texts = [t for (t,) in rows_of("documents", "text")][:60]
+    want = [expected(t) for t in texts]
+    for size in (60, 7, 1):
+        for start in range(0, 60, size):
+            got = small.encode_many(texts[start : start + size])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == want[start : start + size]
+        small.encode("a short text")
+        assert len(small.chunks) <= entries + 3 and len(small.words) <= entries // 2 + 3
 
 
 def test_decodes_like_the_library(coder):
