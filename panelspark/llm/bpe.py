@@ -34,9 +34,11 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p
 #: str.split() also splits at these, which are no white space to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
 BLANK = regex.compile(f"[{SPACE}]+")
+#: A full stop or comma after other punctuation, with which it makes one word.
+JOINED = re.compile(r"[.,](?<=[^\w\s].|_.)\s")
 #: Marks a word's end inside the automaton; it is no byte-level character.
 END = "\n"
-#: Chunks of text whose ids a worker remembers, and half as many words.
+#: Chunks of text whose ids a worker remembers.
 CACHE_ENTRIES = 800_000
 #: Slots of the table of compatibility answers (a power of two).
 PAIR_SLOTS = 1 << 20
@@ -158,7 +160,6 @@ class Encoder:
         self.byte = byte_characters()
         self.entries = entries
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         # A direct-mapped table of compatibility answers: bounded, and exact as keys are kept.
         self.asked = np.full(PAIR_SLOTS, -1, np.int64)
         self.answer = np.zeros(PAIR_SLOTS, bool)
@@ -249,52 +250,54 @@ class Encoder:
         return np.array(ids[::-1], "<u4").tobytes()
 
     def _words(self, chunk: str) -> list[str]:
-        """The words of text without white space, in byte-level characters."""
-        if chunk.isascii():
-            chunk = chunk.lower()
-            if chunk.isalpha():
+        """The words of normalised text without white space, in byte-level characters."""
+        if chunk.isalpha():
+            if chunk.isascii():
                 return [chunk]
-            if chunk[:-1].isalpha() and chunk.isprintable() and not chunk[-1].isalnum():
-                return [chunk[:-1], chunk[-1]]
+            words = [chunk]
         else:
-            chunk = unicodedata.normalize("NFC", chunk)
-            # Letter by letter if there is a sigma, which str.lower() treats by its context.
-            chunk = "".join([c.lower() for c in chunk]) if "\u03a3" in chunk else chunk.lower()
-        words = []
-        for word in WORD.findall(chunk):
-            word = word.encode().decode("latin-1")
-            words.append(word.translate(self.byte) if REPLACED.search(word) else word)
-        return words
+            words = WORD.findall(chunk)
+        words = [w.encode().decode("latin-1") for w in words]
+        return [w.translate(self.byte) if REPLACED.search(w) else w for w in words]
 
     def _learn(self, chunks: list[str]) -> None:
         """Add chunks to the memo, by way of their words."""
         parts = [self._words(c) for c in chunks]
-        known = self.words.get
-        once = {w: known(w) for p in parts for w in p}
-        new = [w for w, ids in once.items() if ids is None]
-        usual = [w for w in new if len(w) <= LONG_WORD]
+        once: dict[str, bytes | None] = dict.fromkeys(w for p in parts for w in p)
+        usual = [w for w in once if len(w) <= LONG_WORD]
         for low in range(0, len(usual), WORDS_AT_ONCE):
             some = usual[low : low + WORDS_AT_ONCE]
             once.update(zip(some, self.encode_words(some)))
-        once.update((w, self.encode_long(w)) for w in new if len(w) > LONG_WORD)
-        self.words.update((w, once[w]) for w in usual)
+        once.update((w, self.encode_long(w)) for w in once if len(w) > LONG_WORD)
         for chunk, words in zip(chunks, parts):
             self.chunks[chunk] = once[words[0]] if len(words) == 1 else b"".join([once[w] for w in words])
 
-    def _trim(self, memo: dict[str, bytes], entries: int) -> None:
+    def _trim(self) -> None:
         """Frequent entries come early, so the late half goes when the memo is full."""
-        if len(memo) > entries:
-            for key in list(memo)[entries // 2 :]:
-                del memo[key]
+        if len(self.chunks) > self.entries:
+            for key in list(self.chunks)[self.entries // 2 :]:
+                del self.chunks[key]
 
     def _pieces(self, text: str) -> list[str]:
-        return [p for p in BLANK.split(text) if p] if ODD.search(text) else text.split()
+        """Chunks of the normalised text. White space ends a chunk, and no word crosses it."""
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            # Letter by letter if there is a sigma, which str.lower() treats by its context.
+            text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
+        if ODD.search(text):
+            return [p for p in BLANK.split(text) if p]
+        # A full stop or comma is a word of its own, unless punctuation stands before it. Cut
+        # off here, it leaves fewer different chunks to remember.
+        if not JOINED.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
+        return text.split()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         # Only here, as what these texts need has to stay until they are done.
-        self._trim(self.chunks, self.entries)
-        self._trim(self.words, self.entries // 2)
+        self._trim()
         runs: list[list[list[str] | str]] = []
         met: set[str] = set()
         for text in texts:

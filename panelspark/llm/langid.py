@@ -29,9 +29,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from panelspark.llm.common import batched, text_column, to_arrow
 
-DIMENSIONS = 4096
+DIMENSIONS = 2048
 #: The bound of the training sample: documents of one language.
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 #: Families of some languages (fixed values); any other language is a family of its own.
 FAMILIES = {
@@ -69,8 +69,8 @@ def vector(text: str) -> np.ndarray:
         two = (b * np.uint32(40503) + c) * np.uint32(2654435761)
         three = two + a * np.uint32(2246822519) + np.uint32(374761393)
         three ^= three >> np.uint32(15)
-        counts += np.bincount(three * np.uint32(2654435761) >> np.uint32(20), minlength=DIMENSIONS)
-        counts += np.bincount(two >> np.uint32(20), minlength=DIMENSIONS)
+        counts += np.bincount(three * np.uint32(2654435761) >> np.uint32(21), minlength=DIMENSIONS)
+        counts += np.bincount(two >> np.uint32(21), minlength=DIMENSIONS)
     out = np.sqrt(counts).astype(np.float32)
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
@@ -81,20 +81,20 @@ def separate(left: np.ndarray, right: np.ndarray, cost: float = 10.0, rounds: in
     Dual coordinate descent for the squared hinge loss, rows in a fixed shuffled order; each
     side weighs the same in all.
     """
-    rows = np.vstack([left, right])
-    rows = np.hstack([rows, np.ones((len(rows), 1), rows.dtype)]).astype(np.float64)
+    rows = np.ones((len(left) + len(right), left.shape[1] + 1), np.float32)
+    rows[: len(left), :-1], rows[len(left) :, :-1] = left, right
     sign = np.r_[np.ones(len(left)), -np.ones(len(right))]
     share = np.where(sign > 0, len(rows) / (2 * len(left)), len(rows) / (2 * len(right)))
     diagonal = 1 / (2 * cost * share)
-    square = (rows**2).sum(axis=1) + diagonal
-    weights, alpha = np.zeros(rows.shape[1]), np.zeros(len(rows))
+    square = np.einsum("ij,ij->i", rows, rows) + diagonal
+    weights, alpha = np.zeros(rows.shape[1], np.float32), np.zeros(len(rows))
     order = np.random.default_rng(0)
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
             step = (sign[i] * (rows[i] @ weights) - 1 + diagonal[i] * alpha[i]) / square[i]
             new = max(0.0, alpha[i] - step)
             if new != alpha[i]:
-                weights += (new - alpha[i]) * sign[i] * rows[i]
+                weights += np.float32((new - alpha[i]) * sign[i]) * rows[i]
                 alpha[i] = new
     return weights
 

@@ -41,6 +41,13 @@ def test_encodes_strange_characters(coder):
     assert [coder.encode(t) for t in texts] == [expected(t) for t in texts]
 
 
+def test_punctuation_before_white_space(coder):
+    choose = random.Random(5)
+    texts = ["".join(choose.choice("ab1.,_!' \n\u0301é") for _ in range(choose.randint(0, 14))) for _ in range(6000)]
+    texts += ["A. B, c.\nd", "a.. b", "a., b", "_. x", "é. x", "e\u0301. x", "1. 2, 3.", ".", " . , ", "x.\x0by"]
+    assert [coder.encode(t) for t in texts] == [expected(t) for t in texts]
+
+
 def test_long_words_take_the_other_path(coder):
     choose = random.Random(2)
     for size in (63, 64, 65, 66, 500):
@@ -58,7 +65,7 @@ def test_a_full_memo_changes_nothing(entries):
             got = small.encode_many(texts[start : start + size])
             assert [np.frombuffer(g, "<u4").tolist() for g in got] == want[start : start + size]
         small.encode("a short text")
-        assert len(small.chunks) <= entries + 3 and len(small.words) <= entries // 2 + 3
+        assert len(small.chunks) <= entries + 3
 
 
 def test_decodes_like_the_library(coder):
