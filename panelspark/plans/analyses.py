@@ -80,9 +80,26 @@ def rank_metric(
 
 
 def rank_period_return(
-    df: DataFrame, entity: str, day: str, close: str, *, direction: str = "desc", count: int = 10
+    df: DataFrame,
+    entity: str,
+    day: str,
+    close: str,
+    *,
+    window: tuple[str, str] | None = None,
+    change: str | None = None,
+    direction: str = "desc",
+    count: int = 10,
 ) -> DataFrame:
-    """Entities with the highest or lowest return over the window."""
+    """Entities with the highest or lowest return over the window, or over all days.
+
+    A window of one day has no two closes: it ranks the day's own ``change`` column.
+    """
+    if window:
+        df = df.where(in_days(df, day, *window))
+    if window and window[0] == window[1]:
+        if change is None:
+            raise ValueError("a window of one day needs the day's change")
+        return rank_metric(df, change, entity, direction=direction, count=count)
     returns = period_return(df, entity, day, close)
     return top_rows(
         returns, "period_return_pct", count, direction=direction, tie_break=[entity]

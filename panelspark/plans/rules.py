@@ -400,6 +400,9 @@ def evidence_from_tags(
     margin = Z_95_TWO_SIDED * F.col("lift_error")
     lost = matched - n
     other_lost = F.col("b_matched") - F.col("b_n") - lost
+    # A rule's rows are rows of its baseline, so neither side can lose less than nothing.
+    beyond = F.raise_error(F.lit("a rule lacks more outcomes than its baseline")).cast("long")
+    lost = F.when((lost < 0) | (other_lost < 0), beyond).otherwise(lost)
     robust_low = F.try_divide(F.col("hits"), matched) - F.try_divide(
         F.col("b_hits") + other_lost, F.col("b_matched")
     )

@@ -155,6 +155,22 @@ register(
     (USER_DAY, _RETURNS.format("user_day")),
 )
 
+register(
+    "an_rank_single_day",
+    "entity:i session:d change:f",
+    lambda t: A.rank_period_return(
+        user_day(t).select("entity", "session", "close", ((F.col("last") / F.col("open") - 1) * 100).alias("change")),
+        "entity",
+        "session",
+        "close",
+        window=("20240110", "20240110"),
+        change="change",
+    ),
+    """SELECT entity, session, (last / open - 1) * 100 AS change FROM user_day
+       WHERE session = DATE '2024-01-10' AND open <> 0 ORDER BY 3 DESC, entity LIMIT 10""",
+    (USER_DAY,),
+)
+
 _RUNS = """runs AS (SELECT u.entity, u.session, u.close, n,
   EXISTS (SELECT 1 FROM error_days e WHERE e.entity = u.entity AND e.session = u.session) AS hit
   FROM user_day u JOIN (SELECT session, row_number() OVER (ORDER BY session) AS n
