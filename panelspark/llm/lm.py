@@ -183,7 +183,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     # A block knows the count of a word that no other block has: only the rest goes back.
     known = listed.join(counts, "word").where("n <> total").select("place", "total")
-    places = F.floor(F.col("place") / WORDS).alias("block"), (F.col("place") % WORDS).alias("key")
+    places = F.expr(f"place div {WORDS}").alias("block"), (F.col("place") % WORDS).alias("key")
     known = known.select(*places, "total", F.lit("count").alias("kind"))
     known = known.unionByName(
         seen.join(arcs, "pair").select("block", F.col("pair").alias("key"), "total", F.lit("arc").alias("kind"))
