@@ -1,18 +1,19 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
 Training documents are those whose ``crc32(doc_id) mod 10`` is not 0. The automaton's root
-holds the smoothed probability of every token. Each frequent word that has kept successors is
-a state; its arcs are pairs of frequent words seen at least twice, discounted absolutely and
-interpolated with the root, and its failure arc leads to the root with the mass that its arcs
-leave. A text is read once from left to right: the state is the last token's, a token follows
-the state's arc or falls to the root at the failure arc's weight.
+holds the smoothed probability of every token. Each word that has kept successors is a state;
+its arcs are the pairs seen at least twice, discounted absolutely and interpolated with the
+root, and its failure arc leads to the root with the mass that its arcs leave. A text is read
+once from left to right: the state is the last token's, a token follows the state's arc or
+falls to the root at the failure arc's weight.
 
 Scale: a task numbers the words of its documents in blocks, so that from then on a block is
 one row of token numbers, its word list and the list's training counts. Word counts over all
-blocks are joined back to the blocks' word lists, and pair counts to the blocks' pairs; a
-block then meets the counts it needs, and nothing but these, in one task. Nothing that grows
-with the corpus is broadcast: a frequent word has ``SHARE`` of all training tokens, so there
-are at most ``1 / SHARE`` of them.
+blocks are joined back to the blocks' word lists. Pairs of all words are counted per block,
+keyed by a 64-bit hash and dealt by it into buckets whose number grows with the corpus; a
+bucket adds them up and gives each block the counts of its arcs, and each word the mass of its
+arcs. A block then meets the counts it needs, and nothing but these, in one task. Nothing that
+grows with the corpus is broadcast or collected.
 
 Rules: a null text is empty and has the end token only. A null document id counts as the
 empty text for the split. Repeated rows are counted, and scored, as often as they come.
@@ -34,12 +35,14 @@ from panelspark.llm.common import text_column, to_arrow
 from panelspark.session import stored
 
 ADD = 0.1
-#: Words with this share of the training tokens are frequent.
-SHARE = 1e-4
+#: Least share of the training tokens that a state needs: none.
+SHARE = 0.0
 #: Pairs seen less often are no arcs, and each arc's count is discounted by so much.
 PAIR_COUNT, DISCOUNT = 2, 0.75
 #: Characters of a block, and its documents.
 BLOCK_CHARS, BLOCK_DOCS = 10_000_000, 20_000
+#: Training tokens for each bucket of pairs.
+BUCKET = 1 << 18
 #: A word's place in all blocks is its block's number times this, plus its place in the block,
 #: and a block's number its partition's times ``BLOCKS``, plus a running number.
 WORDS, BLOCKS = 1 << 25, 1 << 10
@@ -104,28 +107,71 @@ def blocks(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, schema))
 
 
-def pairs(some: DataFrame, frequent: list[str]) -> DataFrame:
-    """``block, pair, n``: the pairs of frequent words of each block, with their number in its
-    training documents. A pair is ``first * len(frequent) + second`` of their places."""
-    schema = "block long, pair long, n long"
-    arrow = to_arrow(some.sparkSession, schema)
+def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A pair's hash from those of its words."""
+    key = (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second
+    key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return key ^ (key >> np.uint64(31))
+
 
-    names = pa.array(list(frequent), pa.string())
+def pairs(some: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, block, pairs, firsts, counts``: the pairs of each block by bucket, as hashes,
+    with their first words' hashes and their numbers in the block's training documents."""
+    schema = "bucket long, block long, pairs binary, firsts binary, counts binary"
+    arrow = to_arrow(some.sparkSession, schema)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 block = batch.slice(row, 1)
-                place = pc.fill_null(pc.index_in(_cell(block, "words"), value_set=names), -1).to_numpy()
-                pair, _, document = _pairs(block, place, len(names))
-                kept = pair >= 0
-                learnt = ~_cell(block, "held").to_numpy(zero_copy_only=False).astype(bool)[document[kept]]
-                once, back = np.unique(pair[kept], return_inverse=True)
-                n = np.bincount(back[learnt], minlength=len(once))
-                number = np.full(len(once), block.column("block")[0].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(once), pa.array(n)], schema=arrow)
-
-    return some.select("block", "held", "sizes", "tokens", "words").mapInArrow(run, schema)
+                hashes = _hashes(block)
+                tokens, state, document = _states(block)
+                inside = state >= 0
+                local = state[inside] * len(hashes) + tokens[inside]
+                learnt = ~_cell(block, "held").to_numpy(zero_copy_only=False).astype(bool)[document[inside]]
+                once, back = np.unique(local, return_inverse=True)
+                n = np.bincount(back[learnt], minlength=len(once)).astype(np.uint32)
+                first = hashes[once // len(hashes)]
+                key = _key(first, hashes[once % len(hashes)])
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((first, bucket))
+                bucket, key, first, n = (x[order] for x in (bucket, key, first, n))
+                which, start = np.unique(bucket, return_index=True)
+                parts = list(zip(start, np.r_[start[1:], len(bucket)]))
+                number = np.full(len(which), block.column("block")[0].as_py(), np.int64)
+                packed = ([x[low:high].tobytes() for low, high in parts] for x in (key, first, n))
+                columns = which, number, *packed
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return some.select("block", "held", "sizes", "tokens", "hashes").mapInArrow(run, schema)
+
+
+def arcs_of(packed: DataFrame) -> DataFrame:
+    """``block, pairs, totals, first, mass`` from packed pairs: for every block the hashes of
+    its pairs that are arcs, with their counts; and in rows without a block, the hashes of first
+    words with the mass of their arcs."""
+    schema = "block long, pairs binary, totals binary, first array<long>, mass array<double>"
+    arrow = to_arrow(packed.sparkSession, schema)
+
+    def one_bucket(rows: pa.Table) -> pa.Table:
+        found = [rows.column(c).to_pylist() for c in ("pairs", "firsts", "counts")]
+        key, first, n = (np.frombuffer(b"".join(f), t) for f, t in zip(found, (np.uint64, np.uint64, np.uint32)))
+        ends = np.cumsum([len(f) // 8 for f in found[0]])
+        once, where, back = np.unique(key, return_index=True, return_inverse=True)
+        total = np.zeros(len(once), np.int64)
+        np.add.at(total, back, n.astype(np.int64))
+        kept = total >= PAIR_COUNT
+        words, word = np.unique(first[where[kept]], return_inverse=True)
+        mass = np.bincount(word, weights=total[kept] - DISCOUNT, minlength=len(words))
+        out = [(None, None, None, words.view(np.int64), mass)]
+        for block, low, high in zip(rows.column("block").to_pylist(), np.r_[0, ends[:-1]], ends):
+            arc = back[low:high][kept[back[low:high]]]
+            if len(arc):
+                out.append((block, once[arc].tobytes(), total[arc].tobytes(), None, None))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return packed.groupBy("bucket").applyInArrow(one_bucket, schema)
 
 
 def _cell(block, name: str) -> pa.Array:
@@ -139,16 +185,18 @@ def _tokens(block) -> np.ndarray:
     return np.frombuffer(zlib.decompress(block.column("tokens")[0].as_py()), np.int32)
 
 
-def _pairs(block, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every token: the pair it makes with the token before it (-1 if none, or if one is
-    not frequent), the state before it (the place of a frequent word, or -1 for the root), and
-    its document's place in the block. ``place`` has the places of the block's words."""
+def _hashes(block) -> np.ndarray:
+    return _cell(block, "hashes").to_numpy().view(np.uint64)
+
+
+def _states(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token: its word's place in the block, that of the word before it (-1, the
+    root, if none), and its document's place in the block."""
     sizes = _cell(block, "sizes").to_numpy().astype(np.int64)
-    document = np.repeat(np.arange(len(sizes)), sizes)
-    place = place.astype(np.int64)[_tokens(block)]
-    state = np.r_[-1, place[:-1]]
+    tokens = _tokens(block).astype(np.int64)
+    state = np.r_[-1, tokens[:-1]]
     state[np.cumsum(sizes) - sizes] = -1  # a document begins at the root
-    return np.where((state >= 0) & (place >= 0), state * width + place, -1), state, document
+    return tokens, state, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -165,32 +213,28 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = stored(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("total")))
     sums = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = sums["n"], sums["v"]
-    # At most 1 / SHARE words. The end token goes nowhere, so it is no state, but may be reached.
-    chosen = counts.where(F.col("total") >= F.lit(max(PAIR_COUNT, SHARE * n_train))).orderBy("word").collect()
-    frequent = [row["word"] for row in chosen]
-    word_count = np.array([row["total"] for row in chosen], np.float64)
-    width = max(1, len(frequent))
-
-    seen = stored(pairs(some, frequent))
-    arcs = stored(
-        seen.where("n > 0").groupBy("pair").agg(F.sum("n").alias("total")).where(F.col("total") >= PAIR_COUNT)
-    )
-    # One row per state, of which there are at most 1 / SHARE.
-    kept = arcs.groupBy(F.floor(F.col("pair") / width).alias("state")).agg(F.sum(F.col("total") - DISCOUNT).alias("mass"))
-    rest = np.ones(width)
-    for row in kept.collect():
-        rest[row["state"]] = 1 - row["mass"] / word_count[row["state"]]
-
-    # A block knows the count of a word that no other block has: only the rest goes back.
-    known = listed.join(counts, "word").where("n <> total").select("place", "total")
-    places = F.expr(f"place div {WORDS}").alias("block"), (F.col("place") % WORDS).alias("key")
-    known = known.select(*places, "total", F.lit("count").alias("kind"))
-    known = known.unionByName(
-        seen.join(arcs, "pair").select("block", F.col("pair").alias("key"), "total", F.lit("arc").alias("kind"))
+
+    some = some.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    arcs = stored(arcs_of(pairs(some, n_train // BUCKET + 1)))
+    masses = arcs.where("block IS NULL").select(F.explode(F.arrays_zip("first", "mass")).alias("m"))
+    masses = masses.groupBy(F.col("m.first").alias("first")).agg(F.sum("m.mass").alias("mass"))
+
+    # A block knows the count of a word that no other block has, and all arcs of its state:
+    # only the rest goes back.
+    shared = listed.join(counts, "word").where("n <> total").select("place", "total", F.xxhash64("word").alias("first"))
+    known = shared.join(masses, "first", "left").select(
+        F.expr(f"place div {WORDS}").alias("block"),
+        (F.col("place") % WORDS).alias("key"),
+        "total",
+        F.coalesce("mass", F.lit(0.0)).alias("mass"),
+        F.lit(None).cast("binary").alias("pairs"),
+        F.lit(None).cast("binary").alias("totals"),
     )
-    numbered = spark.createDataFrame(list(enumerate(frequent)), "total long, word string")
+    nothing = F.lit(None).cast("long")
     known = known.unionByName(
-        listed.join(F.broadcast(numbered), "word").select(*places, "total", F.lit("frequent").alias("kind"))
+        arcs.where("block IS NOT NULL").select(
+            "block", nothing.alias("key"), nothing.alias("total"), F.lit(None).cast("double").alias("mass"), "pairs", "totals"
+        )
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
@@ -202,41 +246,51 @@ def scored(docs: DataFrame) -> DataFrame:
     def one_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        return pa.table(_score(left, right, word_count, rest, n_train, n_words), schema=arrow)
+        return pa.table(_score(left, right, n_train, n_words), schema=arrow)
 
     return (
-        some.select("block", "doc_ids", "held", "sizes", "tokens", "counts")
+        some.select("block", "doc_ids", "held", "sizes", "tokens", "counts", "hashes")
         .groupBy("block")
         .cogroup(known.toDF(*known.columns).groupBy("block"))
         .applyInArrow(one_block, schema)
     )
 
 
-def _score(block: pa.Table, known: pa.Table, word_count, rest, n_train: int, n_words: int) -> list[pa.Array]:
-    """The result columns of one block. ``known`` has the training counts of words that other
-    blocks have too, the arcs that its pairs follow, and the places of its frequent words."""
-    key, total = (known.column(c).to_numpy() for c in ("key", "total"))
-    of_kind = {kind: pc.equal(known.column("kind"), kind).to_numpy() for kind in ("count", "arc", "frequent")}
+def _score(block: pa.Table, known: pa.Table, n_train: int, n_words: int) -> list[pa.Array]:
+    """The result columns of one block. ``known`` has the training counts and the arcs' mass of
+    words that other blocks have too, and the arcs that its pairs follow."""
+    packed = known.filter(pc.is_valid(known.column("pairs")))
+    arc, weight = (
+        np.frombuffer(b"".join(packed.column(c).to_pylist()), t) for c, t in (("pairs", np.uint64), ("totals", np.int64))
+    )
+    order = np.argsort(arc)
+    arc, weight = arc[order], weight[order]
+    known = known.filter(pc.is_valid(known.column("key")))
+    key, total, given = (known.column(c).to_numpy() for c in ("key", "total", "mass"))
     count = _cell(block, "counts").to_numpy().astype(np.float64)
-    count[key[of_kind["count"]]] = total[of_kind["count"]]
-    place = np.full(len(count), -1, np.int32)
-    place[key[of_kind["frequent"]]] = total[of_kind["frequent"]]
+    count[key] = total
     sizes = _cell(block, "sizes").to_numpy().astype(np.int64)
     start = np.cumsum(sizes) - sizes
-    tokens = _tokens(block)
+    tokens, state, _ = _states(block)
     single = ((count + ADD) / (n_train + ADD * (n_words + 1)))[tokens]
     n_known = np.add.reduceat(count[tokens] > 0, start, dtype=np.int64)
     base = np.add.reduceat(np.log10(single), start)
-    pair, state, _ = _pairs(block, place, max(1, len(word_count)))
     # Arcs of the states: the pair's place in the sorted list, if it is there.
-    arc, weight = key[of_kind["arc"]], total[of_kind["arc"]]
-    order = np.argsort(arc)
-    arc, weight = np.r_[arc[order], np.iinfo(np.int64).max], np.r_[weight[order], 0]
+    hashes = _hashes(block)
+    pair = _key(hashes[state], hashes[tokens])
     at = np.searchsorted(arc, pair)
-    follows = arc[at] == pair
+    follows = state >= 0
+    follows[follows] = np.r_[arc, np.uint64(0)][at[follows]] == pair[follows]
+    follows &= at < len(arc)
+    at, first = at[follows], state[follows]
+    place = np.zeros(len(arc), np.int64)
+    place[at] = first
+    mass = np.bincount(place, weights=weight - DISCOUNT, minlength=len(count))
+    mass[key] = given
+    rest = 1 - mass / np.maximum(count, 1)
     # A token at the root, or past a failure arc of weight ``rest``, has its own probability.
     chance = np.where(state >= 0, rest[state], 1.0) * single
-    chance[follows] += (weight[at[follows]] - DISCOUNT) / word_count[state[follows]]
+    chance[follows] += (weight[at] - DISCOUNT) / count[first]
     score = np.add.reduceat(np.log10(chance), start)
     out = _cell(block, "doc_ids"), _cell(block, "held")
     train = np.full(len(sizes), n_train, np.int64)

@@ -75,3 +75,13 @@ def test_odd_rows(spark):
     only_held = [(k, "some text") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
     got = lm.scored(spark.createDataFrame([(k, t, None, None, None) for k, t in only_held], DOCUMENTS)).collect()
     assert all(r["base_score"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in got)
+
+
+def test_pairs_of_rare_words_are_arcs(spark):
+    learnt = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10]
+    rows = [(k, "the word " * 2000) for k in learnt[:20]]
+    rows += [(learnt[20], "quimby zorblatt"), (learnt[21], "quimby zorblatt"), (learnt[22], "quimby word")]
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # Two in eighty thousand tokens: an arc all the same.
+    same(got, brute(rows, share=0))
+    assert all(r["score"] > r["base_score"] + 2 for r in got if r["doc_id"] in learnt[20:22])
