@@ -5,8 +5,12 @@ values are the protected entities. What stands around them can give them away, s
 is asked how strongly each term does: with c(t) occurrences of a term, of which n(t, e) are in
 a window around entity e, IC(e) - PMI(t; e) = -log2(n(t, e) / c(t)) bits about the entity
 remain unknown to a reader of the term. Terms that leave at most ``REMOVE_BITS`` are removed
-and those that leave at most ``GENERALISE_BITS`` generalised, near the entity. A term counts
-only with ``SUPPORT`` different windows, so copies of one passage are one observation.
+and those that leave at most ``GENERALISE_BITS`` generalised, near the entity.
+
+With ``whole``, as the query and the pipeline ask for, every pair of an entity and a term is
+judged, however few contexts it has: copies of one window are one observation, in n(t, e) and
+in c(t), and c(t) is smoothed by ``SMOOTH`` unseen occurrences. Without it a term counts only
+with ``SUPPORT`` different windows, and by its unsmoothed counts.
 
 Patterns run over whole texts. They are the plain ones with possessive repeats and with starts
 only where a run begins, which finds the same leftmost matches in linear time.
@@ -40,6 +44,8 @@ WORD = r"\p{L}[\p{L}\p{M}\p{N}]*+"
 #: Shorter words are no terms.
 TERM_LETTERS = 3
 SUPPORT = 3
+#: Occurrences elsewhere that a term is taken to have besides those in the corpus.
+SMOOTH = 1.0
 REMOVE_BITS, GENERALISE_BITS = 0.5, 2.0
 
 
@@ -158,7 +164,7 @@ def found_in(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, whole: bool = False) -> DataFrame:
     """``key, terms``: for texts with any, the spans of terms that disclose an entity near
     them, as ``array<struct<start, kind, end>>``."""
     near = found.where("key IS NOT NULL").select("key", F.explode("windows").alias("w"))
@@ -170,12 +176,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= SUPPORT)
+        .where(F.col("support") >= (1 if whole else SUPPORT))
     )
     # The whole corpus is counted; counts combine before the shuffle.
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_column()), F.lit(WORD), F.lit(0))).alias("term"))
     counts = words.where(F.length("term") >= TERM_LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-    unknown = -F.log2(F.least(F.lit(1.0), F.col("together") / F.col("total")))
+    share = F.col("together") / F.col("total")
+    if whole:
+        share = F.col("support") / (F.col("total") - F.col("together") + F.col("support") + SMOOTH)
+    unknown = -F.log2(F.least(F.lit(1.0), share))
     told = (
         seen.join(counts, "term")
         .select("entity", "term", unknown.alias("bits"))
@@ -209,10 +218,10 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Counts and spans of every document; see the module's notes for terms."""
     found = found_in(docs)
-    spanned = _with_terms(found, disclosing_terms(docs, found))
+    spanned = _with_terms(found, disclosing_terms(docs, found, whole))
 
     def count(*numbers: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"].isin(*numbers))).cast("long")
@@ -243,12 +252,12 @@ def _masked(text: Column, spans: Column) -> Column:
     )
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
+def sanitised(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The documents with base spans masked and disclosing terms removed or generalised. Texts
     without base spans, and all other columns, are as they were (``n_chars`` follows)."""
     found = found_in(docs)
     # The documents may have columns of any name.
-    terms = disclosing_terms(docs, found).select(F.col("key").alias("__of"), F.col("terms").alias("__terms"))
+    terms = disclosing_terms(docs, found, whole).select(F.col("key").alias("__of"), F.col("terms").alias("__terms"))
     names = docs.columns
     text = text_column()
     marked = docs.withColumn("__base", base_spans(text))

@@ -11,7 +11,7 @@ from panelspark.llm.common import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,15 @@ def test_no_python_in_the_plan(spark, capsys):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     pii.report(docs).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_whole_judges_terms_of_a_single_context(spark):
+    once = "Doctor Zorblatt can be reached on Monday, as always, at zorb@quimby.example.org."
+    for copies in (1, 50):
+        rows = [*((i, once) for i in range(copies)), *PLAIN]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        out = {r["doc_id"]: r["text"] for r in pii.sanitised(frame, whole=True).collect()}
+        # A single observation, repeated or not, leaves one bit unknown.
+        assert out[0] == "Doctor [WORD] can be reached on Monday, as always, at [EMAIL]."
+        assert out[100] == PLAIN[0][1]
+        assert {r["n_term"] for r in pii.report(frame, whole=True).collect()} == {0, 1}
