@@ -7,9 +7,11 @@ a window around entity e, IC(e) - PMI(t; e) = -log2(n(t, e) / c(t)) bits about t
 remain unknown to a reader of the term. Terms that leave at most ``REMOVE_BITS`` are removed
 and those that leave at most ``GENERALISE_BITS`` generalised, near the entity.
 
-With ``whole``, as the query and the pipeline ask for, every pair of an entity and a term is
-judged, however few contexts it has: copies of one window are one observation, in n(t, e) and
-in c(t), and c(t) is smoothed by ``SMOOTH`` unseen occurrences. Without it a term counts only
+With ``whole``, as the query and the pipeline ask for, the window is the whole document: all
+words of a text with base spans are judged, and changed wherever they stand in it. Every pair of
+an entity and a term is judged, however few contexts it has. n(t, e) and c(t) count documents,
+with copies of a text with base spans as one, and c(t) is smoothed by ``SMOOTH`` unseen ones.
+Entities that stand in the same texts are judged once. Without ``whole`` a term counts only
 with ``SUPPORT`` different windows, and by its unsmoothed counts.
 
 Patterns run over whole texts. They are the plain ones with possessive repeats and with starts
@@ -44,8 +46,10 @@ WORD = r"\p{L}[\p{L}\p{M}\p{N}]*+"
 #: Shorter words are no terms.
 TERM_LETTERS = 3
 SUPPORT = 3
-#: Occurrences elsewhere that a term is taken to have besides those in the corpus.
+#: Documents elsewhere that a term is taken to stand in besides those of the corpus.
 SMOOTH = 1.0
+#: Words whose places are added up at once.
+_STEP = 128
 REMOVE_BITS, GENERALISE_BITS = 0.5, 2.0
 
 
@@ -164,7 +168,19 @@ def found_in(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, whole: bool = False) -> DataFrame:
+def _counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``term, total`` over the whole corpus, of occurrences or of documents (``whole``); counts
+    combine before the shuffle."""
+    words = F.regexp_extract_all(F.lower(text_column()), F.lit(WORD), F.lit(0))
+    words = docs.select(F.explode(F.array_distinct(words) if whole else words).alias("term"))
+    return words.where(F.length("term") >= TERM_LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+
+
+def _kind(bits: Column) -> Column:
+    return F.when(bits <= REMOVE_BITS, NAMES.index(REMOVED)).otherwise(NAMES.index(GENERALISED))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``key, terms``: for texts with any, the spans of terms that disclose an entity near
     them, as ``array<struct<start, kind, end>>``."""
     near = found.where("key IS NOT NULL").select("key", F.explode("windows").alias("w"))
@@ -176,30 +192,140 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, whole: bool = False) ->
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= (1 if whole else SUPPORT))
+        .where(F.col("support") >= SUPPORT)
     )
-    # The whole corpus is counted; counts combine before the shuffle.
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_column()), F.lit(WORD), F.lit(0))).alias("term"))
-    counts = words.where(F.length("term") >= TERM_LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-    share = F.col("together") / F.col("total")
-    if whole:
-        share = F.col("support") / (F.col("total") - F.col("together") + F.col("support") + SMOOTH)
-    unknown = -F.log2(F.least(F.lit(1.0), share))
+    unknown = -F.log2(F.least(F.lit(1.0), F.col("together") / F.col("total")))
     told = (
-        seen.join(counts, "term")
+        seen.join(_counts(docs), "term")
         .select("entity", "term", unknown.alias("bits"))
         .where(F.col("bits") <= GENERALISE_BITS)
     )
-    kind = F.when(F.col("bits") <= REMOVE_BITS, NAMES.index(REMOVED)).otherwise(NAMES.index(GENERALISED))
     spans = near.select("key", "entity", "term", "start", "end").distinct().join(told, ["entity", "term"])
     return (
         spans.groupBy("key", "start", "end")
-        .agg(F.min(kind).alias("kind"))
+        .agg(F.min(_kind(F.col("bits"))).alias("kind"))
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
+    )
+
+
+def whole_found_in(docs: DataFrame) -> DataFrame:
+    """``doc_id, base, key, entities, gaps, words``, stored: as ``found_in``, but with the
+    text's entities, all its words outside base spans, and the code points before each word
+    since the one before it."""
+    spanned = docs.select("doc_id", text_column().alias("text")).withColumn("base", base_spans(F.col("text")))
+    some = F.size("base") > 0
+    spanned = spanned.withColumn("blank", F.when(some, _blanked(F.col("text"), F.col("base"))))
+    return stored(
+        spanned.select(
+            "doc_id",
+            "base",
+            F.when(some, F.sha2("text", 256)).alias("key"),
+            F.when(some, F.array_distinct(F.transform("base", _entity))).alias("entities"),
+            F.transform(F.split("blank", WORD, -1), F.length).alias("gaps"),
+            F.regexp_extract_all("blank", F.lit(WORD), F.lit(0)).alias("words"),
+        )
+    )
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of spans."""
+
+    def step(so_far: Column, span: Column) -> Column:
+        kept = F.substring(text, so_far["at"] + 1, F.greatest(F.lit(0), span["start"] - so_far["at"]))
+        size = F.greatest(F.lit(0), span["end"] - F.greatest(so_far["at"], span["start"]))
+        return F.struct(
+            F.greatest(so_far["at"], span["end"]).alias("at"),
+            F.concat(so_far["out"], kept, F.repeat(F.lit(" "), size)).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(
+        spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"]))
+    )
+
+
+def _placed_words(texts: DataFrame) -> DataFrame:
+    """``key, copies, term, start, end`` of all words long enough. Sizes are added up in steps of
+    ``_STEP`` words, and then within each, since a list that grows word by word is copied."""
+    sizes = F.transform("words", lambda word, at: F.get(F.col("gaps"), at) + F.length(word))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(_STEP))
+    steps = F.transform(
+        at,
+        lambda a: F.struct(
+            F.slice("sizes", a + 1, F.lit(_STEP)).alias("sizes"), F.slice("words", a + 1, F.lit(_STEP)).alias("words")
+        ),
+    )
+    add = lambda a, b: a + b
+
+    def begin(so_far: Column, step: Column) -> Column:
+        here = F.struct(so_far["at"].alias("at"), step["sizes"].alias("sizes"), step["words"].alias("words"))
+        return F.struct(
+            F.aggregate(step["sizes"], so_far["at"], add).alias("at"), F.concat(so_far["out"], F.array(here)).alias("out")
+        )
+
+    nothing = F.struct(F.lit(0).alias("at"), _none("at int, sizes array<int>, words array<string>").alias("out"))
+    parts = (
+        texts.where(F.size("words") > 0)
+        .withColumn("sizes", sizes)
+        .withColumn("steps", steps)
+        .select("key", "copies", F.explode(F.aggregate("steps", nothing, begin, lambda s: s["out"])).alias("part"))
+    )
+
+    def placed(so_far: Column, pair: Column) -> Column:
+        end = so_far["at"] + pair["sizes"]
+        word = F.struct(
+            F.lower(pair["words"]).alias("term"), (end - F.length(pair["words"])).alias("start"), end.alias("end")
+        )
+        return F.struct(end.alias("at"), F.concat(so_far["out"], F.array(word)).alias("out"))
+
+    start = F.struct(F.col("part.at").alias("at"), _none("term string, start int, end int").alias("out"))
+    words = F.aggregate(F.arrays_zip("part.sizes", "part.words"), start, placed, lambda s: s["out"])
+    out = parts.select("key", "copies", F.explode(words).alias("word")).select("key", "copies", "word.*")
+    return out.where(F.col("end") - F.col("start") >= TERM_LETTERS)
+
+
+def whole_disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, terms`` as from ``disclosing_terms``: all words of a text that disclose one of its
+    entities, by the texts that they stand in."""
+    copies = found.where("key IS NOT NULL").groupBy("key").agg(
+        F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("entities", "gaps", "words"))
+    )
+    texts = stored(copies)
+    words = _placed_words(texts)
+    occurring = words.select("key", "term", "copies").distinct()
+    # Only terms can pass of which enough texts have any entity.
+    inside = occurring.groupBy("term").agg(F.count(F.lit(1)).alias("most"), F.sum(F.expr("copies - 1")).alias("repeated"))
+    judged = (
+        inside.join(_counts(docs, whole=True), "term")
+        .select("term", "most", (F.col("total") - F.col("repeated") + SMOOTH).alias("total"))
+        .where(_unknown("most") <= GENERALISE_BITS)
+    )
+    terms = stored(occurring.join(judged, "term").select("key", "term", "total"))
+    # Entities that stand in the same texts are one group: their count and two fingerprints.
+    entities = texts.select("key", F.explode("entities").alias("entity"))
+    groups = entities.groupBy("entity").agg(
+        F.concat_ws(
+            ":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64(F.lit(1), F.col("key")))
+        ).alias("group")
+    )
+    members = entities.join(groups, "entity").select("key", "group").distinct()
+    pairs = stored(members.join(terms, "key"))
+    told = pairs.groupBy("group", "term").agg(F.count(F.lit(1)).alias("together"), F.first("total").alias("total"))
+    told = told.select("group", "term", _unknown("together").alias("bits")).where(F.col("bits") <= GENERALISE_BITS)
+    telling = pairs.select("group", "key", "term").join(told, ["group", "term"])
+    telling = telling.groupBy("key", "term").agg(F.min(_kind(F.col("bits"))).alias("kind"))
+    return (
+        words.join(telling, ["key", "term"])
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
     )
 
 
+def _unknown(together: str) -> Column:
+    return -F.log2(F.least(F.lit(1.0), F.col(together) / F.col("total")))
+
+
 def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     """``found`` with ``spans``: base spans and terms in order."""
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -218,10 +344,16 @@ def _listed(spans: Column) -> Column:
     )
 
 
+def _found(docs: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """What was found in the documents, and the disclosing terms of their texts."""
+    found = whole_found_in(docs) if whole else found_in(docs)
+    return found, whole_disclosing_terms(docs, found) if whole else disclosing_terms(docs, found)
+
+
 def report(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Counts and spans of every document; see the module's notes for terms."""
-    found = found_in(docs)
-    spanned = _with_terms(found, disclosing_terms(docs, found, whole))
+    found, terms = _found(docs, whole)
+    spanned = _with_terms(found.select("doc_id", "base", "key"), terms)
 
     def count(*numbers: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"].isin(*numbers))).cast("long")
@@ -255,9 +387,8 @@ def _masked(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The documents with base spans masked and disclosing terms removed or generalised. Texts
     without base spans, and all other columns, are as they were (``n_chars`` follows)."""
-    found = found_in(docs)
     # The documents may have columns of any name.
-    terms = disclosing_terms(docs, found, whole).select(F.col("key").alias("__of"), F.col("terms").alias("__terms"))
+    terms = _found(docs, whole)[1].select(F.col("key").alias("__of"), F.col("terms").alias("__terms"))
     names = docs.columns
     text = text_column()
     marked = docs.withColumn("__base", base_spans(text))

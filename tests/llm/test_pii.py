@@ -181,3 +181,51 @@ def test_whole_judges_terms_of_a_single_context(spark):
         assert out[0] == "Doctor [WORD] can be reached on Monday, as always, at [EMAIL]."
         assert out[100] == PLAIN[0][1]
         assert {r["n_term"] for r in pii.report(frame, whole=True).collect()} == {0, 1}
+
+
+def whole(rows):
+    """Terms of whole texts by plain counting: ``{text: [(start, kind, end)]}``."""
+    texts = {text for _, text in rows if base(text)}
+    copies = Counter(text for _, text in rows)
+    total, words, inside, entities = Counter(), {}, {}, defaultdict(set)
+    for text, n in copies.items():
+        for w in set(regex.findall(r"\p{L}[\p{L}\p{M}\p{N}]*+", (text or "").lower())):
+            total[w] += n
+    for text in texts:
+        blank = list(text)
+        for start, kind, end in base(text):
+            blank[start:end] = " " * (end - start)
+            entities[f"{kind}:" + re.sub("[^a-z0-9.@]", "", text[start:end].lower())].add(text)
+        found = regex.finditer(r"\p{L}[\p{L}\p{M}\p{N}]*+", "".join(blank))
+        words[text] = [(m[0].lower(), m.start(), m.end()) for m in found if len(m[0]) >= pii.TERM_LETTERS]
+        inside[text] = Counter({w for w, _, _ in words[text]})
+        for w in inside[text]:
+            total[w] -= copies[text] - 1
+    out = defaultdict(dict)
+    for where in entities.values():
+        n = sum((inside[text] for text in where), Counter())
+        for text in where:
+            for w, start, end in words[text]:
+                bits = -math.log2(min(1.0, n[w] / (total[w] + pii.SMOOTH)))
+                if bits <= pii.GENERALISE_BITS:
+                    kind = pii.NAMES.index(pii.REMOVED if bits <= pii.REMOVE_BITS else pii.GENERALISED)
+                    out[text][start, end] = min(kind, out[text].get((start, end), 9))
+    return {text: sorted([*base(text), *((s, k, e) for (s, e), k in out[text].items())]) for text in texts}
+
+
+def test_whole_documents(spark):
+    far = "Ask Zorblatt. " + "Doctor Who can be reached on Monday. " * 300 + "Write to zorb@quimby.example.org. " + "Quimby sleeps. " * 9 + "Zorblatt"
+    both = "The cards of Zork are 4111 1111 1111 1111 and 4242424242424242, of Zork or +1 (555) 010-9999."
+    rows = [*TELLING, *PLAIN, *enumerate(HARD, 300), (200, far), (201, far), (202, both), (203, both + " Zork"), (204, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want, names = whole(rows), dict(enumerate(pii.NAMES))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame, whole=True).collect()}
+    assert got == {key: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in want.get(text, [])) for key, text in rows}
+    masked = {r["doc_id"]: r["text"] for r in pii.sanitised(frame, whole=True).collect()}
+    # Thousands of characters away from the address.
+    assert "Zorblatt" not in masked[200] and "Doctor Who" in masked[200]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = whole(rows)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs, whole=True).collect()}
+    assert got == {key: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in want.get(text, [])) for key, text in rows}
