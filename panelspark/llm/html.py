@@ -4,7 +4,8 @@ Markup cuts a page into blocks. What cannot be article text by its place (menus,
 and footers, sidebars, notices, adverts, forms, reader comments; by element, role, or the words
 of class and id) is boilerplate from the start, but stays in order as a neighbour. The first
 pass labels every other block by link density, length and stop-word density as good, bad or
-ambiguous. In the second pass ambiguous blocks, short ones and headings above all, take the
+ambiguous. Stop words decide only if most of a page's long blocks read as a language with a list;
+on other pages length and links do, for blocks that are mostly letters. In the second pass ambiguous blocks, short ones and headings above all, take the
 label of the nearest decided neighbour. If a page marks its article, that is where good blocks
 are looked for.
 
@@ -24,19 +25,37 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import map_rows
 
-#: Function words of some languages (fixed values).
+#: Function words of some languages, those of langid's families among them (fixed values).
 STOP_WORDS = frozenset(
     "the of and to in a is that it for on was with as are be this by at from or an not which have "
     "der die das und zu den von mit dem des ein eine nicht ist auf für sich auch als an im "
     "le la les de des du et en un une est que qui dans pour par sur au avec pas ce il elle "
     "el los las y del se por con una su para no al lo como más o pero sus "
-    "di che è il per non sono della dei gli het een van niet zijn met voor os as um uma não com do da".split()
+    "di che è il per non sono della dei gli het een van niet zijn met voor os as um uma não com do da "
+    "och att det som är på av för till ett inte han hon den har med från var de kan om så sig vid eller "
+    "og i er til ikke jeg vi blev fra men også blir ble etter hadde når være skal ved å af efter havde "
+    "að sem var við ekki hann hún það því þegar eru ég en af um úr hefur þeir frá "
+    "și în este sunt cu pe la din care nu mai fost sau dar după prin fi au lui ce ale "
+    "amb els dels però també són aquest aquesta més hi ha fins seva va ser per als "
+    "и в во не на что он она с со как это по но из у за от о же для его их был была было были также при которые "
+    "і й що як це та але від до про його її були був була є під або між після яка який які "
+    "w z się nie jest że od przez dla są było był była jak oraz ale po już tym tego który która które ich "
+    "v ve že s se je jsou byl byla bylo jako pro které který která ale od po při k ze si aby také "
+    "sa že bol bola bolo ako pre ktoré ktorý ktorá od pri alebo aj sú nie už zo "
+    "е са се да за от със към като който която които беше бяха но или след при ще "
+    "је су се да у на од за као који која које али није био била било са из и након "
+    "su je u na od za kao koji koja koje ali nije bio bila bilo iz te ili nakon što kako još "
+    "in je so na za pri od kot ki pa ali ni bil bila bilo iz tudi ter da še po lahko".split()
 )
 #: Blocks shorter than this are ambiguous, longer ones can be good by themselves.
 SHORT, LONG = 70, 140
 #: Shares of a block's words that are stop words: some, and as in running text.
 SOME_STOPS, MANY_STOPS = 0.15, 0.25
 LINK_SHARE = 0.5
+#: Share of the long blocks' characters that is in listed languages, if stop words decide.
+LISTED_SHARE = 0.5
+#: From here on characters are mostly syllables or words and stand for so many letters.
+WIDE, LETTERS = "\u2e80", 3
 
 #: One piece of markup. Quotes only count after an equals sign; nothing is tried twice.
 _MARKUP = re.compile(
@@ -200,16 +219,30 @@ def blocks(page: str) -> list[_Block]:
     return found
 
 
+def _measured(text: str) -> tuple[int, float]:
+    """A text's length in letters, and the share of its words that are stop words."""
+    words = text.lower().split()
+    stops = sum(w.strip(".,;:!?()") in STOP_WORDS for w in words) / len(words)
+    return len(text) + (LETTERS - 1) * (not text.isascii() and sum(c >= WIDE for c in text)), stops
+
+
+def _lettered(text: str) -> bool:
+    """Whether most characters are letters, or marks on them."""
+    return 2 * sum(c.isalpha() or c >= "\u0300" for c in text) > len(text) - text.count(" ")
+
+
 def label(found: list[_Block]) -> None:
     """Both passes: every block becomes ``good`` or ``bad``."""
     marked = any(b.main and not b.boiler for b in found)
-    for block in found:
-        words = block.text.lower().split()
-        stops = sum(w.strip(".,;:!?()") in STOP_WORDS for w in words) / len(words)
-        size = len(block.text)
+    measured = [_measured(b.text) for b in found]
+    free = [
+        m for b, m in zip(found, measured) if not b.boiler and b.linked <= LINK_SHARE * len(b.text) and m[0] >= LONG
+    ]
+    listed = sum(size for size, stops in free if stops >= SOME_STOPS) >= LISTED_SHARE * sum(size for size, _ in free)
+    for block, (size, stops) in zip(found, measured):
         if block.boiler or marked and not block.main:
             block.label = "bad"
-        elif block.linked > LINK_SHARE * size:
+        elif block.linked > LINK_SHARE * len(block.text):
             block.label = "bad"
         elif block.heading:
             block.label = ""
@@ -217,7 +250,7 @@ def label(found: list[_Block]) -> None:
             block.label = "good" if size >= SHORT or stops >= SOME_STOPS else ""
         elif size < SHORT:
             block.label = ""
-        elif stops >= MANY_STOPS or size >= LONG and stops >= SOME_STOPS:
+        elif stops >= MANY_STOPS or size >= LONG and (stops >= SOME_STOPS or not listed and _lettered(block.text)):
             block.label = "good"
         else:
             block.label = "bad" if stops < SOME_STOPS and size >= LONG else ""

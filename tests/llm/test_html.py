@@ -67,3 +67,21 @@ def test_odd_rows(spark):
     assert html.extract(empty(spark, schema)).count() == 0
     long = "<article>" + f"<p>{PROSE}</p>" * 5000
     assert html.main_text(long).count("\n") == 4999
+
+
+def test_unmarked_pages_in_other_languages():
+    texts = {
+        "sv": "Det var en gång en gammal fiskare som bodde vid havet och som varje morgon rodde ut för att lägga sina nät, men den dagen kom han inte hem till middagen.",
+        "pl": "Stary rybak mieszkał nad morzem i każdego ranka wypływał łodzią, żeby zarzucić sieci, ale tego dnia nie wrócił do domu na obiad, który czekał na stole.",
+        "ru": "Старый рыбак жил у моря и каждое утро выходил на лодке, чтобы забросить сети, но в тот день он не вернулся домой к обеду, который ждал его на столе.",
+        "fi": "Vanha kalastaja asui meren rannalla ja souti joka aamu ulapalle laskemaan verkkonsa, mutta sinä päivänä hän palannut kotiin vasta myöhään illalla väsyneenä.",
+        "zh": "从前有一位老渔夫住在海边，每天早晨他都划着小船出海撒网，可是那一天他没有回家吃午饭，家里的人一直等到天黑，才看见他的小船慢慢靠近岸边。",
+    }
+    for text in texts.values():
+        page = f"""<body><div id="nav"><a href="/">x</a></div><div class="content"><h2>{text[:9]}</h2><p>{text}</p><p>{text[:20]}</p>
+        <p>{text}</p></div><div><a href="/a">{text}</a> <a href="/b">{text}</a></div><div class="cookie"><p>{text}</p></div></body>"""
+        assert html.main_text(page) == f"{text[:9].strip()}\n{text}\n{text[:20].strip()}\n{text}"
+    # Where a language has a list, a long row of names is no running text.
+    tags = "Zork Quimby Plugh Xyzzy " * 8
+    page = f"<body><div><p>{PROSE * 3}</p><p>{PROSE * 2}</p></div><div>{tags}</div></body>"
+    assert "Zork" not in html.main_text(page) and html.main_text(page).count("quick") == 5
