@@ -138,27 +138,34 @@ def _opened(name: str, rest: str, outer: _Open) -> _Open:
     return _Open(name, boiler, main, head)
 
 
+def _joined(texts: list[str]) -> str:
+    """Pieces of source text as they are read: references decoded, white space as one space."""
+    return " ".join(html.unescape("".join(texts)).split())
+
+
 def blocks(page: str) -> list[_Block]:
     """The page's blocks in order."""
     found: list[_Block] = []
     stack = [_Open("", _NO, False, False)]
     texts: list[str] = []
-    linked = links = breaks = 0
+    linked: list[list[str]] = []
+    links = breaks = 0
     heading = False
     here, size = 0, len(page)
 
     def close() -> None:
-        nonlocal linked, breaks
+        nonlocal breaks
         breaks = 0
         if texts:
-            text = " ".join(html.unescape("".join(texts)).split())
+            text = _joined(texts)
             texts.clear()
             if text:
                 inner = stack[-1]
                 # In an article's own header only the headline is article text.
                 boiler = inner.boiler or inner.head and not (inner.main and heading)
-                found.append(_Block(text, linked, inner.main, bool(boiler), heading))
-        linked = 0
+                found.append(_Block(text, sum(len(_joined(x)) for x in linked), inner.main, bool(boiler), heading))
+        # A link that goes on in the next block is a piece of its own there.
+        linked[:] = [[]]
 
     while here < size:
         match = _MARKUP.search(page, here)
@@ -168,7 +175,7 @@ def blocks(page: str) -> list[_Block]:
         if match.start() > here:
             texts.append(page[here : match.start()])
             if links:
-                linked += match.start() - here
+                linked[-1].append(texts[-1])
             if breaks and not texts[-1].isspace():
                 breaks = 0
         here = match.end()
@@ -211,6 +218,7 @@ def blocks(page: str) -> list[_Block]:
                 stack.pop()
         if name == "a":
             links = 1
+            linked.append([])
         if name in _NESTED and not match["rest"].endswith("/"):
             if name in ("button", "label"):
                 close()

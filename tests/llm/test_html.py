@@ -85,3 +85,11 @@ def test_unmarked_pages_in_other_languages():
     tags = "Zork Quimby Plugh Xyzzy " * 8
     page = f"<body><div><p>{PROSE * 3}</p><p>{PROSE * 2}</p></div><div>{tags}</div></body>"
     assert "Zork" not in html.main_text(page) and html.main_text(page).count("quick") == 5
+
+
+def test_links_are_measured_as_they_are_read():
+    linked = "".join(f"&#{ord(c)};" for c in "a fifth of it all")
+    text = f"<p>This paragraph has a link to <a href='/x'>{linked}</a> and goes on for a while after it, as they do.</p>"
+    page = f"<article><p>{PROSE}</p>{text}<p><a href='/y'>   Read   more\n  </a> here</p><p>{PROSE}</p></article>"
+    got = html.main_text(page).split("\n")
+    assert got == [PROSE.strip(), "This paragraph has a link to a fifth of it all and goes on for a while after it, as they do.", PROSE.strip()]
