@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import bpe, html, knn, langid, lm, media, packing, pii, simhash, warc
+from panelspark.llm import (
+    bpe,
+    credentials,
+    divergence,
+    html,
+    knn,
+    langid,
+    lm,
+    media,
+    packing,
+    pii,
+    simhash,
+    variants,
+    warc,
+)
 from panelspark.llm.common import table
 
 
@@ -50,6 +64,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,7 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_backoff_lm,
         op9_main_text,
         op10_media,
+        op11_secrets,
+        op12_divergence,
+        op13_variants,
     )
 }
 
-SQL: dict[str, str] = {"op3_top_k": knn.ORACLE, "op6_warc": warc.ORACLE}
+SQL: dict[str, str] = {"op3_top_k": knn.ORACLE, "op6_warc": warc.ORACLE, "op12_divergence": divergence.ORACLE}
