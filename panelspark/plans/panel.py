@@ -57,6 +57,11 @@ def numbered_calendar(sessions: DataFrame) -> DataFrame:
     )
 
 
+def broadcast_calendar(calendar: DataFrame) -> DataFrame:
+    """The calendar with a broadcast hint if its sessions are dates: only those are bounded."""
+    return F.broadcast(calendar) if isinstance(dtype(calendar, SESSION), T.DateType) else calendar
+
+
 def _listed(df: DataFrame) -> DataFrame:
     if isinstance(dtype(df, ENTITY), T.StringType):
         return df.where(valid_entity_code(F.col(ENTITY)))
@@ -184,7 +189,7 @@ def _by_entity():
 def with_rank(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """Attach session numbers; the calendar is one row per day, so it is broadcast."""
     extra = [c for c in calendar.columns if c != SESSION and c not in panel.columns]
-    table = F.broadcast(calendar.select(SESSION, *extra))
+    table = broadcast_calendar(calendar.select(SESSION, *extra))
     return panel.join(table, SESSION).select(*panel.columns, *extra)
 
 
@@ -198,7 +203,7 @@ def forward_label(panel: DataFrame, calendar: DataFrame, horizon: int) -> DataFr
     ahead = F.lead(SESSION, horizon).over(Window.orderBy(RANK))
     future = calendar.select(SESSION, RANK).withColumn("future_session", ahead)
     dated = panel.join(
-        F.broadcast(future.select(SESSION, "future_session")), SESSION, "left"
+        broadcast_calendar(future.select(SESSION, "future_session")), SESSION, "left"
     ).select(*panel.columns, "future_session")
     there = _by_entity().rangeBetween(horizon, horizon)
     price = F.max("adjusted_close").over(there)

@@ -1,17 +1,19 @@
 """Evidence for many threshold rules in one pass over the panel.
 
-Each panel row is tagged with the rules it satisfies. Tags aggregate, combining before
-the shuffle, to two tables of sufficient statistics: per (tag, session) and per
-(tag, entity). Rates, concentration, cluster-robust errors and intervals follow from
-those tables; only the return quantiles need the tagged rows again.
-
-A rule's baseline is every row on which all of its factors are known. Rows are first
-counted per (which factors are known, session) and per (…, entity); the few distinct
-patterns are then expanded to factor sets, so the baseline never multiplies the panel.
+Rules are boxes of thresholds. Panel rows are counted once per pair of factors, cell between
+thresholds, and session (or entity, or range of returns), combining before the shuffle; running
+sums over the cells give the sufficient statistics of every rule and of every baseline
+(``plans/cells.py``). Rates, concentration, cluster-robust errors, intervals and return
+quantiles follow from those tables. A rule that is no box is a cell of its own.
+
+A rule's baseline is every row on which all of its factors are known. The HAC sum uses two range
+windows instead of one join per lag. Quantiles of returns look again only at the rows whose
+return lies in a range that holds a wanted position of some rule.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,22 +27,40 @@ from panelspark.functions.statistics import (
     kish_count,
     wilson_bounds,
 )
-from panelspark.operators.quantiles import exact_quantiles
-from panelspark.plans.panel import ENTITY, RANK, SESSION, finite, numbered_calendar
+from panelspark.operators.quantiles import (
+    mean_size,
+    picked_quantiles,
+    value_bucket,
+    wanted_positions,
+)
+from panelspark.plans.cells import Boxes, Side
+from panelspark.plans.panel import (
+    ENTITY,
+    RANK,
+    SESSION,
+    broadcast_calendar,
+    finite,
+    numbered_calendar,
+)
 from panelspark.session import stored
 
 OUTCOMES = ("forward_return", "future_adjusted_close", "future_trade_date", "future_session")
 EXAMPLES = 5
-# Factor patterns are bits of one long; the factor list has 54 entries.
-MAX_FACTORS = 62
+QUANTILES = {"return_p05": 0.05, "median_return": 0.5}
+# A rule as the search writes it: one or two of these, joined by "and".
+_CONDITION = re.compile(
+    r"\s*\(?\s*([A-Za-z_]\w*)\s*(<=|>=)\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*\)?\s*"
+)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A boolean expression over factors, with the factors it refers to."""
+    """A boolean expression over factors, with the factors it refers to. ``conditions`` are its
+    ``(factor, operator, threshold)`` if it is one or two of them."""
 
     text: str
     factors: tuple[str, ...]
+    conditions: tuple[tuple[str, str, float], ...] = ()
 
 
 def make_rule(text: str, columns: Sequence[str]) -> Rule:
@@ -53,7 +73,11 @@ def make_rule(text: str, columns: Sequence[str]) -> Rule:
     unknown = sorted(names - set(factors) - {"and", "or", "not", "AND", "OR", "NOT"})
     if unknown:
         raise ValueError("a rule refers to unknown fields: " + ", ".join(unknown))
-    return Rule(text, factors)
+    parts = [_CONDITION.fullmatch(part) for part in re.split(r"(?i)\band\b", text)]
+    simple = len(parts) <= 2 and all(parts)
+    return Rule(
+        text, factors, tuple((m[1], m[2], float(m[3])) for m in parts) if simple else ()
+    )
 
 
 def clean_panel(panel: DataFrame, factors: Sequence[str], target_return: float) -> DataFrame:
@@ -81,77 +105,75 @@ def rule_select(panel: DataFrame, text: str) -> DataFrame:
     return known.where(F.expr(rule.text))
 
 
-def tag_rules(clean: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per (panel row, rule it satisfies); the rule's index is the tag."""
-    tags = F.array(*[F.when(F.expr(r.text), F.lit(i).cast("long")) for i, r in enumerate(rules)])
-    return clean.select(
-        F.explode(F.array_compact(tags)).alias("tag"), ENTITY, SESSION, "ret", "hit"
-    )
-
-
-def _cell_columns() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("matched"),
-        F.count("ret").alias("n"),
-        F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"),
-    ]
-
-
-def cells_by_session(tagged: DataFrame) -> DataFrame:
+def rule_boxes(rules: Sequence[tuple[int, Rule]], sets: Sequence[Sequence[str]]) -> Boxes:
+    """Boxes of tagged rules, and of the baselines of factor sets: set ``i`` has tag ``-(i + 1)``."""
+    factors = {f for _, rule in rules for f in rule.factors} | {f for s in sets for f in s}
+    values = {f: F.col(f) for f in sorted(factors)}
+    for tag, rule in rules:
+        if not rule.conditions:
+            values[f"rule:{tag}"] = F.when(F.expr(rule.text), 1.0)
+    for i, names in enumerate(sets):
+        if not 1 <= len(names) <= 2:
+            known = functools.reduce(Column.__and__, [F.col(f).isNotNull() for f in names], F.lit(True))
+            values[f"known:{i}"] = F.when(known, 1.0)
+    boxes = Boxes(values)
+    for tag, rule in rules:
+        # One order of two factors, so that a pair of them is one grid.
+        sides = [Side(*condition) for condition in sorted(rule.conditions)]
+        boxes.add(tag, *(sides or [Side(f"rule:{tag}")]))
+    for i, names in enumerate(sets):
+        sides = [Side(f) for f in sorted(names)] if 1 <= len(names) <= 2 else [Side(f"known:{i}")]
+        boxes.add(-(i + 1), *sides)
+    return boxes
+
+
+def sums_by_session(clean: DataFrame, boxes: Boxes) -> DataFrame:
     """Counts, return sums and a fingerprint of the selected rows per (tag, session).
 
     The fingerprint is the XOR of two independent 64-bit hashes of the row keys: equal
     sets give equal values in any order, and 128 bits keep different sets apart.
     """
-    return tagged.groupBy("tag", SESSION).agg(
-        *_cell_columns(),
+    stats = [
+        F.count(F.lit(1)).alias("matched"),
+        F.count("ret").alias("n"),
+        F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"),
         F.sum("ret").alias("s1"),
         F.sum(F.col("ret") * F.col("ret")).alias("s2"),
         F.bit_xor(F.xxhash64(ENTITY, SESSION)).alias("x1"),
         F.bit_xor(F.xxhash64(F.lit("second"), SESSION, ENTITY)).alias("x2"),
-    )
+    ]
+    cells = boxes.cells(clean, SESSION, [ENTITY, "ret", "hit"], stats)
+    return boxes.sums(cells, SESSION, ["matched", "n", "hits", "s1", "s2"], ["x1", "x2"])
 
 
-def cells_by_entity(tagged: DataFrame) -> DataFrame:
-    return (
-        tagged.where(F.col("ret").isNotNull())
-        .groupBy("tag", ENTITY)
-        .agg(F.count("ret").alias("n"), F.sum("hit").alias("hits"))
-    )
+def sums_by_entity(clean: DataFrame, boxes: Boxes) -> DataFrame:
+    """Observed rows and hits per (tag, entity)."""
+    stats = [F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")]
+    cells = boxes.cells(clean.where(F.col("ret").isNotNull()), ENTITY, ["hit"], stats)
+    return boxes.sums(cells, ENTITY, ["n", "hits"])
 
 
-def baseline_cells(
-    clean: DataFrame, factors: Sequence[str], sets: Sequence[Sequence[str]], key: str
+def return_quantiles(
+    clean: DataFrame, boxes: Boxes, chosen: DataFrame, bounds: Sequence[float | None]
 ) -> DataFrame:
-    """Counts per (factor set, key) over rows on which the whole set is known.
+    """``tag`` and the ``QUANTILES`` of its returns, for the tags in ``chosen``. ``bounds`` are
+    the least and greatest return and their mean size.
 
-    Set ``i`` gets tag ``-(i + 1)``. The expansion runs on the pre-aggregated patterns.
+    Rows are counted per cell and range of returns. A tag's counts tell which ranges hold its
+    wanted positions; only rows in such a range are looked at again, once per distinct value.
     """
-    names = list(dict.fromkeys(factors))
-    if len(names) > MAX_FACTORS:
-        raise ValueError(f"at most {MAX_FACTORS} factors")
-    bit = {f: 1 << i for i, f in enumerate(names)}
-    known = F.lit(0).cast("long")
-    for f in names:
-        known = known.bitwiseOR(F.when(F.col(f).isNotNull(), F.lit(bit[f])).otherwise(0))
-    patterns = clean.groupBy(known.alias("known"), key).agg(
-        *_cell_columns(), F.sum("ret").alias("s1")
-    )
-    masks = [sum(bit[f] for f in dict.fromkeys(s)) for s in sets]
-    rows = [(-(i + 1), m) for i, m in enumerate(masks)]
-    # One entry per factor set: at most 54 singles and 1,431 pairs.
-    wanted = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(m).alias("mask")) for t, m in rows])
-    return (
-        patterns.withColumn("s", F.explode(wanted))
-        .where(F.col("known").bitwiseAND(F.col("s.mask")) == F.col("s.mask"))
-        .groupBy(F.col("s.tag").cast("long").alias("tag"), key)
-        .agg(
-            F.sum("matched").alias("matched"),
-            F.sum("n").alias("n"),
-            F.sum("hits").alias("hits"),
-            F.sum("s1").alias("s1"),
-        )
-    )
+    present = clean.where(F.col("ret").isNotNull())
+    bounds = [F.lit(v).cast("double") for v in bounds]
+    ranged = present.withColumn("__b", value_bucket(F.col("ret"), *bounds))
+    count = F.count(F.lit(1)).alias("__c")
+    counts = boxes.sums(boxes.cells(ranged, "__b", [], [count]), "__b", ["__c"])
+    targets = stored(wanted_positions(counts.join(chosen, "tag", "left_semi"), ["tag"], QUANTILES))
+    near = ranged.join(targets.select("__b").distinct(), "__b", "left_semi")
+    values = boxes.placed(near, ["__b", "ret"]).groupBy("grid", "c1", "c2", "__b", "ret").agg(count)
+    held = boxes.met(values, targets.select("tag", "__b").distinct())
+    held = held.groupBy("tag", "__b", F.col("ret").alias("__q")).agg(F.sum("__c").alias("__c"))
+    most = targets.agg(F.max("__c")).first()[0] or 0
+    return picked_quantiles(held, targets, ["tag"], QUANTILES, max_bucket_rows=int(most))
 
 
 def rule_totals(by_session: DataFrame, by_entity: DataFrame) -> DataFrame:
@@ -325,47 +347,64 @@ def _bounds(positive: Column, matched: Column, observed: Column) -> tuple[Column
     return low, high
 
 
-def evidence_from_tags(
+def rule_evidence(
     clean: DataFrame,
-    tagged: DataFrame,
-    rules: DataFrame,
-    sets: Sequence[Sequence[str]],
-    factors: Sequence[str],
+    rules: Sequence[tuple[int, Rule]],
     *,
     lag: int,
     target_return: float,
-    max_rule_rows: int | None = None,
+    gate: Column | None = None,
 ) -> DataFrame:
-    """One evidence row per rule.
+    """One evidence row per tagged rule.
 
-    ``rules`` has ``rule`` (the tag), ``base`` (the tag of its factor set), ``formula``.
+    With ``gate``, a condition on the evidence, the quantiles of returns are worked out for the
+    rules that meet it; those of other rules with observations are null.
     """
-    calendar = F.broadcast(numbered_calendar(clean.select(SESSION).distinct()))
-    sessions = F.lit(clean.select(SESSION).distinct().count())
-    by_session = cells_by_session(tagged).unionByName(
-        baseline_cells(clean, factors, sets, SESSION), allowMissingColumns=True
+    sets = list(dict.fromkeys(rule.factors for _, rule in rules))
+    boxes = rule_boxes(rules, sets)
+    rows = [(tag, -(sets.index(rule.factors) + 1), rule.text) for tag, rule in rules]
+    table = clean.sparkSession.createDataFrame(rows, "rule long, base long, formula string")
+    days = clean.groupBy(SESSION).agg(
+        F.min("ret").alias("low"), F.max("ret").alias("high"), mean_size("ret").alias("size")
     )
-    # The two cell tables are the only results of the panel passes and feed everything
-    # below, so they are written once instead of being worked out per use.
-    by_session = stored(by_session.join(calendar, SESSION).drop(SESSION))
-    by_entity = stored(
-        cells_by_entity(tagged).unionByName(
-            baseline_cells(clean, factors, sets, ENTITY).where("n > 0").drop("matched", "s1")
-        )
+    # Any scale serves: it only shapes the ranges of returns.
+    sessions, *bounds = days.agg(F.count(F.lit(1)), F.min("low"), F.max("high"), F.avg("size")).first()
+    evidence = stored(
+        _evidence(clean, boxes, table, F.lit(sessions), lag=lag, target_return=target_return)
     )
+    chosen = evidence.where("sample_count > 0")
+    if gate is not None:
+        chosen = chosen.where(gate)
+    spread = return_quantiles(clean, boxes, chosen.select(F.col("rule").alias("tag")), bounds)
+    found = {name: F.when(F.col("sample_count") > 0, F.col(name)).otherwise(0.0) for name in QUANTILES}
+    joined = evidence.join(spread.withColumnRenamed("tag", "rule"), "rule", "left")
+    shown = [c for c in evidence.columns]
+    # Right after the mean, as the reports list them.
+    at = shown.index("mean_return") + 1
+    shown[at:at] = ["median_return", "return_p05"]
+    return joined.withColumns(found).select(*shown)
+
+
+def _evidence(
+    clean: DataFrame,
+    boxes: Boxes,
+    rules: DataFrame,
+    sessions: Column,
+    *,
+    lag: int,
+    target_return: float,
+) -> DataFrame:
+    """Evidence without the quantiles. ``rules`` has ``rule`` (the tag), ``base`` (the tag of its
+    factor set), ``formula``."""
+    calendar = broadcast_calendar(numbered_calendar(clean.select(SESSION).distinct()))
+    # The two tables of sums are the only results of the panel passes and feed everything
+    # below, so they are written once instead of being worked out per use.
+    by_session = stored(sums_by_session(clean, boxes).join(calendar, SESSION).drop(SESSION))
+    by_entity = stored(sums_by_entity(clean, boxes))
     totals = stored(
         _rate_errors(by_session, by_entity, rule_totals(by_session, by_entity), lag, sessions)
     )
     lift = _lift_errors(rules, by_session, by_entity, totals, lag, sessions)
-    if max_rule_rows is None:  # the cell tables already know the size of each rule
-        max_rule_rows = int(totals.where("tag >= 0").agg(F.max("n")).first()[0] or 0)
-    spread = exact_quantiles(
-        tagged.where(F.col("ret").isNotNull()),
-        ["tag"],
-        F.col("ret"),
-        {"return_p05": 0.05, "median_return": 0.5},
-        max_group_rows=max_rule_rows,
-    ).withColumnRenamed("tag", "rule")
     own = totals.withColumnRenamed("tag", "rule")
     base = totals.select(
         F.col("tag").alias("base"),
@@ -380,7 +419,6 @@ def evidence_from_tags(
         rules.join(own, "rule", "left")
         .join(base, "base", "left")
         .join(lift, "rule", "left")
-        .join(spread, "rule", "left")
     )
     zero = {
         c: 0
@@ -429,8 +467,6 @@ def evidence_from_tags(
         F.col("hits").alias("positive_count"),
         rate.alias("win_rate"),
         when(mean, 0.0).alias("mean_return"),
-        when(F.col("median_return"), 0.0).alias("median_return"),
-        when(F.col("return_p05"), 0.0).alias("return_p05"),
         when(F.sqrt(variance), 0.0).alias("return_std"),
         b_rate.alias("baseline_win_rate"),
         F.col("b_n").alias("baseline_sample_count"),
@@ -461,20 +497,12 @@ def evidence_from_tags(
     )
 
 
-def rule_table(spark, rules: Sequence[Rule]) -> tuple[DataFrame, list[tuple[str, ...]]]:
-    """Rules as a small table, with the list of distinct factor sets."""
-    sets = list(dict.fromkeys(r.factors for r in rules))
-    rows = [(i, -(sets.index(r.factors) + 1), r.text) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule long, base long, formula string"), sets
-
-
 def evaluate_rules(
     panel: DataFrame,
     formulas: Sequence[str],
     *,
     target_return: float = 0.0,
     lag: int = 0,
-    max_rule_rows: int | None = None,
 ) -> DataFrame:
     """Evidence for each formula: one row per rule, in no particular order.
 
@@ -482,19 +510,8 @@ def evaluate_rules(
     scanned a fixed number of times whatever the number of rules.
     """
     rules = [make_rule(text, panel.columns) for text in formulas]
-    factors = sorted({f for r in rules for f in r.factors})
-    clean = clean_panel(panel, factors, target_return)
-    table, sets = rule_table(panel.sparkSession, rules)
-    return evidence_from_tags(
-        clean,
-        tag_rules(clean, rules),
-        table,
-        sets,
-        factors,
-        lag=lag,
-        target_return=target_return,
-        max_rule_rows=max_rule_rows,
-    )
+    clean = clean_panel(panel, sorted({f for r in rules for f in r.factors}), target_return)
+    return rule_evidence(clean, list(enumerate(rules)), lag=lag, target_return=target_return)
 
 
 def event_examples(

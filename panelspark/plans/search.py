@@ -1,6 +1,6 @@
 """Search for one- and two-condition threshold rules with hold-out validation.
 
-Row-level work is Spark jobs over the panel: thresholds, tagging, evidence. What comes
+Row-level work is Spark jobs over the panel: thresholds, cells, evidence. What comes
 back to the driver is bounded by the factor list, not by the data: at most 54 factors x
 10 thresholds x 2 directions, and a pairing pool of twice the number of factors.
 """
@@ -127,7 +127,7 @@ class Condition:
 
     @property
     def rule(self) -> R.Rule:
-        return R.Rule(self.text, (self.factor,))
+        return R.Rule(self.text, (self.factor,), ((self.factor, self.operator, self.threshold),))
 
 
 def search_thresholds(clean: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -180,15 +180,15 @@ def raw_conditions(thresholds: DataFrame) -> list[Condition]:
 
 
 def single_evidence(
-    clean: DataFrame, conditions: Sequence[Condition], lag: int, target: float
+    clean: DataFrame,
+    conditions: Sequence[Condition],
+    lag: int,
+    target: float,
+    gate: Column | None = None,
 ) -> DataFrame:
     """Evidence of single conditions; ``rule`` is the index of the condition."""
-    rules = [c.rule for c in conditions]
-    table, sets = R.rule_table(clean.sparkSession, rules)
-    factors = sorted({c.factor for c in conditions})
-    return R.evidence_from_tags(
-        clean, R.tag_rules(clean, rules), table, sets, factors, lag=lag, target_return=target
-    )
+    rules = [(i, c.rule) for i, c in enumerate(conditions)]
+    return R.rule_evidence(clean, rules, lag=lag, target_return=target, gate=gate)
 
 
 def distinct_conditions(evidence: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
@@ -244,68 +244,31 @@ def compatible(a: Condition, b: Condition) -> bool:
     return low.threshold <= high.threshold
 
 
-def tag_pairs(clean: DataFrame, pool: Sequence[Condition], first_tag: int) -> DataFrame:
-    """One row per (panel row, pair of pool conditions it satisfies).
-
-    The tag is ``first_tag + a * len(pool) + b`` with ``a < b``. A row that satisfies
-    two conditions of one factor in opposite directions lies in their interval, so only
-    same-direction repeats need dropping. The pool has at most 108 conditions.
-    """
-    size = len(pool)
-    buckets = list(dict.fromkeys((c.factor, c.operator) for c in pool))
-    bucket = F.array(*[F.lit(buckets.index((c.factor, c.operator))) for c in pool])
-    met = F.array_compact(
-        F.array(*[F.when(F.expr(c.text), F.lit(i)) for i, c in enumerate(pool)])
-    )
-    return (
-        clean.select("entity", SESSION, "ret", "hit", met.alias("met"))
-        .withColumn("a", F.explode("met"))
-        .withColumn("b", F.explode("met"))
-        .where((F.col("a") < F.col("b")) & (bucket[F.col("a")] != bucket[F.col("b")]))
-        .select(
-            (first_tag + F.col("a") * size + F.col("b")).cast("long").alias("tag"),
-            "entity",
-            SESSION,
-            "ret",
-            "hit",
-        )
-    )
+def pair_rule(a: Condition, b: Condition) -> R.Rule:
+    factors = tuple(sorted({a.factor, b.factor}))
+    return R.Rule(f"({a.text}) and ({b.text})", factors, a.rule.conditions + b.rule.conditions)
 
 
 def search_pairs(
-    clean: DataFrame, pool: Sequence[Condition], first_tag: int, lag: int, target: float
+    clean: DataFrame,
+    pool: Sequence[Condition],
+    first_tag: int,
+    lag: int,
+    target: float,
+    gate: Column | None = None,
 ) -> tuple[DataFrame, int]:
-    """Evidence of every compatible pair, and how many pairs there are."""
+    """Evidence of every compatible pair, and how many pairs there are. The tag of a pair is
+    ``first_tag + a * len(pool) + b`` with ``a < b``."""
     pairs = [
-        (i, j, a, b)
+        (first_tag + i * len(pool) + j, a, b)
         for (i, a), (j, b) in combinations(enumerate(pool), 2)
         if compatible(a, b)
     ]
-    sets = list(dict.fromkeys(tuple(sorted({a.factor, b.factor})) for _, _, a, b in pairs))
-    place = {s: -(k + 1) for k, s in enumerate(sets)}
-    rows = [
-        (
-            first_tag + i * len(pool) + j,
-            place[tuple(sorted({a.factor, b.factor}))],
-            f"({a.text}) and ({b.text})",
-            a.source if a.source == b.source else "mixed",
-        )
-        for i, j, a, b in pairs
-    ]
-    table = clean.sparkSession.createDataFrame(
-        rows, "rule long, base long, formula string, source string"
-    )
-    factors = sorted({c.factor for c in pool})
-    evidence = R.evidence_from_tags(
-        clean,
-        tag_pairs(clean, pool, first_tag),
-        table.drop("source"),
-        sets,
-        factors,
-        lag=lag,
-        target_return=target,
-    )
-    return evidence.join(table.select("rule", "source"), "rule"), len(pairs)
+    sources = [(tag, a.source if a.source == b.source else "mixed") for tag, a, b in pairs]
+    table = clean.sparkSession.createDataFrame(sources, "rule long, source string")
+    rules = [(tag, pair_rule(a, b)) for tag, a, b in pairs]
+    evidence = R.rule_evidence(clean, rules, lag=lag, target_return=target, gate=gate)
+    return evidence.join(table, "rule"), len(pairs)
 
 
 def training_rank(candidates: DataFrame) -> DataFrame:
@@ -488,7 +451,9 @@ def search_training(
     conditions = raw_conditions(search_thresholds(clean, factors))
     if not conditions:
         raise ValueError("no factor has two distinct values in the training window")
-    tried = stored(distinct_conditions(single_evidence(clean, conditions, lag, target), conditions))
+    # Ranks need the quantiles of returns, and only of rules with enough evidence.
+    raw = single_evidence(clean, conditions, lag, target, gates.enough())
+    tried = stored(distinct_conditions(raw, conditions))
     evaluated = tried.count()
     # Coverage does not gate the pairing pool: a weak single may still combine well.
     pairable = tried.where(gates.enough())
@@ -498,9 +463,10 @@ def search_training(
     if max_conditions >= 2:
         pool = [conditions[r["rule"]] for r in pairing_pool(pairable).select("rule").collect()]
         if len(pool) > 1:
-            pairs, count = search_pairs(clean, pool, len(conditions), lag, target)
+            passed = gates.enough() & gates.covered()
+            pairs, count = search_pairs(clean, pool, len(conditions), lag, target, passed)
             evaluated += count
-            kept = pairs.where(gates.enough() & gates.covered())
+            kept = pairs.where(passed)
             candidates = candidates.unionByName(kept.select(*shape))
     candidates = stored(candidates)
     chosen = shortlist(training_rank(candidates), top_n)

@@ -254,10 +254,10 @@ def _cells(t):
     panel = stored(dataset(t))
     rules = [R.make_rule(text, panel.columns) for text in RULES]
     clean = R.clean_panel(panel, FACTORS, TARGET)
-    tagged = R.tag_rules(clean, rules)
+    boxes = R.rule_boxes(list(enumerate(rules)), [])
     calendar = E.numbered_calendar(clean.select("session").distinct())
-    days = stored(R.cells_by_session(tagged).join(F.broadcast(calendar), "session"))
-    entities = stored(R.cells_by_entity(tagged))
+    days = stored(R.sums_by_session(clean, boxes).join(E.broadcast_calendar(calendar), "session"))
+    entities = stored(R.sums_by_entity(clean, boxes))
     names = t.spark.createDataFrame(list(enumerate(RULES)), "tag long, formula string")
     return days, entities, F.lit(calendar.count()), names
 

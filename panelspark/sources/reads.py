@@ -48,7 +48,7 @@ def read_sessions(
     """All rows of the open sessions in a range; fails if a session has no row.
 
     ``sessions`` is a calendar with one DATE column ``session``: at most one row per
-    calendar day of the range, small enough to broadcast.
+    calendar day of the range, small enough to broadcast. Other types get no hint.
     """
     ranged = df.where(in_days(df, day, start, end)).withColumn(
         "__session", F.col(day).cast("date")
@@ -59,8 +59,10 @@ def read_sessions(
     observed = ranged.select("__session").distinct()
     absent = wanted.join(observed, "__session", "left_anti").agg(F.count(F.lit(1))).scalar()
     fail = F.raise_error(F.lit("a session in the range has no rows")).cast("boolean")
+    if isinstance(dtype(sessions, "session"), T.DateType):
+        wanted = F.broadcast(wanted)
     return (
-        ranged.join(F.broadcast(wanted), "__session", "left_semi")
+        ranged.join(wanted, "__session", "left_semi")
         .where(F.when(absent > 0, fail).otherwise(True))
         .select(*fields)
     )
