@@ -39,14 +39,14 @@ JOINED = re.compile(r"[.,](?<=[^\w\s].|_.)\s")
 #: Marks a word's end inside the automaton; it is no byte-level character.
 END = "\n"
 #: Chunks of text whose ids a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Slots of the table of compatibility answers (a power of two).
 PAIR_SLOTS = 1 << 20
 #: Words beyond this length are encoded one by one.
 LONG_WORD = 64
 #: Words encoded together, and characters of text handled together.
 WORDS_AT_ONCE = 10_000
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 250_000
 
 
 def word_bpe_path() -> str:
