@@ -202,12 +202,13 @@ def audit(docs: DataFrame) -> DataFrame:
         columns = list(zip(*out)) or [[]] * len(schema)
         return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    parts = dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(compare, PARTS)
-    # A term lies in one shard, so summing changes pairs only.
-    values = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    parts = stored(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(compare, PARTS))
     ranked = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    values = values.withColumn("rank", F.row_number().over(ranked))
-    return values.where((F.col("part") == "pair") | (F.col("rank") <= TOP))
+    rank = F.row_number().over(ranked)
+    pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # A term lies in one shard. Each task cuts its terms to the top before they are shuffled.
+    terms = parts.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= TOP)
+    return pairs.withColumn("rank", rank).unionByName(terms)
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
