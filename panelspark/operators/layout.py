@@ -19,8 +19,8 @@ Both plans give the same rows, which the tests check by forcing the second one.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -30,11 +30,57 @@ from panelspark.session import stored
 
 POSITION, BLOCK = "__position", "__block"
 _CHUNK, _SALT, _HOME, _START = "__chunk", "__salt", "__home", "__start"
+_STRETCH = "__stretch"
 
 ONE_TASK_ROWS = 4_000_000
 BLOCK_ROWS = 1_000_000
 
 
+def _moments(column: Column, over: WindowSpec | None) -> Column:
+    """Number, means, and sums of squares and products about the means of ``x`` and ``y``."""
+    x, y = column["x"], column["y"]
+    total = (lambda c: c) if over is None else (lambda c: c.over(over))
+    n = total(F.count(x)).cast("double")
+    about = {"qx": F.var_pop(x), "qy": F.var_pop(y), "xy": F.covar_pop(x, y)}
+    return F.struct(
+        n.alias("n"),
+        total(F.avg(x)).alias("x"),
+        total(F.avg(y)).alias("y"),
+        *[(total(c) * n).alias(name) for name, c in about.items()],
+    )
+
+
+def _both_moments(a: Column, b: Column) -> Column:
+    """Moments of two sets of rows; sums about different means add up with their distance."""
+    n = a["n"] + b["n"]
+    weight = a["n"] * b["n"] / n
+    x, y = b["x"] - a["x"], b["y"] - a["y"]
+    merged = F.struct(
+        n.alias("n"),
+        (a["x"] + x * b["n"] / n).alias("x"),
+        (a["y"] + y * b["n"] / n).alias("y"),
+        (a["qx"] + b["qx"] + x * x * weight).alias("qx"),
+        (a["qy"] + b["qy"] + y * y * weight).alias("qy"),
+        (a["xy"] + b["xy"] + x * y * weight).alias("xy"),
+    )
+    return F.when(F.coalesce(a["n"], F.lit(0)) == 0, b).when(F.coalesce(b["n"], F.lit(0)) == 0, a).otherwise(merged)
+
+
+def _total(kind: str, column: Column, over: WindowSpec | None = None) -> Column:
+    """An aggregate of a column, or of a struct of ``x`` and ``y`` for moments."""
+    if kind == "moments":
+        return _moments(column, over)
+    value = {"sum": F.sum, "min": F.min, "max": F.max}[kind](column)
+    return value if over is None else value.over(over)
+
+
+def _merged(kind: str, a: Column, b: Column) -> Column:
+    """Two aggregates of neighbouring rows as one; null is an aggregate of nothing."""
+    if kind == "moments":
+        return _both_moments(a, b)
+    return {"sum": F.coalesce(a + b, a, b), "min": F.least(a, b), "max": F.greatest(a, b)}[kind]
+
+
 def group_sizes(df: DataFrame, group_by: Sequence[str]) -> tuple[int, int]:
     """Rows in the largest group and in all: one scan, counted before the shuffle."""
     if not group_by:
@@ -74,6 +120,11 @@ class Layout:
     def split(self) -> bool:
         return self.block_rows is not None
 
+    @property
+    def plain(self) -> DataFrame:
+        """The frame without the layout's own columns."""
+        return self.frame.drop(*self._inner, _HOME)
+
     def numbered(self, output: str) -> DataFrame:
         """Add the 1-based position of each row in its group."""
         if self.split:
@@ -93,7 +144,7 @@ class Layout:
                 build(Window.partitionBy(*self.group_by).orderBy(*self.order))
             )
         if max(back, ahead) >= self.block_rows:
-            raise ValueError("a block must be longer than the window")
+            raise ValueError("a longer window needs sliding() or fetched()")
         within = (F.col(POSITION) - 1) % self.block_rows
         homes = F.array_compact(
             F.array(
@@ -110,6 +161,96 @@ class Layout:
             .drop(_HOME, *self._inner)
         )
 
+    def fetched(self, values: dict[str, Column], periods: int) -> Layout:
+        """Add the values that lie ``periods`` rows before (negative: after) each row."""
+        order = (lambda column: F.lag(column, periods)) if periods > 0 else (lambda column: F.lead(column, -periods))
+        if not self.split:
+            window = Window.partitionBy(*self.group_by).orderBy(*self.order)
+            return replace(self, frame=self.frame.withColumns({n: order(v).over(window) for n, v in values.items()}))
+        there = self.frame.select(
+            *self.group_by,
+            (F.col(POSITION) + periods).alias(POSITION),
+            *[v.alias(n) for n, v in values.items()],
+        )
+        kept = self.frame.drop(*values)
+        return replace(self, frame=key_join(kept, there, [*self.group_by, POSITION], "left", list(values)))
+
+    def sliding(self, length: int, states: Mapping[str, tuple[str, Column]]) -> Layout:
+        """Add aggregates over the last ``length`` rows: a kind (``sum``, ``min``, ``max`` or
+        ``moments``) and a column for each name."""
+        # Rows that are equal in the order must not change places between the steps below.
+        layout = self if self.split else replace(
+            self, frame=self.numbered(POSITION), order=(F.col(POSITION).asc(),)
+        )
+        piece = [*self.group_by, _STRETCH, *([BLOCK] if self.split else [])]
+        stretch = F.floor((F.col(POSITION) - 1) / length).cast("long")
+        frame = layout.frame.withColumns(
+            {_STRETCH: stretch, **{f"__v_{n}": column for n, (_, column) in states.items()}}
+        )
+        start = Window.partitionBy(*piece).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+        end = Window.partitionBy(*piece).orderBy(F.desc(POSITION)).rowsBetween(Window.unboundedPreceding, -1)
+        summed = frame.withColumns(
+            {
+                f"__{side}_{n}": _total(kind, F.col(f"__v_{n}"), rows)
+                for n, (kind, _) in states.items()
+                for side, rows in (("in", start), ("out", end))
+            }
+        )
+        kinds = {n: kind for n, (kind, _) in states.items()}
+        if self.split:
+            summed = self._between_pieces(frame, summed, piece, kinds)
+        summed = summed.drop(_STRETCH, *[f"__v_{n}" for n in states])
+        outs = {f"__out_{n}": F.col(f"__out_{n}") for n in states}
+        moved = replace(layout, frame=summed).fetched(outs, length).frame
+        merged = moved.withColumns(
+            {n: _merged(kind, F.col(f"__out_{n}"), F.col(f"__in_{n}")) for n, kind in kinds.items()}
+        ).drop(*outs, *[f"__in_{n}" for n in states])
+        return replace(self, frame=merged if self.split else merged.drop(POSITION))
+
+    def _between_pieces(
+        self, frame: DataFrame, summed: DataFrame, piece: list[str], kinds: Mapping[str, str]
+    ) -> DataFrame:
+        """Add what the other blocks of a stretch hold: those before for sums from its start,
+        those after for sums to its end. One small row per piece."""
+        stretch = Window.partitionBy(*self.group_by, _STRETCH).orderBy(BLOCK)
+        others = {
+            "in": stretch.rowsBetween(Window.unboundedPreceding, -1),
+            "out": stretch.rowsBetween(1, Window.unboundedFollowing),
+        }
+
+        def carried(name: str, kind: str, rows: WindowSpec) -> Column:
+            if kind != "moments":
+                return _total(kind, F.col(f"__v_{name}"), rows)
+            # As many as a stretch has blocks.
+            nothing = F.struct(*[F.lit(0.0).alias(f) for f in ("n", "x", "y", "qx", "qy", "xy")])
+            return F.aggregate(F.collect_list(f"__v_{name}").over(rows), nothing, _both_moments)
+
+        totals = frame.groupBy(*piece).agg(
+            *[_total(kind, F.col(f"__v_{n}")).alias(f"__v_{n}") for n, kind in kinds.items()]
+        )
+        names = {f"__c_{side}_{n}": (n, kind, side) for n, kind in kinds.items() for side in others}
+        carry = totals.withColumns({c: carried(n, kind, others[side]) for c, (n, kind, side) in names.items()})
+        joined = key_join(summed, carry, piece, "left", list(names))
+
+        def whole(name: str, kind: str, side: str) -> Column:
+            here, there = F.col(f"__{side}_{name}"), F.col(f"__c_{side}_{name}")
+            return _merged(kind, there, here) if side == "in" else _merged(kind, here, there)
+
+        return joined.withColumns({f"__{side}_{n}": whole(n, kind, side) for n, kind, side in names.values()}).drop(*names)
+
+    def chained(self, length: int, number: str) -> tuple[DataFrame, Column]:
+        """The frame in runs that a task can read row after row: ``number`` counts a run's rows
+        from 1, and the returned condition tells rows from copies of up to ``length - 1`` rows
+        before a run, which it needs to begin."""
+        if not self.split:
+            return self.numbered(number), F.lit(True)
+        size = max(self.block_rows, length)
+        run, inside = F.floor((F.col(POSITION) - 1) / size), (F.col(POSITION) - 1) % size
+        homes = F.array_compact(F.array(run, F.when(inside > size - length, run + 1)))
+        copied = self.frame.withColumn(_HOME, F.explode(homes))
+        window = Window.partitionBy(*self.group_by, _HOME).orderBy(POSITION)
+        return copied.withColumn(number, F.row_number().over(window).cast("long")), F.col(_HOME) == run
+
     def running(self, totals: dict[str, Column]) -> DataFrame:
         """Add running sums over the group up to and including the current row.
 

@@ -7,8 +7,13 @@ has at most one row per session. Without it the layout is chosen by size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import math
+from collections import deque
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +24,10 @@ from panelspark.operators.layout import Layout, lay_out
 from panelspark.operators.sessions import with_session_number
 
 _RANK = "__session"
+#: Windows up to this many rows are added up anew for each row, in one pass; longer ones slide.
+SHORT_WINDOW = 64
+#: Statistics of the last rows of a group.
+ROLLING = ("mean", "sum", "min", "max", "std", "quantile", "correlation", "covariance")
 
 
 def ordered(
@@ -43,7 +52,7 @@ def ordered(
     )
 
 
-def _rolling_value(
+def _short_value(
     function: str, x: Column, y: Column | None, q: float | None, frame: WindowSpec
 ) -> tuple[Column, Column]:
     """The windowed value and the windowed count of usable observations."""
@@ -64,13 +73,136 @@ def _rolling_value(
     }
     if function == "quantile":
         value = F.percentile(x, float(q)).over(frame)
-    elif function in simple:
-        value = simple[function](x).over(frame)
     else:
-        raise ValueError(f"unknown rolling function: {function}")
+        value = simple[function](x).over(frame)
     return value, F.count(x).over(frame)
 
 
+def _long_value(
+    layout: Layout, function: str, x: Column, y: Column | None, window: int
+) -> tuple[DataFrame, Column, Column]:
+    """The same from aggregates that slide over stretches of the window's length."""
+    paired = y is not None
+    used = F.when(y.isNotNull(), x) if paired else x
+    other = F.when(x.isNotNull(), y) if paired else x
+    states = {"__n": ("sum", F.when(used.isNotNull(), 1))}
+    if function in ("mean", "sum"):
+        states["__t"] = ("sum", used)
+    if function in ("std", "covariance", "correlation"):
+        states["__m"] = ("moments", F.struct(used.alias("x"), other.alias("y")))
+    for name, value in (("x", used), ("y", other)):
+        states[f"__lo_{name}"], states[f"__hi_{name}"] = ("min", value), ("max", value)
+    wanted = {
+        "mean": ("__t",),
+        "sum": ("__t",),
+        "min": ("__lo_x",),
+        "max": ("__hi_x",),
+        "std": ("__m", "__lo_x", "__hi_x"),
+        "covariance": ("__m",),
+        "correlation": ("__m", "__lo_x", "__hi_x", "__lo_y", "__hi_y"),
+    }[function]
+    frame = layout.sliding(window, {"__n": states["__n"], **{n: states[n] for n in wanted}}).frame
+    n = F.coalesce("__n", F.lit(0))
+    moment = lambda name: F.when(n > 1, F.col(f"__m.{name}") / (n - 1))
+
+    def deviation(name: str) -> Column:
+        # Equal values have no spread, whatever the last digits of their mean.
+        flat = (F.col(f"__lo_{name}") == F.col(f"__hi_{name}")) & (n > 1)
+        return F.when(flat, 0.0).otherwise(F.sqrt(moment(f"q{name}")))
+
+    value = {
+        "mean": lambda: F.try_divide(F.col("__t"), n),
+        "sum": lambda: F.col("__t"),
+        "min": lambda: F.col("__lo_x"),
+        "max": lambda: F.col("__hi_x"),
+        "std": lambda: deviation("x"),
+        "covariance": lambda: moment("xy"),
+        "correlation": lambda: F.try_divide(moment("xy"), deviation("x") * deviation("y")),
+    }[function]()
+    return frame, value, n
+
+
+class _Ordered:
+    """The values of a window in order, in short lists: one in, one out, and any position."""
+
+    def __init__(self) -> None:
+        self.lists: list[list[float]] = []
+        self.tops: list[float] = []
+        self.size = 0
+
+    def add(self, value: float) -> None:
+        self.size += 1
+        if not self.lists:
+            self.lists, self.tops = [[value]], [value]
+            return
+        at = min(bisect.bisect_left(self.tops, value), len(self.lists) - 1)
+        some = self.lists[at]
+        bisect.insort(some, value)
+        if len(some) > 2 * _LIST:
+            self.lists[at : at + 1] = some[:_LIST], some[_LIST:]
+            self.tops[at : at + 1] = some[_LIST - 1], some[-1]
+        else:
+            self.tops[at] = some[-1]
+
+    def remove(self, value: float) -> None:
+        self.size -= 1
+        at = bisect.bisect_left(self.tops, value)
+        some = self.lists[at]
+        del some[bisect.bisect_left(some, value)]
+        if some:
+            self.tops[at] = some[-1]
+        else:
+            del self.lists[at], self.tops[at]
+
+    def at(self, position: int) -> float:
+        for some in self.lists:
+            if position < len(some):
+                return some[position]
+            position -= len(some)
+        raise IndexError(position)
+
+    def quantile(self, q: float) -> float:
+        place = (self.size - 1) * q
+        low = math.floor(place)
+        a = self.at(low)
+        return a if place == low else a + (self.at(low + 1) - a) * (place - low)
+
+
+#: Values in one short list of a window, about.
+_LIST = 512
+
+
+def _long_quantile(layout: Layout, x: Column, q: float, window: int) -> tuple[DataFrame, Column, Column]:
+    """The quantile of the last ``window`` rows' values, and their number: tasks read rows in
+    order and hold one window, whose values enter and leave one by one."""
+    frame, own = layout.chained(window, "__row")
+    frame = frame.withColumns({"__x": x.cast("double"), "__own": own})
+    schema = T.StructType([*frame.schema.fields, T.StructField("__q", T.DoubleType()), T.StructField("__n", T.LongType())])
+    place, number = frame.columns.index("__x"), frame.columns.index("__row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[float | None] = deque()
+        values = _Ordered()
+        for batch in batches:
+            found, counts = [], []
+            for value, row in zip(batch.column(place).to_pylist(), batch.column(number).to_pylist()):
+                if row == 1:
+                    held, values = deque(), _Ordered()
+                held.append(value)
+                if value is not None:
+                    values.add(value)
+                if len(held) > window and (gone := held.popleft()) is not None:
+                    values.remove(gone)
+                found.append(values.quantile(q) if values.size else None)
+                counts.append(values.size)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.float64()), pa.array(counts, pa.int64())],
+                names=[*batch.schema.names, "__q", "__n"],
+            )
+
+    return frame.mapInArrow(run, schema).where("__own"), F.col("__q"), F.col("__n")
+
+
 def rolling(
     df: DataFrame,
     function: str,
@@ -95,6 +227,8 @@ def rolling(
     present. ``require_consecutive`` also blanks a window whose rows skip a session
     that exists elsewhere in the frame.
     """
+    if function not in ROLLING:
+        raise ValueError(f"unknown rolling function: {function}")
     if window < 2:
         raise ValueError("a window has two rows at least")
     if min_periods is not None and not 1 <= min_periods <= window:
@@ -113,19 +247,28 @@ def rolling(
         source, group_by, order_by, tie_break, max_group_rows=max_group_rows, block_rows=block_rows
     )
 
-    def build(base: WindowSpec) -> dict[str, Column]:
-        value, present = _rolling_value(
-            function, x, y, q, base.rowsBetween(-(window - 1), 0)
-        )
-        enough = present >= (min_periods or window)
-        if require_consecutive:
-            first = F.lag(_RANK, window - 1).over(base)
-            enough = enough & (F.col(_RANK) - first == window - 1)
-        return {output: F.when(enough, value)}
-
-    return layout.framed(build, back=window - 1).select(
-        *[c for c in columns if c != output], output
-    )
+    kept = [c for c in columns if c != output]
+    if window <= SHORT_WINDOW and (not layout.split or window <= layout.block_rows):
+
+        def build(base: WindowSpec) -> dict[str, Column]:
+            value, present = _short_value(function, x, y, q, base.rowsBetween(-(window - 1), 0))
+            enough = present >= (min_periods or window)
+            if require_consecutive:
+                first = F.lag(_RANK, window - 1).over(base)
+                enough = enough & (F.col(_RANK) - first == window - 1)
+            return {output: F.when(enough, value)}
+
+        return layout.framed(build, back=window - 1).select(*kept, output)
+    if require_consecutive:
+        layout = layout.fetched({"__first": F.col(_RANK)}, window - 1)
+    if function == "quantile":
+        frame, value, present = _long_quantile(layout, x, float(q), window)
+    else:
+        frame, value, present = _long_value(layout, function, x, y, window)
+    enough = present >= (min_periods or window)
+    if require_consecutive:
+        enough = enough & (F.col(_RANK) - F.col("__first") == window - 1)
+    return frame.select(*kept, F.when(enough, value).alias(output))
 
 
 def shifted(
@@ -148,6 +291,8 @@ def shifted(
     Negative periods look ahead. With ``require_consecutive`` both rows must lie
     exactly that many sessions apart.
     """
+    if function not in ("shift", "diff", "pct_change"):
+        raise ValueError(f"unknown shift function: {function}")
     if periods == 0:
         raise ValueError("periods must not be 0")
     columns = df.columns
@@ -157,25 +302,28 @@ def shifted(
         source, group_by, order_by, tie_break, max_group_rows=max_group_rows, block_rows=block_rows
     )
 
+    def shown(there: Column, rank: Column | None) -> Column:
+        if function == "shift":
+            value = there
+        else:
+            value = x - there if function == "diff" else divide(x, there) - 1
+        return value if rank is None else F.when(F.col(_RANK) - rank == periods, value)
+
     def build(base: WindowSpec) -> dict[str, Column]:
         def other(column: Column) -> Column:
             moved = F.lag(column, periods) if periods > 0 else F.lead(column, -periods)
             return moved.over(base)
 
-        if function == "shift":
-            value = other(x)
-        elif function == "diff":
-            value = x - other(x)
-        elif function == "pct_change":
-            value = divide(x, other(x)) - 1
-        else:
-            raise ValueError(f"unknown shift function: {function}")
-        if require_consecutive:
-            value = F.when(F.col(_RANK) - other(F.col(_RANK)) == periods, value)
-        return {output: value}
+        return {output: shown(other(x), other(F.col(_RANK)) if require_consecutive else None)}
 
+    kept = [c for c in columns if c != output]
+    if layout.split and abs(periods) >= layout.block_rows:
+        other = {"__other": x, **({"__rank": F.col(_RANK)} if require_consecutive else {})}
+        frame = layout.fetched(other, periods).frame
+        value = shown(F.col("__other"), F.col("__rank") if require_consecutive else None)
+        return frame.select(*kept, value.alias(output))
     framed = layout.framed(build, back=max(periods, 0), ahead=max(-periods, 0))
-    return framed.select(*[c for c in columns if c != output], output)
+    return framed.select(*kept, output)
 
 
 def cumulative_sum(

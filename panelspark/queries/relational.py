@@ -148,7 +148,14 @@ register(
 
 # --- filters ---------------------------------------------------------------------
 
-_COMPARE = {"gt": ">", "ge": ">=", "eq": "=", "le": "<=", "lt": "<"}
+register(
+    "filter_eq",
+    KEY + "vol:i",
+    lambda t: P.filter_rows(user_day(t), "vol", "eq", 2),
+    "SELECT entity, session, vol FROM user_day WHERE vol = 2",
+    UD,
+)
+_COMPARE = {"gt": ">", "ge": ">=", "le": "<=", "lt": "<"}
 for _name, _op in _COMPARE.items():
     register(
         f"filter_{_name}",

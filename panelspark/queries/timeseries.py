@@ -71,6 +71,55 @@ register(
     ),
     UD,
 )
+# Windows of ten thousand rows over three groups that grow with the table.
+_WIDE = 10_000
+_WIDE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_WIDE_W = f"""PARTITION BY l_returnflag ORDER BY {', '.join(_WIDE_ORDER)}
+  ROWS BETWEEN {_WIDE - 1} PRECEDING AND CURRENT ROW"""
+_WIDE_KEYS = "l_orderkey:i l_linenumber:i y:f"
+_WIDE_TIES = {"tie_break": _WIDE_ORDER[1:]}
+_WIDE_ROLLING = {
+    "mean": ("l_quantity", "avg(l_quantity) OVER w"),
+    "sum": ("l_quantity", "sum(l_quantity) OVER w"),
+    "min": ("l_extendedprice", "min(l_extendedprice) OVER w"),
+    "max": ("l_extendedprice", "max(l_extendedprice) OVER w"),
+    "std": ("l_discount", "stddev_samp(l_discount) OVER w"),
+    "quantile": ("l_extendedprice", "quantile_cont(l_extendedprice, 0.4) OVER w"),
+    "covariance": ("l_discount", "covar_samp(l_discount, l_tax) OVER w"),
+    "correlation": (
+        "l_discount",
+        "covar_samp(l_discount, l_tax) OVER w / (stddev_samp(l_discount) OVER w * stddev_samp(l_tax) OVER w)",
+    ),
+}
+for _name, (_field, _sql) in _WIDE_ROLLING.items():
+    register(
+        f"rolling_{_name}_wide",
+        _WIDE_KEYS,
+        lambda t, n=_name, f=_field: W.rolling(
+            t.lineitem,
+            n,
+            "y",
+            f,
+            ["l_returnflag"],
+            "l_shipdate",
+            _WIDE,
+            min_periods=100,
+            q=0.4 if n == "quantile" else None,
+            right_field="l_tax" if n in ("covariance", "correlation") else None,
+            **_WIDE_TIES,
+        ),
+        f"""SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER w >= 100 THEN {_sql} END AS y
+            FROM lineitem WINDOW w AS ({_WIDE_W})""",
+    )
+register(
+    "shift_wide",
+    _WIDE_KEYS,
+    lambda t: W.shifted(
+        t.lineitem, "diff", "y", "l_extendedprice", ["l_returnflag"], "l_shipdate", _WIDE, **_WIDE_TIES
+    ),
+    f"""SELECT l_orderkey, l_linenumber, l_extendedprice - lag(l_extendedprice, {_WIDE}) OVER (
+        PARTITION BY l_returnflag ORDER BY {', '.join(_WIDE_ORDER)}) AS y FROM lineitem""",
+)
 _NUMBERED = """numbered AS (SELECT u.*, n FROM user_day u JOIN
   (SELECT session, row_number() OVER (ORDER BY session) AS n
    FROM (SELECT DISTINCT session FROM user_day)) USING (session))"""
