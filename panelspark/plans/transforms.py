@@ -11,6 +11,9 @@ from panelspark.functions.semantics import key_join, number, require
 from panelspark.sources.reads import parse_day
 
 SHARE_LOOKBACK_DAYS = 40
+#: Length of a list of largest holders, and what is said of lists that are none.
+HOLDERS = 10
+MALFORMED, OUTSIDE = "malformed_holder_list", "total_outside_range"
 
 # Names under which pooled accounts appear in holder lists.
 OMNIBUS = r"(?i)香港中央结算|HKSCC|Hong Kong Securities Clearing"
@@ -64,10 +67,9 @@ def boundary_rows(
     days = df.select(F.col(day).alias("session")).where(F.col("session").between(first, last))
     seen = key_join(days.distinct(), sessions, ["session"], "left_semi", null_keys=False)
 
-    def edge(pick) -> Column:
-        return seen.agg(pick("session")).scalar()
-
-    return df.where((F.col(day) == edge(F.min)) | (F.col(day) == edge(F.max)))
+    # One subquery for both, so the distinct days are found once.
+    edges = seen.agg(F.array(F.min("session"), F.max("session")).alias("edges")).scalar()
+    return df.where(F.array_contains(edges, F.col(day)))
 
 
 def period_return_boundary(
@@ -113,74 +115,93 @@ def concentration(
     amount: str | None = None,
     shares: DataFrame | None = None,
     latest_only: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """Share of the float held by the ten largest holders, per entity and period.
 
-    Each period uses its latest announcement, which must list exactly ten distinct
-    holders. A missing ratio leaves the total missing and reports what is known, unless
-    all amounts and a share count (``shares``: entity, period, ``__shares``) are there,
-    in which case ratios follow from the amounts.
+    Each period uses its latest announcement. A missing ratio leaves the total missing and
+    reports what is known, unless all amounts and a share count (``shares``: entity, period,
+    ``__shares``) are there, in which case ratios follow from the amounts.
+
+    A list that does not have exactly ten rows with ten distinct holders, or a total outside
+    0-100 %, is a row of its own with that ``calculation_status``, its counts, and no ratios;
+    with ``strict`` it fails the job. Groups of any size are counted before they are shuffled.
     """
-    # Latest announcement (of the latest period): cut per task before the one shuffle,
-    # whose partitioning every step below reuses. Eleven rows are enough to see that a
-    # group is not ten, so a malformed group never reaches the aggregate whole.
     scope = [entity] if latest_only else [entity, period]
-    newest = Window.partitionBy(*scope).orderBy(F.desc(period), F.desc(announced))
-    rows = df.withColumn("__rank", F.rank().over(newest)).where("__rank = 1").drop("__rank")
-    rows = rows.dropDuplicates()
-    eleven = Window.partitionBy(*scope).orderBy(holder)
-    rows = rows.withColumn("__at", F.row_number().over(eleven)).where("__at <= 11").drop("__at")
+    keys = [entity, period, announced]
+    stamp = F.struct(period, announced)
+    newest = df.groupBy(*scope).agg(F.max(stamp).alias("__newest"))
+    rows = key_join(df, newest, scope, "inner", ["__newest"])
+    rows = rows.where(stamp.eqNullSafe(F.col("__newest"))).drop("__newest").dropDuplicates()
     rows = rows.withColumn("__r", number(rows, ratio)).withColumn(
         "__a", number(rows, amount) if amount else F.lit(None).cast("double")
     )
-    if shares is not None:
-        rows = key_join(rows, shares, [entity, period], "left", ["__shares"], null_keys=False)
-    else:
-        rows = rows.withColumn("__shares", F.lit(None).cast("double"))
     pooled = F.coalesce(F.col(holder).rlike(OMNIBUS), F.lit(False))
-    grouped = rows.groupBy(entity, period, announced).agg(
+
+    def zero(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0.0))
+
+    # First per holder, so that a long list combines before it meets in one place.
+    by_holder = rows.groupBy(*keys, holder).agg(
         F.count(F.lit(1)).alias("__rows"),
-        F.count_distinct(holder).alias("holder_count"),
         F.count("__r").alias("__known"),
-        F.coalesce(F.sum("__r"), F.lit(0.0)).alias("__ratio"),
+        F.sum("__r").alias("__r"),
         F.count("__a").alias("__amounts"),
-        F.sum("__a").alias("__amount"),
-        F.max("__shares").alias("__shares"),
-        F.coalesce(F.sum(F.when(pooled, F.col("__r"))), F.lit(0.0)).alias("__pooled_r"),
-        F.coalesce(F.sum(F.when(pooled, F.col("__a"))), F.lit(0.0)).alias("__pooled_a"),
-        F.sort_array(F.collect_list(F.when(F.col("__r").isNull(), F.col(holder)))).alias("__gaps"),
+        F.sum("__a").alias("__a"),
     )
-    checked = require(
-        grouped,
-        (F.col("__rows") == 10) & (F.col("holder_count") == 10),
-        "concentration needs exactly ten distinct holders per period",
+    grouped = by_holder.groupBy(*keys).agg(
+        F.sum("__rows").alias("__rows"),
+        F.count(holder).alias("holder_count"),
+        F.sum("__known").alias("__known"),
+        zero(F.col("__r")).alias("__ratio"),
+        F.sum("__amounts").alias("__amounts"),
+        F.sum("__a").alias("__amount"),
+        zero(F.when(pooled, F.col("__r"))).alias("__pooled_r"),
+        zero(F.when(pooled, F.col("__a"))).alias("__pooled_a"),
     )
+    # A proper list has ten names at most; each task cuts longer ones before the shuffle.
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(holder))
+    gaps = rows.where("__r IS NULL").select(*keys, holder).withColumn("__at", first).where(F.col("__at") <= HOLDERS)
+    gaps = gaps.groupBy(*keys).agg(F.sort_array(F.collect_list(holder)).alias("__gaps"))
+    grouped = key_join(grouped, gaps, keys, "left", ["__gaps"])
+    if shares is not None:
+        grouped = key_join(grouped, shares, [entity, period], "left", ["__shares"], null_keys=False)
+    else:
+        grouped = grouped.withColumn("__shares", F.lit(None).cast("double"))
     by_amount = (F.col("__amounts") == F.col("__rows")) & (F.col("__shares") > 0)
     by_amount = F.coalesce(by_amount, F.lit(False))
     scaled = F.least(F.col("__amount") / F.col("__shares") * 100, F.lit(100.0))
-    complete = by_amount | (F.col("__known") == F.col("__rows"))
+    known = by_amount | (F.col("__known") == F.col("__rows"))
     total = F.when(by_amount, scaled).otherwise(F.col("__ratio"))
     pooled_total = F.when(by_amount, F.col("__pooled_a") / F.col("__shares") * 100).otherwise(
         F.col("__pooled_r")
     )
-    checked = require(
-        checked, ~complete | total.between(0, 100), "concentration is outside 0-100%"
+    ten = (F.col("__rows") == HOLDERS) & (F.col("holder_count") == HOLDERS)
+    inside = ~known | total.between(0, 100)
+    status = (
+        F.when(~ten, MALFORMED)
+        .when(~inside, OUTSIDE)
+        .when(known, "complete")
+        .otherwise("partial_missing_ratio")
     )
-    return checked.select(
-        entity,
-        period,
-        announced,
+    if strict:
+        grouped = require(grouped, ten, "concentration needs exactly ten distinct holders per period")
+        grouped = require(grouped, inside, "concentration is outside 0-100%")
+    complete, partial = (F.col("calculation_status") == s for s in ("complete", "partial_missing_ratio"))
+    nobody = F.array().cast("array<string>")
+    return grouped.withColumn("calculation_status", status).select(
+        *keys,
         F.when(complete, F.round(total, 4)).alias("cr10_float_registered"),
         F.when(complete, F.round(100 - total, 4)).alias("non_top10_float_ratio"),
-        F.when(~complete, F.round("__ratio", 4)).alias("known_top_holder_float_ratio"),
-        F.when(~complete, F.round(100 - F.col("__ratio"), 4)).alias(
+        F.when(partial, F.round("__ratio", 4)).alias("known_top_holder_float_ratio"),
+        F.when(partial, F.round(100 - F.col("__ratio"), 4)).alias(
             "uncovered_float_ratio_upper_bound"
         ),
         F.when(complete, F.round(pooled_total, 4)).alias("omnibus_float_ratio"),
         "holder_count",
         F.when(by_amount, F.col("__rows")).otherwise(F.col("__known")).alias("ratio_holder_count"),
-        F.when(by_amount, F.array().cast("array<string>"))
-        .otherwise(F.col("__gaps"))
+        F.when(by_amount | ~(complete | partial), nobody)
+        .otherwise(F.coalesce("__gaps", nobody))
         .alias("missing_ratio_holders"),
-        F.when(complete, "complete").otherwise("partial_missing_ratio").alias("calculation_status"),
+        "calculation_status",
     )

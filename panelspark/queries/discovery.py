@@ -331,13 +331,16 @@ register(
 register(
     "event_examples",
     "formula:s position:i entity:i session:d forward_return:f value:f",
-    lambda t: R.event_examples(dataset(t), list(RULES)[:1]).withColumn(
+    lambda t: R.event_examples(dataset(t), list(RULES)).withColumn(
         "value", F.col("factor_values")["return_5d_pct"]
     ),
-    f"""SELECT '{list(RULES)[0]}' AS formula,
-        row_number() OVER (ORDER BY session DESC, entity) AS position, entity, session,
-        ret AS forward_return, return_5d_pct AS value FROM research
-        WHERE {list(RULES)[0]} AND ret IS NOT NULL ORDER BY session DESC, entity LIMIT 5""",
+    " UNION ALL ".join(
+        f"""SELECT '{text}' AS formula, row_number() OVER (ORDER BY session DESC, entity) AS position,
+        entity, session, ret AS forward_return,
+        {'return_5d_pct' if 'return_5d_pct' in factors else 'CAST(NULL AS DOUBLE)'} AS value
+        FROM research WHERE {text} AND ret IS NOT NULL QUALIFY position <= {R.EXAMPLES}"""
+        for text, factors in RULES.items()
+    ),
     RESEARCH,
 )
 

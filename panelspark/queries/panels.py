@@ -178,7 +178,8 @@ ERROR_DAYS = """error_days AS (
 def holders(t: Tables) -> DataFrame:
     """The ten biggest parts of each supplier-year as its ten biggest holders.
 
-    ``hold_ratio`` is the part's percentage of the supplier-year's quantity.
+    ``hold_ratio`` is the part's percentage of the supplier-year's quantity. A supplier-year
+    with fewer parts is a list that is too short.
     """
     yearly = t.lineitem.groupBy(
         F.col("l_suppkey").alias("entity"),
@@ -188,7 +189,7 @@ def holders(t: Tables) -> DataFrame:
     # The totals of a supplier-year are an aggregate joined back, so no supplier is
     # held whole in one task; the top ten are cut per task before the shuffle.
     totals = yearly.groupBy(F.col("entity").alias("te"), F.col("year").alias("ty")).agg(
-        F.sum("hold_amount").alias("total"), F.count(F.lit(1)).alias("parts")
+        F.sum("hold_amount").alias("total")
     )
     w = Window.partitionBy("entity", "year").orderBy(F.col("hold_amount").desc(), "holder")
     top = (
@@ -196,7 +197,6 @@ def holders(t: Tables) -> DataFrame:
     )
     return (
         top.join(totals, (F.col("entity") == F.col("te")) & (F.col("year") == F.col("ty")))
-        .where(F.col("parts") >= 10)
         .join(t.part, F.col("holder") == F.col("p_partkey"))
         .select(
             "entity",
@@ -219,11 +219,10 @@ HOLDERS = """yearly AS (
     sum(l_quantity) AS hold_amount FROM lineitem GROUP BY 1, 2, 3),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY hold_amount DESC, holder) AS rn,
-    sum(hold_amount) OVER (PARTITION BY entity, year) AS total,
-    count(*) OVER (PARTITION BY entity, year) AS parts FROM yearly),
+    sum(hold_amount) OVER (PARTITION BY entity, year) AS total FROM yearly),
 holders AS (
   SELECT entity, make_date(year, 12, 31) AS end_date, make_date(year + 1, 3, 31) AS ann_date,
     p_name || ' ' || CAST(holder AS VARCHAR) AS holder_name, hold_amount,
     CASE WHEN p_brand <> 'Brand#1' THEN hold_amount / total * 100 END AS hold_ratio,
     total AS free_share
-  FROM ranked JOIN part ON holder = p_partkey WHERE rn <= 10 AND parts >= 10)"""
+  FROM ranked JOIN part ON holder = p_partkey WHERE rn <= 10)"""

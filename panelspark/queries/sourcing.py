@@ -108,14 +108,14 @@ register(
     "scan_by_universe",
     "universe_count:i successful_count:i missing_count:i",
     lambda t: reads.universe_coverage(
-        t.orders.where(F.col("o_totalprice") > 400_000).select(F.col("o_custkey").alias("entity")),
+        t.orders.select(F.col("o_custkey").alias("entity")),
         security_master(t),
         "entity",
     ),
     """SELECT count(*) AS universe_count, count(o) AS successful_count,
        count(*) - count(o) AS missing_count
        FROM (SELECT DISTINCT entity FROM master) LEFT JOIN
-         (SELECT DISTINCT o_custkey AS o FROM orders WHERE o_totalprice > 400000) ON entity = o""",
+         (SELECT DISTINCT o_custkey AS o FROM orders) ON entity = o""",
     (MASTER,),
 )
 register(
@@ -305,59 +305,65 @@ def _cr(t, **options):
     )
 
 
+# ``ten`` holds for a list of ten holders, ``known`` counts ratios, ``ok`` is a usable share count.
 _CR_SQL = """SELECT entity, end_date, max(ann_date) AS ann_date,
-  CASE WHEN count(hold_ratio) = 10 THEN round(sum(hold_ratio), 4) END AS cr10_float_registered,
-  CASE WHEN count(hold_ratio) = 10 THEN round(100 - sum(hold_ratio), 4) END AS non_top10_float_ratio,
-  CASE WHEN count(hold_ratio) < 10 THEN round(coalesce(sum(hold_ratio), 0), 4) END
+  CASE WHEN NOT ten THEN NULL
+    WHEN ok THEN round(least(sum(hold_amount) / max(shares) * 100, 100), 4)
+    WHEN known = 10 THEN round(sum(hold_ratio), 4) END AS cr10_float_registered,
+  CASE WHEN NOT ten THEN NULL
+    WHEN ok THEN round(100 - least(sum(hold_amount) / max(shares) * 100, 100), 4)
+    WHEN known = 10 THEN round(100 - sum(hold_ratio), 4) END AS non_top10_float_ratio,
+  CASE WHEN ten AND NOT ok AND known < 10 THEN round(coalesce(sum(hold_ratio), 0), 4) END
     AS known_top_holder_float_ratio,
-  CASE WHEN count(hold_ratio) < 10 THEN round(100 - coalesce(sum(hold_ratio), 0), 4) END
+  CASE WHEN ten AND NOT ok AND known < 10 THEN round(100 - coalesce(sum(hold_ratio), 0), 4) END
     AS uncovered_float_ratio_upper_bound,
-  CASE WHEN count(hold_ratio) = 10 THEN 0.0 END AS omnibus_float_ratio,
-  count(DISTINCT holder_name) AS holder_count, count(hold_ratio) AS ratio_holder_count,
+  CASE WHEN ten AND (ok OR known = 10) THEN 0.0 END AS omnibus_float_ratio,
+  count(DISTINCT holder_name) AS holder_count,
+  CASE WHEN ok THEN count(*) ELSE known END AS ratio_holder_count,
   coalesce(string_agg(holder_name, '|' ORDER BY holder_name)
-    FILTER (WHERE hold_ratio IS NULL), '') AS missing_ratio_holders,
-  CASE WHEN count(hold_ratio) = 10 THEN 'complete' ELSE 'partial_missing_ratio' END
-    AS calculation_status
-  FROM {source} GROUP BY 1, 2"""
-register(
-    "cr10_complete",
-    _CR_OUT,
-    lambda t: _cr(t).where(F.col("calculation_status") == "complete"),
-    _CR_SQL.format(source="holders") + " HAVING count(hold_ratio) = 10",
-    (HOLDERS,),
-)
-register(
-    "cr10_partial",
-    _CR_OUT,
-    lambda t: _cr(t).where(F.col("calculation_status") == "partial_missing_ratio"),
-    _CR_SQL.format(source="holders") + " HAVING count(hold_ratio) < 10",
-    (HOLDERS,),
-)
+    FILTER (WHERE hold_ratio IS NULL AND NOT ok AND ten), '') AS missing_ratio_holders,
+  CASE WHEN NOT ten THEN 'malformed_holder_list' WHEN ok OR known = 10 THEN 'complete'
+    ELSE 'partial_missing_ratio' END AS calculation_status
+  FROM (SELECT h.*, {shares} AS shares, {shares} IS NOT NULL AS ok,
+          count(hold_ratio) OVER (PARTITION BY h.entity, h.end_date) AS known,
+          count(*) OVER (PARTITION BY h.entity, h.end_date) = 10 AS ten
+        FROM {source})
+  GROUP BY entity, end_date, ok, known, ten"""
+_CR_PLAIN = _CR_SQL.format(source="holders h", shares="CAST(NULL AS DOUBLE)")
+
+
+def _cr_of(status):
+    return (
+        lambda t: _cr(t).where(F.col("calculation_status") == status),
+        f"SELECT * FROM ({_CR_PLAIN}) WHERE calculation_status = '{status}'",
+        (HOLDERS,),
+    )
+
+
+register("cr10_complete", _CR_OUT, *_cr_of("complete"))
+register("cr10_partial", _CR_OUT, *_cr_of("partial_missing_ratio"))
+register("cr10_malformed", _CR_OUT, *_cr_of(X.MALFORMED))
 register(
     "cr10_latest",
     _CR_OUT,
     lambda t: _cr(t, latest_only=True),
     _CR_SQL.format(
         source="""(SELECT h.* FROM holders h JOIN (SELECT entity, max(end_date) AS end_date
-        FROM holders GROUP BY 1) USING (entity, end_date))"""
+        FROM holders GROUP BY 1) USING (entity, end_date)) h""",
+        shares="CAST(NULL AS DOUBLE)",
     ),
     (HOLDERS,),
 )
 
 
 def _shares(t):
-    """The supplier's total of the year, known from each of its ship days in December."""
+    """The supplier's total of the year, known from each of its ship days."""
     yearly = holders(t).groupBy("entity", F.year("end_date").alias("year")).agg(
         F.max("free_share").alias("total")
     )
-    days = (
-        t.lineitem.where(F.month("l_shipdate") == 12)
-        .select(
-            F.col("l_suppkey").alias("e"),
-            F.col("l_shipdate").cast("date").alias("day"),
-        )
-        .distinct()
-    )
+    days = t.lineitem.select(
+        F.col("l_suppkey").alias("e"), F.col("l_shipdate").cast("date").alias("day")
+    ).distinct()
     joined = yearly.join(days, (F.col("entity") == F.col("e")) & (F.col("year") == F.year("day")))
     return joined.select(
         "entity",
@@ -378,30 +384,14 @@ register(
     "cr10_from_amounts",
     _CR_OUT,
     _cr_amounts,
-    """SELECT entity, end_date, max(ann_date) AS ann_date,
-  CASE WHEN ok THEN round(least(sum(hold_amount) / max(shares) * 100, 100), 4)
-    WHEN known = 10 THEN round(sum(hold_ratio), 4) END AS cr10_float_registered,
-  CASE WHEN ok THEN round(100 - least(sum(hold_amount) / max(shares) * 100, 100), 4)
-    WHEN known = 10 THEN round(100 - sum(hold_ratio), 4) END AS non_top10_float_ratio,
-  CASE WHEN NOT ok AND known < 10 THEN round(coalesce(sum(hold_ratio), 0), 4) END
-    AS known_top_holder_float_ratio,
-  CASE WHEN NOT ok AND known < 10 THEN round(100 - coalesce(sum(hold_ratio), 0), 4) END
-    AS uncovered_float_ratio_upper_bound,
-  CASE WHEN ok OR known = 10 THEN 0.0 END AS omnibus_float_ratio,
-  count(DISTINCT holder_name) AS holder_count,
-  CASE WHEN ok THEN 10 ELSE known END AS ratio_holder_count,
-  coalesce(string_agg(holder_name, '|' ORDER BY holder_name)
-    FILTER (WHERE hold_ratio IS NULL AND NOT ok), '') AS missing_ratio_holders,
-  CASE WHEN ok OR known = 10 THEN 'complete' ELSE 'partial_missing_ratio' END
-    AS calculation_status
-  FROM (SELECT h.*, s.shares, s.shares IS NOT NULL AS ok,
-          count(hold_ratio) OVER (PARTITION BY h.entity, h.end_date) AS known
-        FROM holders h LEFT JOIN share_rows s ON s.entity = h.entity AND s.end_date = h.end_date)
-  GROUP BY entity, end_date, ok, known""",
+    _CR_SQL.format(
+        source="holders h LEFT JOIN share_rows s ON s.entity = h.entity AND s.end_date = h.end_date",
+        shares="s.shares",
+    ),
     (
         HOLDERS,
         """ship_days AS (SELECT DISTINCT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS day
-          FROM lineitem WHERE month(l_shipdate) = 12)""",
+          FROM lineitem)""",
         """totals AS (SELECT entity, end_date, max(free_share) AS total FROM holders GROUP BY 1, 2)""",
         """shares_day AS (SELECT t.entity, d.day, t.total / 10000 AS free_share FROM totals t
           JOIN ship_days d ON d.entity = t.entity AND year(d.day) = year(t.end_date))""",
@@ -423,7 +413,7 @@ register(
         **_CR,
         ratio="hold_ratio",
     ),
-    """SELECT entity, end_date, CASE WHEN count(hold_ratio) = 10 THEN round(coalesce(
+    """SELECT entity, end_date, CASE WHEN count(*) = 10 AND count(hold_ratio) = 10 THEN round(coalesce(
          sum(hold_ratio) FILTER (WHERE contains(holder_name, 'ring')), 0), 4) END
        AS omnibus_float_ratio FROM holders GROUP BY 1, 2""",
     (HOLDERS,),

@@ -149,7 +149,7 @@ def test_concentration_needs_ten_holders(spark):
     df = spark.createDataFrame(rows, "entity string, end_date date, ann_date date, holder string, ratio double")
     run = lambda d: X.concentration(d, "entity", "end_date", "ann_date", "holder", "ratio")
     with pytest.raises(Exception, match="ten distinct holders"):
-        run(df).collect()
+        X.concentration(df, "entity", "end_date", "ann_date", "holder", "ratio", strict=True).collect()
     ten = df.union(df.limit(1).withColumn("holder", F.lit("HKSCC Nominees")))
     (r,) = run(ten).collect()
     assert (r.cr10_float_registered, r.omnibus_float_ratio, r.calculation_status) == (50.0, 5.0, "complete")
@@ -158,6 +158,33 @@ def test_concentration_needs_ten_holders(spark):
     assert p.uncovered_float_ratio_upper_bound == 55.0
 
 
+def test_malformed_lists_are_rows_of_their_own(spark):
+    """Short, long, repeating and overfull lists beside a proper one; none stops the job."""
+    rows = [("ok", day(0), day(9), f"h{i}", 5.0) for i in range(10)]
+    rows += [("short", day(0), day(9), f"h{i}", 5.0) for i in range(9)]
+    rows += [("long", day(0), day(9), f"h{i}", None) for i in range(300)]
+    rows += [("twice", day(0), day(9), f"h{min(i, 8)}", 5.0 + i) for i in range(10)]
+    rows += [("over", day(0), day(9), f"h{i}", 50.0) for i in range(10)]
+    rows += [("nameless", day(0), day(9), None if i else "h", 5.0 + i) for i in range(10)]
+    # An older list of the same period, and an exact copy of a row, do not count.
+    rows += [("ok", day(0), day(8), f"x{i}", 9.0) for i in range(4)] + [("ok", day(0), day(9), "h1", 5.0)]
+    df = spark.createDataFrame(rows, "entity string, end_date date, ann_date date, holder string, ratio double")
+    found = X.concentration(df, "entity", "end_date", "ann_date", "holder", "ratio")
+    got = {r.entity: r for r in found.collect()}
+    status = {e: (r.calculation_status, r.holder_count, r.cr10_float_registered) for e, r in got.items()}
+    assert status == {
+        "ok": ("complete", 10, 50.0),
+        "short": (X.MALFORMED, 9, None),
+        "long": (X.MALFORMED, 300, None),
+        "twice": (X.MALFORMED, 9, None),
+        "over": (X.OUTSIDE, 10, None),
+        "nameless": (X.MALFORMED, 1, None),
+    }
+    assert all(r.missing_ratio_holders == [] and r.known_top_holder_float_ratio is None for r in got.values())
+    with pytest.raises(Exception, match="outside 0-100"):
+        X.concentration(df.where("entity = 'over'"), "entity", "end_date", "ann_date", "holder", "ratio", strict=True).collect()
+
+
 def test_quality_reports(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("b", None, 3), ("c", 2.0, 4)], "e string, v double, p int")
     (r,) = Q.check_ranking(df, "v", position="p", limit=3, entity="e").collect()
