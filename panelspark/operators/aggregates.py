@@ -79,15 +79,24 @@ def aggregate(
     ranked = [a for a in aggs if a.level is not None]
     whole = not ranked or (block_rows is None and fits_one_task(df, keys, max_group_rows))
     if whole:
-        return df.groupBy(*keys).agg(
+        # One buffer of values per field serves all of its levels.
+        levels = {f: sorted({a.level for a in ranked if a.field == f}) for f in dict.fromkeys(a.field for a in ranked)}
+        buffers = {f: f"__levels_{i}" for i, f in enumerate(levels)}
+        found = df.groupBy(*keys).agg(
+            *[_column(df, a, order_by).alias(a.output) for a in aggs if a.level is None],
             *[
-                (
-                    _column(df, a, order_by)
-                    if a.level is None
-                    else F.percentile(number(df, a.field), a.level)
-                ).alias(a.output)
+                F.percentile(number(df, f), F.array(*map(F.lit, levels[f]))).alias(name)
+                for f, name in buffers.items()
+            ],
+        )
+        return found.select(
+            *keys,
+            *[
+                a.output
+                if a.level is None
+                else F.get(buffers[a.field], F.lit(levels[a.field].index(a.level))).alias(a.output)
                 for a in aggs
-            ]
+            ],
         )
     plain = [a for a in aggs if a.level is None]
     result = df.groupBy(*keys).agg(

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.semantics import dtype, key_join
 
+LEFT_REPEATS = "duplicate keys on the left of a one_to_one join"
 CARDINALITIES = ("one_to_one", "many_to_one", "many_to_many")
 
 
@@ -63,17 +65,16 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def require_unique(
-    df: DataFrame, checked: DataFrame, keys: Sequence[str], message: str
-) -> DataFrame:
-    """``df``, failing at run time if ``checked`` repeats a key tuple.
+def checked_unique(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """``df``, failing when the job runs if it repeats a key tuple.
 
-    The check is a scalar subquery that runs once beside the main plan; nothing runs
-    when the plan is built.
+    The check numbers the rows of a key where a join on the keys needs them anyway: it costs
+    that join's exchange and sort, and nothing besides. A repeated key fails at its second row.
     """
-    repeated = duplicate_keys(checked, keys).agg(F.count(F.lit(1)).alias("n")).scalar()
+    numbered = Window.partitionBy(*keys).orderBy(*keys)
     fail = F.raise_error(F.lit(message)).cast("boolean")
-    return df.where(F.when(repeated > 0, fail).otherwise(True))
+    nth = df.withColumn("__nth", F.row_number().over(numbered))
+    return nth.where(F.when(F.col("__nth") > 1, fail).otherwise(True)).drop("__nth")
 
 
 def _right_columns(
@@ -101,14 +102,32 @@ def _joined(
     if cardinality not in CARDINALITIES:
         raise ValueError(f"unknown cardinality: {cardinality}")
     lookup = _right_columns(df, right, keys, fields)
+    outputs = list(fields.values())
+    if cardinality == "many_to_many":
+        return key_join(df, lookup, keys, how, outputs, null_keys=null_keys)
+    repeated = f"duplicate keys on the right of a {cardinality} join"
     left = df
+    if [dtype(df, k) for k in keys] != [dtype(right, k) for k in keys]:
+        # Keys of two types meet in a common one, which costs the exchange of that join.
+        if cardinality == "one_to_one":
+            left = checked_unique(left, keys, LEFT_REPEATS)
+        lookup = checked_unique(lookup, keys, repeated)
+        return key_join(left, lookup, keys, how, outputs, null_keys=null_keys)
+    # Keys as one struct are equal if their fields are, nulls included, and unlike ``<=>`` an
+    # equality of columns lets the join reuse the exchange of the checks. Nor does Spark carry
+    # filters on the left's keys over to the right, where they would hide a repeated key.
+    kind = T.StructType([T.StructField(k, dtype(df, k)) for k in keys])
+    key = F.struct(*keys).cast(kind)
+    left = df.withColumn("__key", key)
     if cardinality == "one_to_one":
-        left = require_unique(left, df, keys, "duplicate keys on the left of a one_to_one join")
-    if cardinality != "many_to_many":
-        left = require_unique(
-            left, right, keys, f"duplicate keys on the right of a {cardinality} join"
-        )
-    return key_join(left, lookup, keys, how, list(fields.values()), null_keys=null_keys)
+        left = checked_unique(left, ["__key"], LEFT_REPEATS)
+    lookup = lookup.select(key.alias("__right_key"), *outputs)
+    lookup = checked_unique(lookup, ["__right_key"], repeated)
+    same = F.col("__key") == F.col("__right_key")
+    if not null_keys:
+        for name in keys:
+            same = same & F.col(f"__key.{name}").isNotNull()
+    return left.join(lookup, same, how).select(*df.columns, *outputs)
 
 
 def inner_join(

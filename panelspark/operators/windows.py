@@ -8,6 +8,7 @@ has at most one row per session. Without it the layout is chosen by size.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 from collections import deque
 from collections.abc import Iterator, Sequence
@@ -422,23 +423,58 @@ def match_at_offset(
         raise ValueError("a calendar's sessions are dates")
     days = days.where(F.col("__day").isNotNull()).distinct()
     targets = F.broadcast(_target_sessions(days, offset, unit))
-    placed = dated.join(targets, "__day", "left").select(*df.columns, "__target")
-    if tie_break:
-        pick = F.max_by(field, F.struct(*tie_break))
-    else:
-        several = F.raise_error(F.lit("several rows on one session need a tie_break"))
-        kind = df.schema[field].dataType
-        pick = F.when(F.count(F.lit(1)) > 1, several.cast(kind)).otherwise(F.first(field))
+    placed = dated.join(targets, "__day", "left")
+    rest = [c for c in df.columns if c not in (output, matched_date)]
+    if not tie_break:
+        return _met_in_one_shuffle(placed, df, output, matched_date, field, group_by, null_keys, rest)
     lookup = (
         dated.where(F.col("__day").isNotNull())
         .groupBy(*group_by, F.col("__day").alias("__target"))
-        .agg(pick.alias(output))
+        .agg(F.max_by(field, F.struct(*tie_break)).alias(output))
         .withColumn(matched_date, compact(F.col("__target")))
     )
-    rest = [c for c in df.columns if c not in (output, matched_date)]
-    placed = placed.select(*rest, "__target")
     keys = [*group_by, "__target"]
     found = key_join(
-        placed, lookup, keys, "left", [output, matched_date], null_keys=null_keys
+        placed.select(*rest, "__target"), lookup, keys, "left", [output, matched_date], null_keys=null_keys
     )
     return found.drop("__target")
+
+
+def _met_in_one_shuffle(
+    placed: DataFrame,
+    df: DataFrame,
+    output: str,
+    matched_date: str,
+    field: str,
+    group_by: Sequence[str],
+    null_keys: bool,
+    rest: list[str],
+) -> DataFrame:
+    """Every row as a question for its target session and as the answer for its own day, met by
+    (group, session). A group has one row a day, so a meeting has one answer, and as many
+    questions as days lead to the session."""
+    asked = F.struct(F.col("__target").alias("__at"), F.lit(True).alias("__asks"))
+    answer = F.struct(F.col("__day").alias("__at"), F.lit(False).alias("__asks"))
+    both = placed.withColumn("__role", F.explode(F.array(asked, answer)))
+    both = both.where(F.col("__role.__asks") | F.col("__role.__at").isNotNull())
+    both = both.select(*df.columns, "__role.*")
+    # Questions without a session stand apart, lest they all meet under null.
+    lost, met = both.where("__at IS NULL"), both.where("__at IS NOT NULL")
+    meeting = Window.partitionBy(*group_by, "__at")
+    several = F.raise_error(F.lit("several rows on one session need a tie_break")).cast("boolean")
+    answers = F.sum(F.when(F.col("__asks"), 0).otherwise(1)).over(meeting)
+    value = F.max(F.when(~F.col("__asks"), F.struct(F.col(field).alias("v")))).over(meeting)
+    matched = (F.col("__answers") == 1) if null_keys else functools.reduce(
+        Column.__and__, [F.col(k).isNotNull() for k in group_by], F.col("__answers") == 1
+    )
+    met = met.withColumns({"__answers": answers, "__value": value})
+    # Checked in the rows that are kept and in those that are not.
+    met = met.where(F.when(F.col("__answers") > 1, several).otherwise(F.col("__asks")))
+    met = met.select(
+        *rest,
+        F.when(matched, F.col("__value.v")).alias(output),
+        F.when(matched, compact(F.col("__at"))).alias(matched_date),
+    )
+    kind = df.schema[field].dataType
+    nothing = [F.lit(None).cast(kind).alias(output), F.lit(None).cast("string").alias(matched_date)]
+    return met.unionByName(lost.select(*rest, *nothing))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from panelspark.functions.semantics import dtype, key_join, number
 from panelspark.operators.filters import valid_entity_code
-from panelspark.operators.joins import duplicate_keys, require_unique
+from panelspark.operators.joins import checked_unique, duplicate_keys
 from panelspark.sources.reads import parse_day
 
 ENTITY, SESSION, RANK = "entity", "session", "session_rank"
@@ -78,8 +78,9 @@ def assemble(
     close or factor that is not a positive finite number.
     """
     prices, adjustments = _listed(prices), _listed(adjustments)
-    prices = require_unique(prices, prices, KEYS, "duplicate price rows")
-    prices = require_unique(prices, adjustments, KEYS, "duplicate adjustment rows")
+    # Each check uses the exchange and sort of the join that follows it.
+    prices = checked_unique(prices, KEYS, "duplicate price rows")
+    adjustments = checked_unique(adjustments, KEYS, "duplicate adjustment rows")
     panel = key_join(prices, adjustments, KEYS, "left", ["adj_factor"], null_keys=False)
     # Checked in the value itself: a later filter on the factor could otherwise turn the
     # outer join into an inner one and hide the gap.
@@ -89,7 +90,7 @@ def assemble(
     if valuations is not None:
         valuations = _listed(valuations)
         extra = [c for c in valuations.columns if c not in panel.columns]
-        panel = require_unique(panel, valuations, KEYS, "duplicate valuation rows")
+        valuations = checked_unique(valuations, KEYS, "duplicate valuation rows")
         panel = key_join(panel, valuations, KEYS, "left", extra, null_keys=False)
     close, factor = number(panel, "close"), number(panel, "adj_factor")
     limit = F.lit(float("inf"))

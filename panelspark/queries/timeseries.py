@@ -195,6 +195,14 @@ _STEPS = {
     "month": (2, "INTERVAL 2 MONTH"),
     "year": (1, "INTERVAL 1 YEAR"),
 }
+
+
+def _weeks(t):
+    """The calendar, from the lines' dates alone: the panel is then read once."""
+    lines = t.lineitem.select(F.date_trunc("week", "l_shipdate").cast("date").alias("session"))
+    return trading_sessions(lines, "session")
+
+
 _OFFSET_SQL = """SELECT a.entity, a.session, b.close AS later,
   strftime(b.session, '%Y%m%d') AS later_date
   FROM nation_week a LEFT JOIN target ON a.session = target.d
@@ -204,7 +212,8 @@ for _unit, (_amount, _interval) in _STEPS.items():
         f"offset_{_unit}",
         KEY + "later:f later_date:s",
         lambda t, u=_unit, a=_amount: W.match_at_offset(
-            nation_week(t), "later", "later_date", "close", ["entity"], "session", a, u
+            nation_week(t), "later", "later_date", "close", ["entity"], "session", a, u,
+            sessions=_weeks(t),
         ),
         _OFFSET_SQL,
         (
@@ -220,7 +229,7 @@ register(
     KEY + "later:f later_date:s",
     lambda t: W.match_at_offset(
         nation_week(t), "later", "later_date", "close", ["entity"], "session", 4, "trading_session",
-        sessions=trading_sessions(nation_week(t), "session"),
+        sessions=_weeks(t),
     ),
     _OFFSET_SQL,
     (

@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+
 import pytest
 
 from panelspark.operators import columns as C
@@ -358,3 +360,70 @@ def test_asof_dates_use_days(spark):
     right = spark.createDataFrame([(1, dt.date(2024, 2, 28), "x")], "g int, at date, label string")
     run = lambda days: asof_join(left, right, ["g"], "t", "at", {"label": "l"}, tolerance=days).first().l
     assert run(2) == "x" and run(1) is None
+
+
+def exchanges(df):
+    """Exchanges by hash in the plan that ran, subqueries included."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_checked_joins_shuffle_each_side_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(1000).select((F.col("id") % 97).alias("k"), F.col("id").alias("x"))
+        right = spark.range(97).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        for null_keys in (True, False):
+            run = lambda a, c: J.join_fields(a, right, ["k"], {"v": "w"}, cardinality=c, null_keys=null_keys)
+            assert exchanges(run(left, "many_to_one")) == 2
+            assert exchanges(run(left.where("x < 97"), "one_to_one")) == 2
+            with pytest.raises(Exception, match="duplicate keys on the left"):
+                run(left, "one_to_one").collect()
+            # A repeat fails though no row asks for it.
+            twice = right.union(right.where("k = 5"))
+            with pytest.raises(Exception, match="duplicate keys on the right"):
+                J.inner_join(left.where("k = 7"), twice, ["k"], {"v": "w"}, null_keys=null_keys).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checked_joins_match_nulls_and_cast_keys(spark):
+    left = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "id int, k string")
+    right = spark.createDataFrame([(None, 10), ("a", 20)], "k string, v int")
+    got = {r.id: r.w for r in J.join_fields(left, right, ["k"], {"v": "w"}).collect()}
+    assert got == {1: 10, 2: 20, 3: None}
+    got = {r.id: r.w for r in J.join_fields(left, right, ["k"], {"v": "w"}, null_keys=False).collect()}
+    assert got == {1: None, 2: 20, 3: None}
+    longs = right.select(F.when(F.col("k") == "a", 2).cast("long").alias("id"), "v")
+    got = {r.id: r.w for r in J.join_fields(left.drop("k"), longs, ["id"], {"v": "w"}).collect()}
+    assert got == {1: None, 2: 20, 3: None}
+
+
+def test_all_levels_of_a_field_share_one_buffer(spark):
+    df = spark.range(101).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    aggs = [Agg("a", "v", "median"), Agg("n", "v", "count"), Agg("b", "v", "quantile", 0.1), Agg("c", "v", "quantile", 0.9)]
+    out = aggregate(df, ["g"], aggs, max_group_rows=101)
+    assert out.columns == ["g", "a", "n", "b", "c"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(") == 1
+    want = {g: np.quantile(np.arange(g, 101, 3), [0.5, 0.1, 0.9]) for g in range(3)}
+    for r in out.collect():
+        assert [r.a, r.b, r.c] == pytest.approx(list(want[r.g])) and r.n == len(range(r.g, 101, 3))
+
+
+def test_offsets_meet_in_one_shuffle(spark):
+    days = spark.createDataFrame([(f"2024-01-{d:02d}",) for d in range(1, 11)], "s string").select(F.to_date("s").alias("session"))
+    df = days.crossJoin(spark.createDataFrame([("a",), (None,)], "g string")).select("g", F.col("session").alias("d"), F.dayofmonth("session").cast("double").alias("v"))
+    df = df.where("g IS NOT NULL OR v <> 4")
+    got = W.match_at_offset(df, "y", "at", "v", ["g"], "d", 2, "trading_session", sessions=days)
+    # One is that of the calendar.
+    assert exchanges(got) == 2
+    rows = {(r.g, int(r.v)): (r.y, r["at"]) for r in got.collect()}
+    assert rows["a", 3] == (5.0, "20240105") and rows["a", 9] == (None, None)
+    assert rows[None, 2] == (None, None) and rows[None, 3] == (5.0, "20240105")
+    assert len(rows) == got.count() == 19
+    strict = W.match_at_offset(df, "y", "at", "v", ["g"], "d", 2, "trading_session", sessions=days, null_keys=False)
+    assert {r.y for r in strict.where("g IS NULL").collect()} == {None}
+    with pytest.raises(Exception, match="tie_break"):
+        W.match_at_offset(df.union(df.limit(1)), "y", "at", "v", ["g"], "d", 2, "day", sessions=days).collect()
