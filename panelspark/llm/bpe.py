@@ -46,7 +46,7 @@ PAIR_SLOTS = 1 << 20
 LONG_WORD = 64
 #: Words encoded together, and characters of text handled together.
 WORDS_AT_ONCE = 10_000
-CHARS_AT_ONCE = 250_000
+CHARS_AT_ONCE = 500_000
 
 
 def word_bpe_path() -> str:
