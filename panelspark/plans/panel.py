@@ -141,17 +141,24 @@ def panel_checks(prices: DataFrame, adjustments: DataFrame, sessions: DataFrame)
 
 
 def research_window(
-    sessions: DataFrame, start: str, end: str, *, horizon: int, lookback: int = LOOKBACK_SESSIONS
+    sessions: DataFrame,
+    start: str,
+    end: str,
+    *,
+    horizon: int,
+    lookback: int = LOOKBACK_SESSIONS,
+    session_days: int = CALENDAR_FACTOR,
 ) -> DataFrame:
     """The sessions a study reads: ``(session, session_rank, is_signal)``.
 
     Signal sessions lie in the window; ``lookback`` sessions precede and ``horizon``
-    follow them. The calendar is first cut to a generous range of days. The job fails
-    if the window has no session or the horizon leaves the calendar.
+    follow them. The calendar is first cut to a generous range of days: ``session_days`` for
+    each of those sessions (a panel of weeks or months needs more than one of days). The job
+    fails if the window has no session or the horizon leaves the calendar.
     """
     first, last = parse_day(start), parse_day(end)
-    back = max(CALENDAR_FLOOR_DAYS, CALENDAR_FACTOR * lookback)
-    ahead = max(CALENDAR_FLOOR_DAYS, CALENDAR_FACTOR * horizon)
+    back = max(CALENDAR_FLOOR_DAYS, session_days * lookback)
+    ahead = max(CALENDAR_FLOOR_DAYS, session_days * horizon)
     near = sessions.where(
         F.col(SESSION).between(
             F.date_sub(F.lit(first), back), F.date_add(F.lit(last), ahead)
@@ -397,6 +404,7 @@ def research_dataset(
     *,
     horizon: int,
     factors: Sequence[str] | None = None,
+    session_days: int = CALENDAR_FACTOR,
 ) -> DataFrame:
     """Signal rows of a window with factors, ``future_session`` and ``forward_return``.
 
@@ -404,7 +412,9 @@ def research_dataset(
     the horizon reaches are read.
     """
     lookback = LOOKBACK_SESSIONS if factors is None else lookback_for(factors)
-    calendar = research_window(sessions, start, end, horizon=horizon, lookback=lookback)
+    calendar = research_window(
+        sessions, start, end, horizon=horizon, lookback=lookback, session_days=session_days
+    )
     ranked = with_rank(panel, calendar)
     labelled = forward_label(ranked, calendar, horizon)
     featured = add_features(labelled, factors).where(F.col("is_signal"))

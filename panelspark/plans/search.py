@@ -19,6 +19,7 @@ from panelspark.functions.statistics import Z_95_ONE_SIDED, student_t_tail
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.plans import rules as R
 from panelspark.plans.panel import (
+    CALENDAR_FACTOR,
     FACTORS,
     SESSION,
     factor_coverage,
@@ -79,6 +80,7 @@ class Study:
     minimum_entities: int = 10
     minimum_coverage_pct: float = 95.0
     max_conditions: int = 2
+    session_days: int = CALENDAR_FACTOR
 
     def __post_init__(self) -> None:
         dates = [parse_day(d) for d in (self.train_start, self.train_end, self.val_start, self.val_end)]
@@ -508,7 +510,13 @@ def discovery_study(
     }
     data = {
         name: research_dataset(
-            panel, sessions, start, end, horizon=study.horizon, factors=factors
+            panel,
+            sessions,
+            start,
+            end,
+            horizon=study.horizon,
+            factors=factors,
+            session_days=study.session_days,
         )
         for name, (start, end) in windows.items()
     }

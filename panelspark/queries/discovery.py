@@ -1,4 +1,4 @@
-"""Rule evidence and rule search on the weekly panel."""
+"""Rule evidence and rule search on the suppliers' monthly panel, which grows with the tables."""
 
 from __future__ import annotations
 
@@ -8,19 +8,29 @@ from panelspark.plans import panel as E
 from panelspark.plans import rules as R
 from panelspark.plans import search as S
 from panelspark.queries.base import register
-from panelspark.queries.panels import NATION_WEEK
-from panelspark.queries.study import _FEATURES, PANEL, assembled, sessions_of, weekly
+from panelspark.queries.panels import SUPPLIER_PANEL, supplier_panel
+from panelspark.queries.study import _FEATURES, assembled, panel_sql, sessions_of
 from panelspark.session import stored
 
 HORIZON, LAG, TARGET = 4, 3, 0.0
-TRAIN = ("19960401", "19980629")
-VALIDATION = ("19980706", "20001225")
+MONTH_DAYS = 45
+TRAIN = ("19951101", "19980630")
+VALIDATION = ("19980701", "20010131")
 FACTORS = [
+    "amount_to_5d_avg_ratio",
+    "close_location_pct",
+    "distance_from_5d_ma_pct",
+    "downside_deviation_5d_pct",
+    "max_drawdown_5d_pct",
+    "open_gap_pct",
+    "positive_days_3",
+    "positive_days_5",
+    "return_10d_pct",
     "return_5d_pct",
+    "volatility_5d_pct",
     "volume_to_5d_avg_ratio",
-    "positive_days_5",
-    "close_location_pct",
 ]
+PANEL = panel_sql("supplier_panel", "month")
 GATES = S.Gates(samples=30, days=20, entities=5, coverage=0.8)
 RULES = {
     "return_5d_pct <= 0": ["return_5d_pct"],
@@ -29,11 +39,21 @@ RULES = {
 }
 
 
+def monthly(t):
+    """The panel's table, written once: the study reads it several times."""
+    return stored(supplier_panel(t))
+
+
 def dataset(t, window=TRAIN):
-    """Signal weeks of a window with factors and the four-week forward return."""
-    rows = weekly(t)
+    """Signal months of a window with factors and the four-month forward return."""
+    rows = monthly(t)
     return E.research_dataset(
-        assembled(rows), sessions_of(rows), *window, horizon=HORIZON, factors=FACTORS
+        assembled(rows),
+        sessions_of(rows),
+        *window,
+        horizon=HORIZON,
+        factors=FACTORS,
+        session_days=MONTH_DAYS,
     )
 
 
@@ -66,8 +86,8 @@ def _research_sql(
         f"""{p}edges AS (SELECT min(n) - {lookback} AS a, max(n) + {HORIZON} AS b FROM cal
           WHERE session BETWEEN {start} AND {end})""",
         f"""{p}cut AS (SELECT p.* FROM panel p, {p}edges WHERE n BETWEEN a AND b
-          AND session BETWEEN {start} - {max(31, 3 * lookback)}
-            AND {end} + {max(31, 3 * HORIZON)})""",
+          AND session BETWEEN {start} - {max(31, MONTH_DAYS * lookback)}
+            AND {end} + {max(31, MONTH_DAYS * HORIZON)})""",
         f"""{p}cut_steps AS (SELECT *, adj / lag(adj) OVER (PARTITION BY entity ORDER BY n) - 1 AS step
           FROM {p}cut)""",
         f"""{p}featured AS (SELECT *, {chosen} FROM {p}cut_steps)""",
@@ -79,7 +99,7 @@ def _research_sql(
     )
 
 
-RESEARCH = (NATION_WEEK, PANEL, *_research_sql(TRAIN))
+RESEARCH = (SUPPLIER_PANEL, PANEL, *_research_sql(TRAIN))
 _OBS = " UNION ALL ".join(
     f"""SELECT '{text}' AS formula, entity, n AS day, ret, hit,
         coalesce({text}, FALSE) AS sel FROM research
@@ -369,7 +389,7 @@ def _meets(alias: str, value: str) -> str:
 
 
 _TRAINING = (
-    NATION_WEEK,
+    SUPPLIER_PANEL,
     PANEL,
     *_research_sql(TRAIN, purge=VALIDATION[0]),
     f"long AS ({_long_sql('')})",
@@ -581,7 +601,7 @@ register(
 
 
 def _board(t):
-    rows = weekly(t)
+    rows = monthly(t)
     board, _ = S.discovery_study(
         assembled(rows),
         sessions_of(rows),
@@ -592,6 +612,7 @@ def _board(t):
             horizon=HORIZON,
             minimum_entities=GATES.entities,
             minimum_coverage_pct=GATES.coverage * 100,
+            session_days=MONTH_DAYS,
         ),
     )
     return board

@@ -108,6 +108,39 @@ SUPPLIER_MONTH = """supplier_month AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
+def supplier_panel(t: Tables) -> DataFrame:
+    """One row per supplier and ship month of ``lineitem``, with prices as ``nation_week`` has.
+
+    Its entities grow with the tables.
+    """
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    return t.lineitem.groupBy(
+        F.col("l_suppkey").alias("entity"),
+        F.date_trunc("month", "l_shipdate").cast("date").alias("session"),
+    ).agg(
+        (F.sum(cents("l_extendedprice")) / F.sum("l_quantity") / 100).alias("close"),
+        F.sum("l_quantity").alias("vol"),
+        (F.sum(cents("l_extendedprice")) / 100).alias("amount"),
+        (1 + F.sum(cents("l_tax")) / F.count(F.lit(1)) / 100).alias("adj_factor"),
+        F.max(unit).alias("high"),
+        F.min(unit).alias("low"),
+        F.round(F.avg(unit), 6).alias("open"),
+        (F.sum(cents("l_discount")) / F.count(F.lit(1))).alias("turnover_rate"),
+    )
+
+
+SUPPLIER_PANEL = """supplier_panel AS (
+  SELECT l_suppkey AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS session,
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / sum(l_quantity) / 100 AS close,
+    sum(l_quantity) AS vol,
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS amount,
+    1 + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS adj_factor,
+    max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+    round(avg(l_extendedprice / l_quantity), 6) AS open,
+    CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS turnover_rate
+  FROM lineitem GROUP BY 1, 2)"""
+
+
 def security_master(t: Tables) -> DataFrame:
     """Customers as listed securities: code, name, industry, exchange, status."""
     exchange = (

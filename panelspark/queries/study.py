@@ -48,11 +48,16 @@ def labelled(t):
     return E.forward_label(E.with_rank(assembled(rows), calendar), calendar, HORIZON)
 
 
-PANEL = """cal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS n
-  FROM (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS session FROM lineitem)),
+def panel_sql(table: str, unit: str) -> str:
+    """CTEs of a panel over the weeks or months of the lines."""
+    return f"""cal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS n
+  FROM (SELECT DISTINCT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS session FROM lineitem)),
 panel AS (SELECT w.*, lag(close) OVER (PARTITION BY entity ORDER BY session) AS pre_close,
-  close * adj_factor AS adj, n FROM nation_week w JOIN cal USING (session)),
+  close * adj_factor AS adj, n FROM {table} w JOIN cal USING (session)),
 steps AS (SELECT *, adj / lag(adj) OVER (PARTITION BY entity ORDER BY n) - 1 AS step FROM panel)"""
+
+
+PANEL = panel_sql("nation_week", "week")
 CTES = (NATION_WEEK, PANEL)
 
 register(

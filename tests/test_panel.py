@@ -158,6 +158,20 @@ def test_concentration_needs_ten_holders(spark):
     assert p.uncovered_float_ratio_upper_bound == 55.0
 
 
+@pytest.mark.parametrize("rows", [[], [None], [5.0], [1.0, 2.0], [3.0, 3.0, 3.0, 7.0, None], [0.1 * i for i in range(101)], [1.0, 1.0, 2.0, 2.0, 9.5]])
+def test_summaries_are_checked_from_parts(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v double")
+    aggs = [Agg(f, "v", f) for f in ("count", "count_distinct", "sum", "mean", "median", "min", "max", "std")]
+    aggs += [Agg(f"q{q}", "v", "quantile", q / 100) for q in (0, 5, 33, 90, 100)]
+    assert all(r.ok for r in Q.check_summary(df, aggs).collect())
+    # A wrong summary is seen, whichever value it has.
+    if len(rows) > 4:
+        right = Q.summarize
+        for wrong in (F.col("median") + 1e-3, F.col("median") - 1e-3):
+            monkeypatch.setattr(Q, "summarize", lambda *a, wrong=wrong, **k: right(*a, **k).withColumn("median", wrong))
+            assert [r.output for r in Q.check_summary(df, aggs).collect() if not r.ok] == ["median"]
+
+
 def test_malformed_lists_are_rows_of_their_own(spark):
     """Short, long, repeating and overfull lists beside a proper one; none stops the job."""
     rows = [("ok", day(0), day(9), f"h{i}", 5.0) for i in range(10)]
@@ -195,7 +209,7 @@ def test_quality_reports(spark):
         Q.check_partition(df, "v", 2, ["lt", "gt"])
     flat = df.select("v").withColumns({"a": F.lit(1.0), "b": F.lit(1.0)}).withColumn("v", F.lit(0.0))
     assert Q.check_degenerate(flat, "v", "a", "b").first().degenerate
-    ok = Q.check_summary(df, [Agg("n", "v", "count"), Agg("m", "v", "median"), Agg("s", "v", "std")], block_rows=2)
+    ok = Q.check_summary(df, [Agg("n", "v", "count"), Agg("m", "v", "median"), Agg("s", "v", "std")])
     assert all(r.ok for r in ok.collect())
     full, part = df.select("e"), df.where("e <> 'c'").select("e")
     report = Q.check_completeness(full, part, ["e"])
