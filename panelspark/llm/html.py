@@ -7,7 +7,11 @@ pass labels every other block by link density, length and stop-word density as g
 ambiguous. Stop words decide only if most of a page's long blocks read as a language with a list;
 on other pages length and links do, for blocks that are mostly letters. In the second pass ambiguous blocks, short ones and headings above all, take the
 label of the nearest decided neighbour. If a page marks its article, that is where good blocks
-are looked for.
+are looked for; of a main part with an article in it, in the article, if that is most of it.
+
+Inside an article, and for sections anywhere, a name marks boilerplate only if all of it does
+("related-posts", not "related-work"), and a paragraph's name only if it is an advert's. Comments
+stay boilerplate if they are written as articles themselves.
 
 Rules: null html is an empty page. Scripts, styles, comments and the head hold no text.
 Character references are decoded, white space inside a block becomes one space, and good
@@ -66,7 +70,9 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose content is no text at all.
-_RAW = frozenset("script style noscript template svg math iframe object canvas head title textarea xmp".split())
+_RAW = frozenset(
+    "script style noscript template svg annotation annotation-xml iframe canvas head title textarea xmp".split()
+)
 #: Elements that begin and end blocks.
 _BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
@@ -88,6 +94,18 @@ _BOILER_WORDS = frozenset(
     "signup login popup modal overlay comment comments disqus respond reply replies share sharing social related recommended "
     "widget toolbar pagination pager copyright disclaimer skip search alert".split()
 )
+#: Those of adverts, and words that may stand beside one of them in a name that means boilerplate.
+_ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+_PLAIN_WORDS = frozenset(
+    "area article articles bar block box button buttons card cards container content form group inline item items link links "
+    "list module post posts section slot stories story tools unit wrap wrapper".split()
+)
+#: Names of what holds readers' comments, whole.
+_COMMENTS = re.compile(
+    r"(?:comments?|responses?|replies|reply|respond|disqus)(?:[-_]?(?:area|block|body|box|content|container|form|list|main|"
+    r"section|thread|wrap|wrapper|item|[0-9]+))*",
+    re.I,
+)
 _HEAD_WORDS = frozenset("header masthead".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -95,25 +113,39 @@ _NO, _BY_NAME, _BY_ELEMENT = 0, 1, 2
 
 
 class _Block:
-    __slots__ = ("boiler", "heading", "label", "linked", "main", "text")
+    __slots__ = ("article", "boiler", "heading", "label", "linked", "main", "text")
 
-    def __init__(self, text: str, linked: int, main: bool, boiler: bool, heading: bool):
+    def __init__(self, text: str, linked: int, main: bool, article: bool, boiler: bool, heading: bool):
         self.text, self.linked, self.main, self.boiler, self.heading = text, linked, main, boiler, heading
-        self.label = ""
+        self.article, self.label = article, ""
 
 
 class _Open:
     """An open element and what holds inside it."""
 
-    __slots__ = ("boiler", "head", "main", "name")
+    __slots__ = ("article", "boiler", "head", "main", "name")
+
+    def __init__(self, name: str, boiler: int, main: bool, head: bool, article: bool):
+        self.name, self.boiler, self.main, self.head, self.article = name, boiler, main, head, article
 
-    def __init__(self, name: str, boiler: int, main: bool, head: bool):
-        self.name, self.boiler, self.main, self.head = name, boiler, main, head
+
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _NAME_WORD.findall(name)}
+
+
+def _named_boiler(name: str, names: str, inside: bool) -> bool:
+    """Whether class and id mark an element as boilerplate; ``inside``: in an article."""
+    if name == "p" and inside:
+        return bool(_words(names) & _ADVERT_WORDS)
+    if not inside and name != "section":
+        return bool(_words(names) & _BOILER_WORDS)
+    each = (_words(n) for n in names.split())
+    return any(words & _BOILER_WORDS and words <= _BOILER_WORDS | _PLAIN_WORDS for words in each)
 
 
 def _opened(name: str, rest: str, outer: _Open) -> _Open:
     boiler, main, head = outer.boiler, outer.main, outer.head
-    whole = name in ("article", "main")
+    whole, article = name in ("article", "main"), outer.article or name == "article"
     if name in _BOILER_ELEMENTS:
         boiler = _BY_ELEMENT
     elif name == "header":
@@ -124,18 +156,21 @@ def _opened(name: str, rest: str, outer: _Open) -> _Open:
         whole |= role == "main"
         hidden = "hidden" in given or given.get("aria-hidden") == "true"
         hidden |= "display:none" in given.get("style", "").replace(" ", "").lower()
+        names = given.get("class", "") + " " + given.get("id", "")
         if role in _BOILER_ROLES or hidden:
             boiler = _BY_ELEMENT
+        elif any(_COMMENTS.fullmatch(n) for n in names.split()):
+            # What readers wrote is no article, whatever element it is in.
+            boiler = _BY_ELEMENT
         elif not whole:
-            words = {w.lower() for w in _NAME_WORD.findall(given.get("class", "") + " " + given.get("id", ""))}
-            if words & _BOILER_WORDS and not boiler:
+            if not boiler and _named_boiler(name, names, outer.main):
                 boiler = _BY_NAME
-            head |= bool(words & _HEAD_WORDS) and name != "h1"
+            head |= bool(_words(names) & _HEAD_WORDS) and name != "h1"
     if whole:
         main, head = True, False
         # A wrapper named after a sidebar beside the article does not make it boilerplate.
         boiler = _NO if boiler == _BY_NAME else boiler
-    return _Open(name, boiler, main, head)
+    return _Open(name, boiler, main, head, article)
 
 
 def _joined(texts: list[str]) -> str:
@@ -146,12 +181,12 @@ def _joined(texts: list[str]) -> str:
 def blocks(page: str) -> list[_Block]:
     """The page's blocks in order."""
     found: list[_Block] = []
-    stack = [_Open("", _NO, False, False)]
+    stack = [_Open("", _NO, False, False, False)]
     texts: list[str] = []
     linked: list[list[str]] = []
     links = breaks = 0
     heading = False
-    here, size = 0, len(page)
+    here, end_of_page = 0, len(page)
 
     def close() -> None:
         nonlocal breaks
@@ -163,11 +198,12 @@ def blocks(page: str) -> list[_Block]:
                 inner = stack[-1]
                 # In an article's own header only the headline is article text.
                 boiler = inner.boiler or inner.head and not (inner.main and heading)
-                found.append(_Block(text, sum(len(_joined(x)) for x in linked), inner.main, bool(boiler), heading))
+                size = sum(len(_joined(x)) for x in linked)
+                found.append(_Block(text, size, inner.main, inner.article, bool(boiler), heading))
         # A link that goes on in the next block is a piece of its own there.
         linked[:] = [[]]
 
-    while here < size:
+    while here < end_of_page:
         match = _MARKUP.search(page, here)
         if match is None:
             texts.append(page[here:])
@@ -202,7 +238,7 @@ def blocks(page: str) -> list[_Block]:
                 if end is not None:
                     here = end.end()
                 elif name != "head":
-                    here = size
+                    here = end_of_page
             continue
         if name == "br":
             texts.append(" ")
@@ -241,7 +277,14 @@ def _lettered(text: str) -> bool:
 
 def label(found: list[_Block]) -> None:
     """Both passes: every block becomes ``good`` or ``bad``."""
-    marked = any(b.main and not b.boiler for b in found)
+    main = [b for b in found if b.main and not b.boiler]
+    inside = sum(len(b.text) for b in main if b.article)
+    if 2 * inside >= sum(len(b.text) for b in main):
+        # The article is the text; of the rest of the main part only a headline above it counts.
+        first = next((i for i, b in enumerate(found) if b.article and not b.boiler), 0)
+        for i, block in enumerate(found):
+            block.main = block.main and (block.article or block.heading and i < first)
+    marked = bool(main)
     measured = [_measured(b.text) for b in found]
     free = [
         m for b, m in zip(found, measured) if not b.boiler and b.linked <= LINK_SHARE * len(b.text) and m[0] >= LONG

@@ -93,3 +93,47 @@ def test_links_are_measured_as_they_are_read():
     page = f"<article><p>{PROSE}</p>{text}<p><a href='/y'>   Read   more\n  </a> here</p><p>{PROSE}</p></article>"
     got = html.main_text(page).split("\n")
     assert got == [PROSE.strip(), "This paragraph has a link to a fifth of it all and goes on for a while after it, as they do.", PROSE.strip()]
+
+
+def test_comments_written_as_articles():
+    text = PROSE.strip()
+    comment = f"<article class='comment'><p>{PROSE} I think so too.</p></article>"
+    for comments in (
+        f"<section id='comments'><article><p>{PROSE} No!</p></article></section>",
+        f"<div class='comment-list'>{comment}</div>",
+        f"<ol class='commentlist'><li id='comment-7'><article><p>{PROSE} No!</p></article></li></ol>",
+        f"<div id='disqus_thread'><article><p>{PROSE} No!</p></article></div>",
+        comment,
+    ):
+        assert html.main_text(f"<body><article><p>{PROSE}</p></article>{comments}</body>") == text
+        assert html.main_text(f"<body><article><p>{PROSE}</p>{comments}</article></body>") == text
+    # A page that takes comments is no comment.
+    page = f"<body class='single comments-open'><div class='post has-comments'><article><p>{PROSE}</p></article></div></body>"
+    assert html.main_text(page) == text
+
+
+def test_names_of_sections_inside_an_article():
+    text = PROSE.strip()
+    parts = "".join(
+        f"<{tag}><p>{PROSE}</p></{tag.split()[0]}>"
+        for tag in ("section id='related-work'", "div id='search-algorithms'", "section class='copyright-law'", "div class='comment-policy-history'")
+    )
+    page = f"<article>{parts}<p class='alert'>{PROSE}</p><div class='related-posts'><p>{PROSE}</p></div><p class='ad'>{PROSE}</p><div class='share'>{PROSE}</div></article>"
+    assert html.main_text(page) == "\n".join([text] * 5)
+    # A section's name decides by the whole of it on an unmarked page, too.
+    page = f"<body><section id='related-work'><p>{PROSE}{PROSE}</p></section><section class='related-posts'><p>{PROSE}</p></section></body>"
+    assert html.main_text(page) == f"{text} {text}"
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = f"<article><p>{PROSE}<math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='tex'>E=m</annotation></math> holds.</p><object data='x'><p>{PROSE}</p></object></article>"
+    assert html.main_text(page) == f"{PROSE.strip()} E=m holds.\n{PROSE.strip()}"
+
+
+def test_an_article_in_the_main_part():
+    text = PROSE.strip()
+    page = f"<main><h1>The headline</h1><article><p>{PROSE}</p><p>{PROSE}</p></article><div class='teasers'><h2>Next</h2><p>{PROSE}</p></div></main>"
+    assert html.main_text(page) == f"The headline\n{text}\n{text}"
+    # A card beside the text is not the text.
+    page = f"<main><p>{PROSE * 2}</p><p>{PROSE * 3}</p><article><p>{PROSE}</p></article></main>"
+    assert html.main_text(page).count("quick") >= 5
