@@ -39,6 +39,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the frame has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_column(name: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

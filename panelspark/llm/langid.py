@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from panelspark.llm.common import batched, text_column, to_arrow
+from panelspark.llm.common import batched, free_names, text_column, to_arrow
 
 DIMENSIONS = 2048
 #: The bound of the training sample: documents of one language.
@@ -201,6 +201,7 @@ def identified(docs: DataFrame, minimum: float = 0.0) -> DataFrame:
     """The documents whose language could be told, with the columns they had. Rejected are
     texts without a letter and, if asked, those whose score is below a minimum. A null
     language is filled with the predicted one."""
-    found = predict(docs, train(docs), "__lang", "__score")
-    kept = found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= minimum))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    told, score = free_names(docs, "lang", "score")
+    found = predict(docs, train(docs), told, score)
+    kept = found.where((F.col(told) != UNKNOWN) & (F.col(score) >= minimum))
+    return kept.withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)

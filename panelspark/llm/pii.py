@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import text_column
+from panelspark.llm.common import free_names, text_column
 from panelspark.session import stored
 
 #: Kinds in the order of ties, with their patterns and a cheap sign that one can be there.
@@ -388,19 +388,20 @@ def sanitised(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The documents with base spans masked and disclosing terms removed or generalised. Texts
     without base spans, and all other columns, are as they were (``n_chars`` follows)."""
     # The documents may have columns of any name.
-    terms = _found(docs, whole)[1].select(F.col("key").alias("__of"), F.col("terms").alias("__terms"))
+    base, key, of, terms, spans = free_names(docs, "base", "key", "of", "terms", "spans")
+    told = _found(docs, whole)[1].select(F.col("key").alias(of), F.col("terms").alias(terms))
     names = docs.columns
     text = text_column()
-    marked = docs.withColumn("__base", base_spans(text))
-    marked = marked.withColumn("__key", F.when(F.size("__base") > 0, F.sha2(text, 256)))
-    clean = marked.where("__key IS NULL").select(names)
-    base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = F.sort_array(F.concat(base, F.coalesce("__terms", _none("start int, kind int, end int"))))
+    marked = docs.withColumn(base, base_spans(text))
+    marked = marked.withColumn(key, F.when(F.size(base) > 0, F.sha2(text, 256)))
+    clean = marked.where(F.col(key).isNull()).select(names)
+    plain = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    every = F.sort_array(F.concat(plain, F.coalesce(terms, _none("start int, kind int, end int"))))
     changed = (
-        marked.where("__key IS NOT NULL")
-        .join(terms, F.col("__key") == F.col("__of"), "left")
-        .withColumn("__spans", spans)
-        .withColumn("text", _masked(F.col("text"), F.col("__spans")))
+        marked.where(F.col(key).isNotNull())
+        .join(told, F.col(key) == F.col(of), "left")
+        .withColumn(spans, every)
+        .withColumn("text", _masked(F.col("text"), F.col(spans)))
     )
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import batched, text_column, to_arrow
+from panelspark.llm.common import batched, free_names, text_column, to_arrow
 from panelspark.session import stored
 
 SHINGLE = 3
@@ -288,12 +288,11 @@ def report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without their near duplicates: of each component the document with the
     smallest id stays (of equal ids, that with the smallest text hash). All columns are kept."""
-    docs = docs.withColumn("__text", F.xxhash64(text_column()))
-    found = near_duplicates(docs, keys=("__text",))
+    (digest,) = free_names(docs, "text")
+    docs = docs.withColumn(digest, F.xxhash64(text_column()))
+    found = near_duplicates(docs, keys=(digest,))
     # Null ids come last.
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__text"))
-    kept = found.groupBy("root").agg(F.min(order).alias("o")).select(
-        F.col("o.doc_id").alias("id"), F.col("o.__text").alias("t")
-    )
-    same = docs["doc_id"].eqNullSafe(kept["id"]) & (docs["__text"] == kept["t"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col(digest).alias("t"))
+    kept = found.groupBy("root").agg(F.min(order).alias("o")).select("o.id", "o.t")
+    same = docs["doc_id"].eqNullSafe(kept["id"]) & (docs[digest] == kept["t"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)

@@ -56,3 +56,18 @@ def test_odd_rows(spark):
                 docs = out
         assert docs.columns == frame.columns
         assert {r["doc_id"] for r in out.collect()} == keys
+
+
+def test_columns_named_as_helpers_are(spark):
+    """Whatever a table calls its other columns, a stage hands them on as they were."""
+    names = ("__text", "__lang", "__score", "__base", "__key", "__of", "__terms", "__spans", "__TEXT_", "id", "t", "o", "root")
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    extra = frame.selectExpr("*", *(f"concat('{n}', doc_id) AS `{n}`" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, FOLDER)
+        assert out.columns == extra.columns
+        plain = {(r["doc_id"], r["text"], r["lang"]) for r in stage(spark, frame, FOLDER).collect()}
+        got = out.collect()
+        assert {(r["doc_id"], r["text"], r["lang"]) for r in got} == plain and got
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, FOLDER).count() > 0
