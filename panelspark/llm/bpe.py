@@ -18,7 +18,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -38,8 +38,8 @@ BLANK = regex.compile(f"[{SPACE}]+")
 JOINED = re.compile(r"[.,](?<=[^\w\s].|_.)\s")
 #: Marks a word's end inside the automaton; it is no byte-level character.
 END = "\n"
-#: Chunks of text whose ids a worker remembers.
-CACHE_ENTRIES = 150_000
+#: Chunks of text whose ids a worker remembers, and characters of these for each.
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 16
 #: Slots of the table of compatibility answers (a power of two).
 PAIR_SLOTS = 1 << 20
 #: Words beyond this length are encoded one by one.
@@ -65,6 +65,11 @@ def byte_characters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(replaced)}
 
 
+def base_characters() -> list[str]:
+    """The characters that stand for the 256 bytes."""
+    return [chr(c) for c in (byte_characters().get(b, b) for b in range(256))]
+
+
 class Vocabulary:
     """Tokens of one tokenizer file, how each arises, and which may stand side by side."""
 
@@ -87,6 +92,13 @@ class Vocabulary:
             self.length[number] = len(key)
             self.automaton.add_word(key, number)
         self.automaton.make_automaton()
+        # The shortest token that ends at a place of a word: a single character, or the last
+        # one with the word's end. The automaton lists it last, and there is always one.
+        self.shortest = np.zeros(size, bool)
+        for number in (ids.get(c + end) for c in base_characters() for end in ("", suffix)):
+            if number is None:
+                raise ValueError("the vocabulary lacks a byte")
+            self.shortest[number] = True
         # How a token arises: the rank of its merge, and its two parts (-1 for base tokens).
         self.rank = np.full(size, -1, np.int64)
         self.parts = np.full((2, size), -1, np.int64)
@@ -160,6 +172,7 @@ class Encoder:
         self.byte = byte_characters()
         self.entries = entries
         self.chunks: dict[str, bytes] = {}
+        self.characters = 0
         # A direct-mapped table of compatibility answers: bounded, and exact as keys are kept.
         self.asked = np.full(PAIR_SLOTS, -1, np.int64)
         self.answer = np.zeros(PAIR_SLOTS, bool)
@@ -190,9 +203,11 @@ class Encoder:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        found = chain.from_iterable(self.vocabulary.automaton.iter(joined))
-        found = np.fromiter(found, np.int64).reshape(-1, 2)
-        at, token = found[:, 0], found[:, 1]
+        found = map(itemgetter(1), self.vocabulary.automaton.iter(joined))
+        token = np.fromiter(found, np.int64)
+        # Matches come place by place, the shortest of each place last.
+        at = np.cumsum(self.vocabulary.shortest[token])
+        at = np.r_[0, at[:-1]]
         place = at - np.repeat(starts, sizes)[at]
         before = at - self.vocabulary.length[token]
         order = np.argsort(place, kind="stable")
@@ -269,14 +284,20 @@ class Encoder:
             some = usual[low : low + WORDS_AT_ONCE]
             once.update(zip(some, self.encode_words(some)))
         once.update((w, self.encode_long(w)) for w in once if len(w) > LONG_WORD)
+        self.characters += sum(map(len, chunks))
         for chunk, words in zip(chunks, parts):
             self.chunks[chunk] = once[words[0]] if len(words) == 1 else b"".join([once[w] for w in words])
 
     def _trim(self) -> None:
         """Frequent entries come early, so the late half goes when the memo is full."""
-        if len(self.chunks) > self.entries:
+        limit = CACHE_CHARS * self.entries
+        if len(self.chunks) > self.entries or self.characters > limit:
             for key in list(self.chunks)[self.entries // 2 :]:
                 del self.chunks[key]
+            self.characters = sum(map(len, self.chunks))
+            if self.characters > limit:
+                self.chunks.clear()
+                self.characters = 0
 
     def _pieces(self, text: str) -> list[str]:
         """Chunks of the normalised text. White space ends a chunk, and no word crosses it."""
@@ -331,14 +352,14 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
+    return Encoder(path, entries)
 
 
-def encoded_rows(batches, path: str):
+def encoded_rows(batches, path: str, entries: int = CACHE_ENTRIES):
     """``(other columns..., text, ids as bytes)`` of Arrow batches whose last column is the
-    text, some texts at a time."""
-    coder = encoder(path)
+    text, some texts at a time. ``entries`` bounds the memory, not the result."""
+    coder = encoder(path, entries)
     for batch in batches:
         for low, high in spans_of(batch.column(batch.num_columns - 1), CHARS_AT_ONCE):
             columns = [c.slice(low, high - low).to_pylist() for c in batch.columns]

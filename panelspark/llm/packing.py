@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.bpe import encoded_rows
+from panelspark.llm.bpe import CACHE_ENTRIES, encoded_rows
 from panelspark.llm.common import batched, text_column, to_arrow
 
 CAPACITY = 2048
@@ -83,11 +83,13 @@ def pack(
     end_id: int = END_ID,
     cut: int = CUT,
     block_windows: int = BLOCK_WINDOWS,
+    memo: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers, ``start`` its
-    document's ids before it, ``doc_tokens`` all its document's ids with the end id.
+    document's ids before it, ``doc_tokens`` all its document's ids with the end id. ``memo``
+    bounds the chunks of text that a worker remembers, and its memory; no row depends on it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
@@ -109,7 +111,7 @@ def pack(
 
         def rows():
             block, held = [], 0
-            for key, _, packed in encoded_rows(batches, path):
+            for key, _, packed in encoded_rows(batches, path, memo):
                 packed += end
                 size = len(packed) // 4
                 full = size - size % capacity

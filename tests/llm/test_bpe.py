@@ -68,6 +68,16 @@ def test_a_full_memo_changes_nothing(entries):
         assert len(small.chunks) <= entries + 3
 
 
+def test_long_chunks_do_not_fill_the_memo():
+    small = bpe.Encoder(PATH, entries=50)
+    text = " ".join("abcde"[i % 5] * (700 + i) for i in range(9))
+    for _ in range(3):
+        assert small.encode(text) == expected(text)
+    small.encode("a")
+    assert small.characters <= 50 * bpe.CACHE_CHARS
+    assert small.characters == sum(map(len, small.chunks))
+
+
 def test_decodes_like_the_library(coder):
     for (text,) in rows_of("documents", "text")[:50]:
         ids = coder.encode(text)
