@@ -10,6 +10,9 @@ from panelspark.llm import bpe, langid, packing, pii, simhash
 from panelspark.llm.common import ship
 from panelspark.session import shared_folder
 
+#: Chunks that a worker of the last stage remembers: the stages before it have grown the JVM.
+MEMO = 150_000
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a null language is filled with the one told."""
@@ -32,7 +35,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in windows: a row per piece, its ids as 32-bit numbers."""
     ship(spark)
-    return packing.pack(docs, bpe.word_bpe_path())
+    return packing.pack(docs, bpe.word_bpe_path(), memo=MEMO)
 
 
 STAGES = [
