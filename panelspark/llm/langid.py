@@ -19,6 +19,7 @@ equal predictions.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from panelspark.llm.common import batched, free_names, text_column, to_arrow
 
-DIMENSIONS = 2048
+#: Bits of a feature's number, and the features.
+BITS = 12
+DIMENSIONS = 1 << BITS
 #: The bound of the training sample: documents of one language.
-PER_LANGUAGE = 500
+PER_LANGUAGE = 800
 UNKNOWN = "und"
 #: Families of some languages (fixed values); any other language is a family of its own.
 FAMILIES = {
@@ -69,43 +72,44 @@ def vector(text: str) -> np.ndarray:
         two = (b * np.uint32(40503) + c) * np.uint32(2654435761)
         three = two + a * np.uint32(2246822519) + np.uint32(374761393)
         three ^= three >> np.uint32(15)
-        counts += np.bincount(three * np.uint32(2654435761) >> np.uint32(21), minlength=DIMENSIONS)
-        counts += np.bincount(two >> np.uint32(21), minlength=DIMENSIONS)
+        counts += np.bincount(three * np.uint32(2654435761) >> np.uint32(32 - BITS), minlength=DIMENSIONS)
+        counts += np.bincount(two >> np.uint32(32 - BITS), minlength=DIMENSIONS)
     out = np.sqrt(counts).astype(np.float32)
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
 
-def separate(left: np.ndarray, right: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
-    """A linear machine that is positive on ``left``: weights, and a bias at the end.
+def separate(rows: np.ndarray, left: np.ndarray, right: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
+    """A linear machine that is positive on the rows numbered ``left`` and negative on those
+    numbered ``right``; weights, the last of them for the column of ones.
 
     Dual coordinate descent for the squared hinge loss, rows in a fixed shuffled order; each
-    side weighs the same in all.
+    side weighs the same in all. The matrix is read in place, whatever pairs share it.
     """
-    rows = np.ones((len(left) + len(right), left.shape[1] + 1), np.float32)
-    rows[: len(left), :-1], rows[len(left) :, :-1] = left, right
+    chosen = np.r_[left, right]
     sign = np.r_[np.ones(len(left)), -np.ones(len(right))]
-    share = np.where(sign > 0, len(rows) / (2 * len(left)), len(rows) / (2 * len(right)))
+    share = np.where(sign > 0, len(chosen) / (2 * len(left)), len(chosen) / (2 * len(right)))
     diagonal = 1 / (2 * cost * share)
-    square = np.einsum("ij,ij->i", rows, rows) + diagonal
-    weights, alpha = np.zeros(rows.shape[1], np.float32), np.zeros(len(rows))
+    square = np.einsum("ij,ij->i", rows, rows)[chosen] + diagonal
+    weights, alpha = np.zeros(rows.shape[1], np.float32), np.zeros(len(chosen))
     order = np.random.default_rng(0)
     for _ in range(rounds):
-        for i in order.permutation(len(rows)):
-            step = (sign[i] * (rows[i] @ weights) - 1 + diagonal[i] * alpha[i]) / square[i]
+        for i in order.permutation(len(chosen)):
+            row = rows[chosen[i]]
+            step = (sign[i] * (row @ weights) - 1 + diagonal[i] * alpha[i]) / square[i]
             new = max(0.0, alpha[i] - step)
             if new != alpha[i]:
-                weights += np.float32((new - alpha[i]) * sign[i]) * rows[i]
+                weights += np.float32((new - alpha[i]) * sign[i]) * row
                 alpha[i] = new
     return weights
 
 
 class Level:
-    """One-versus-one machines over some classes."""
+    """One-versus-one machines over some classes, given as numbers of rows of a matrix."""
 
-    def __init__(self, classes: dict[str, np.ndarray]):
+    def __init__(self, rows: np.ndarray, classes: dict[str, np.ndarray]):
         self.names = sorted(classes)
         self.pairs = list(itertools.combinations(range(len(self.names)), 2))
-        found = [separate(classes[self.names[a]], classes[self.names[b]]) for a, b in self.pairs]
+        found = [separate(rows, classes[self.names[a]], classes[self.names[b]]) for a, b in self.pairs]
         self.weights = np.array(found).reshape(len(found), DIMENSIONS + 1).astype(np.float32)
 
     def predict(self, features: np.ndarray) -> tuple[str, float]:
@@ -125,12 +129,20 @@ class Level:
 
 
 class Model:
-    def __init__(self, samples: dict[str, np.ndarray]):
+    """Both levels, trained one pair after the other on one matrix."""
+
+    def __init__(self, samples: dict[str, Sequence[np.ndarray]]):
+        sizes = [len(samples[language]) for language in sorted(samples)]
+        rows = np.ones((sum(sizes), DIMENSIONS + 1), np.float32)
         families: dict[str, dict[str, np.ndarray]] = {}
-        for language in sorted(samples):
-            families.setdefault(family_of(language), {})[language] = samples[language]
-        self.families = Level({f: np.vstack(list(m.values())) for f, m in families.items()})
-        self.languages = {f: Level(m) for f, m in families.items()}
+        start = 0
+        for language, size in zip(sorted(samples), sizes):
+            for place, features in enumerate(samples[language], start):
+                rows[place, :-1] = features
+            families.setdefault(family_of(language), {})[language] = np.arange(start, start + size)
+            start += size
+        self.families = Level(rows, {f: np.concatenate(list(m.values())) for f, m in families.items()})
+        self.languages = {f: Level(rows, m) for f, m in families.items()}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not _LETTER.search(text) or not self.languages:
@@ -172,7 +184,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     samples: dict[str, list[np.ndarray]] = {}
     for language, features in zip(rows["lang"].to_pylist(), rows["features"].to_pylist()):
         samples.setdefault(language, []).append(np.frombuffer(features, np.float32))
-    return Model({language: np.array(found) for language, found in samples.items()})
+    return Model(samples)
 
 
 def predict(docs: DataFrame, model: Model, language: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -1,7 +1,9 @@
 """Languages: held-out accuracy, and what prediction may read."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -73,3 +75,46 @@ def test_machines_separate_three_classes_in_two_families():
 def test_long_texts_count_like_their_parts():
     text = "ab cd " * 400_000
     assert np.allclose(langid.vector(text), langid.vector("ab cd " * 4000), atol=1e-3)
+
+
+def plain(model, text):
+    """Features counted one by one, then votes machine by machine."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()]
+    data += [32] * (3 - len(data))
+    counts, mask = Counter(), 0xFFFFFFFF
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if a == b == 32 or b == c == 32:
+            continue
+        two = (b * 40503 + c) * 2654435761 & mask
+        three = two + a * 2246822519 + 374761393 & mask
+        three ^= three >> 15
+        counts[(three * 2654435761 & mask) >> 20] += 1
+        counts[two >> 20] += 1
+    norm = math.sqrt(sum(counts.values())) or 1.0
+
+    def vote(level):
+        votes, closest = Counter(), dict.fromkeys(level.names, 1.0)
+        for (a, b), w in zip(level.pairs, level.weights.tolist()):
+            margin = w[-1] + sum(w[i] * math.sqrt(n) / norm for i, n in counts.items())
+            chance = 1 / (1 + math.exp(-max(-50, min(50, 3 * margin))))
+            a, b = level.names[a], level.names[b]
+            votes[a if chance >= 0.5 else b] += 1
+            closest[a], closest[b] = min(closest[a], chance), min(closest[b], 1 - chance)
+        best = min(level.names, key=lambda x: (-votes[x], -closest[x], x))
+        return best, closest[best] if level.pairs else 1.0
+
+    family, sure = vote(model.families)
+    language, within = vote(model.languages[family])
+    return language, sure * within
+
+
+def test_predictions_against_a_plain_reading(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").unionByName(odd(spark), allowMissingColumns=True).select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    assert langid.DIMENSIONS == 4096 and len(model.languages) >= 2
+    for row in langid.predict(docs, model).collect():
+        language, score = plain(model, row["text"])
+        assert row["lang_pred"] == language, row["doc_id"]
+        assert abs(row["score"] - score) < 1e-4
