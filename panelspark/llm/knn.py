@@ -168,6 +168,9 @@ def top(
     shards, blocks = max(1, -(-size["n"] // shard_rows)), max(1, -(-size["q"] // block_rows))
     tile = ["dim", "shard", "block"]
 
+    # Both sides of a tile have the same types: an int and a long of equal value hash apart.
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    every_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     placed = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     queries = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
     home = F.pmod(F.col("block"), F.lit(shards))
@@ -180,16 +183,16 @@ def top(
         )
 
     # First each block's own shard, then all others with the bound that it gave.
-    own_rows = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(home == F.col("shard"))
+    own_rows = placed.withColumn("block", every_block).where(home == F.col("shard"))
     first = stored(
         search(own_rows, queries.withColumn("shard", home).withColumn("floor", F.lit(None).cast("long")))
     )
     reached = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
     reached = reached.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("floor")).alias("floor"))
-    other_rows = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(home != F.col("shard"))
+    other_rows = placed.withColumn("block", every_block).where(home != F.col("shard"))
     others = (
         queries.join(reached, "vec_id", "left")
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .withColumn("shard", every_shard)
         .where(home != F.col("shard"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

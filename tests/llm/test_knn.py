@@ -55,6 +55,22 @@ def test_shards_and_blocks(spark, monkeypatch, shard, block, leaf):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_many_partitions(spark):
+    """Rows and queries of a tile meet even if no partitions are merged."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {name: spark.conf.get(name) for name in held}
+    rows = table(rows=400)
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        got = [knn.top(spark.createDataFrame(rows, SCHEMA), shard_rows=s, block_rows=3).collect() for s in (8192, 150)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for found in got:
+        assert sorted(map(tuple, found)) == brute(rows)
+
+
 def test_tree_prunes_and_is_exact():
     numbers = np.random.default_rng(0)
     points = numbers.integers(-2000, 2000, (3000, 4)).astype(float)
