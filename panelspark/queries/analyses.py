@@ -159,7 +159,7 @@ register(
     "an_rank_single_day",
     "entity:i session:d change:f",
     lambda t: A.rank_period_return(
-        user_day(t).select("entity", "session", "close", ((F.col("last") / F.col("open") - 1) * 100).alias("change")),
+        user_day(t).select("entity", "session", "close", ((F.try_divide("last", "open") - 1) * 100).alias("change")),
         "entity",
         "session",
         "close",

@@ -40,3 +40,7 @@ def events(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["an_event_outcome", "an_streak_outcome"])
 def test_outcome_after_a_close_of_zero(spark, events, name):
     assert matches(spark, events, name)
+
+
+def test_single_day_change_from_zero(spark, events):
+    assert matches(spark, events, "an_rank_single_day")
