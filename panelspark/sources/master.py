@@ -27,12 +27,13 @@ def constituent_universe(
     )
 
 
-def all_status_universe(code: str, *masters: DataFrame) -> DataFrame:
-    """Distinct valid codes of the listed, delisted and paused lists."""
+def all_status_universe(code: str, *masters: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Distinct valid codes of the listed, delisted and paused lists. ``valid`` is a condition
+    for codes that are not built like those of listed securities."""
     codes = masters[0].select(code)
     for master in masters[1:]:
         codes = codes.unionByName(master.select(code))
-    return codes.where(valid_entity_code(F.col(code))).distinct()
+    return codes.where(valid_entity_code(F.col(code)) if valid is None else valid).distinct()
 
 
 def enrich_master(

@@ -47,5 +47,18 @@ def test_change_from_zero(spark, events, name):
     assert matches(spark, events, name)
 
 
+def test_codes_of_all_numbers(spark, tmp_path):
+    """Numbers whose codes look like shares quoted in foreign currency, or are cut."""
+    kinds = "AUTOMOBILE", "BUILDING", "MACHINERY", "FURNITURE"
+    rows = [
+        (number, f"name {number}", 1, float(balance), kind)
+        for number in (7, 200_001, 900_001, 1_000_007)
+        for kind, balance in zip(kinds, (-1, 10, 5000, 1))
+    ]
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/customer.parquet")
+    assert matches(spark, tmp_path, "universe_all_status")
+
+
 def test_single_day_change_from_zero(spark, events):
     assert matches(spark, events, "an_rank_single_day")
