@@ -14,6 +14,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -79,48 +80,130 @@ def _short_value(
     return value, F.count(x).over(frame)
 
 
+def _slid(values: np.ndarray, window: int, op: np.ufunc, empty: float) -> np.ndarray:
+    """``op`` over the last ``window`` values at each place: the rest of one stretch of that
+    length and the beginning of the next, so an infinity stays in the windows that hold it."""
+    n = len(values)
+    stretches = np.full(-(-n // window) * window, empty)
+    stretches[:n] = values
+    stretches = stretches.reshape(-1, window)
+    begun = op.accumulate(stretches, axis=1).ravel()[:n]
+    rest = np.full(stretches.shape, empty)
+    rest[:, :-1] = op.accumulate(stretches[:, :0:-1], axis=1)[:, ::-1]
+    before = np.full(n, empty)
+    before[window:] = rest.ravel()[: max(0, n - window)]
+    return op(before, begun)
+
+
+def _added(x: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Moments of the first values of each row (a stretch), value after value: number, means, and
+    sums of squares and products about the means. Stretches are added up side by side."""
+    stretches, window = x.shape
+    out = np.zeros((6, window, stretches))
+    n, mx, my, qx, qy, xy = np.zeros((6, stretches))
+    for place in range(window):
+        k = known[:, place].astype(float)
+        n = n + k
+        share = k / np.maximum(n, 1)
+        dx, dy = x[:, place] - mx, y[:, place] - my
+        mx, my = mx + dx * share, my + dy * share
+        rest = (y[:, place] - my) * k
+        qx, qy, xy = qx + dx * (x[:, place] - mx) * k, qy + dy * rest, xy + dx * rest
+        out[:, place] = n, mx, my, qx, qy, xy
+    return out.transpose(0, 2, 1)
+
+
+def _moments(x: np.ndarray, y: np.ndarray, known: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Over each window, the sums of squares of ``x`` and ``y`` and of their products, about the
+    means: of the rest of one stretch and of the beginning of the next."""
+    rows = len(x)
+
+    def stretches(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(-(-rows // window) * window, values.dtype)
+        out[:rows] = values
+        return out.reshape(-1, window)
+
+    x, y, known = stretches(np.where(known, x, 0.0)), stretches(np.where(known, y, 0.0)), stretches(known)
+    begun = _added(x, y, known).reshape(6, -1)[:, :rows]
+    rest = np.zeros((6, *x.shape))
+    rest[:, :, :-1] = _added(x[:, :0:-1], y[:, :0:-1], known[:, :0:-1])[:, :, ::-1]
+    before = np.zeros((6, rows))
+    before[:, window:] = rest.reshape(6, -1)[:, : max(0, rows - window)]
+    na, nb = before[0], begun[0]
+    weight = na * nb / np.maximum(na + nb, 1)
+    gap_x, gap_y = begun[1] - before[1], begun[2] - before[2]
+    return tuple(
+        before[i] + begun[i] + np.where(weight > 0, gap * weight, 0.0)
+        for i, gap in ((3, gap_x * gap_x), (4, gap_y * gap_y), (5, gap_x * gap_y))
+    )
+
+
+def _long_statistic(function: str, x: np.ndarray, y: np.ndarray, known: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The statistic (NaN for none) and the number of known values over each window of a run."""
+    window = min(window, len(x))
+    with np.errstate(all="ignore"):
+        n = _slid(known.astype(float), window, np.add, 0.0)
+
+        def extreme(values: np.ndarray, op: np.ufunc, empty: float) -> np.ndarray:
+            return _slid(np.where(known, values, empty), window, op, empty)
+
+        if function in ("mean", "sum"):
+            total = _slid(np.where(known, x, 0.0), window, np.add, 0.0)
+            value = total / n if function == "mean" else total
+        elif function in ("min", "max"):
+            value = extreme(x, *((np.minimum, np.inf) if function == "min" else (np.maximum, -np.inf)))
+        else:
+            qx, qy, xy = _moments(x, y, known, window)
+
+            def deviation(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+                # Equal values have no spread, whatever the last digits of their mean.
+                flat = extreme(values, np.minimum, np.inf) == extreme(values, np.maximum, -np.inf)
+                return np.where(flat, 0.0, np.sqrt(np.maximum(q, 0.0) / (n - 1)))
+
+            if function == "std":
+                value = deviation(x, qx)
+            else:
+                value = xy / (n - 1)
+                if function == "correlation":
+                    spread = deviation(x, qx) * deviation(y, qy)
+                    value = np.where(spread != 0, value / spread, np.nan)
+            value = np.where(n > 1, value, np.nan)
+        return np.where(n > 0, value, np.nan), n.astype(np.int64)
+
+
 def _long_value(
     layout: Layout, function: str, x: Column, y: Column | None, window: int
 ) -> tuple[DataFrame, Column, Column]:
-    """The same from aggregates that slide over stretches of the window's length."""
-    paired = y is not None
-    used = F.when(y.isNotNull(), x) if paired else x
-    other = F.when(x.isNotNull(), y) if paired else x
-    states = {"__n": ("sum", F.when(used.isNotNull(), 1))}
-    if function in ("mean", "sum"):
-        states["__t"] = ("sum", used)
-    if function in ("std", "covariance", "correlation"):
-        states["__m"] = ("moments", F.struct(used.alias("x"), other.alias("y")))
-    for name, value in (("x", used), ("y", other)):
-        states[f"__lo_{name}"], states[f"__hi_{name}"] = ("min", value), ("max", value)
-    wanted = {
-        "mean": ("__t",),
-        "sum": ("__t",),
-        "min": ("__lo_x",),
-        "max": ("__hi_x",),
-        "std": ("__m", "__lo_x", "__hi_x"),
-        "covariance": ("__m",),
-        "correlation": ("__m", "__lo_x", "__hi_x", "__lo_y", "__hi_y"),
-    }[function]
-    frame = layout.sliding(window, {"__n": states["__n"], **{n: states[n] for n in wanted}}).frame
-    n = F.coalesce("__n", F.lit(0))
-    moment = lambda name: F.when(n > 1, F.col(f"__m.{name}") / (n - 1))
-
-    def deviation(name: str) -> Column:
-        # Equal values have no spread, whatever the last digits of their mean.
-        flat = (F.col(f"__lo_{name}") == F.col(f"__hi_{name}")) & (n > 1)
-        return F.when(flat, 0.0).otherwise(F.sqrt(moment(f"q{name}")))
-
-    value = {
-        "mean": lambda: F.try_divide(F.col("__t"), n),
-        "sum": lambda: F.col("__t"),
-        "min": lambda: F.col("__lo_x"),
-        "max": lambda: F.col("__hi_x"),
-        "std": lambda: deviation("x"),
-        "covariance": lambda: moment("xy"),
-        "correlation": lambda: F.try_divide(moment("xy"), deviation("x") * deviation("y")),
-    }[function]()
-    return frame, value, n
+    """The same for a long window: tasks read runs of rows in order, each once, and hold one."""
+    frame, own = layout.chained(window, "__row")
+    other = x if y is None else y
+    frame = frame.withColumns({"__x": x.cast("double"), "__y": other.cast("double"), "__own": own})
+    schema = T.StructType([*frame.schema.fields, T.StructField("__q", T.DoubleType()), T.StructField("__n", T.LongType())])
+    number = frame.columns.index("__row")
+
+    def worked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = pa.Table.from_batches(held)
+        a, b = (run.column(c).to_numpy().astype(np.float64) for c in ("__x", "__y"))
+        known = np.asarray(run.column("__x").is_valid()) & np.asarray(run.column("__y").is_valid())
+        value, n = _long_statistic(function, a, b, known, window)
+        empty = np.isnan(value) & (n == 0) if function in ("mean", "sum", "min", "max") else np.isnan(value)
+        run = run.append_column("__q", pa.array(value, pa.float64(), mask=empty)).append_column("__n", pa.array(n, pa.int64()))
+        yield from run.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(number).to_numpy() == 1).tolist()
+            for low, high in zip([0, *starts], [*starts, batch.num_rows]):
+                if low in starts and held:
+                    yield from worked(held)
+                    held = []
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from worked(held)
+
+    return frame.mapInArrow(run, schema).where("__own"), F.col("__q"), F.col("__n")
 
 
 class _Ordered:
