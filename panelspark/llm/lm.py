@@ -115,6 +115,23 @@ def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(31))
 
 
+def _dealt(block, buckets: int) -> tuple[np.ndarray, ...]:
+    """Bucket, hash, first word's hash and number in training documents of a block's pairs, in
+    the order in which they are sent and their totals come back."""
+    hashes = _hashes(block)
+    tokens, state, document = _states(block)
+    inside = state >= 0
+    local = state[inside] * len(hashes) + tokens[inside]
+    learnt = ~_cell(block, "held").to_numpy(zero_copy_only=False).astype(bool)[document[inside]]
+    once, back = np.unique(local, return_inverse=True)
+    n = np.bincount(back[learnt], minlength=len(once)).astype(np.uint32)
+    first = hashes[once // len(hashes)]
+    key = _key(first, hashes[once % len(hashes)])
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((first, bucket))
+    return bucket[order], key[order], first[order], n[order]
+
+
 def pairs(some: DataFrame, buckets: int) -> DataFrame:
     """``bucket, block, pairs, firsts, counts``: the pairs of each block by bucket, as hashes,
     with their first words' hashes and their numbers in the block's training documents."""
@@ -125,18 +142,7 @@ def pairs(some: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 block = batch.slice(row, 1)
-                hashes = _hashes(block)
-                tokens, state, document = _states(block)
-                inside = state >= 0
-                local = state[inside] * len(hashes) + tokens[inside]
-                learnt = ~_cell(block, "held").to_numpy(zero_copy_only=False).astype(bool)[document[inside]]
-                once, back = np.unique(local, return_inverse=True)
-                n = np.bincount(back[learnt], minlength=len(once)).astype(np.uint32)
-                first = hashes[once // len(hashes)]
-                key = _key(first, hashes[once % len(hashes)])
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((first, bucket))
-                bucket, key, first, n = (x[order] for x in (bucket, key, first, n))
+                bucket, key, first, n = _dealt(block, buckets)
                 which, start = np.unique(bucket, return_index=True)
                 parts = list(zip(start, np.r_[start[1:], len(bucket)]))
                 number = np.full(len(which), block.column("block")[0].as_py(), np.int64)
@@ -148,10 +154,11 @@ def pairs(some: DataFrame, buckets: int) -> DataFrame:
 
 
 def arcs_of(packed: DataFrame) -> DataFrame:
-    """``block, pairs, totals, first, mass`` from packed pairs: for every block the hashes of
-    its pairs that are arcs, with their counts; and in rows without a block, the hashes of first
-    words with the mass of their arcs."""
-    schema = "block long, pairs binary, totals binary, first array<long>, mass array<double>"
+    """``block, bucket, totals, first, mass`` from packed pairs: for every block the counts of
+    its pairs in the order in which they came, 0 for those that are no arcs (64 bits each,
+    deflated: a block knows the hashes); and in rows without a block, the hashes of first words
+    with the mass of their arcs."""
+    schema = "block long, bucket long, totals binary, first array<long>, mass array<double>"
     arrow = to_arrow(packed.sparkSession, schema)
 
     def one_bucket(rows: pa.Table) -> pa.Table:
@@ -162,13 +169,12 @@ def arcs_of(packed: DataFrame) -> DataFrame:
         total = np.zeros(len(once), np.int64)
         np.add.at(total, back, n.astype(np.int64))
         kept = total >= PAIR_COUNT
+        arcs, bucket = np.where(kept, total, 0), rows.column("bucket")[0].as_py()
         words, word = np.unique(first[where[kept]], return_inverse=True)
         mass = np.bincount(word, weights=total[kept] - DISCOUNT, minlength=len(words))
         out = [(None, None, None, words.view(np.int64), mass)]
         for block, low, high in zip(rows.column("block").to_pylist(), np.r_[0, ends[:-1]], ends):
-            arc = back[low:high][kept[back[low:high]]]
-            if len(arc):
-                out.append((block, once[arc].tobytes(), total[arc].tobytes(), None, None))
+            out.append((block, bucket, zlib.compress(arcs[back[low:high]].tobytes(), 1), None, None))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     return packed.groupBy("bucket").applyInArrow(one_bucket, schema)
@@ -215,7 +221,8 @@ def scored(docs: DataFrame) -> DataFrame:
     n_train, n_words = sums["n"], sums["v"]
 
     some = some.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    arcs = stored(arcs_of(pairs(some, n_train // BUCKET + 1)))
+    buckets = n_train // BUCKET + 1
+    arcs = stored(arcs_of(pairs(some, buckets)))
     masses = arcs.where("block IS NULL").select(F.explode(F.arrays_zip("first", "mass")).alias("m"))
     masses = masses.groupBy(F.col("m.first").alias("first")).agg(F.sum("m.mass").alias("mass"))
 
@@ -227,13 +234,13 @@ def scored(docs: DataFrame) -> DataFrame:
         (F.col("place") % WORDS).alias("key"),
         "total",
         F.coalesce("mass", F.lit(0.0)).alias("mass"),
-        F.lit(None).cast("binary").alias("pairs"),
+        F.lit(None).cast("long").alias("bucket"),
         F.lit(None).cast("binary").alias("totals"),
     )
     nothing = F.lit(None).cast("long")
     known = known.unionByName(
         arcs.where("block IS NOT NULL").select(
-            "block", nothing.alias("key"), nothing.alias("total"), F.lit(None).cast("double").alias("mass"), "pairs", "totals"
+            "block", nothing.alias("key"), nothing.alias("total"), F.lit(None).cast("double").alias("mass"), "bucket", "totals"
         )
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -246,7 +253,7 @@ def scored(docs: DataFrame) -> DataFrame:
     def one_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        return pa.table(_score(left, right, n_train, n_words), schema=arrow)
+        return pa.table(_score(left, right, n_train, n_words, buckets), schema=arrow)
 
     return (
         some.select("block", "doc_ids", "held", "sizes", "tokens", "counts", "hashes")
@@ -256,13 +263,15 @@ def scored(docs: DataFrame) -> DataFrame:
     )
 
 
-def _score(block: pa.Table, known: pa.Table, n_train: int, n_words: int) -> list[pa.Array]:
+def _score(block: pa.Table, known: pa.Table, n_train: int, n_words: int, buckets: int) -> list[pa.Array]:
     """The result columns of one block. ``known`` has the training counts and the arcs' mass of
     words that other blocks have too, and the arcs that its pairs follow."""
-    packed = known.filter(pc.is_valid(known.column("pairs")))
-    arc, weight = (
-        np.frombuffer(b"".join(packed.column(c).to_pylist()), t) for c, t in (("pairs", np.uint64), ("totals", np.int64))
-    )
+    packed = known.filter(pc.is_valid(known.column("totals"))).sort_by("bucket")
+    weight = np.frombuffer(b"".join(map(zlib.decompress, packed.column("totals").to_pylist())), np.int64)
+    arc = _dealt(block, buckets)[1]
+    if len(arc) != len(weight):
+        raise ValueError("a block's pairs and their totals do not match")
+    arc, weight = arc[weight > 0], weight[weight > 0]
     order = np.argsort(arc)
     arc, weight = arc[order], weight[order]
     known = known.filter(pc.is_valid(known.column("key")))
