@@ -40,6 +40,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def relieved(spark: SparkSession) -> None:
+    """Collect the driver's garbage if its heap has grown beyond half of its limit.
+
+    What plans, broadcasts and listeners of ended jobs leave is garbage, but a Java heap grows
+    to its limit before it gives memory back, and a query of many small jobs fills it so.
+    """
+    java = getattr(spark, "_jvm", None)  # a remote session has no driver of its own
+    if java is None:
+        return
+    runtime = java.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > runtime.maxMemory() // 2:
+        java.java.lang.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and continue from there.
 
@@ -48,4 +62,5 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    relieved(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
