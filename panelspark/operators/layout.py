@@ -30,10 +30,12 @@ from panelspark.session import stored
 
 POSITION, BLOCK = "__position", "__block"
 _CHUNK, _SALT, _HOME, _START = "__chunk", "__salt", "__home", "__start"
-_STRETCH = "__stretch"
+_STRETCH, _PLACE, _FIRST = "__stretch", "__place", "__first_place"
 
 ONE_TASK_ROWS = 4_000_000
 BLOCK_ROWS = 1_000_000
+#: Pieces of groups by partition whose places are broadcast; with more, rows are numbered by a window.
+FEW_PIECES = 20_000
 
 
 def _moments(column: Column, over: WindowSpec | None) -> Column:
@@ -368,28 +370,34 @@ def lay_out(
         block_rows = BLOCK_ROWS
     partitions = max(2, math.ceil((df.count() if total is None else total) / block_rows))
     # The salt spreads rows that are equal on every ordering column, copies included.
+    by = [*[F.col(k) for k in keys], *order, F.col(_SALT)]
+    # Rows are numbered in the task that sorted them: the lower 33 bits count a partition's rows.
     ranged = stored(
         df.withColumn(_SALT, F.rand(seed=7))
-        .repartitionByRange(partitions, *[F.col(k) for k in keys], *order, F.col(_SALT))
+        .repartitionByRange(partitions, *by)
+        .sortWithinPartitions(*by)
         .withColumn(_CHUNK, F.spark_partition_id())
+        .withColumn(_PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     earlier = (
         Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
-    # Only a group that continues across a partition edge has rows before this
-    # partition, so this table has fewer rows than there are partitions.
-    starts = (
-        ranged.groupBy(*keys, _CHUNK)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(_START, F.sum("n").over(earlier))
-        .where(F.col(_START) > 0)
-        .drop("n")
+    pieces = stored(
+        ranged.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("n"), F.min(_PLACE).alias(_FIRST))
     )
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order, F.col(_SALT))
-    numbered = ranged.withColumn(POSITION, F.row_number().over(inside).cast("long"))
-    placed = key_join(numbered, starts, [*keys, _CHUNK], "left", [_START], F.broadcast)
-    position = F.col(POSITION) + F.coalesce(_START, F.lit(0))
-    frame = placed.withColumn(POSITION, position).withColumn(
+    starts = pieces.withColumn(_START, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    if pieces.count() <= FEW_PIECES:
+        placed = key_join(ranged, starts, [*keys, _CHUNK], "left", [_START, _FIRST], F.broadcast)
+        inside = F.col(_PLACE) - F.col(_FIRST) + 1
+    else:
+        # Only a group that continues across a partition edge has rows before this partition, so
+        # what is broadcast has fewer rows than there are partitions.
+        starts = starts.where(F.col(_START) > 0).drop(_FIRST)
+        piece = Window.partitionBy(*keys, _CHUNK).orderBy(_PLACE)
+        numbered = ranged.withColumn(POSITION, F.row_number().over(piece).cast("long"))
+        placed = key_join(numbered, starts, [*keys, _CHUNK], "left", [_START], F.broadcast)
+        inside = F.col(POSITION)
+    frame = placed.withColumn(POSITION, inside + F.coalesce(_START, F.lit(0))).withColumn(
         BLOCK, F.floor((F.col(POSITION) - 1) / block_rows).cast("long")
     )
     return Layout(frame.select(*df.columns, POSITION, BLOCK), keys, order, block_rows)
