@@ -16,9 +16,12 @@ What is summed may be any mergeable aggregate: counts, sums, and XOR fingerprint
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,10 @@ PLACE_BITS = 15
 #: The axis with nothing to choose, and the formula axes' thresholds.
 CONSTANT = ""
 _PLACES = (1 << PLACE_BITS) - 1
+#: Rows times boxes that a task looks at in one step.
+_STEP = 1 << 23
+#: Sums over keys of products of a box's rows ``n`` and hits ``h`` with its own or its base's.
+PRODUCTS = ("nn", "nh", "hh", "n_bn", "n_bh", "h_bn", "h_bh")
 
 
 @dataclass
@@ -174,6 +181,74 @@ class Boxes:
         placed = self.placed(rows, [c for c in dict.fromkeys([key, *needed])])
         return placed.groupBy("grid", "c1", "c2", key).agg(*stats)
 
+    def products(self, rows: DataFrame, key: str, hit: str, bases: Mapping[int, int]) -> DataFrame:
+        """``tag, keys, most`` and ``PRODUCTS`` of every box with rows: the number of keys under
+        which it has some, the largest number of rows under a key, and the sums over all keys of
+        products of its rows ``n`` and hits ``h`` with its own, and with those of the box whose
+        tag is its base (``bases``; its own if it has none).
+
+        Rows of a key meet in one task, which reads them one after the other and holds a number
+        per box; no row is made per key and box.
+        """
+        axes = list(self.axes)
+        sides = list(dict.fromkeys(s for _, *both in self._boxes for s in both))
+        chosen = [(axes.index(s.axis), s.direction == UP, self._place(s)) for s in sides]
+        first, second = (np.array([sides.index(box[i]) for box in self._boxes]) for i in (1, 2))
+        tags = [tag for tag, *_ in self._boxes]
+        at = {tag: i for i, tag in enumerate(tags)}
+        base = np.array([at[bases.get(tag, tag)] for tag in tags])
+        names = ("tag", "keys", "most", *PRODUCTS)
+        step, bits, low = max(1, _STEP // max(1, len(tags))), PLACE_BITS, _PLACES
+        codes = F.array(*(axis.code() for axis in self.axes.values()))
+        sorted_rows = (
+            rows.select(key, F.col(key).isNull().alias("__none"), F.col(hit).cast("int").alias("__hit"), codes.alias("__codes"))
+            .repartition(key)
+            .sortWithinPartitions(key)
+        )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(names) - 1, len(tags)), np.int64)
+            last, held = None, None  # the key that was read last, and its rows and hits so far
+
+            def add(n: np.ndarray, h: np.ndarray) -> None:
+                bn, bh = n[base], h[base]
+                sums[0] += (n > 0).sum(axis=1)
+                sums[1] = np.maximum(sums[1], n.max(axis=1, initial=0))
+                for i, (a, b) in enumerate(((n, n), (n, h), (h, h), (n, bn), (n, bh), (h, bn), (h, bh)), 2):
+                    sums[i] += (a * b).sum(axis=1)
+
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    keys, none = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+                    differs = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+                    starts = np.r_[0, 1 + np.flatnonzero(differs | (none[1:] != none[:-1]))]
+                    code = pc.fill_null(batch.column(3).flatten(), -1).to_numpy().reshape(batch.num_rows, -1).T
+                    known, up, down = code >= 0, code >> bits, code & low
+                    inside = np.array([known[a] & ((up if rising else down)[a] <= j) for a, rising, j in chosen])
+                    held_by = inside[first] & inside[second]
+                    hits = held_by & (batch.column(2).to_numpy() > 0)
+                    n, h = (
+                        np.add.reduceat(x.view(np.uint8), starts, axis=1, dtype=np.int32).astype(np.int64)
+                        for x in (held_by, hits)
+                    )
+                    if held is not None:
+                        if last == (keys[0].as_py(), bool(none[0])):
+                            n[:, 0] += held[0]
+                            h[:, 0] += held[1]
+                        else:
+                            add(held[0][:, None], held[1][:, None])
+                    add(n[:, :-1], h[:, :-1])
+                    last, held = (keys[-1].as_py(), bool(none[-1])), (n[:, -1].copy(), h[:, -1].copy())
+            if held is not None:
+                add(held[0][:, None], held[1][:, None])
+            columns = [np.array(tags, np.int64), *sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c[sums[0] > 0]) for c in columns], names=list(names))
+
+        parts = sorted_rows.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+        added = [F.sum(c).alias(c) for c in ("keys", *PRODUCTS)]
+        return parts.groupBy("tag").agg(F.max("most").alias("most"), *added)
+
     def met(self, cells: DataFrame, wanted: DataFrame) -> DataFrame:
         """Cells joined with the rows of ``wanted`` (``tag`` and any keys that both have) whose
         boxes hold them."""

@@ -1,9 +1,10 @@
 """Evidence for many threshold rules in one pass over the panel.
 
 Rules are boxes of thresholds. Panel rows are counted once per pair of factors, cell between
-thresholds, and session (or entity, or range of returns), combining before the shuffle; running
+thresholds, and session (or range of returns), combining before the shuffle; running
 sums over the cells give the sufficient statistics of every rule and of every baseline
-(``plans/cells.py``). Rates, concentration, cluster-robust errors, intervals and return
+(``plans/cells.py``). Of entities only sums of products over all of them are needed, which tasks
+add up while they read the rows of one entity after the other. Rates, concentration, cluster-robust errors, intervals and return
 quantiles follow from those tables. A rule that is no box is a cell of its own.
 
 A rule's baseline is every row on which all of its factors are known. The HAC sum uses two range
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,7 @@ from panelspark.operators.quantiles import (
     value_bucket,
     wanted_positions,
 )
-from panelspark.plans.cells import Boxes, Side
+from panelspark.plans.cells import PRODUCTS, Boxes, Side
 from panelspark.plans.panel import (
     ENTITY,
     RANK,
@@ -139,18 +140,28 @@ def sums_by_session(clean: DataFrame, boxes: Boxes) -> DataFrame:
         F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"),
         F.sum("ret").alias("s1"),
         F.sum(F.col("ret") * F.col("ret")).alias("s2"),
-        F.bit_xor(F.xxhash64(ENTITY, SESSION)).alias("x1"),
-        F.bit_xor(F.xxhash64(F.lit("second"), SESSION, ENTITY)).alias("x2"),
+        F.bit_xor("x1").alias("x1"),
+        F.bit_xor("x2").alias("x2"),
     ]
-    cells = boxes.cells(clean, SESSION, [ENTITY, "ret", "hit"], stats)
+    # A row is hashed once, not once per grid.
+    hashed = clean.withColumns(
+        {"x1": F.xxhash64(ENTITY, SESSION), "x2": F.xxhash64(F.lit("second"), SESSION, ENTITY)}
+    )
+    cells = boxes.cells(hashed, SESSION, ["ret", "hit", "x1", "x2"], stats)
     return boxes.sums(cells, SESSION, ["matched", "n", "hits", "s1", "s2"], ["x1", "x2"])
 
 
-def sums_by_entity(clean: DataFrame, boxes: Boxes) -> DataFrame:
-    """Observed rows and hits per (tag, entity)."""
-    stats = [F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")]
-    cells = boxes.cells(clean.where(F.col("ret").isNotNull()), ENTITY, ["hit"], stats)
-    return boxes.sums(cells, ENTITY, ["n", "hits"])
+def sums_over_entities(clean: DataFrame, boxes: Boxes, bases: Mapping[int, int]) -> DataFrame:
+    """Per tag, its entities with observed rows, the most rows of one, and sums over entities of
+    products of observed rows and hits, its own and its baseline's (``Boxes.products``)."""
+    found = boxes.products(clean.where(F.col("ret").isNotNull()), ENTITY, "hit", bases)
+    return found.withColumnsRenamed({"keys": "entities", "most": "ent_max"})
+
+
+def entity_squares(rate: Column, total: Column, prefix: str = "") -> Column:
+    """Sum over entities of squared residuals: Σ((h - p·n)/N)² from the sums of products."""
+    nn, nh, hh = (F.col(prefix + c) for c in ("nn", "nh", "hh"))
+    return F.try_divide(hh - 2 * rate * nh + rate * rate * nn, total * total)
 
 
 def return_quantiles(
@@ -176,8 +187,8 @@ def return_quantiles(
     return picked_quantiles(held, targets, ["tag"], QUANTILES, max_bucket_rows=int(most))
 
 
-def rule_totals(by_session: DataFrame, by_entity: DataFrame) -> DataFrame:
-    """One row per tag from the two cell tables."""
+def rule_totals(by_session: DataFrame, over_entities: DataFrame) -> DataFrame:
+    """One row per tag from the sums by session and those over entities."""
     n = F.col("n").cast("double")
     seen = F.col("n") > 0
     sessions = by_session.groupBy("tag").agg(
@@ -192,13 +203,8 @@ def rule_totals(by_session: DataFrame, by_entity: DataFrame) -> DataFrame:
         F.bit_xor("x1").alias("x1"),
         F.bit_xor("x2").alias("x2"),
     )
-    entities = by_entity.groupBy("tag").agg(
-        F.count_if(seen).alias("entities"),
-        F.sum(n * n).alias("ent_sq"),
-        F.max("n").alias("ent_max"),
-    )
     rate = F.try_divide(F.col("hits"), F.col("n"))
-    return sessions.join(entities, "tag", "left").withColumn("rate", rate)
+    return sessions.join(over_entities, "tag", "left").withColumn("rate", rate)
 
 
 def hac_long_run(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
@@ -226,20 +232,16 @@ def cluster_error(long_run: Column, clusters: Column) -> Column:
     return F.sqrt(cluster_variance(long_run, clusters))
 
 
-def _rate_errors(
-    by_session: DataFrame, by_entity: DataFrame, totals: DataFrame, lag: int, sessions: Column
-) -> DataFrame:
+def _rate_errors(by_session: DataFrame, totals: DataFrame, lag: int, sessions: Column) -> DataFrame:
     """Per tag: date-HAC and entity-cluster error of the hit rate, and its interval."""
     small = totals.select("tag", "rate", F.col("n").alias("total"))
     residual = (F.col("hits") - F.col("rate") * F.col("n")) / F.col("total")
     dated = by_session.join(small, "tag").select("tag", RANK, residual.alias("x"))
-    entity = by_entity.join(small, "tag").groupBy("tag").agg(
-        F.sum(residual * residual).alias("ent_long_run")
-    )
-    wide = totals.join(hac_long_run(dated, lag, sessions), "tag").join(entity, "tag", "left")
+    wide = totals.join(hac_long_run(dated, lag, sessions), "tag")
+    ent_long_run = entity_squares(F.col("rate"), F.col("n").cast("double"))
     error = F.greatest(
         cluster_error(F.col("long_run"), F.col("days")),
-        cluster_error(F.coalesce("ent_long_run", F.lit(0.0)), F.col("entities")),
+        cluster_error(F.coalesce(ent_long_run, F.lit(0.0)), F.col("entities")),
     )
     margin = Z_95_TWO_SIDED * F.col("error")
     day_low, day_high = wilson_bounds(F.col("rate"), F.col("eff_days"))
@@ -248,7 +250,7 @@ def _rate_errors(
     total = F.col("n").cast("double")
     return (
         wide.withColumn("eff_days", kish_count(total, F.col("day_sq")))
-        .withColumn("eff_entities", kish_count(total, F.col("ent_sq")))
+        .withColumn("eff_entities", kish_count(total, F.col("nn")))
         .withColumn("error", F.when(several, error).otherwise(F.lit(0.0)))
         .withColumn(
             "low",
@@ -264,17 +266,12 @@ def _rate_errors(
                 F.greatest(F.least(F.col("rate") + margin, F.lit(1.0)), day_high, ent_high),
             ).otherwise(F.lit(1.0)),
         )
-        .drop("long_run", "ent_long_run")
+        .drop("long_run")
     )
 
 
 def _lift_errors(
-    rules: DataFrame,
-    by_session: DataFrame,
-    by_entity: DataFrame,
-    totals: DataFrame,
-    lag: int,
-    sessions: Column,
+    rules: DataFrame, by_session: DataFrame, totals: DataFrame, lag: int, sessions: Column
 ) -> DataFrame:
     """``(rule, lift_error)``: error of the rule's rate minus its baseline's rate.
 
@@ -282,7 +279,7 @@ def _lift_errors(
     difference a - b of the two residual sums.
     """
     picked = totals.select(
-        F.col("tag").alias("rule"), F.col("rate").alias("p"), F.col("n").alias("total")
+        F.col("tag").alias("rule"), F.col("rate").alias("p"), F.col("n").alias("total"), *PRODUCTS
     )
     base = totals.select(
         F.col("tag").alias("base"),
@@ -290,48 +287,30 @@ def _lift_errors(
         F.col("n").alias("base_total"),
         F.col("days").alias("base_days"),
         F.col("entities").alias("base_entities"),
+        *[F.col(c).alias(f"base_{c}") for c in ("nn", "nh", "hh")],
     )
     pairs = rules.select("rule", "base").join(picked, "rule").join(base, "base")
     own = F.coalesce((F.col("hits") - F.col("p") * F.col("n")) / F.col("total"), F.lit(0.0))
     other = (F.col("bhits") - F.col("pb") * F.col("bn")) / F.col("base_total")
 
-    def sides(cells: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        selected = cells.where(F.col("tag") >= 0).select(
-            F.col("tag").alias("rule"), key, "hits", "n"
-        )
-        whole = cells.where((F.col("tag") < 0) & (F.col("n") > 0)).select(
-            F.col("tag").alias("base"), key, F.col("hits").alias("bhits"), F.col("n").alias("bn")
-        )
-        return selected, whole
-
     # Sessions: every baseline session of every rule (rules x calendar rows).
-    selected, whole = sides(by_session, RANK)
+    selected = by_session.where(F.col("tag") >= 0).select(F.col("tag").alias("rule"), RANK, "hits", "n")
+    whole = by_session.where((F.col("tag") < 0) & (F.col("n") > 0)).select(
+        F.col("tag").alias("base"), RANK, F.col("hits").alias("bhits"), F.col("n").alias("bn")
+    )
     dated = (
-        pairs.join(whole, "base")
+        pairs.select("rule", "base", "p", "total", "pb", "base_total")
+        .join(whole, "base")
         .join(selected, ["rule", RANK], "left")
         .select(F.col("rule").alias("tag"), RANK, (own - other).alias("x"))
     )
     date_part = hac_long_run(dated, lag, sessions).withColumnRenamed("tag", "rule")
-    # Entities: Σ(a-b)² = Σb² + Σ(a²-2ab), where a is zero outside the selected
-    # entities, so the baseline's entities are summed once per factor set.
-    selected, whole = sides(by_entity, ENTITY)
-    base_sq = (
-        whole.join(base.select("base", "pb", "base_total"), "base")
-        .groupBy("base")
-        .agg(F.sum(other * other).alias("base_sq"))
-    )
-    mixed = (
-        pairs.join(selected, "rule")
-        .join(whole, ["base", ENTITY])
-        .groupBy("rule")
-        .agg(F.sum(own * own - 2 * own * other).alias("mixed"))
-    )
-    wide = (
-        pairs.join(date_part, "rule")
-        .join(base_sq, "base")
-        .join(mixed, "rule", "left")
-        .withColumn("ent_run", F.col("base_sq") + F.coalesce("mixed", F.lit(0.0)))
-    )
+    # Entities: Σ(a-b)² = Σa² - 2Σab + Σb², from sums of products over the entities.
+    p, pb, total, base_total = (F.col(c).cast("double") for c in ("p", "pb", "total", "base_total"))
+    crossed = F.col("h_bh") - pb * F.col("h_bn") - p * F.col("n_bh") + p * pb * F.col("n_bn")
+    mixed = entity_squares(p, total) - 2 * F.try_divide(crossed, total * base_total)
+    base_sq = entity_squares(pb, base_total, "base_")
+    wide = pairs.join(date_part, "rule").withColumn("ent_run", base_sq + F.coalesce(mixed, F.lit(0.0)))
     error = F.greatest(
         cluster_error(F.col("long_run"), F.col("base_days")),
         cluster_error(F.col("ent_run"), F.col("base_entities")),
@@ -363,6 +342,7 @@ def rule_evidence(
     sets = list(dict.fromkeys(rule.factors for _, rule in rules))
     boxes = rule_boxes(rules, sets)
     rows = [(tag, -(sets.index(rule.factors) + 1), rule.text) for tag, rule in rules]
+    bases = {tag: base for tag, base, _ in rows}
     table = clean.sparkSession.createDataFrame(rows, "rule long, base long, formula string")
     days = clean.groupBy(SESSION).agg(
         F.min("ret").alias("low"), F.max("ret").alias("high"), mean_size("ret").alias("size")
@@ -370,7 +350,7 @@ def rule_evidence(
     # Any scale serves: it only shapes the ranges of returns.
     sessions, *bounds = days.agg(F.count(F.lit(1)), F.min("low"), F.max("high"), F.avg("size")).first()
     evidence = stored(
-        _evidence(clean, boxes, table, F.lit(sessions), lag=lag, target_return=target_return)
+        _evidence(clean, boxes, table, bases, F.lit(sessions), lag=lag, target_return=target_return)
     )
     chosen = evidence.where("sample_count > 0")
     if gate is not None:
@@ -389,22 +369,20 @@ def _evidence(
     clean: DataFrame,
     boxes: Boxes,
     rules: DataFrame,
+    bases: Mapping[int, int],
     sessions: Column,
     *,
     lag: int,
     target_return: float,
 ) -> DataFrame:
     """Evidence without the quantiles. ``rules`` has ``rule`` (the tag), ``base`` (the tag of its
-    factor set), ``formula``."""
+    factor set, in ``bases`` too), ``formula``."""
     calendar = broadcast_calendar(numbered_calendar(clean.select(SESSION).distinct()))
-    # The two tables of sums are the only results of the panel passes and feed everything
-    # below, so they are written once instead of being worked out per use.
+    # The sums by session are read several times, so they are written once.
     by_session = stored(sums_by_session(clean, boxes).join(calendar, SESSION).drop(SESSION))
-    by_entity = stored(sums_by_entity(clean, boxes))
-    totals = stored(
-        _rate_errors(by_session, by_entity, rule_totals(by_session, by_entity), lag, sessions)
-    )
-    lift = _lift_errors(rules, by_session, by_entity, totals, lag, sessions)
+    over_entities = sums_over_entities(clean, boxes, bases)
+    totals = stored(_rate_errors(by_session, rule_totals(by_session, over_entities), lag, sessions))
+    lift = _lift_errors(rules, by_session, totals, lag, sessions)
     own = totals.withColumnRenamed("tag", "rule")
     base = totals.select(
         F.col("tag").alias("base"),

@@ -270,14 +270,14 @@ _evidence_query("backtest_rule", list(_SQL))
 
 
 def _cells(t):
-    """Per (rule, session) and per (rule, entity) counts of the training window."""
+    """Counts per (rule, session), and sums over entities per rule, of the training window."""
     panel = stored(dataset(t))
     rules = [R.make_rule(text, panel.columns) for text in RULES]
     clean = R.clean_panel(panel, FACTORS, TARGET)
     boxes = R.rule_boxes(list(enumerate(rules)), [])
     calendar = E.numbered_calendar(clean.select("session").distinct())
     days = stored(R.sums_by_session(clean, boxes).join(E.broadcast_calendar(calendar), "session"))
-    entities = stored(R.sums_by_entity(clean, boxes))
+    entities = stored(R.sums_over_entities(clean, boxes, {}))
     names = t.spark.createDataFrame(list(enumerate(RULES)), "tag long, formula string")
     return days, entities, F.lit(calendar.count()), names
 
@@ -288,10 +288,9 @@ def _error_parts(t):
     small = totals.select("tag", "rate", F.col("n").alias("total"))
     residual = (F.col("hits") - F.col("rate") * F.col("n")) / F.col("total")
     dated = days.join(small, "tag").select("tag", "session_rank", residual.alias("x"))
-    by_entity = entities.join(small, "tag").groupBy("tag").agg(
-        F.sum(residual * residual).alias("ent_run")
+    wide = totals.join(R.hac_long_run(dated, LAG, sessions), "tag").withColumn(
+        "ent_run", R.entity_squares(F.col("rate"), F.col("n").cast("double"))
     )
-    wide = totals.join(R.hac_long_run(dated, LAG, sessions), "tag").join(by_entity, "tag")
     low, high = R.wilson_bounds(F.col("rate"), F.col("n").cast("double"))
     return wide.join(names, "tag").select(
         "formula",

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from panelspark.plans import rules as R
-from panelspark.plans.cells import DOWN, UP, Boxes, Side
+from panelspark.plans.cells import DOWN, PRODUCTS, UP, Boxes, Side
 from pyspark.sql import functions as F
 from tests.test_rules import panel_frame
 
@@ -55,6 +55,48 @@ def test_sums_of_boxes(spark, seed):
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_products_over_keys(spark, seed):
+    """Sums over keys of products of counts, from rows in order: keys that go on in the next
+    batch, a null key, and boxes with a base of their own."""
+    rows, tagged = made_up(seed), boxes_of(seed)
+    rows = [(None if r[0] == 6 else r[0], *r[1:4], r[4] % 2) for r in rows]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, hit int").repartition(3)
+    boxes = Boxes({n: F.col(n) for n in NAMES})
+    for tag, sides in tagged:
+        boxes.add(tag, *sides)
+    bases = {tag: tagged[i - 1][0] for i, (tag, _) in enumerate(tagged) if i % 2}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = {r.tag: tuple(r) for r in boxes.products(df, "k", "hit", bases).select("tag", "keys", "most", *PRODUCTS).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = [None, *range(6)]
+    n, h = (
+        {tag: [sum(all(holds(s, r) for s in sides) and r[0] == k and r[4] >= least for r in rows) for k in keys] for tag, sides in tagged}
+        for least in (0, 1)
+    )
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {}
+    for tag, _ in tagged:
+        a, b, base = n[tag], h[tag], bases.get(tag, tag)
+        found = dot(a, a), dot(a, b), dot(b, b), dot(a, n[base]), dot(a, h[base]), dot(b, n[base]), dot(b, h[base])
+        if sum(a):
+            want[tag] = tag, sum(x > 0 for x in a), max(a), *found
+    assert got == want and len(want) > 30
+
+
+def test_no_row_per_entity_and_rule(spark):
+    """What an evidence run writes does not grow with entities times rules."""
+    panel = spark.createDataFrame(panel_frame())
+    rules = list(enumerate(R.make_rule(f"fa >= {i / 10}", panel.columns) for i in range(10)))
+    clean = R.clean_panel(panel, ["fa"], 0.0)
+    boxes = R.rule_boxes(rules, [("fa",)])
+    over = R.sums_over_entities(clean, boxes, {tag: -1 for tag, _ in rules})
+    assert clean.select("entity").distinct().count() > 1
+    assert over.count() == over.select("tag").distinct().count() <= 11
+
+
 def test_cells_that_a_box_holds(spark):
     rows, tagged = made_up(3), boxes_of(3)
     df = spark.createDataFrame(rows, "k int, a double, b double, c double, x long")
