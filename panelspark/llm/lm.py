@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import text_column, to_arrow
-from panelspark.session import stored
+from panelspark.session import relieved, stored
 
 ADD = 0.1
 #: Least share of the training tokens that a state needs: none.
@@ -223,6 +223,7 @@ def scored(docs: DataFrame) -> DataFrame:
     some = some.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     buckets = n_train // BUCKET + 1
     arcs = stored(arcs_of(pairs(some, buckets)))
+    relieved(spark, always=True)  # the pairs' shuffle is the largest, and is not read again
     masses = arcs.where("block IS NULL").select(F.explode(F.arrays_zip("first", "mass")).alias("m"))
     masses = masses.groupBy(F.col("m.first").alias("first")).agg(F.sum("m.mass").alias("mass"))
 

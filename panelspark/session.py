@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +42,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def relieved(spark: SparkSession) -> None:
-    """Collect the driver's garbage if its heap has grown beyond half of its limit.
+def relieved(spark: SparkSession, always: bool = False) -> None:
+    """Collect the driver's garbage if its heap has grown beyond half of its limit, or ``always``.
 
     What plans, broadcasts and listeners of ended jobs leave is garbage, but a Java heap grows
-    to its limit before it gives memory back, and a query of many small jobs fills it so.
+    to its limit before it gives memory back, and a query of many small jobs fills it so. Spark
+    deletes the files of a shuffle once its plan has been collected, here and in Python: after the
+    last job that reads a large shuffle, ``always`` keeps them from staying on the executors' disks.
     """
     java = getattr(spark, "_jvm", None)  # a remote session has no driver of its own
     if java is None:
         return
     runtime = java.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() > runtime.maxMemory() // 2:
+    if always:
+        gc.collect()
+        java.java.lang.System.gc()
+        time.sleep(1)  # until listeners have let go of the last job
+    if always or runtime.totalMemory() > runtime.maxMemory() // 2:
         java.java.lang.System.gc()
 
 
