@@ -174,7 +174,8 @@ class Boxes:
         )
         run = _running(directed, [*family, key, "j2"], "j1", "size1", totals)
         run = _running(run, [*family, key, "j1"], "j2", "size2", totals)
-        return run.join(self.corners(spark), [*family, "j1", "j2"]).select("tag", key, *totals)
+        # A row per box: the running sums, whose number grows with the keys, stay where they are.
+        return run.join(F.broadcast(self.corners(spark)), [*family, "j1", "j2"]).select("tag", key, *totals)
 
     def cells(self, rows: DataFrame, key: str, needed: Sequence[str], stats: Sequence[Column]) -> DataFrame:
         """Aggregates per grid, cell and key of the rows."""
@@ -250,8 +251,8 @@ class Boxes:
         return parts.groupBy("tag").agg(F.max("most").alias("most"), *added)
 
     def met(self, cells: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Cells joined with the rows of ``wanted`` (``tag`` and any keys that both have) whose
-        boxes hold them."""
+        """Cells joined with the rows of ``wanted`` (``tag`` and any keys that both have; a few
+        for each box) whose boxes hold them."""
         corners = self.corners(cells.sparkSession)
         keys = ["grid", *(c for c in wanted.columns if c in cells.columns and c != "tag")]
 
@@ -261,8 +262,8 @@ class Boxes:
             )
             return place <= F.col(j)
 
-        tagged = wanted.join(corners, "tag")
-        held = cells.join(tagged, keys).where(inside("up1", "c1", "j1") & inside("up2", "c2", "j2"))
+        tagged = wanted.join(F.broadcast(corners), "tag")
+        held = cells.join(F.broadcast(tagged), keys).where(inside("up1", "c1", "j1") & inside("up2", "c2", "j2"))
         return held.drop("grid", "up1", "up2", "j1", "j2", "c1", "c2")
 
 

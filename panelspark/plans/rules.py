@@ -178,20 +178,22 @@ def return_quantiles(
     ranged = present.withColumn("__b", value_bucket(F.col("ret"), *bounds))
     count = F.count(F.lit(1)).alias("__c")
     counts = boxes.sums(boxes.cells(ranged, "__b", [], [count]), "__b", ["__c"])
-    targets = stored(wanted_positions(counts.join(chosen, "tag", "left_semi"), ["tag"], QUANTILES))
-    near = ranged.join(targets.select("__b").distinct(), "__b", "left_semi")
+    counts = counts.join(F.broadcast(chosen), "tag", "left_semi")
+    # At most two places a quantile and tag.
+    targets = stored(wanted_positions(counts, ["tag"], QUANTILES), few=True)
+    near = ranged.join(F.broadcast(targets.select("__b").distinct()), "__b", "left_semi")
     values = boxes.placed(near, ["__b", "ret"]).groupBy("grid", "c1", "c2", "__b", "ret").agg(count)
     held = boxes.met(values, targets.select("tag", "__b").distinct())
     held = held.groupBy("tag", "__b", F.col("ret").alias("__q")).agg(F.sum("__c").alias("__c"))
     most = targets.agg(F.max("__c")).first()[0] or 0
-    return picked_quantiles(held, targets, ["tag"], QUANTILES, max_bucket_rows=int(most))
+    return picked_quantiles(held, F.broadcast(targets), ["tag"], QUANTILES, max_bucket_rows=int(most))
 
 
-def rule_totals(by_session: DataFrame, over_entities: DataFrame) -> DataFrame:
-    """One row per tag from the sums by session and those over entities."""
+def _session_totals() -> list[Column]:
+    """Aggregates over the sessions of a tag."""
     n = F.col("n").cast("double")
     seen = F.col("n") > 0
-    sessions = by_session.groupBy("tag").agg(
+    return [
         F.sum("matched").alias("matched"),
         F.sum("n").alias("n"),
         F.sum("hits").alias("hits"),
@@ -202,13 +204,24 @@ def rule_totals(by_session: DataFrame, over_entities: DataFrame) -> DataFrame:
         F.max("n").alias("day_max"),
         F.bit_xor("x1").alias("x1"),
         F.bit_xor("x2").alias("x2"),
-    )
+    ]
+
+
+def rule_totals(by_session: DataFrame, over_entities: DataFrame) -> DataFrame:
+    """One row per tag from the sums by session and those over entities."""
+    return _joined_totals(by_session.groupBy("tag").agg(*_session_totals()), over_entities)
+
+
+def _joined_totals(sessions: DataFrame, over_entities: DataFrame) -> DataFrame:
     rate = F.try_divide(F.col("hits"), F.col("n"))
     return sessions.join(over_entities, "tag", "left").withColumn("rate", rate)
 
 
-def hac_long_run(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
-    """Bartlett-weighted long-run sum per ``tag`` from ``(tag, session_rank, x)``.
+def hac_long_run(
+    influence: DataFrame, lag: int, sessions: Column, more: Sequence[Column] = ()
+) -> DataFrame:
+    """Bartlett-weighted long-run sum per ``tag`` from ``(tag, session_rank, x)``, and ``more``
+    aggregates of its rows.
 
     Sessions without a row have zero influence and drop out of every product. The
     weighted sum over earlier sessions, Σ (1-(d-j)/(L+1))·x_j, is linear in j, so two
@@ -217,7 +230,7 @@ def hac_long_run(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
     used = F.least(F.lit(max(0, lag)), sessions - 1)
     squares = F.sum(F.col("x") * F.col("x"))
     if lag <= 0:
-        return influence.groupBy("tag").agg(squares.alias("long_run"))
+        return influence.groupBy("tag").agg(squares.alias("long_run"), *more)
     back = Window.partitionBy("tag").orderBy(RANK).rangeBetween(-lag, -1)
     # With fewer sessions than lags the window already holds every earlier session.
     rank, width = F.col(RANK).cast("double"), used + 1
@@ -225,19 +238,23 @@ def hac_long_run(influence: DataFrame, lag: int, sessions: Column) -> DataFrame:
     tilt = F.sum(F.col("x") * F.col(RANK)).over(back)
     earlier = (1 - rank / width) * level + tilt / width
     crossed = influence.withColumn("cross", F.coalesce(F.col("x") * earlier, F.lit(0.0)))
-    return crossed.groupBy("tag").agg((squares + 2 * F.sum("cross")).alias("long_run"))
+    return crossed.groupBy("tag").agg((squares + 2 * F.sum("cross")).alias("long_run"), *more)
 
 
 def cluster_error(long_run: Column, clusters: Column) -> Column:
     return F.sqrt(cluster_variance(long_run, clusters))
 
 
-def _rate_errors(by_session: DataFrame, totals: DataFrame, lag: int, sessions: Column) -> DataFrame:
-    """Per tag: date-HAC and entity-cluster error of the hit rate, and its interval."""
-    small = totals.select("tag", "rate", F.col("n").alias("total"))
-    residual = (F.col("hits") - F.col("rate") * F.col("n")) / F.col("total")
-    dated = by_session.join(small, "tag").select("tag", RANK, residual.alias("x"))
-    wide = totals.join(hac_long_run(dated, lag, sessions), "tag")
+def _rate_errors(
+    by_session: DataFrame, over_entities: DataFrame, lag: int, sessions: Column
+) -> DataFrame:
+    """``rule_totals``, and per tag date-HAC and entity-cluster error of the hit rate, and its
+    interval. Sessions of a tag meet once, for its rate, its residuals and its totals."""
+    whole = {f"__{c}": F.sum(c).over(Window.partitionBy("tag")) for c in ("n", "hits")}
+    rate = F.try_divide(F.col("__hits"), F.col("__n"))
+    residual = (F.col("hits") - rate * F.col("n")) / F.col("__n")
+    dated = by_session.withColumns(whole).withColumn("x", residual)
+    wide = _joined_totals(hac_long_run(dated, lag, sessions, _session_totals()), over_entities)
     ent_long_run = entity_squares(F.col("rate"), F.col("n").cast("double"))
     error = F.greatest(
         cluster_error(F.col("long_run"), F.col("days")),
@@ -299,12 +316,13 @@ def _lift_errors(
         F.col("tag").alias("base"), RANK, F.col("hits").alias("bhits"), F.col("n").alias("bn")
     )
     dated = (
-        pairs.select("rule", "base", "p", "total", "pb", "base_total")
+        F.broadcast(pairs.select("rule", "base", "p", "total", "pb", "base_total"))
         .join(whole, "base")
         .join(selected, ["rule", RANK], "left")
         .select(F.col("rule").alias("tag"), RANK, (own - other).alias("x"))
     )
-    date_part = hac_long_run(dated, lag, sessions).withColumnRenamed("tag", "rule")
+    # A row per rule meets those of the rules, which are in one task.
+    date_part = hac_long_run(dated, lag, sessions).withColumnRenamed("tag", "rule").repartition(1)
     # Entities: Σ(a-b)² = Σa² - 2Σab + Σb², from sums of products over the entities.
     p, pb, total, base_total = (F.col(c).cast("double") for c in ("p", "pb", "total", "base_total"))
     crossed = F.col("h_bh") - pb * F.col("h_bn") - p * F.col("n_bh") + p * pb * F.col("n_bn")
@@ -343,21 +361,22 @@ def rule_evidence(
     boxes = rule_boxes(rules, sets)
     rows = [(tag, -(sets.index(rule.factors) + 1), rule.text) for tag, rule in rules]
     bases = {tag: base for tag, base, _ in rows}
-    table = clean.sparkSession.createDataFrame(rows, "rule long, base long, formula string")
+    table = clean.sparkSession.createDataFrame(rows, "rule long, base long, formula string").coalesce(1)
     days = clean.groupBy(SESSION).agg(
         F.min("ret").alias("low"), F.max("ret").alias("high"), mean_size("ret").alias("size")
     )
     # Any scale serves: it only shapes the ranges of returns.
     sessions, *bounds = days.agg(F.count(F.lit(1)), F.min("low"), F.max("high"), F.avg("size")).first()
     evidence = stored(
-        _evidence(clean, boxes, table, bases, F.lit(sessions), lag=lag, target_return=target_return)
+        _evidence(clean, boxes, table, bases, F.lit(sessions), lag=lag, target_return=target_return),
+        few=True,
     )
     chosen = evidence.where("sample_count > 0")
     if gate is not None:
         chosen = chosen.where(gate)
     spread = return_quantiles(clean, boxes, chosen.select(F.col("rule").alias("tag")), bounds)
     found = {name: F.when(F.col("sample_count") > 0, F.col(name)).otherwise(0.0) for name in QUANTILES}
-    joined = evidence.join(spread.withColumnRenamed("tag", "rule"), "rule", "left")
+    joined = evidence.join(F.broadcast(spread.withColumnRenamed("tag", "rule")), "rule", "left")
     shown = [c for c in evidence.columns]
     # Right after the mean, as the reports list them.
     at = shown.index("mean_return") + 1
@@ -381,7 +400,7 @@ def _evidence(
     # The sums by session are read several times, so they are written once.
     by_session = stored(sums_by_session(clean, boxes).join(calendar, SESSION).drop(SESSION))
     over_entities = sums_over_entities(clean, boxes, bases)
-    totals = stored(_rate_errors(by_session, rule_totals(by_session, over_entities), lag, sessions))
+    totals = stored(_rate_errors(by_session, over_entities, lag, sessions), few=True)
     lift = _lift_errors(rules, by_session, totals, lag, sessions)
     own = totals.withColumnRenamed("tag", "rule")
     base = totals.select(

@@ -522,8 +522,8 @@ def _training(t):
     """Cleaned training rows and the evidence of every condition worth trying."""
     clean = stored(R.clean_panel(training(t), sorted(FACTORS), TARGET))
     conditions = S.raw_conditions(S.search_thresholds(clean, FACTORS))
-    raw = S.single_evidence(clean, conditions, LAG, TARGET)
-    return clean, conditions, stored(S.distinct_conditions(raw, conditions))
+    raw = S.single_evidence(clean, conditions, LAG, TARGET, GATES.enough())
+    return clean, conditions, stored(S.distinct_conditions(raw, conditions), few=True)
 
 
 register(

@@ -62,13 +62,16 @@ def relieved(spark: SparkSession, always: bool = False) -> None:
         java.java.lang.System.gc()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, few: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and continue from there.
 
     The result has no lineage, so a lost executor cannot re-run a sampled range
-    partitioning and move rows, and later passes read only the columns they need.
+    partitioning and move rows, and later passes read only the columns they need. With ``few``,
+    for tables of some rows per rule, one task reads it: joins, windows and sorts of such tables
+    need no shuffles, each of which would be a job and broadcasts in the driver's heap.
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     relieved(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table.coalesce(1) if few else table

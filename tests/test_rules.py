@@ -118,3 +118,16 @@ def test_student_t_tail_known_values(spark):
     df = spark.createDataFrame(cases, "t double, nu int, want double")
     for row in df.select("want", student_t_tail(F.col("t"), F.col("nu")).alias("got")).collect():
         assert row.got == pytest.approx(row.want, abs=2e-8)
+
+
+def test_evidence_takes_few_jobs(spark):
+    """Every shuffle is a job, whose broadcasts and plans fill the driver's heap."""
+    panel = spark.createDataFrame(panel_frame()).coalesce(2)
+    context = spark.sparkContext
+    context.setJobGroup("evidence", "")
+    try:
+        assert R.evaluate_rules(panel, list(FORMULAS), lag=4).count() == len(FORMULAS)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("evidence"))
+    assert jobs <= 42, jobs
