@@ -219,6 +219,7 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = stored(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("total")))
     sums = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = sums["n"], sums["v"]
+    relieved(spark, always=True)  # the words of all blocks are dealt out once more, after the pairs
 
     some = some.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     buckets = n_train // BUCKET + 1
@@ -230,14 +231,16 @@ def scored(docs: DataFrame) -> DataFrame:
     # A block knows the count of a word that no other block has, and all arcs of its state:
     # only the rest goes back.
     shared = listed.join(counts, "word").where("n <> total").select("place", "total", F.xxhash64("word").alias("first"))
-    known = shared.join(masses, "first", "left").select(
-        F.expr(f"place div {WORDS}").alias("block"),
-        (F.col("place") % WORDS).alias("key"),
-        "total",
-        F.coalesce("mass", F.lit(0.0)).alias("mass"),
-        F.lit(None).cast("long").alias("bucket"),
-        F.lit(None).cast("binary").alias("totals"),
+    known = stored(
+        shared.join(masses, "first", "left").select(
+            F.expr(f"place div {WORDS}").alias("block"),
+            (F.col("place") % WORDS).alias("key"),
+            "total",
+            F.coalesce("mass", F.lit(0.0)).alias("mass"),
+        )
     )
+    relieved(spark, always=True)  # nor are the shuffles of all blocks' words
+    known = known.withColumns({"bucket": F.lit(None).cast("long"), "totals": F.lit(None).cast("binary")})
     nothing = F.lit(None).cast("long")
     known = known.unionByName(
         arcs.where("block IS NOT NULL").select(

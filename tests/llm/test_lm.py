@@ -85,3 +85,10 @@ def test_pairs_of_rare_words_are_arcs(spark):
     # Two in eighty thousand tokens: an arc all the same.
     same(got, brute(rows, share=0))
     assert all(r["score"] > r["base_score"] + 2 for r in got if r["doc_id"] in learnt[20:22])
+
+
+def test_the_last_stage_holds_no_words(spark):
+    """The words' shuffles are read, and can go, before the blocks meet what they need."""
+    docs = spark.createDataFrame([(i, "a b c") for i in range(20)], "doc_id long, text string")
+    plan = lm.scored(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
