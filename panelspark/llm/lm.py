@@ -219,7 +219,6 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = stored(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("total")))
     sums = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = sums["n"], sums["v"]
-    relieved(spark, always=True)  # the words of all blocks are dealt out once more, after the pairs
 
     some = some.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     buckets = n_train // BUCKET + 1
